@@ -205,3 +205,7 @@ def activity_windows(legs: DataFrame, end: datetime, baseline_days: int,
            .withColumn("expected_count", rnd(F.col("b_count") * scale)).withColumn("expected_usd", rnd(F.col("b_usd") * scale)))
     return out.withColumn("vs_baseline", F.when(F.col("expected_count") > 0, rnd(F.col("out_count") / F.col("expected_count")))
                           ).drop("b_count", "b_usd")
+
+
+def value_or_zero(df: DataFrame, *columns: str) -> DataFrame:
+    return df.fillna(0, list(columns))

@@ -29,8 +29,14 @@ def case(column: str, table: dict, default: str = "NULL") -> str:
 
 
 PLACE = {n: i for i, n in enumerate(EVALUATION_ORDER)}
-SCORED = "results AS (" + "\nUNION ALL ".join(f"SELECT '{n}' AS detector, r.* FROM ({_body(n)}) r" for n in COMMON) + f"""),
-fired AS (SELECT *, {case('detector', {k: float(v[0]) for k, v in WEIGHTS.items()})}::DOUBLE AS weight, {case('detector', {k: v[1] for k, v in WEIGHTS.items()})} AS grp,
+
+
+
+def results_sql(names) -> str:
+    return "results AS (" + "\nUNION ALL ".join(f"SELECT '{n}' AS detector, r.* FROM ({_body(n)}) r" for n in names) + ")"
+
+
+SCORING = f"""fired AS (SELECT *, {case('detector', {k: float(v[0]) for k, v in WEIGHTS.items()})}::DOUBLE AS weight, {case('detector', {k: v[1] for k, v in WEIGHTS.items()})} AS grp,
   {case('detector', PLACE)} AS place, {case('detector', {d[0]: d[2] for d in DETECTORS})} AS category FROM results WHERE state = 'fired'),
 raw AS (SELECT *, floor(weight * strength * 100 + 0.5) / 100 AS raw_points, {case('grp', GROUP_CAPS)}::DOUBLE AS cap FROM fired),
 contrib AS (SELECT *, CASE WHEN cap IS NULL THEN raw_points ELSE floor((least(cap, spent) - least(cap, round(spent - raw_points, 2))) * 100 + 0.5) / 100 END AS points FROM (
@@ -38,6 +44,7 @@ contrib AS (SELECT *, CASE WHEN cap IS NULL THEN raw_points ELSE floor((least(ca
 scores AS (SELECT e.entity_id, floor(least(100.0, coalesce(s, 0)) * 10 + 0.5) / 10 AS score, coalesce(n, 0) AS n_fired FROM (SELECT DISTINCT customer_id AS entity_id FROM accounts) e
   LEFT JOIN (SELECT entity_id, CAST(sum(CAST(points AS DECIMAL(18,2))) AS DOUBLE) AS s, count(*) AS n FROM contrib GROUP BY 1) p ON p.entity_id = e.entity_id),
 cats AS (SELECT entity_id, category, CAST(sum(CAST(points AS DECIMAL(18,2))) AS DOUBLE) AS points FROM contrib GROUP BY 1, 2)"""
+SCORED = results_sql(COMMON) + ",\n" + SCORING
 BAND = "CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END"
 
 
