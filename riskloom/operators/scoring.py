@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,107 +120,154 @@ def with_confidence(contribs: DataFrame, activity: DataFrame, rules: RiskRules)
 
 
 # ----------------------------------------------------------------------------------------------------------- evidence
-def evidence(f: det.Frames, results: DataFrame) -> DataFrame:
+def evidence(f: det.Frames, results: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """(entity_id, detector, pos, kind, id): what supports each fired rule, at most 25 references per rule.
 
     Every list is cut by `top_k`, which limits before the shuffle.
     """
-    r = f.rules
     fired = results.filter("state = 'fired'").select("entity_id", "detector", "mark")
-    win = f.legs.filter("period = 'win'").select("entity_id", "transaction_id", "ts", "sec", "direction", "status", "amount_usd",
-                                                 "transaction_type", "device_id", "account_id", "other_account", "merchant_id")
-    by_time = [F.col("ts"), F.col("transaction_id")]
-
-    def of(name: str) -> DataFrame:
-        return fired.filter(F.col("detector") == name).drop("detector")
-
-    def refs(name: str, rows: DataFrame, order: list[Column], k: int, kind: str = "transaction", key: str = "transaction_id",
-             start: int = 0) -> DataFrame:
-        return top_k(rows, ["entity_id"], order, k).select(
-            "entity_id", F.lit(name).alias("detector"), (F.col("rank") + start).cast("int").alias("pos"), F.lit(kind).alias("kind"),
-            F.col(key).cast("string").alias("id"))
-
-    parts = []
-    out = win.filter(is_out())
-    n = "TRANSACTION_BURST"
-    parts.append(refs(n, out.join(of(n), "entity_id").filter((F.col("sec") >= F.col("mark")) & (F.col("sec") <= F.col("mark") + r.burst_minutes * 60)), by_time, 10))
-    n = "VELOCITY_SPIKE"
-    day = F.to_date("ts").alias("day")
-    peak = (out.groupBy("entity_id", day).agg(F.count(F.lit(1)).alias("c")).groupBy("entity_id")
-            .agg(F.max_by("day", F.struct("c", -F.unix_date("day"))).alias("day")))
-    parts.append(refs(n, out.join(of(n), "entity_id", "left_semi").withColumn("day", F.to_date("ts")).join(peak, ["entity_id", "day"]), by_time, 10))
-    for n in ("AMOUNT_DEVIATION", "PEER_AMOUNT_DEVIATION"):
-        parts.append(refs(n, out.filter(done()).join(of(n), "entity_id").filter(F.col("amount_usd") >= F.col("mark")),
-                          [F.col("amount_usd").desc(), F.col("transaction_id")], 10))
-    n = "RAPID_PASS_THROUGH"
-    matched = pass_through(f.legs.filter("period = 'win'"), KEYS, r.pass_hours, r.pass_types)
-    parts.append(matched.join(of(n), "entity_id", "left_semi").select(
-        "entity_id", F.lit(n).alias("detector"), F.posexplode("pairs").alias("pos", "id")).select(
-        "entity_id", "detector", (F.col("pos") + 1).alias("pos"), F.lit("transaction").alias("kind"), "id"))
-    n = "FAN_IN"
-    parts.append(refs(n, win.filter(is_in()).join(of(n), "entity_id", "left_semi"), by_time, 12))
-    n = "FAN_OUT"
-    parts.append(refs(n, out.filter(done() & F.col("transaction_type").isin(*r.fan_out_types)).join(of(n), "entity_id", "left_semi"), by_time, 12))
-    n = "STRUCTURING"
-    parts.append(refs(n, det.band_rows(f).filter("period = 'win'").join(of(n), "entity_id").filter(
-        (F.col("sec") >= F.col("mark")) & (F.col("sec") <= F.col("mark") + r.band_hours * 3600)), by_time, 10))
-    n = "GEO_NEW_COUNTRY"
-    parts.append(refs(n, det.new_country_rows(f).join(of(n), "entity_id", "left_semi"), by_time, 10))
-    n = "IMPOSSIBLE_TRAVEL"
-    pairs = top_k(det.travel_pairs(f.legs.filter(is_out() & (F.col("period") == "win")), ["entity_id"], r).join(of(n), "entity_id", "left_semi"), ["entity_id"], by_time, 5)
-    parts.append(pairs.select("entity_id", "rank", F.posexplode(F.array("prev_transaction_id", "transaction_id")).alias("p", "id")).select(
-        "entity_id", F.lit(n).alias("detector"), (F.col("rank") * 2 - 1 + F.col("p")).cast("int").alias("pos"),
-        F.lit("transaction").alias("kind"), F.col("id").cast("string")))
-    n = "NEW_DEVICE"
-    fresh = det.device_use(f).filter("n_base = 0 AND n_win > 0").select("entity_id", "device_id").join(of(n), "entity_id", "left_semi")
-    parts.append(refs(n, fresh, [F.col("device_id")], 5, "device", "device_id"))
-    parts.append(refs(n, out.join(fresh, ["entity_id", "device_id"], "left_semi"), by_time, 8, start=5))
-    n = "DEVICE_SHARING"
-    from datetime import timedelta
-    users = device_users(f.txn, f.accounts, f.period.end - timedelta(days=r.sharing_days), f.period.end).select("device_id", "customer_id")
-    shared = users.groupBy("device_id").agg(F.count(F.lit(1)).alias("customers")).filter(F.col("customers") >= r.sharing_customers)
-    mine = out.filter("device_id IS NOT NULL").select("entity_id", "device_id").distinct().join(of(n), "entity_id", "left_semi").join(shared, "device_id")
-    top_devices = top_k(mine, ["entity_id"], [F.col("customers").desc(), F.col("device_id")], 5, "d")
-    parts.append(top_devices.select("entity_id", F.lit(n).alias("detector"), F.col("d").cast("int").alias("pos"), F.lit("device").alias("kind"),
-                                    F.col("device_id").cast("string").alias("id")))
-    some_users = top_k(users, ["device_id"], [F.col("customer_id")], 9).drop("rank")
-    others = (top_devices.filter("d = 1").join(some_users, "device_id").join(f.owner().withColumnRenamed("customer_id", "self"), "entity_id")
+    union = None
+    for name in names or tuple(EVIDENCE):
+        if name not in EVIDENCE:
+            continue
+        of = fired.filter(F.col("detector") == name).drop("detector")
+        for part in EVIDENCE[name](f, of):
+            part = part.withColumn("detector", F.lit(name)).select("entity_id", "detector", "pos", "kind", "id")
+            union = part if union is None else union.unionByName(part)
+    return top_k(union, ["entity_id", "detector"], [F.col("pos")], f.rules.evidence_limit, "place").drop("place")
+
+
+BY_TIME = ("ts", "transaction_id")
+
+
+def _refs(rows: DataFrame, order, k: int, kind: str = "transaction", key: str = "transaction_id", start: int = 0) -> DataFrame:
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    return top_k(rows, ["entity_id"], order, k).select("entity_id", (F.col("rank") + start).cast("int").alias("pos"), F.lit(kind).alias("kind"),
+                                                      F.col(key).cast("string").alias("id"))
+
+
+def _win(f: det.Frames) -> DataFrame:
+    return f.legs.filter("period = 'win'").select(
+        "entity_id", "transaction_id", "ts", "sec", "direction", "status", "amount_usd", "transaction_type", "device_id")
+
+
+def _since_mark(rows: DataFrame, of: DataFrame, width: int) -> DataFrame:
+    return rows.join(of, "entity_id").filter((F.col("sec") >= F.col("mark")) & (F.col("sec") <= F.col("mark") + width))
+
+
+def _burst(f, of):
+    return [_refs(_since_mark(_win(f).filter(is_out()), of, f.rules.burst_minutes * 60), BY_TIME, 10)]
+
+
+def _velocity(f, of):
+    out = _win(f).filter(is_out()).withColumn("day", F.to_date("ts")).join(of, "entity_id", "left_semi")
+    peak = out.groupBy("entity_id", "day").agg(F.count(F.lit(1)).alias("c")).groupBy("entity_id").agg(
+        F.max_by("day", F.struct("c", -F.unix_date("day"))).alias("day"))
+    return [_refs(out.join(peak, ["entity_id", "day"]), BY_TIME, 10)]
+
+
+def _amount(f, of):
+    rows = _win(f).filter(is_out() & done()).join(of, "entity_id").filter(F.col("amount_usd") >= F.col("mark"))
+    return [_refs(rows, [F.col("amount_usd").desc(), "transaction_id"], 10)]
+
+
+def _pass_through(f, of):
+    matched = pass_through(f.legs.filter("period = 'win'"), KEYS, f.rules.pass_hours, f.rules.pass_types).join(of, "entity_id", "left_semi")
+    return [matched.select("entity_id", F.posexplode("pairs").alias("p", "id")).select(
+        "entity_id", (F.col("p") + 1).alias("pos"), F.lit("transaction").alias("kind"), "id")]
+
+
+def _fan_in(f, of):
+    return [_refs(_win(f).filter(is_in()).join(of, "entity_id", "left_semi"), BY_TIME, 12)]
+
+
+def _fan_out(f, of):
+    rows = _win(f).filter(is_out() & done() & F.col("transaction_type").isin(*f.rules.fan_out_types))
+    return [_refs(rows.join(of, "entity_id", "left_semi"), BY_TIME, 12)]
+
+
+def _structuring(f, of):
+    return [_refs(_since_mark(det.band_rows(f).filter("period = 'win'"), of, f.rules.band_hours * 3600), BY_TIME, 10)]
+
+
+def _new_country(f, of):
+    return [_refs(det.new_country_rows(f).join(of, "entity_id", "left_semi"), BY_TIME, 10)]
+
+
+def _travel(f, of):
+    win = f.legs.filter(is_out() & (F.col("period") == "win")).join(of, "entity_id", "left_semi")
+    pairs = top_k(det.travel_pairs(win, ["entity_id"], f.rules), ["entity_id"], [F.col(c) for c in BY_TIME], 5)
+    return [pairs.select("entity_id", "rank", F.posexplode(F.array("prev_transaction_id", "transaction_id")).alias("p", "x")).select(
+        "entity_id", (F.col("rank") * 2 - 1 + F.col("p")).cast("int").alias("pos"), F.lit("transaction").alias("kind"), F.col("x").cast("string").alias("id"))]
+
+
+def _new_device(f, of):
+    fresh = det.device_use(f).filter("n_base = 0 AND n_win > 0").select("entity_id", "device_id").join(of, "entity_id", "left_semi")
+    rows = _win(f).filter(is_out()).join(fresh, ["entity_id", "device_id"], "left_semi")
+    return [_refs(fresh, ["device_id"], 5, "device", "device_id"), _refs(rows, BY_TIME, 8, start=5)]
+
+
+def _device_sharing(f, of):
+    users = device_users(f.txn, f.accounts, f.period.end - timedelta(days=f.rules.sharing_days), f.period.end).select("device_id", "customer_id")
+    shared = users.groupBy("device_id").agg(F.count(F.lit(1)).alias("customers")).filter(F.col("customers") >= f.rules.sharing_customers)
+    mine = (_win(f).filter(is_out() & F.col("device_id").isNotNull()).select("entity_id", "device_id").distinct()
+            .join(of, "entity_id", "left_semi").join(shared, "device_id"))
+    devices = top_k(mine, ["entity_id"], [F.col("customers").desc(), F.col("device_id")], 5)
+    some = top_k(users, ["device_id"], [F.col("customer_id")], 9).drop("rank")  # eight others and possibly the entity itself
+    others = (devices.filter("rank = 1").drop("rank").join(some, "device_id").join(f.owner().withColumnRenamed("customer_id", "self"), "entity_id")
               .filter("customer_id <> self"))
-    parts.append(refs(n, others, [F.col("customer_id")], 8, "customer", "customer_id", start=5))
-    n = "SHARED_IDENTIFIER"
+    return [devices.select("entity_id", F.col("rank").cast("int").alias("pos"), F.lit("device").alias("kind"), F.col("device_id").cast("string").alias("id")),
+            _refs(others, ["customer_id"], 8, "customer", "customer_id", 5)]
+
+
+def _identifier(f, of):
+    r, ids = f.rules, ["identifier_type", "value_hash"]
     members = det.identifier_groups(f.identifiers).filter((F.col("customers") >= r.identifier_customers) | F.col("identifier_type").isin(*r.identifier_always))
-    ids = ["identifier_type", "value_hash"]
     some = top_k(members.select(*ids, F.col("customer_id").alias("other")), ids, [F.col("other")], r.evidence_limit + 1).drop("rank")
     peers = (members.select(*ids, "customer_id").join(some, ids).filter("other <> customer_id").join(f.owner(), "customer_id")
-             .select("entity_id", "other").distinct().join(of(n), "entity_id", "left_semi"))
-    parts.append(refs(n, peers, [F.col("other")], r.evidence_limit, "customer", "other"))
-    n = "CIRCULAR_FLOW"
+             .select("entity_id", "other").distinct().join(of, "entity_id", "left_semi"))
+    return [_refs(peers, ["other"], r.evidence_limit, "customer", "other")]
+
+
+def _cycle(f, of):
     own = f.accounts.select(F.col("customer_id" if f.grain == "customer" else "account_id").alias("entity_id"), "account_id")
-    cyc = verified_cycles(f.txn, f.period.window_start, f.period.end, r)
-    mem = cyc.select("cycle", "ids", F.explode("cycle").alias("account_id")).join(own, "account_id").select("entity_id", "cycle", "ids").distinct()
-    five = top_k(mem.join(of(n), "entity_id", "left_semi"), ["entity_id"], [F.col("cycle")], 5)
-    items = F.concat(F.array(F.struct(F.lit("cycle").alias("kind"), F.array_join(F.col("cycle").cast("array<string>"), " -> ").alias("id"))),
-                     F.transform(F.col("ids").cast("array<string>"), lambda x: F.struct(F.lit("transaction").alias("kind"), x.alias("id"))))
-    parts.append(five.select("entity_id", F.lit(n).alias("detector"), "rank", F.posexplode(items).alias("p", "i")).select(
-        "entity_id", "detector", (F.col("rank") * 8 + F.col("p")).cast("int").alias("pos"), "i.kind", "i.id"))
-    n = "DORMANT_REACTIVATION"
-    parts.append(refs(n, win.join(of(n), "entity_id", "left_semi"), by_time, 10))
-    n = "HIGH_RISK_MERCHANT"
-    paid = det.high_risk_payments(f).filter("period = 'win'").join(of(n), "entity_id", "left_semi")
+    cyc = verified_cycles(f.txn, f.period.window_start, f.period.end, f.rules)
+    mine = cyc.select("cycle", "ids", F.explode("cycle").alias("account_id")).join(own, "account_id").select("entity_id", "cycle", "ids").distinct()
+    five = top_k(mine.join(of, "entity_id", "left_semi"), ["entity_id"], [F.col("cycle")], 5)
+    head = F.array(F.struct(F.lit("cycle").alias("kind"), F.array_join(F.col("cycle").cast("array<string>"), " -> ").alias("id")))
+    hops = F.transform(F.col("ids").cast("array<string>"), lambda x: F.struct(F.lit("transaction").alias("kind"), x.alias("id")))
+    return [five.select("entity_id", "rank", F.posexplode(F.concat(head, hops)).alias("p", "i")).select(
+        "entity_id", (F.col("rank") * 8 + F.col("p")).cast("int").alias("pos"), "i.kind", "i.id")]
+
+
+def _dormant(f, of):
+    return [_refs(_win(f).join(of, "entity_id", "left_semi"), BY_TIME, 10)]
+
+
+def _merchant(f, of):
+    paid = det.high_risk_payments(f).filter("period = 'win'").join(of, "entity_id", "left_semi")
     per = paid.groupBy("entity_id", "merchant_id").agg(F.count(F.lit(1)).alias("c"))
-    parts.append(refs(n, per, [F.col("c").desc(), F.col("merchant_id")], 5, "merchant", "merchant_id"))
-    parts.append(refs(n, paid, by_time, 10, start=5))
-    n = "NETWORK_EXPOSURE"
-    flagged = det.exposure_pairs(f).join(det.flagged_customers(f.alerts, f.investigations), F.col("other") == F.col("customer_id"), "left_semi")
-    parts.append(refs(n, flagged.join(of(n), "entity_id", "left_semi"), [F.col("other")], 10, "customer", "other"))
-    n = "HISTORICAL_ALERTS"
-    old = f.alerts.filter(F.col("created_at") < F.lit(f.period.window_start)).join(
-        f.owner(), F.col("customer_id") == f.alerts.entity_id).drop(f.alerts.entity_id)
-    parts.append(refs(n, old, [F.col("created_at").desc(), F.col("alert_id")], 10, "alert", "alert_id"))
-    union = None
-    for p in parts:
-        union = p if union is None else union.unionByName(p)
-    return top_k(union, ["entity_id", "detector"], [F.col("pos")], r.evidence_limit, "place").drop("place")
+    return [_refs(per, [F.col("c").desc(), "merchant_id"], 5, "merchant", "merchant_id"), _refs(paid, BY_TIME, 10, start=5)]
+
+
+def _exposure(f, of):
+    flags = det.flagged_customers(f.alerts, f.investigations)
+    hit = det.exposure_pairs(f).join(flags, F.col("other") == F.col("customer_id"), "left_semi").join(of, "entity_id", "left_semi")
+    return [_refs(hit, ["other"], 10, "customer", "other")]
+
+
+def _history(f, of):
+    old = f.alerts.filter(F.col("created_at") < F.lit(f.period.window_start)).select("alert_id", "created_at", F.col("entity_id").alias("customer_id"))
+    return [_refs(old.join(f.owner(), "customer_id").join(of, "entity_id", "left_semi"), [F.col("created_at").desc(), "alert_id"], 10, "alert", "alert_id")]
+
+
+EVIDENCE = {
+    "TRANSACTION_BURST": _burst, "VELOCITY_SPIKE": _velocity, "AMOUNT_DEVIATION": _amount, "PEER_AMOUNT_DEVIATION": _amount,
+    "RAPID_PASS_THROUGH": _pass_through, "FAN_IN": _fan_in, "FAN_OUT": _fan_out, "STRUCTURING": _structuring, "GEO_NEW_COUNTRY": _new_country,
+    "IMPOSSIBLE_TRAVEL": _travel, "NEW_DEVICE": _new_device, "DEVICE_SHARING": _device_sharing, "SHARED_IDENTIFIER": _identifier,
+    "CIRCULAR_FLOW": _cycle, "DORMANT_REACTIVATION": _dormant, "HIGH_RISK_MERCHANT": _merchant, "NETWORK_EXPOSURE": _exposure,
+    "HISTORICAL_ALERTS": _history,
+}
 
 
 def supporting_transactions(ev: DataFrame, limit: int = 200) -> DataFrame:

@@ -69,3 +69,14 @@ def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ca
     for c in carry:
         both = both.withColumn(prefix + c, F.lag(c).over(w))
     return both.filter(~F.col("__halo")).drop("__halo", "__chunk")
+
+
+def running_max(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, bucket: Column, name: str) -> DataFrame:
+    """Largest `value` so far per key, in chunks: each chunk starts from the maximum of all earlier ones."""
+    chunked = rows.withColumn("__chunk", bucket).withColumn("__v", value)
+    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = (chunked.groupBy(*keys, "__chunk").agg(F.max("__v").alias("__m")).withColumn("__carry", F.max("__m").over(before))
+               .select(*keys, "__chunk", "__carry"))
+    inside = W.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return (chunked.join(carried, [*keys, "__chunk"]).withColumn(name, F.greatest(F.max("__v").over(inside), "__carry"))
+            .drop("__chunk", "__v", "__carry"))

@@ -61,7 +61,7 @@ class Run:
         f = risk.frames(b, legs=self.legs)
         self.assessment = sc.assess(f, EVIDENCE_RULES)
         self.cands = al.candidates(self.assessment.contributions, self.assessment.scores, POLICY)
-        self.evidence = stage(sc.evidence(f, self.assessment.results), "evidence")
+        self.evidence = stage(sc.evidence(f, self.assessment.results, EVIDENCE_RULES), "evidence")
         self.cited = self.evidence.filter("kind = 'transaction'").select(
             F.col("entity_id").alias("customer_id"), F.col("detector").alias("detector_id"), F.col("id").alias("transaction_id")).distinct()
         self.held = cites_of_alerts(b, self.legs)

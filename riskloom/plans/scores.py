@@ -129,7 +129,7 @@ cited AS (SELECT * FROM ev WHERE pos <= k)"""
 def cited(b: Bank) -> DataFrame:
     f = risk.frames(b, legs=stage(legs_for(b.txn, b.accounts, b.period), "legs"))
     results = stage(det.all_results(f, EVIDENCE_RULES), "results")
-    return sc.evidence(f, results)
+    return sc.evidence(f, results, EVIDENCE_RULES)
 
 
 @query("sc06_supporting_transactions", oracle(VIEWS_USED, f"""

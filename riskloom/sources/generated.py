@@ -155,15 +155,37 @@ SELECT l_orderkey AS alert_id, {ship_ts} + INTERVAL '1' HOUR * CAST(l_linenumber
 FROM {lineitem}
 """
 
-VIEWS = {"txn": TXN, "customers": CUSTOMERS, "accounts": ACCOUNTS, "merchants": MERCHANTS, "devices": DEVICES,
+# Incoming rows as text: the window's events, some with one fault, some sent twice half a minute apart.
+BATCH = """
+SELECT event_id * 2 + c AS row, event_id % 139 = 1 AS malformed,
+  CASE WHEN event_id % 53 = 1 THEN NULL WHEN event_id % 59 = 1 THEN 'BAD-1' WHEN event_id % 61 = 1 THEN concat('TXN-', CAST(event_id % 500 AS {text}))
+       ELSE concat('TXN-', CAST(event_id + c * 100000000 AS {text})) END AS transaction_id,
+  CASE WHEN event_id % 67 = 1 THEN 'not a time' WHEN event_id % 71 = 1 THEN '2001-01-01 00:00:00' ELSE {iso} END AS timestamp,
+  CASE WHEN event_id % 73 = 1 THEN '999999999999' WHEN event_id % 5 <> 0 THEN CAST(user_id AS {text}) END AS sender_account_id,
+  CASE WHEN event_id % 7 <> 0 THEN CAST((user_id * 31 + event_id * 17 + 7) % (top_user + 1) AS {text}) END AS receiver_account_id,
+  CASE WHEN event_type = 'purchase' THEN CAST(event_id % 97 AS {text}) END AS merchant_id, CAST({device} AS {text}) AS device_id,
+  CASE WHEN event_id % 79 = 1 THEN 'abc' WHEN event_id % 83 = 1 THEN '-5' WHEN event_id % 89 = 1 THEN 'inf' ELSE CAST(value AS {text}) END AS amount,
+  CASE WHEN event_id % 97 = 1 THEN NULL WHEN event_id % 101 = 1 THEN 'US' WHEN event_id % 103 = 1 THEN 'EUR' WHEN event_id % 2 = 0 THEN 'gbp' ELSE 'USD' END AS currency,
+  CASE WHEN event_id % 3 = 0 THEN CAST(value AS {text}) END AS amount_usd,
+  CASE WHEN event_id % 107 = 1 THEN 'gift' WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'deposit' WHEN event_type = 'purchase' THEN 'Card_Payment' ELSE 'transfer' END AS transaction_type,
+  CASE WHEN event_id % 109 = 1 THEN 'fax' ELSE 'Web' END AS channel, 'NG' AS country, CAST(NULL AS {text}) AS latitude, CAST(NULL AS {text}) AS longitude,
+  CASE WHEN event_id % 127 = 1 THEN '999.1.1.1' WHEN event_id % 131 = 1 THEN 'fe80::1' WHEN event_id % 137 = 1 THEN 'fe80::1::2' WHEN event_id % 4 = 0 THEN '10.1.2.3' END AS ip_address,
+  CASE WHEN event_id % 113 = 1 THEN 'unknown' WHEN event_id % 3 <> 0 THEN 'Completed' END AS status, CAST(NULL AS {text}) AS external_counterparty
+FROM (SELECT e.*, c, {ts} + INTERVAL '30' SECOND * CAST(c AS INT) AS sent FROM {events} e, (SELECT 0 AS c UNION ALL SELECT 1) k WHERE (c = 0 OR event_id % 29 = 2)) e,
+  (SELECT max(user_id) AS top_user FROM {events}) m WHERE sent >= TIMESTAMP '2024-01-21 00:00:00'
+"""
+
+VIEWS = {"batch": BATCH, "txn": TXN, "customers": CUSTOMERS, "accounts": ACCOUNTS, "merchants": MERCHANTS, "devices": DEVICES,
          "identifiers": IDENTIFIERS, "alerts": ALERTS, "investigations": INVESTIGATIONS, "labels_": LABELS,
          "monitoring": MONITORING, "cases": CASES, "alert_events": ALERT_EVENTS}
 SPARK_WORDS = {"ts": "CAST(ts AS TIMESTAMP)", "device": "CAST(get_json_object(props, '$.k') AS BIGINT)", "text": "STRING",
                "hash": "sha2(concat(identifier_type, ':', CAST(k AS STRING)), 256)",
-               "order_ts": "CAST(o_orderdate AS TIMESTAMP)", "ship_ts": "CAST(l_shipdate AS TIMESTAMP)"}
+               "order_ts": "CAST(o_orderdate AS TIMESTAMP)", "ship_ts": "CAST(l_shipdate AS TIMESTAMP)",
+               "iso": "date_format(sent, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"}
 ORACLE_WORDS = {"ts": "CAST(ts AS TIMESTAMP)", "device": "CAST(json_extract_string(props, '$.k') AS BIGINT)",
                 "text": "VARCHAR", "hash": "sha256(concat(identifier_type, ':', CAST(k AS VARCHAR)))",
-                "order_ts": "CAST(o_orderdate AS TIMESTAMP)", "ship_ts": "CAST(l_shipdate AS TIMESTAMP)"}
+                "order_ts": "CAST(o_orderdate AS TIMESTAMP)", "ship_ts": "CAST(l_shipdate AS TIMESTAMP)",
+                "iso": "strftime(sent, '%Y-%m-%d %H:%M:%S.%f')"}
 TABLES = ("events", "customer", "supplier", "orders", "lineitem")
 
 
