@@ -95,24 +95,57 @@ def term_weights(docs: DataFrame, features: int) -> DataFrame:
                                                   F.expr("transform(x, e -> e.w / norm)").alias("w"))
 
 
-def lsa(docs: DataFrame, dim: int = 128, features: int = 1 << 18) -> DataFrame:
-    """Latent semantic vectors (doc_id, embedding): TF-IDF, truncated SVD, unit length.
-
-    Terms are hashed, so neither a vocabulary nor anything else that grows with the corpus reaches the driver; the right
-    singular vectors are features x dim.
+def _accumulate(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """X^T X basis. Each task sums its documents into one features x l array and emits the slots it touched; these are
+    summed by slot range. What comes back is features x l, whatever the corpus."""
+    held = weights.sparkSession.sparkContext.broadcast(basis)
+    features, width = basis.shape
+
+    def part(batches):
+        acc = np.zeros((features, width))
+        for batch in batches:
+            for idx, w in zip(batch.idx, batch.w):
+                i, v = np.asarray(idx, dtype=int), np.asarray(w)
+                acc[i] += np.outer(v, v @ held.value[i])
+        touched = np.flatnonzero(np.any(acc != 0, axis=1))
+        yield pd.DataFrame({"slot": touched, "v": list(acc[touched])})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        slots, place = np.unique(group.slot.to_numpy(), return_inverse=True)
+        total = np.zeros((len(slots), width))
+        np.add.at(total, place, np.stack(group.v.to_list()))
+        return pd.DataFrame({"slot": slots, "v": list(total)})
+
+    rows = weights.select("idx", "w").mapInPandas(part, "slot long, v array<double>")
+    summed = rows.groupBy(F.pmod("slot", F.lit(64)).alias("range")).applyInPandas(add, "slot long, v array<double>").toPandas()
+    out = np.zeros((features, width))
+    if len(summed):
+        out[summed.slot.to_numpy()] = np.stack(summed.v.to_list())
+    return out
+
+
+def lsa(docs: DataFrame, dim: int = 128, features: int = 1 << 16, rounds: int = 3, seed: int = 13) -> DataFrame:
+    """Latent semantic vectors (doc_id, embedding): TF-IDF, truncated SVD by randomised subspace iteration (Halko,
+    Martinsson and Tropp 2011), unit length. A document without terms gets a zero vector.
+
+    Terms are hashed, so neither a vocabulary nor anything else that grows with the corpus reaches the driver. The
+    corpus is read once per round and once more for the projection.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    weights = stage(term_weights(docs, features), "term-weights")
-    svd = RowMatrix(weights.select("idx", "w").rdd.map(lambda r: Vectors.sparse(features, r.idx, r.w)), numCols=features).computeSVD(dim)
-    right = docs.sparkSession.sparkContext.broadcast(svd.V.toArray())  # features x dim, fixed by the parameters
+    weights = stage(docs.select("doc_id").join(term_weights(docs, features), "doc_id", "left").select(
+        "doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("w", F.array().cast("array<double>")).alias("w")), "term-weights")
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, dim + 8)))[0]
+    for _ in range(rounds):
+        product = _accumulate(weights, basis)
+        before, basis = basis, np.linalg.qr(product)[0]
+    small = before.T @ product  # (X before)^T (X before): rotates the last basis to singular directions
+    turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :dim]
+    right = docs.sparkSession.sparkContext.broadcast(before @ turn)
 
     @F.pandas_udf("array<double>")
     def project(idx: pd.Series, w: pd.Series) -> pd.Series:
         out = []
         for i, v in zip(idx, w):
-            z = np.asarray(v) @ right.value[np.asarray(i, dtype=int)]
+            z = np.asarray(v, dtype=float) @ right.value[np.asarray(i, dtype=int)]
             n = float(np.linalg.norm(z))
             out.append(z / n if n > 0 else z)
         return pd.Series(out)

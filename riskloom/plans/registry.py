@@ -59,4 +59,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Bank], DataF
 
 
 def load_all() -> None:
-    from riskloom.plans import behaviour, casework, dataquality, library, measures, network, risk, scores  # noqa: F401
+    from riskloom.plans import behaviour, casework, dataquality, library, measures, network, risk, scores, streams  # noqa: F401
