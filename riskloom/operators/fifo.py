@@ -1,11 +1,14 @@
 """First-in-first-out matching of outgoing to earlier incoming money.
 
-The rules are sequential, so each group is folded in order by one Python function. What reaches it is bounded first:
+The rules are sequential, so each entity's rows are folded in time order by a small Python function. What reaches it is bounded first:
 rows are summed per (entity, side, second), which leaves at most two rows per second of the period for an entity however
 many transactions it has. Credits of one second are interchangeable for both rules, as are outflows.
 """
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,30 +66,57 @@ def match_queue(credits: list[tuple[int, float]], outflows: list[tuple[int, floa
             left = credits[head][1] if head < len(credits) else 0.0
 
 
+def fold_in_order(rows: DataFrame, keys: list[str], order: str, fold: Callable[[pd.DataFrame], tuple], schema: str, names: list[str]) -> DataFrame:
+    """`fold` over each key's rows in order, many keys per Arrow batch.
+
+    Spark partitions and sorts; a batch is cut at the key changes and its last, possibly unfinished key is held back.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def finish(frame: pd.DataFrame) -> pd.DataFrame:
+            k = frame[keys].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)]))
+            out = [(*k[i], *fold(frame.iloc[i:j])) for i, j in zip(starts, [*starts[1:], len(frame)])]
+            return pd.DataFrame(out, columns=[*keys, *names])
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            same = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+            if not same.all() or (held and tuple(held[0][keys].iloc[0]) != tuple(batch[keys].iloc[0])):
+                ready = pd.concat([*held, batch[~same]])
+                held = []
+                if len(ready):
+                    yield finish(ready)
+            held.append(batch[same])
+        if held:
+            yield finish(pd.concat(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def pass_through(legs: DataFrame, keys: list[str], hours: int, types: tuple[str, ...], pairs: int = 8) -> DataFrame:
     """Share of inbound value that left within the horizon; `pairs` holds ids of the first matched seconds."""
     flow = flow_seconds(legs, keys, F.col("transaction_type").isin(*types))
-    totals = flow.filter("side = 'in'").groupBy(*keys).agg(
-        F.sum(F.col("usd").cast(MONEY)).cast("double").alias("inbound_usd"), F.sum("n").alias("n_inbound"))
     horizon = hours * 3600
     fields = ", ".join(f"{k} {dict(flow.dtypes)[k]}" for k in keys)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sec")
-        c, o = group[group.side == "in"], group[group.side == "out"]
-        matched, ids = 0.0, []
-        c_id, o_id = c.first_id.tolist(), o.first_id.tolist()
-        for i, j, take in match_within(list(zip(c.sec, c.usd)), list(zip(o.sec, o.usd)), horizon):
+    def fold(group: pd.DataFrame) -> tuple:
+        side, sec, usd, ids = (group[c].to_numpy() for c in ("side", "sec", "usd", "first_id"))
+        i_in, i_out = np.flatnonzero(side == "in"), np.flatnonzero(side == "out")
+        matched, cited = 0.0, []
+        for i, j, take in match_within(list(zip(sec[i_in], usd[i_in])), list(zip(sec[i_out], usd[i_out])), horizon):
             matched += take
-            if len(ids) < 2 * pairs:
-                ids += [c_id[i], o_id[j]]
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "matched": [matched], "pairs": [ids]})
+            if len(cited) < 2 * pairs:
+                cited += [ids[i_in[i]], ids[i_out[j]]]
+        return round(float(usd[i_in].sum()), 2), int(group.n.to_numpy()[i_in].sum()), matched, cited
 
-    folded = flow.groupBy(*keys).applyInPandas(fold, f"{fields}, matched double, pairs array<string>")
-    j = totals.join(folded, keys, "left")
-    m = F.coalesce(F.col("matched"), F.lit(0.0))
-    return j.select(*keys, F.when(F.col("inbound_usd") > 0, rnd(m / F.col("inbound_usd"), 4)).otherwise(0.0).alias("ratio"),
-                    rnd(F.col("inbound_usd")).alias("inbound_usd"), rnd(m).alias("matched_usd"), "n_inbound", "pairs")
+    folded = fold_in_order(flow, keys, "sec", fold, f"{fields}, inbound_usd double, n_inbound long, matched double, pairs array<string>",
+                           ["inbound_usd", "n_inbound", "matched", "pairs"])
+    m = F.col("matched")
+    return folded.filter("n_inbound > 0").select(
+        *keys, F.when(F.col("inbound_usd") > 0, rnd(m / F.col("inbound_usd"), 4)).otherwise(0.0).alias("ratio"), rnd(F.col("inbound_usd")).alias("inbound_usd"),
+        rnd(m).alias("matched_usd"), "n_inbound", "pairs")
 
 
 def fifo_dwell(legs: DataFrame, keys: list[str], hours: float, ids_kept: int = 10) -> DataFrame:
@@ -95,18 +125,16 @@ def fifo_dwell(legs: DataFrame, keys: list[str], hours: float, ids_kept: int = 1
     horizon = int(hours * 3600)
     fields = ", ".join(f"{k} {dict(flow.dtypes)[k]}" for k in keys)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sec")
-        c, o = group[group.side == "in"], group[group.side == "out"]
-        credits, outflows = list(zip(c.sec, c.usd)), list(zip(o.sec, o.usd))
-        matched, dwell, ids, o_id = 0.0, [], {}, o.first_id.tolist()
+    def fold(group: pd.DataFrame) -> tuple:
+        side, sec, usd, ids = (group[c].to_numpy() for c in ("side", "sec", "usd", "first_id"))
+        i_in, i_out = np.flatnonzero(side == "in"), np.flatnonzero(side == "out")
+        credits, outflows = list(zip(sec[i_in], usd[i_in])), list(zip(sec[i_out], usd[i_out]))
+        matched, dwell, cited = 0.0, [], {}
         for i, j, take in match_queue(credits, outflows, horizon):
             matched += take
             dwell.append((outflows[j][0] - credits[i][0]) / 3600.0)
-            ids.setdefault(o_id[j])
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "matched_usd": [matched],
-                             "median_dwell_hours": [float(pd.Series(dwell).median()) if dwell else None],
-                             "moved_ids": [list(ids)[:ids_kept]]})
+            cited.setdefault(ids[i_out[j]])
+        return matched, float(np.median(dwell)) if dwell else None, list(cited)[:ids_kept]
 
-    return flow.groupBy(*keys).applyInPandas(
-        fold, f"{fields}, matched_usd double, median_dwell_hours double, moved_ids array<string>")
+    return fold_in_order(flow, keys, "sec", fold, f"{fields}, matched_usd double, median_dwell_hours double, moved_ids array<string>",
+                         ["matched_usd", "median_dwell_hours", "moved_ids"])
