@@ -174,15 +174,16 @@ def connected_accounts(edges: DataFrame, accounts: DataFrame, device_use: DataFr
     """Accounts of the same owner (0), of customers on a shared device (1), or within `max_hops` transfers."""
     own = accounts.select("account_id", "customer_id")
     s = seeds.select(F.col("account_id").alias("seed")).join(own, F.col("seed") == F.col("account_id")).select("seed", F.col("customer_id").alias("owner"))
-    same = s.join(own, s.owner == own.customer_id).filter("account_id <> seed").select(
+    # the result keeps `limit` accounts by (hops, id), so the first `limit` + 1 accounts of an owner or a device are enough:
+    # those of the seed's own owner among them take places of their own at distance 0
+    by_owner = top_k(own, ["customer_id"], [F.col("account_id")], limit + 1).drop("rank")
+    same = s.join(by_owner, s.owner == by_owner.customer_id).filter("account_id <> seed").select(
         "seed", "account_id", F.lit(0).alias("hops"), F.lit("same_owner").alias("via"), F.lit(0).alias("priority"))
     dev = device_use.select("customer_id", "device_id").distinct()
-    devices = s.join(dev, s.owner == dev.customer_id).select("seed", "owner", "device_id")
-    # a result keeps `limit` accounts, so per device the first `limit` + 1 users (one may be the seed's owner) are enough
-    users = top_k(dev, ["device_id"], [F.col("customer_id")], limit + 1).drop("rank")
-    via_dev = (devices.join(users, "device_id").filter("customer_id <> owner").groupBy("seed", "customer_id").agg(F.min("device_id").alias("d"))
-               .join(own, "customer_id").filter("account_id <> seed")
-               .select("seed", "account_id", F.lit(1).alias("hops"), F.concat(F.lit("shared_device:"), F.col("d").cast("string")).alias("via"), F.lit(1).alias("priority")))
+    by_device = top_k(dev.join(by_owner, "customer_id"), ["device_id"], [F.col("account_id")], limit + 1).drop("rank")
+    via_dev = (s.join(dev, s.owner == dev.customer_id).select("seed", "owner", "device_id").join(by_device, "device_id")
+               .filter("customer_id <> owner").select("seed", "account_id").distinct()
+               .select("seed", "account_id", F.lit(1).alias("hops"), F.lit("shared_device").alias("via"), F.lit(1).alias("priority")))
     adj = both_ways(edges)
     seen = s.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops"))
     frontier = seen
@@ -194,7 +195,13 @@ def connected_accounts(edges: DataFrame, accounts: DataFrame, device_use: DataFr
     all_ = same.unionByName(via_dev).unionByName(transfers)
     best = all_.groupBy("seed", "account_id").agg(F.min(F.struct("priority", "hops", "via")).alias("b")).select(
         "seed", "account_id", "b.hops", "b.via")
-    return top_k(best, ["seed"], [F.col("hops"), F.col("account_id")], limit)
+    kept = stage(top_k(best, ["seed"], [F.col("hops"), F.col("account_id")], limit), "connected")
+    # name the smallest device that each kept pair shares
+    mine = s.join(dev, s.owner == dev.customer_id).select("seed", "device_id")
+    theirs = kept.filter("via = 'shared_device'").select("seed", "account_id").join(own, "account_id").join(dev, "customer_id").select("seed", "account_id", "device_id")
+    name = theirs.join(mine, ["seed", "device_id"]).groupBy("seed", "account_id").agg(F.min("device_id").alias("d"))
+    via = F.when(F.col("via") == "shared_device", F.concat(F.lit("shared_device:"), F.col("d").cast("string"))).otherwise(F.col("via"))
+    return kept.join(name, ["seed", "account_id"], "left").select("seed", "account_id", "hops", via.alias("via"), "rank")
 
 
 def candidate_cycles(edges: DataFrame, max_len: int, since: datetime | None) -> DataFrame:

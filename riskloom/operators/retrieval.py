@@ -29,9 +29,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame |
 
     Only postings of query terms go on to the join; scores are summed per (query, document) on the map side first.
     """
-    size = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("n") / F.count(F.lit(1))).alias("avg_len"))
+    index = postings(docs)  # its shuffle is shared by the corpus totals and the hits
+    size = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(index.agg(F.sum("tf").alias("n_terms")))).select(  # one row
+        "n_docs", (F.col("n_terms") / F.col("n_docs")).alias("avg_len"))
     q = query_terms(queries)
-    hits = postings(docs).join(q.select("term").distinct(), "term", "left_semi")
+    hits = index.join(q.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if allowed is not None:
         hits = hits.join(allowed, "doc_id", "left_semi")
