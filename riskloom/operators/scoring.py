@@ -15,6 +15,7 @@ from riskloom.operators.cycles import verified_cycles
 from riskloom.operators.fifo import pass_through
 from riskloom.operators.orient import device_users
 from riskloom.operators.profile import KEYS, done, is_in, is_out
+from riskloom.session import stage_parts
 
 ORDER = {name: i for i, name in enumerate(EVALUATION_ORDER)}
 CATEGORY = {d[0]: d[2] for d in DETECTORS}
@@ -126,15 +127,17 @@ def evidence(f: det.Frames, results: DataFrame, names: tuple[str, ...] | None =
     Every list is cut by `top_k`, which limits before the shuffle.
     """
     fired = results.filter("state = 'fired'").select("entity_id", "detector", "mark")
-    union = None
-    for name in names or tuple(EVIDENCE):
-        if name not in EVIDENCE:
-            continue
+
+    def one(name: str) -> DataFrame:
         of = fired.filter(F.col("detector") == name).drop("detector")
+        rows = None
         for part in EVIDENCE[name](f, of):
-            part = part.withColumn("detector", F.lit(name)).select("entity_id", "detector", "pos", "kind", "id")
-            union = part if union is None else union.unionByName(part)
-    return top_k(union, ["entity_id", "detector"], [F.col("pos")], f.rules.evidence_limit, "place").drop("place")
+            part = part.select("entity_id", F.lit(name).alias("detector"), "pos", "kind", "id")
+            rows = part if rows is None else rows.unionByName(part)
+        return top_k(rows, ["entity_id"], [F.col("pos")], f.rules.evidence_limit, "place").drop("place")
+
+    chosen = [n for n in names or tuple(EVIDENCE) if n in EVIDENCE]
+    return stage_parts(f.txn.sparkSession, [lambda n=n: one(n) for n in chosen], "evidence")
 
 
 BY_TIME = ("ts", "transaction_id")
@@ -305,11 +308,10 @@ def entities(f: det.Frames) -> DataFrame:
 
 def assess(f: det.Frames, names: tuple[str, ...] | None = None, extra: DataFrame | None = None) -> Assessment:
     """All rules and the score for all entities. The rule results, one small row each, are staged once."""
-    from riskloom.session import stage
-    results = det.all_results(f, names)
+    parts = [lambda n=n: det.RULES[n](f) for n in names or tuple(det.RULES)]
     if extra is not None:
-        results = results.unionByName(extra)
-    results = stage(results, "results")
+        parts.append(lambda: extra)
+    results = stage_parts(f.txn.sparkSession, parts, "results")
     c = contributions(results)
     s = scores(c, entities(f), f.rules)
     return Assessment(results, c, s, category_breakdown(c, s), det.baseline_activity(f.legs))

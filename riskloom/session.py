@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_parts(spark: SparkSession, parts: Sequence[Callable[[], DataFrame]], name: str, at_once: int = 6) -> DataFrame:
+    """Stage several same-shaped results as one table, each as its own job, a few at a time.
+
+    One union of many aggregations would be re-planned as a whole by adaptive execution after every stage; separate jobs
+    keep plans small, and the short tail of one fills up with the start of the next.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def write(i: int):
+        df = parts[i]()
+        df.write.parquet(f"{path}/part={i}")
+        return df.schema
+
+    with ThreadPoolExecutor(at_once) as pool:
+        schemas = list(pool.map(write, range(len(parts))))
+    return spark.read.schema(schemas[0]).parquet(*[f"{path}/part={i}" for i in range(len(parts))])
