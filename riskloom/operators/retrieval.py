@@ -7,16 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import rnd, top_k
-from riskloom.functions.text import STOP_WORDS, tokens
+from riskloom.functions.text import STOP_WORDS, stem, tokens, words
 from riskloom.session import stage
 
 K1, B, RRF_K = 1.4, 0.75, 60
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, len): the keyword index."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    return t.select("doc_id", "len", F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, len, term, tf): the keyword index. Words are stemmed after they are exploded, in generated code."""
+    w = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("len", F.size("ws"))
+    return w.select("doc_id", "len", F.explode("ws").alias("w")).groupBy("doc_id", "len", stem(F.col("w")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def passages_for_signals(fused: DataFrame, query_signals: DataFrame, k: int = 12
 
 def term_weights(docs: DataFrame, features: int) -> DataFrame:
     """(doc_id, idx, w): unit-length sublinear TF-IDF over words and word pairs, terms hashed to `features` slots."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z0-9\-]+)\b"), F.lit(1))
-    kept = docs.select("doc_id", F.filter(words, lambda t: ~t.isin(*STOP_WORDS)).alias("t"))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z0-9\-]+)\b"), F.lit(1))
+    kept = docs.select("doc_id", F.filter(found, lambda t: ~t.isin(*STOP_WORDS)).alias("t"))
     pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))),
                        lambda a, b: F.concat_ws(" ", a, b))
     slot = F.pmod(F.xxhash64("term"), F.lit(features)).cast("int")

@@ -337,3 +337,16 @@ def test_triage_maxima_and_order(spark):
     low = (2, "low", 0.0, "NETWORK_EXPOSURE", 0, None, 0, 1, 0.0, 0, 0, 1, "RESOLVED", T0)
     r = {x.alert_id: x.new_score for x in triage(spark.createDataFrame([top, low], cols), T0 + timedelta(days=9), TriageRules()).collect()}
     assert r[1] == 100.0 and r[2] == 4.0 and math.isclose(sum(FACTORS.values()), 100)
+
+
+def test_top_k_limits_groups_before_the_shuffle(spark):
+    from riskloom.functions.numeric import top_k
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    plan = top_k(df, ["k"], [F.col("id").desc()], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_staged_parts_make_one_table(spark):
+    from riskloom.session import stage_parts
+    df = stage_parts(spark, [lambda i=i: spark.range(i, i + 2).toDF("x") for i in range(4)], "parts")
+    assert sorted(r.x for r in df.collect()) == [0, 1, 1, 2, 2, 3, 3, 4]
