@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import (CATEGORY_LABELS, DETECTORS, EVALUATION_ORDER, GROUP_CAPS, TRIAL_RULES, WEIGHTS)
+from riskloom.functions.numeric import lookup
 from riskloom.operators import detectors as det
 from riskloom.operators import scoring as sc
 from riskloom.operators.orient import legs_for
@@ -58,6 +59,13 @@ def _(b):
     return common(b).contributions.select("entity_id", "detector", "raw_points", "points", "capped")
 
 
+@query("w04_capped_running_sum", oracle(VIEWS_USED, "SELECT entity_id, grp, CAST(sum(CAST(points AS DECIMAL(18,2))) AS DOUBLE) AS spent, any_value(cap) AS cap FROM contrib WHERE cap IS NOT NULL GROUP BY 1, 2", SCORED))
+def _(b):
+    """Points each group of rules spends of its cap."""
+    c = common(b).contributions.filter("grp IS NOT NULL")
+    return c.groupBy("entity_id", "grp").agg(sc.points_sum().alias("spent")).withColumn("cap", lookup(F.col("grp"), GROUP_CAPS).cast("double"))
+
+
 @query("sc02_category_breakdown", oracle(VIEWS_USED, """
 SELECT entity_id, category, points FROM cats UNION ALL
 SELECT s.entity_id, 'cap_adjustment', round(s.score - t.p, 2) FROM scores s JOIN (SELECT entity_id, CAST(sum(CAST(points AS DECIMAL(18,2))) AS DOUBLE) AS p FROM contrib GROUP BY 1) t
