@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import mixing
+from riskloom.llm import ann, exact_search, mixing
 from riskloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,11 +16,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = f"WITH {mixing.mix_sql().strip()}\nSELECT doc_id, size, source_size, target, taken FROM mixed"
 
-QUERIES: dict[str, Query] = {"op7_mixing": op7_mixing}
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+def op9_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN min(embedding)] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
+
+QUERIES: dict[str, Query] = {"op3_ann": op3_ann, "op7_mixing": op7_mixing, "op9_exact_search": op9_exact_search}
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL}
