@@ -6,14 +6,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, exact_search, mixing
+from riskloom.llm import ann, bpe, exact_search, mixing
 from riskloom.session import tune
 
+#: Vocabulary files of public tokenizers; another folder can be set on the session.
+TOKENIZERS = "/opt/tokenizers"
+#: Documents in an Arrow batch: bounds what a Python worker holds of long texts.
+BATCH_ROWS = "1000"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def tokenizer(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get('spark.riskloom.tokenizers', TOKENIZERS)}/{name}"
+
+
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, folder, "documents"), tokenizer(spark, "byte_bpe_50k.json"))
 
 
 def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,5 +51,5 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
-QUERIES: dict[str, Query] = {"op3_ann": op3_ann, "op7_mixing": op7_mixing, "op9_exact_search": op9_exact_search}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_ann": op3_ann, "op7_mixing": op7_mixing, "op9_exact_search": op9_exact_search}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL}
