@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.tries import Trie
+
 CACHE = 400_000
 #: Words up to this many bytes are kept in the cache.
 SHORT = 32
@@ -54,15 +56,6 @@ def split_pattern(exact: bool) -> regex.Pattern:
     return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?{numbers}+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
 
 
-#: Slots of the hashed trie, a power of 2 well above its number of nodes.
-TRIE_SLOTS = 1 << 20
-
-
-def _slot(keys: np.ndarray) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(44)).astype(np.int64)
-
-
 def printable_bytes() -> dict[str, int]:
     """The vocabulary file writes bytes as characters: printable ones as themselves, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -125,59 +118,21 @@ class Automaton:
         return out[::-1]
 
     @cached_property
-    def _hashed_trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The trie as an open hash table: keys node * 256 + byte (-1: free), next nodes; and each node's token (-1: none)."""
-        keys, nodes, ends, stack = [], [], [-1], [(self._trie, 0)]
-        while stack:
-            node, at = stack.pop()
-            for b, child in node.items():
-                if b == -1:
-                    ends[at] = child
-                else:
-                    ends.append(-1)
-                    keys.append(at * 256 + b)
-                    nodes.append(len(ends) - 1)
-                    stack.append((child, len(ends) - 1))
-        table, value = np.full(TRIE_SLOTS, -1, np.int64), np.zeros(TRIE_SLOTS, np.int64)
-        todo, goes = np.array(keys), np.array(nodes)
-        slot = _slot(todo)
-        while len(todo):
-            free = table[slot] < 0
-            table[slot[free]], value[slot[free]] = todo[free], goes[free]  # of two for one slot the last stays
-            left = table[slot] != todo
-            todo, goes, slot = todo[left], goes[left], (slot[left] + 1) & (TRIE_SLOTS - 1)
-        return table, value, np.array(ends)
+    def _many(self) -> Trie:
+        return Trie((label, token) for token, label in enumerate(self.labels) if token in self._merged)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """As `encode_word`, for many short words at once."""
-        table, value, ends = self._hashed_trie
         n = np.fromiter(map(len, words), np.int64, len(words))
         width = int(n.max(initial=0))
         chars = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width).astype(np.int64)
         state, arc = np.full((len(words), width + 1), -1, np.int32), np.zeros((len(words), width + 1), np.int32)
         state[:, 0] = 0
-        column, bits = self.column, self.table
         for i in range(width):
-            live = np.flatnonzero((state[:, i] >= 0) & (n > i))
-            node, j = np.zeros(len(live), np.int64), i
-            while len(live):
-                key = node * 256 + chars[live, j]
-                slot = _slot(key)
-                wrong = np.flatnonzero((table[slot] != key) & (table[slot] >= 0))
-                while len(wrong):
-                    slot[wrong] = (slot[wrong] + 1) & (TRIE_SLOTS - 1)
-                    wrong = wrong[(table[slot[wrong]] != key[wrong]) & (table[slot[wrong]] >= 0)]
-                known = table[slot] == key
-                live, node = live[known], value[slot[known]]
-                token = ends[node]
-                some = np.flatnonzero(token >= 0)
-                t, w = token[some], live[some]
-                c = column[t]
-                ok = (bits[state[w, i], c >> 3] >> (7 - (c & 7))) & 1 == 1
-                state[w[ok], j + 1], arc[w[ok], j + 1] = self.row[t[ok]], t[ok]
-                j += 1
-                more = n[live] > j
-                live, node = live[more], node[more]
+            for end, w, token in self._many.matches(chars, n, i, np.flatnonzero(state[:, i] >= 0)):
+                c = self.column[token]
+                ok = (self.table[state[w, i], c >> 3] >> (7 - (c & 7))) & 1 == 1
+                state[w[ok], end], arc[w[ok], end] = self.row[token[ok]], token[ok]
         out, sizes = [], self._sizes
         for end, back in zip(n.tolist(), arc.tolist(), strict=True):
             ids = []
