@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, exact_search, mixing
+from riskloom.llm import ann, bpe, exact_search, langid, mixing
 from riskloom.session import tune
 
 #: Vocabulary files of public tokenizers; another folder can be set on the session.
@@ -39,6 +39,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 OP7_SQL = f"WITH {mixing.mix_sql().strip()}\nSELECT doc_id, size, source_size, target, taken FROM mixed"
 
+def op8_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, tokenizer(spark, "piece_bpe_32k.model")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_exact_search(spark: SparkSession, folder: str) -> DataFrame:
     return exact_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -51,5 +56,6 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_ann": op3_ann, "op7_mixing": op7_mixing, "op9_exact_search": op9_exact_search}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_ann": op3_ann, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
+                             "op9_exact_search": op9_exact_search}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL}
