@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, exact_search, langid, mixing
+from riskloom.llm import ann, bpe, exact_search, langid, mixing, pii
 from riskloom.session import tune
 
 #: Vocabulary files of public tokenizers; another folder can be set on the session.
@@ -33,6 +33,10 @@ def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +60,6 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_ann": op3_ann, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_ann": op3_ann, "op4_pii": op4_pii, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
                              "op9_exact_search": op9_exact_search}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL}
