@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, exact_search, langid, mixing, pii, resampling
+from riskloom.llm import ann, bpe, exact_search, langid, mixing, pii, resampling, toxicity
 from riskloom.session import tune
 
 #: Vocabulary files of public tokenizers; another folder can be set on the session.
@@ -29,6 +29,13 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), tokenizer(spark, "byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels' categories: degraded text first, then toxic text."""
+    labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("degraded"), F.col("toxic").alias("toxicity"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.learn(docs, labels, ["degraded", "toxicity"]).predict(docs).drop("text")
+
+
 def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -67,6 +74,6 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_ann": op3_ann, "op4_pii": op4_pii, "op6_resampling": op6_resampling, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_pii": op4_pii, "op6_resampling": op6_resampling, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
                              "op9_exact_search": op9_exact_search}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL}
