@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, exact_search, langid, mixing, pii, resampling, toxicity
+from riskloom.llm import ann, bpe, exact_search, jaccard, langid, mixing, pii, resampling, toxicity
 from riskloom.session import tune
 
 #: Vocabulary files of public tokenizers; another folder can be set on the session.
@@ -66,6 +66,11 @@ def op9_exact_search(spark: SparkSession, folder: str) -> DataFrame:
     return exact_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
 OP9_SQL = """
 WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN min(embedding)] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
@@ -75,5 +80,5 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
 QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_pii": op4_pii, "op6_resampling": op6_resampling, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
-                             "op9_exact_search": op9_exact_search}
+                             "op9_exact_search": op9_exact_search, "op10_jaccard": op10_jaccard}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL}
