@@ -273,7 +273,10 @@ def join_regions(regions: DataFrame, sets_: DataFrame, rule: Rule) -> tuple[Data
 
 
 def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, class, n_shingles, component_id: one row a document."""
+    """(doc_id, text, ...) -> doc_id, text_key, class, component, n_shingles, component_id: one row a document.
+
+    `component` names a component by a class, null for empty sets; `component_id` by its smallest document id.
+    """
     rule = rule or Rule()
     scanned = stage(scan(docs, rule), "jaccard-scan")
     documents = scanned.filter("n IS NOT NULL").select("doc_id", "text_key", "class", "n")
@@ -283,11 +286,12 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     sets_ = stage(class_sets(docs, wanted, rule), "jaccard-sets")
     _, labels = join_regions(regions, sets_, rule)
 
-    classes = documents.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = documents.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).withColumn("component", F.col("class"))
     if labels is not None:
         rooted = stage(classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "least", "root"), "jaccard-rooted")
         of_root = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))
-        classes = rooted.join(of_root, "root", "left").select("class", F.coalesce("of_root", "least").alias("least"))
+        classes = rooted.join(of_root, "root", "left").select("class", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_root")).alias("least"),
+                                                              F.coalesce("root", "class").alias("component"))
     return (documents.join(classes, "class", "left")
-            .select("doc_id", "class", F.col("n").cast("long").alias("n_shingles"),
+            .select("doc_id", "text_key", "class", "component", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))

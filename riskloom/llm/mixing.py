@@ -3,12 +3,13 @@
 Every document is due `target / source size` copies of itself. The whole copies are certain; the fraction left is its inclusion
 probability. Documents are ranked by random odds divided by inclusion odds (Pareto order sampling) and taken in that order until the
 words still due to the source are reached: the sample's size is fixed, in words. At most one further document a source, the one whose
-size comes nearest to what is left, closes the gap that whole documents leave.
+size comes nearest to what is left, closes the gap that whole documents leave. Running sums go over bins of the rank's logarithm first, and
+over the documents of one fine bin a source last.
 
 Random numbers come from a keyed digest of the document id, so that reruns and other engines agree.
 
 Defined results: a null or empty text has size 0 and takes 0; a null id is drawn like the empty id; rows that agree in id, size and
-source are interchangeable; a source without words gets target 0; an empty table gives an empty table; further columns are ignored.
+source are taken together; a source without words gets target 0; an empty table gives an empty table; further columns are ignored.
 """
 from __future__ import annotations
 
@@ -56,67 +57,75 @@ def _with_small(big: DataFrame, small: DataFrame, few: bool) -> DataFrame:
     return big.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
 
 
-def mix(docs: DataFrame, seed: str = "mix", max_copies: int = MAX_COPIES) -> DataFrame:
-    """(doc_id, source, text, ...) -> doc_id, source, size, source_size, target, copies, taken."""
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    base = stage(base, "mix-sizes")
-    aims = stage(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), max_copies), "mix-targets")
-    few = aims.count() <= SMALL_ROWS
+def ranked(docs: DataFrame, aims: DataFrame, few: bool, seed: str) -> DataFrame:
+    """`docs` (doc_id, source, size, ...) with whole copies, words still due to the source (`rest`), rank `q` and the bins of its logarithm.
 
+    q is null for documents that can't be drawn: those of size 0, or without a fraction of a copy due.
+    """
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / F.lit(float(2 ** 48))
     frac = F.col("due") - F.col("whole")
-    ranked = (_with_small(base, aims, few).withColumn("due", due).withColumn("whole", F.floor("due"))
-              .withColumn("u", u)
-              .withColumn("q", F.when((frac > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (frac / (1 - frac))))
-              .withColumn("z", F.log2("q") * COARSE).withColumn("b1", F.floor("z"))
-              .withColumn("b2", F.floor((F.col("z") - F.col("b1")) * FINE)).drop("z", "due"))
-    ranked = stage(ranked, "mix-ranked")
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-
-    def cut(rows: DataFrame, bin_: str, limit: Column) -> DataFrame:
-        """The bin of each source in which the running sum of sizes passes `limit`, and the sum before it."""
-        upto = Window.partitionBy("source").orderBy(bin_)
-        bins = rows.groupBy("source", bin_).agg(F.sum("size").alias("words"), F.first(limit).alias("limit"))
-        return (bins.withColumn("upto", F.sum("words").over(upto)).filter(F.col("upto") > F.col("limit"))
-                .groupBy("source").agg(F.min(F.struct(F.col(bin_).alias("bin"), (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
-                .select("source", F.col("x.bin").alias(f"cut_{bin_}"), F.col("x.before").alias(f"before_{bin_}")))
-
-    drawn = ranked.filter(F.col("q").isNotNull()).withColumn("rest", rest)
-    first = stage(cut(drawn, "b1", F.col("rest")), "mix-coarse")
-    inside = _with_small(drawn, first, few).filter(F.col("b1") == F.col("cut_b1"))
+    return (_with_small(docs, aims, few).withColumn("due", due).withColumn("whole", F.floor("due")).withColumn("u", u)
+            .withColumn("q", F.when((frac > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (frac / (1 - frac))))
+            .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+            .withColumn("z", F.log2("q") * COARSE).withColumn("b1", F.floor("z"))
+            .withColumn("b2", F.floor((F.col("z") - F.col("b1")) * FINE)).drop("z", "due", "u"))
+
+
+def cut(rows: DataFrame, bin_: str, limit: Column) -> DataFrame:
+    """The bin of each source in which the running sum of sizes passes `limit`, and the sum before it."""
+    upto = Window.partitionBy("source").orderBy(bin_)
+    bins = rows.groupBy("source", bin_).agg(F.sum("size").alias("words"), F.first(limit).alias("limit"))
+    return (bins.withColumn("upto", F.sum("words").over(upto)).filter(F.col("upto") > F.col("limit"))
+            .groupBy("source").agg(F.min(F.struct(F.col(bin_).alias("bin"), (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
+            .select("source", F.col("x.bin").alias(f"cut_{bin_}"), F.col("x.before").alias(f"before_{bin_}")))
+
+
+def place() -> Column:
+    return F.struct("q", "size", "doc_id")
+
+
+def drawn() -> Column:
+    """Whether the draw takes a document, by the cuts of its source (cut_b1, cut_b2, last)."""
+    before = (F.col("cut_b1").isNull() | (F.col("b1") < F.col("cut_b1"))
+              | ((F.col("b1") == F.col("cut_b1")) & (F.col("cut_b2").isNull() | (F.col("b2") < F.col("cut_b2")))))
+    at = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
+    return F.col("q").isNotNull() & F.coalesce(before | (at & (place() <= F.col("last"))), F.lit(False))
+
+
+def mix(docs: DataFrame, seed: str = "mix", max_copies: int = MAX_COPIES) -> DataFrame:
+    """`docs` (doc_id, source, text, ...) with size, source_size, target, copies and taken.
+
+    Sizes are summed and ranked in a narrow table; what was found out about each source then decides every row, without a join of rows.
+    """
+    fields = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    sized = docs.select(*fields).withColumn("size", word_count(F.col("text")))
+    base = stage(sized.select("doc_id", "source", "size"), "mix-sizes")
+    aims = stage(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), max_copies), "mix-targets")
+    few = aims.count() <= SMALL_ROWS
+    rows = stage(ranked(base, aims, few, seed).filter(F.col("q").isNotNull()).select("doc_id", "source", "size", "rest", "q", "b1", "b2"), "mix-ranked")
+
+    first = stage(cut(rows, "b1", F.col("rest")), "mix-coarse")
+    inside = _with_small(rows, first, few).filter(F.col("b1") == F.col("cut_b1"))
     second = stage(cut(inside, "b2", F.col("rest") - F.col("before_b1")), "mix-fine")
-    edges = stage(first.withColumnRenamed("source", "s").join(second, F.col("s").eqNullSafe(F.col("source")), "left").drop("source")
-                  .withColumnRenamed("s", "source"), "mix-edges")
-
-    marked = _with_small(ranked.withColumn("rest", rest), edges, few)
-    # a source without a cut takes every drawn document; rows of the one fine bin at the cut are sorted
-    sure = F.col("cut_b1").isNull() | (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1"))
-                                                                     & (F.col("cut_b2").isNull() | (F.col("b2") < F.col("cut_b2"))))
-    at_cut = F.col("q").isNotNull() & (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
-    order = Window.partitionBy("source").orderBy("q", "size", "doc_id")
-    settled = marked.filter(~F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.coalesce((F.col("q").isNotNull() & sure).cast("int"), F.lit(0)))
-    sorted_ = (marked.filter(at_cut)
-               .withColumn("extra", (F.coalesce(F.col("before_b1"), F.lit(0)) + F.coalesce(F.col("before_b2"), F.lit(0))
-                                     + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("rest")).cast("int")))
-    keep = ["doc_id", "source", "size", "source_size", "target", "whole", "q", "rest", "extra"]
-    taken = stage(settled.select(*keep).unionByName(sorted_.select(*keep)), "mix-taken")
-
-    gaps = stage(taken.groupBy("source").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap")), "mix-gaps")
-    with_gap = _with_small(taken, gaps, few)
-    spare = F.col("q").isNotNull() & (F.col("extra") == 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-    nearest = stage(with_gap.filter(spare).groupBy("source")
-                    .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "size", "doc_id")).alias("n"))
-                    .select("source", F.col("n.q").alias("n_q"), F.col("n.size").alias("n_size"), F.col("n.doc_id").alias("n_id")), "mix-nearest")
-    hit = (F.col("q") == F.col("n_q")) & (F.col("size") == F.col("n_size")) & F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("extra") == 0)
-    closed = _with_small(taken, nearest, few).withColumn("hit", F.coalesce(hit, F.lit(False)))
-    one = Window.partitionBy("source").orderBy("q")  # over the few rows that agree with the chosen one
-    chosen = closed.filter("hit").withColumn("extra", (F.row_number().over(one) == 1).cast("int"))
-    return (closed.filter(~F.col("hit")).unionByName(chosen)
-            .withColumn("copies", F.col("whole") + F.col("extra"))
-            .select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"),
-                    (F.col("copies") * F.col("size")).cast("long").alias("taken")))
+    bounds = _with_small(first, second, few)
+    # only the fine bin at the cut is sorted; rows that agree in rank, size and id are taken together
+    upto = F.col("before_b1") + F.col("before_b2") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "size", "doc_id"))
+    last = (_with_small(rows, bounds, few).filter((F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))).withColumn("upto", upto)
+            .filter(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(place()).alias("last")))
+    cuts = stage(_with_small(bounds, last, few), "mix-cuts")
+
+    taken = _with_small(rows, cuts, few).withColumn("taken", drawn())
+    gaps = stage(taken.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap")), "mix-gaps")
+    off = F.abs(F.col("size") - F.col("gap"))
+    nearest = (_with_small(taken, gaps, few).filter(~F.col("taken") & (off < F.col("gap"))).groupBy("source")
+               .agg(F.min(F.struct(off.alias("off"), "q", "size", "doc_id")).alias("n"))
+               .select("source", F.struct(F.col("n.q").alias("q"), F.col("n.size").alias("size"), F.col("n.doc_id").alias("doc_id")).alias("closing")))
+    facts = stage(_with_small(_with_small(aims, cuts, few), nearest, few), "mix-facts")
+    extra = (drawn() | F.coalesce(place().eqNullSafe(F.col("closing")), F.lit(False))).cast("long")
+    return (ranked(sized, facts, few, seed).withColumn("copies", F.col("whole").cast("long") + extra)
+            .withColumn("taken", F.col("copies") * F.col("size")).select(*fields, "size", "source_size", "target", "copies", "taken"))
 
 
 def mix_sql(docs: str = "documents", seed: str = "mix") -> str:
@@ -134,10 +143,10 @@ due AS (SELECT b.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.
   FROM base b JOIN aims a ON a.source IS NOT DISTINCT FROM b.source),
 ranked AS (SELECT *, floor(due) AS whole, target - floor(due) * source_size AS rest,
     CASE WHEN due - floor(due) > 0 AND size > 0 THEN (u / (1 - u)) / ((due - floor(due)) / (1 - (due - floor(due)))) END AS q FROM due),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM ranked),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, size, doc_id RANGE UNBOUNDED PRECEDING) AS upto FROM ranked),
 drawn AS (SELECT *, CASE WHEN q IS NOT NULL AND upto <= rest THEN 1 ELSE 0 END AS extra FROM summed),
 gaps AS (SELECT *, rest - sum(size * extra) OVER (PARTITION BY source) AS gap FROM drawn),
 near AS (SELECT *, q IS NOT NULL AND extra = 0 AND abs(size - gap) < gap AS spare FROM gaps),
-closed AS (SELECT *, CASE WHEN spare AND row_number() OVER (PARTITION BY source, spare ORDER BY abs(size - gap), q, size, doc_id) = 1
+closed AS (SELECT *, CASE WHEN spare AND rank() OVER (PARTITION BY source, spare ORDER BY abs(size - gap), q, size, doc_id) = 1
     THEN 1 ELSE extra END AS more FROM near),
 mixed AS (SELECT doc_id, size, source_size, target, ((whole + more) * size)::BIGINT AS taken FROM closed)"""

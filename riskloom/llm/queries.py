@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, exact_search, jaccard, langid, mixing, pii, resampling, toxicity
+from riskloom.llm import ann, bpe, exact_search, jaccard, langid, mixing, pii, repeats, resampling, toxicity
 from riskloom.session import tune
 
 #: Vocabulary files of public tokenizers; another folder can be set on the session.
@@ -44,6 +44,10 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op6_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Target: documents labelled as of good quality; the sample's size is their share among the labels."""
     labels = table(spark, folder, "labels").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -79,6 +83,6 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_pii": op4_pii, "op6_resampling": op6_resampling, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_pii": op4_pii, "op5_repeats": op5_repeats, "op6_resampling": op6_resampling, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
                              "op9_exact_search": op9_exact_search, "op10_jaccard": op10_jaccard}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL}
