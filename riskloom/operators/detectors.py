@@ -280,13 +280,18 @@ def circular(f: Frames) -> DataFrame:
     return result(m, "CIRCULAR_FLOW", rnd(F.col("usd")), thr, F.lit(None), F.col("usd") >= thr, r.ramp)
 
 
-def dormant(f: Frames) -> DataFrame:
-    """Per account: active in the window, silent in the baseline, open before it; the gap is measured from the last
-    earlier transaction or the opening date. One aggregation over (time, amount) of the whole history."""
+def account_rows(txn: DataFrame, *extra: str) -> DataFrame:
+    """Transactions once for each of their accounts."""
+    sides = F.array_distinct(F.filter(F.array("sender_account_id", "receiver_account_id"), lambda x: x.isNotNull()))
+    return txn.select(F.explode(sides).alias("account_id"), "ts", "amount_usd", "status", *extra)
+
+
+def dormant_accounts(f: Frames) -> DataFrame:
+    """(entity_id, account_id, gap, usd, hit) of accounts active in the window, silent in the baseline and open before it; the
+    gap is measured from the last earlier transaction or the opening date. One aggregation over (time, amount) of the whole history."""
     r = f.rules
     p = f.period
-    sides = F.array_distinct(F.filter(F.array("sender_account_id", "receiver_account_id"), lambda x: x.isNotNull()))
-    rows = f.txn.filter(F.col("ts") <= F.lit(p.end)).select(F.explode(sides).alias("account_id"), "ts", "amount_usd", "status")
+    rows = account_rows(f.txn.filter(F.col("ts") <= F.lit(p.end)))
     win = F.col("ts") >= F.lit(p.window_start)
     base = (F.col("ts") >= F.lit(p.baseline_start)) & ~win
     older = F.col("ts") <= F.lit(p.baseline_start)
@@ -301,7 +306,12 @@ def dormant(f: Frames) -> DataFrame:
     last = F.coalesce(F.col("last_old"), F.col("opened_at"))
     gap = (F.unix_micros("first_win") - F.unix_micros(last)) / 86400e6
     hit = (gap >= r.dormant_days) & (F.col("usd") >= r.dormant_usd)
-    g = (j.withColumn("gap", gap).withColumn("hit", hit).groupBy(F.col(entity).alias("entity_id")).agg(
+    return j.withColumn("gap", gap).select(F.col(entity).alias("entity_id"), "account_id", "gap", "usd", hit.alias("hit"))
+
+
+def dormant(f: Frames) -> DataFrame:
+    r = f.rules
+    g = (dormant_accounts(f).groupBy("entity_id").agg(
         F.max("gap").alias("best"), F.max(F.when(F.col("hit"), F.struct("usd", "gap", "account_id"))).alias("h")))
     obs = F.when(F.col("h").isNotNull(), rnd(F.col("h.gap"), 1)).otherwise(F.col("best"))
     return result(g, "DORMANT_REACTIVATION", obs, F.lit(float(r.dormant_days)), F.lit(None), F.col("h").isNotNull(), r.ramp)

@@ -185,7 +185,9 @@ def gate(batch: DataFrame, accounts: DataFrame, devices: DataFrame, merchants: D
 def accepted(gated: DataFrame, batch_id: str) -> DataFrame:
     """Accepted rows: missing ids derived from batch and row, missing dollar amounts from the rate table."""
     fx = lookup(F.col("currency"), FX_PER_USD).cast("double")
-    made = F.concat(F.lit("TXN-9"), F.lpad(F.pmod(F.xxhash64(F.lit(batch_id), F.col("row")), F.lit(10 ** 11)).cast("string"), 11, "0"))
+    row = F.col("row").cast("string")  # unique in its batch, so ids only meet if batch ids do
+    made = F.concat(F.lit("TXN-9"), F.lpad(F.pmod(F.xxhash64(F.lit(batch_id)), F.lit(10 ** 18)).cast("string"), 18, "0"),
+                    F.when(F.length(row) < 12, F.lpad(row, 12, "0")).otherwise(row))
     usd = F.coalesce(F.expr("try_cast(amount_usd as double)"), rnd(F.col("amount") / fx))
     return gated.filter("code IS NULL").withColumn("id_generated", F.col("transaction_id").isNull()).withColumn(
         "transaction_id", F.coalesce("transaction_id", made)).withColumn("amount_usd", usd).drop("code", "raw_amount", "timestamp")

@@ -215,12 +215,14 @@ def _device_sharing(f, of):
     shared = users.groupBy("device_id").agg(F.count(F.lit(1)).alias("customers")).filter(F.col("customers") >= f.rules.sharing_customers)
     mine = (_win(f).filter(is_out() & F.col("device_id").isNotNull()).select("entity_id", "device_id").distinct()
             .join(of, "entity_id", "left_semi").join(shared, "device_id"))
-    devices = top_k(mine, ["entity_id"], [F.col("customers").desc(), F.col("device_id")], 5)
+    devices = top_k(mine, ["entity_id"], [F.col("customers").desc(), F.col("device_id")], f.rules.evidence_limit)
     some = top_k(users, ["device_id"], [F.col("customer_id")], 9).drop("rank")  # eight others and possibly the entity itself
-    others = (devices.filter("rank = 1").drop("rank").join(some, "device_id").join(f.owner().withColumnRenamed("customer_id", "self"), "entity_id")
-              .filter("customer_id <> self"))
-    return [devices.select("entity_id", F.col("rank").cast("int").alias("pos"), F.lit("device").alias("kind"), F.col("device_id").cast("string").alias("id")),
-            _refs(others, ["customer_id"], 8, "customer", "customer_id", 5)]
+    others = (devices.withColumnRenamed("rank", "device_rank").join(some, "device_id")
+              .join(f.owner().withColumnRenamed("customer_id", "self"), "entity_id").filter("customer_id <> self"))
+    users_of_each = top_k(others, ["entity_id", "device_rank"], [F.col("customer_id")], 8)
+    return [devices.select("entity_id", (F.col("rank") * 9).cast("int").alias("pos"), F.lit("device").alias("kind"), F.col("device_id").cast("string").alias("id")),
+            users_of_each.select("entity_id", (F.col("device_rank") * 9 + F.col("rank")).cast("int").alias("pos"), F.lit("customer").alias("kind"),
+                                 F.col("customer_id").cast("string").alias("id"))]
 
 
 def _identifier(f, of):
@@ -237,14 +239,20 @@ def _cycle(f, of):
     cyc = verified_cycles(f.txn, f.period.window_start, f.period.end, f.rules)
     mine = cyc.select("cycle", "ids", F.explode("cycle").alias("account_id")).join(own, "account_id").select("entity_id", "cycle", "ids").distinct()
     five = top_k(mine.join(of, "entity_id", "left_semi"), ["entity_id"], [F.col("cycle")], 5)
-    head = F.array(F.struct(F.lit("cycle").alias("kind"), F.array_join(F.col("cycle").cast("array<string>"), " -> ").alias("id")))
+    head = F.array(F.struct(F.lit("cycle").alias("kind"), F.array_join(F.array_append("cycle", F.col("cycle")[0]).cast("array<string>"), " -> ").alias("id")))
     hops = F.transform(F.col("ids").cast("array<string>"), lambda x: F.struct(F.lit("transaction").alias("kind"), x.alias("id")))
     return [five.select("entity_id", "rank", F.posexplode(F.concat(head, hops)).alias("p", "i")).select(
         "entity_id", (F.col("rank") * 8 + F.col("p")).cast("int").alias("pos"), "i.kind", "i.id")]
 
 
 def _dormant(f, of):
-    return [_refs(_win(f).join(of, "entity_id", "left_semi"), BY_TIME, 10)]
+    """The reactivated account of the largest value, then its own rows of the window."""
+    hits = det.dormant_accounts(f).filter("hit").join(of, "entity_id", "left_semi")
+    account = hits.groupBy("entity_id").agg(F.max(F.struct("usd", "gap", "account_id")).alias("h")).select("entity_id", F.col("h.account_id").alias("account_id"))
+    window = f.txn.filter((F.col("ts") >= F.lit(f.period.window_start)) & (F.col("ts") <= F.lit(f.period.end)))
+    rows = det.account_rows(window, "transaction_id").join(account, "account_id")
+    return [account.select("entity_id", F.lit(0).alias("pos"), F.lit("account").alias("kind"), F.col("account_id").cast("string").alias("id")),
+            _refs(rows, BY_TIME, 10)]
 
 
 def _merchant(f, of):

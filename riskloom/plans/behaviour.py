@@ -445,9 +445,9 @@ def _(b):
 
 @query("io03_bulk_load", oracle("labels_", """
 SELECT entity_id, scenario, array_to_string(list_filter(string_split(expected_list, ','), lambda x: x <> ''), '+') AS expected
-FROM labels_ WHERE scenario <> 'normal'"""))
+FROM labels_"""))
 def _(b):
-    raw = b.labels.filter("scenario <> 'normal'").withColumn("expected_signals", F.to_json("expected_signals")).withColumn(
+    raw = b.labels.withColumn("expected_signals", F.to_json("expected_signals")).withColumn(
         "related_entities", F.lit("[]"))
     twice = raw.unionByName(raw)
     loaded = dataset.bulk_load({"scenario_labels": twice})["scenario_labels"]
@@ -460,3 +460,16 @@ def _(b):
     late = b.txn.filter(F.col("ts") >= F.lit(b.period.window_start))
     stored = b.txn.filter((F.col("ts") < F.lit(b.period.window_start)) | (F.col("transaction_id") % 2 == 1))
     return dataset.new_rows(late.unionByName(late), stored).select("transaction_id", "amount_usd")
+
+
+@query("io04_append_read_back", oracle("txn", "SELECT transaction_id, amount_usd FROM txn"))
+def _(b):
+    """A stored table, a batch of old and new rows appended to it twice, and the table read back."""
+    import uuid
+
+    from riskloom.session import shared_dir
+    at = f"{shared_dir(b.spark)}/appended-{uuid.uuid4().hex}"
+    dataset.write_tables({"transactions": b.txn.filter("transaction_id % 3 <> 0")}, at)
+    for _ in range(2):
+        dataset.append_new(b.txn.filter("transaction_id % 2 = 0 OR transaction_id % 3 = 0"), f"{at}/transactions")
+    return b.spark.read.parquet(f"{at}/transactions").select("transaction_id", "amount_usd")

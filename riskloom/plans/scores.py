@@ -169,6 +169,35 @@ def full(b: Bank) -> tuple[det.Frames, sc.Assessment]:
     return f, sc.assess(f)
 
 
+@query("sc00_evidence_dormant", oracle("txn accounts", """
+SELECT entity_id, 0 AS pos, 'account' AS kind, CAST(account_id AS VARCHAR) AS id FROM hit UNION ALL
+SELECT entity_id, CAST(n AS INTEGER), 'transaction', CAST(transaction_id AS VARCHAR) FROM (
+  SELECT h.entity_id, t.transaction_id, row_number() OVER (PARTITION BY h.entity_id ORDER BY t.ts, t.transaction_id) AS n FROM hit h
+  JOIN txn t ON (t.sender_account_id = h.account_id OR t.receiver_account_id = h.account_id) AND t.ts >= TIMESTAMP '2024-01-28 00:00:00' AND t.ts <= {we}) x WHERE n <= 10""",
+       risk.GAPS + """, hit AS (SELECT customer_id AS entity_id, account_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY usd DESC, gap DESC, account_id DESC) AS rn FROM gaps WHERE gap >= 1.5 AND usd >= 20) z WHERE rn = 1)"""))
+def _(b):
+    """The reactivated account itself and its own rows, for every customer that the rule flags."""
+    f = risk.frames(b, risk.DORMANT_RULES, risk.DORMANT_PERIOD)
+    return sc.evidence(f, det.dormant(f).withColumn("detector", F.lit("DORMANT_REACTIVATION")), ("DORMANT_REACTIVATION",)).drop("detector")
+
+
+@query("sc00_evidence_device_sharing", oracle("legs", """
+SELECT entity_id, CAST(pos AS INTEGER) AS pos, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS place FROM (
+  SELECT entity_id, d * 9 AS pos, 'device' AS kind, CAST(device_id AS VARCHAR) AS id FROM mine UNION ALL
+  SELECT entity_id, d * 9 + n, 'customer', CAST(customer_id AS VARCHAR) FROM (
+    SELECT m.entity_id, m.d, u.customer_id, row_number() OVER (PARTITION BY m.entity_id, m.d ORDER BY u.customer_id) AS n
+    FROM mine m JOIN users u ON u.device_id = m.device_id AND u.customer_id <> m.entity_id) x WHERE n <= 8) y) z WHERE place <= 25""", """
+users AS (SELECT DISTINCT t.device_id, a.customer_id FROM txn t JOIN accounts a ON a.account_id = t.sender_account_id WHERE t.device_id IS NOT NULL AND ts >= {bs} AND ts <= {we}),
+shared AS (SELECT device_id, count(*) AS c FROM users GROUP BY 1 HAVING count(*) >= 3),
+mine AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY c DESC, device_id) AS d FROM (
+  SELECT DISTINCT l.entity_id, l.device_id, s.c FROM legs l JOIN shared s ON s.device_id = l.device_id WHERE l.direction = 'out' AND l.period = 'win') q)"""))
+def _(b):
+    """Every shared device with up to eight of its other users."""
+    f = risk.frames(b)
+    return sc.evidence(f, det.device_sharing(f).withColumn("detector", F.lit("DEVICE_SHARING")), ("DEVICE_SHARING",)).drop("detector")
+
+
 @query("sc01_scores")
 def _(b):
     """All rules, all customers."""

@@ -42,11 +42,16 @@ def parse_list(c):
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Parquet sink; the fact table is partitioned by day so that windows prune files."""
     for name, df in tables.items():
-        if name == "transactions":
-            day = df.withColumn("day", F.to_date("timestamp"))
-            day.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        write_rows(df, f"{folder}/{name}", "overwrite")
+
+
+def write_rows(df: DataFrame, path: str, mode: str) -> None:
+    """One layout for loading and appending: rows with a time are partitioned by its day, others are not."""
+    time = next((c for c in ("timestamp", "ts") if c in df.columns), None)
+    if time:
+        df.withColumn("day", F.to_date(time)).write.mode(mode).partitionBy("day").parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, key: str = "transaction_id") -> DataFrame:
@@ -58,9 +63,8 @@ def new_rows(incoming: DataFrame, stored: DataFrame, key: str = "transaction_id"
 
 
 def append_new(incoming: DataFrame, stored_path: str, key: str = "transaction_id") -> None:
-    """Append rows with unseen keys to a Parquet table."""
-    spark = incoming.sparkSession
-    new_rows(incoming, spark.read.parquet(stored_path), key).write.mode("append").parquet(stored_path)
+    """Append rows with unseen keys to a table that `write_rows` laid out."""
+    write_rows(new_rows(incoming, incoming.sparkSession.read.parquet(stored_path), key), stored_path, "append")
 
 
 def replace_keyed(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
