@@ -1,6 +1,8 @@
 """Structured Streaming forms of the late, duplicate, window, flow and gate rules."""
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -44,7 +46,8 @@ def late_rows(store: str, sink: str, rules: GateRules) -> Callable[[DataFrame, i
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            newest = spark.read.parquet(store).agg(F.max("ts").alias("m"))
+            # only earlier batches: a repeated batch meets the same limit as the first time
+            newest = spark.read.parquet(store).filter(F.col("batch") < batch_id).agg(F.max("ts").alias("m"))
         except Exception as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
@@ -60,42 +63,46 @@ def late_rows(store: str, sink: str, rules: GateRules) -> Callable[[DataFrame, i
 
 # ------------------------------------------------------------------------------------------------------ keyed state
 class NearDuplicates(StatefulProcessor):
-    """Per (sender, receiver, amount, currency): instants of accepted rows; a row near one of them is a duplicate."""
+    """Per (sender, receiver, amount, currency): instants of accepted rows; a row near one of them is a duplicate.
+
+    Instants lie more than a window apart, so only the two neighbours of a row can be near it. Of a key's instants the last `KEPT`
+    windows are held.
+    """
+
+    KEPT = 1440
 
     def __init__(self, window_seconds: int):
         self.width = window_seconds * 1_000_000
-        self.ttl_ms = 2 * window_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getListState("seen", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = [r[0] for r in self.seen.get()] if self.seen.exists() else []
-        for frame in rows:
-            frame = frame.sort_values(["us", "transaction_id"])
-            flags = []
-            for us in frame.us:
-                near = any(abs(us - t) <= self.width for t in times)
-                flags.append(near)
-                if not near:
-                    times.append(int(us))
-                # rows arrive in time order up to the lateness; far older instants can match nothing any more
-                times = [t for t in times if us - t <= 1440 * self.width]
-            yield pd.DataFrame({"transaction_id": frame.transaction_id, "duplicate": flags})
-        if times:
-            self.seen.put([(t,) for t in times])
-        else:
-            self.seen.clear()
+        times = sorted(r[0] for r in self.seen.get()) if self.seen.exists() else []
+        frame = pd.concat(list(rows)).sort_values(["us", "transaction_id"])
+        flags = []
+        for us in frame.us.tolist():
+            at = bisect.bisect_left(times, us)
+            near = any(abs(us - t) <= self.width for t in times[max(0, at - 1):at + 1])
+            flags.append(near)
+            if not near:
+                times.insert(at, us)
+        times = times[bisect.bisect_left(times, times[-1] - self.KEPT * self.width):]
+        self.seen.put([(t,) for t in times])
+        yield pd.DataFrame({"transaction_id": frame.transaction_id, "duplicate": flags})
 
     def close(self) -> None:
         pass
 
 
 class Burst(StatefulProcessor):
-    """Per sender: seconds of the last hour with their counts; emits a row whenever the count reaches the threshold."""
+    """Per sender: seconds with their counts; emits a row whenever the count of the window that ends at an arrival reaches the threshold.
+
+    Seconds stay while a row at most `lateness` late could still count them; a late row never counts rows of its future.
+    """
 
-    def __init__(self, minutes: int, threshold: float):
-        self.width, self.threshold = minutes * 60, threshold
+    def __init__(self, minutes: int, threshold: float, lateness_hours: int = 24):
+        self.width, self.threshold, self.late = minutes * 60, threshold, lateness_hours * 3600
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", StructType([StructField("sec", LongType()), StructField("n", LongType())]))
@@ -103,15 +110,16 @@ class Burst(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = {r[0]: r[1] for r in self.recent.get()} if self.recent.exists() else {}
         out = []
-        for frame in rows:
-            for sec, n in frame.groupby("sec").size().sort_index().items():
-                held = {s: c for s, c in held.items() if s >= sec - self.width}
-                held[int(sec)] = held.get(int(sec), 0) + int(n)
-                total = sum(held.values())
-                if total >= self.threshold:
-                    out.append((key[0], int(sec), total))
-        if held:
-            self.recent.put(sorted(held.items()))
+        arrived = pd.concat([frame["sec"] for frame in rows]).value_counts().sort_index()
+        for sec, n in arrived.items():
+            held[int(sec)] = held.get(int(sec), 0) + int(n)
+        times = sorted(held)
+        upto = [0, *itertools.accumulate(held[t] for t in times)]
+        for sec in arrived.index.tolist():
+            total = upto[bisect.bisect_right(times, sec)] - upto[bisect.bisect_left(times, sec - self.width)]
+            if total >= self.threshold:
+                out.append((key[0], int(sec), total))
+        self.recent.put([(t, held[t]) for t in times if t >= times[-1] - self.width - self.late])
         yield pd.DataFrame(out, columns=["entity_id", "sec", "in_window"]).astype({"entity_id": "int64", "sec": "int64", "in_window": "int64"})
 
     def close(self) -> None:
@@ -119,7 +127,7 @@ class Burst(StatefulProcessor):
 
 
 class PassThrough(StatefulProcessor):
-    """Per entity: open credits of the horizon in time order; outflows draw on them oldest first."""
+    """Per entity: open credits of the horizon in time order; outflows draw on them oldest first. Late credits take their place by time."""
 
     def __init__(self, hours: int):
         self.horizon = hours * 3600
@@ -134,7 +142,7 @@ class PassThrough(StatefulProcessor):
         for frame in rows:
             for r in frame.sort_values(["sec", "side"]).itertuples():  # 'in' before 'out' within a second
                 if r.side == "in":
-                    queue.append([int(r.sec), float(r.amount_usd)])
+                    bisect.insort(queue, [int(r.sec), float(r.amount_usd)], key=lambda c: c[0])
                     inbound += float(r.amount_usd)
                     continue
                 queue = [c for c in queue if c[0] >= r.sec - self.horizon]

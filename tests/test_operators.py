@@ -350,3 +350,73 @@ def test_staged_parts_make_one_table(spark):
     from riskloom.session import stage_parts
     df = stage_parts(spark, [lambda i=i: spark.range(i, i + 2).toDF("x") for i in range(4)], "parts")
     assert sorted(r.x for r in df.collect()) == [0, 1, 1, 2, 2, 3, 3, 4]
+
+
+class _ListState:
+    """State of one key, held in the test."""
+
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+def test_burst_counts_the_window_before_an_arrival_only():
+    import pandas as pd
+
+    from riskloom.streaming.jobs import Burst
+    p = Burst(60, 2)
+    p.recent = _ListState()
+    feed = lambda *secs: pd.concat(list(p.handleInputRows((1,), iter([pd.DataFrame({"sec": [s]}) for s in secs]), None)))
+    assert len(feed(100_000)) == 0
+    assert len(feed(100_000 - 14 * 3600)) == 0  # late, and alone in its own window
+    assert feed(100_600, 99_000).in_window.tolist() == [3]
+
+
+def test_near_duplicate_state_keeps_order_of_late_rows():
+    import pandas as pd
+
+    from riskloom.streaming.jobs import NearDuplicates
+    p = NearDuplicates(60)
+    p.seen = _ListState()
+
+    def feed(*secs):
+        rows = pd.DataFrame({"us": [s * 1_000_000 for s in secs], "transaction_id": range(len(secs))})
+        return pd.concat(list(p.handleInputRows((1,), iter([rows]), None))).duplicate.tolist()
+
+    assert feed(1000, 1030, 1100) == [False, True, False]
+    assert feed(500, 1050) == [False, True]
+    assert [t for t, in p.seen.rows] == [500_000_000, 1_000_000_000, 1_100_000_000]
+
+
+def test_late_flags_are_the_same_when_a_batch_is_replayed(spark, tmp_path):
+    from datetime import datetime
+
+    from riskloom.config import GateRules
+    from riskloom.streaming.jobs import late_rows
+    run = late_rows(str(tmp_path / "store"), str(tmp_path / "sink"), GateRules())
+    day = lambda d: spark.createDataFrame([(d, datetime(2024, 1, d)), (d + 1, datetime(2024, 1, d + 1))], "transaction_id long, ts timestamp")
+    for batch, d in ((0, 1), (1, 9), (1, 9), (2, 4)):
+        run(day(d), batch)
+    got = {(r.batch, r.transaction_id): r.late for r in spark.read.parquet(str(tmp_path / "sink")).collect()}
+    assert got == {(0, 1): False, (0, 2): False, (1, 9): False, (1, 10): False, (2, 4): True, (2, 5): True}
+
+
+def test_append_new_is_read_back(spark, tmp_path):
+    from datetime import datetime
+
+    from riskloom.sources import dataset
+    rows = lambda *ids: spark.createDataFrame([(i, datetime(2024, 1, 1 + i % 3)) for i in ids], "transaction_id long, timestamp timestamp")
+    dataset.write_tables({"transactions": rows(1, 2, 3)}, str(tmp_path))
+    dataset.append_new(rows(3, 4, 5), str(tmp_path / "transactions"))
+    assert sorted(r.transaction_id for r in spark.read.parquet(str(tmp_path / "transactions")).collect()) == [1, 2, 3, 4, 5]
