@@ -2,13 +2,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is a slice of its own.
-SLICE = 4_000_000
+SLICE = 1_000_000
 BASE = np.uint64(0x2545F4914F6CDD1D)
 _rng = np.random.default_rng(0x5EED)
 OF_BYTE = _rng.integers(0, 2 ** 64, 256, np.uint64)
@@ -22,16 +21,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64, for i up to n."""
-    inverse = np.uint64(pow(int(BASE), -1, 2 ** 64))
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(n + 1, b)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """BASE**i and its inverse modulo 2**64, for i up to n at least; computed anew when more are asked for."""
+    if n >= len(_powers[0]):
+        for k, b in enumerate((BASE, np.uint64(pow(int(BASE), -1, 2 ** 64)))):
+            p = np.full(1 << max(12, n.bit_length()), b)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0], _powers[1]
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -63,8 +63,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, fold: np.nd
     starts, ends = edges[:-1], edges[1:]
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
-    size = 1 << max(12, int(len(data)).bit_length())
-    up, down = powers(size)
+    up, down = powers(len(data))
     values = (OF_BYTE if fold is None else OF_BYTE[fold])[data]
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0

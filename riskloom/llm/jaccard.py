@@ -13,7 +13,9 @@ Sets that are equal form a class, and the join runs over classes. Two linked set
    around the region's first pivot. Members already in one component are not compared any more, regions with one component left are done,
    and pivots, being compared with all, leave. Small regions end by comparing what is left.
 
-Links are exact: shingles and sets are 64-bit hashes, and intersections are counted on the full sets. Output is one row a document.
+A pair is compared only if its sketches allow a link: a sketch has the parity of a set's members in each of `SKETCH` bins, so two sets differ in
+at least as many members as their sketches in bits. Links are exact: shingles and sets are 64-bit hashes, and intersections are counted on the
+full sets, which are cut from the texts again for the classes that need them. Output is one row a document.
 
 Defined results: null or empty texts and texts without words have an empty set, link with nothing and are their own component; a text with
 fewer words than a shingle is one shingle. A null id can't name a component: the smallest id of the others does, or null. Repeated rows are one
@@ -42,6 +44,9 @@ PART, LEAST = 4_000_000, 3
 COMMON, COMMON_ROWS = 8, 2_000_000
 #: From this level (log2 of the count) on, a region is known to be large and is not counted.
 HUGE_LEVEL = 15
+#: Bins of a sketch; it is kept in columns of 64.
+SKETCH = 512
+WORDS = [f"w{i}" for i in range(SKETCH // 64)]
 #: Regions of at most this many members compare all that is left.
 SMALL_REGION = 24
 
@@ -61,6 +66,10 @@ class Rule:
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
+    def sketches_fit(self, a: Column, b: Column, bits: Column) -> Column:
+        """At the threshold, (den + num) * |difference| = (den - num) * (|x| + |y|)."""
+        return bits * (self.den + self.num) <= (a + b) * (self.den - self.num)
+
     @property
     def radius(self) -> float:
         return 1 - self.num / self.den
@@ -90,16 +99,21 @@ def class_of(s: np.ndarray) -> int:
     return int(hashing.mix(hashing.mix(s ^ hashing.OF_PLACE[32]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s)))[0].astype(np.int64))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _column(values: list | np.ndarray, kind: pa.DataType, n: int) -> pa.Array:
     return pa.nulls(n, kind) if values is None else pa.array(values, kind)
 
 
-SCAN = "doc_id long, text_key long, class long, n int, shingle long, seen long"
+SCAN = "doc_id long, text_key long, class long, n int, shingle long, seen long, " + ", ".join(f"{w} long" for w in WORDS)
 
 
 def scan(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass: a row for each document (doc_id, text_key, class, n), and rows (shingle, seen) for shingles that repeat in a part."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    """One pass: a row for each document (doc_id, text_key, class, n, sketch), and rows (shingle, seen) for shingles that repeat in a part."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int64()] * len(WORDS)]
     names = [f.split()[0] for f in SCAN.split(", ")]
 
     def batch_of(*cols) -> pa.RecordBatch:
@@ -109,21 +123,23 @@ def scan(docs: DataFrame, rule: Rule) -> DataFrame:
     def repeated(part: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate([own_none, *part]), return_counts=True)
         common = counts >= LEAST
-        return batch_of(None, None, None, None, values[common].astype(np.int64), counts[common])
+        return batch_of(None, None, None, None, values[common].astype(np.int64), counts[common], *[None] * len(WORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, size, met = [], 0, set()
         for batch in batches:
-            classes, ns = [], []
+            classes, ns, sketches = [], [], []
             for s in sets(batch.column("text"), rule.words):
                 c = class_of(s) if len(s) else None
                 classes.append(c)
                 ns.append(len(s))
+                sketches.append(sketch(s))
                 if len(s) and c not in met:
                     met.add(c)
                     part.append(s)
                     size += len(s)
-            yield batch_of(batch.column("doc_id"), batch.column("text_key"), classes, ns, None, None)
+            words = np.array(sketches, np.int64).reshape(len(sketches), len(WORDS))
+            yield batch_of(batch.column("doc_id"), batch.column("text_key"), classes, ns, None, None, *words.T)
             if size >= PART:
                 yield repeated(part)
                 part, size, met = [], 0, set()
@@ -195,19 +211,30 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     return counted.join(one, "region", "left_semi").select("region", "class", "n").unionByName(huge)
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(class, shingles) for the texts whose keys are wanted."""
+def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """(class, shingles) of the wanted classes, each from one document's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            got = [(class_of(s), s.tobytes()) for s in sets(batch.column("text"), rule.words) if len(s)]
+            got = []
+            for s in sets(batch.column("text"), rule.words):
+                c = class_of(s) if len(s) else None
+                if c is not None and c not in met:
+                    met.add(c)
+                    got.append((c, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["class", "shingles"])
 
-    keys = wanted.select("text_key").distinct()
+    keys = stage(classes.join(wanted, "class", "left_semi").select("rep.*"), "jaccard-keys")
     if keys.count() <= COMMON_ROWS:
         keys = F.broadcast(keys)
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(keys, "text_key", "left_semi").select("text")
-    return texts.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    texts = (docs.select(_id().alias("id"), F.xxhash64("text").alias("text_key"), "text").join(keys, ["id", "text_key"], "left_semi").select("text"))
+    return texts.mapInArrow(run, "class long, shingles binary")
+
+
+def _id() -> Column:
+    """The id of a document, the largest number for one without."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))
 
 
 def compare(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
@@ -226,13 +253,20 @@ def compare(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
 
     joined = (pairs.join(sets_.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
               .join(sets_.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y"))
-    return joined.mapInArrow(run, "a long, b long, both long, either long")
+    return joined.mapInArrow(run, "a long, b long, both long, either long").distinct()  # rows of one id and text may give a set twice
 
 
-def join_regions(regions: DataFrame, sets_: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def allowed(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    side = {c: classes.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), *[F.col(w).alias(f"{c}_{w}") for w in WORDS]) for c in "ab"}
+    bits = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
+    return pairs.join(side["a"], "a").join(side["b"], "b").filter(rule.sketches_fit(F.col("a_n"), F.col("b_n"), bits)).select("a", "b")
+
+
+def join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, both, either) that connect whatever the regions' pairs connect, and the component (node, root) of each linked class."""
     members = stage(regions.select("region", "class", "n", F.lit(None).cast("double").alias("ring")), "jaccard-members")
-    known = labels = None
+    known = labels = held = None
     pivots_each, turn = 1, 0
     while True:
         if labels is None:
@@ -251,22 +285,29 @@ def join_regions(regions: DataFrame, sets_: DataFrame, rule: Rule) -> tuple[Data
         pivots = stage(ranked.unionByName(now.filter(small).withColumn("place", F.lit(0))), "jaccard-pivots")
         p = pivots.select("region", F.col("class").alias("p"), F.col("n").alias("p_n"), F.col("ring").alias("p_ring"), F.col("root").alias("p_root"), "place")
         near = F.col("ring").isNull() | F.col("p_ring").isNull() | (F.abs(F.col("ring") - F.col("p_ring")) <= rule.radius + 1e-9)
-        wanted = (F.col("place") <= 1) & (F.col("class") != F.col("p")) & (F.col("m") > SMALL_REGION)  # the first pivot gives the rings
         linkable = (F.col("root") != F.col("p_root")) & rule.sizes_fit(F.col("n"), F.col("p_n")) & near
-        met = now.join(p, "region").filter(linkable | (wanted & F.lit(turn > 0)))
+        met = now.join(p, "region").filter(linkable)
         pairs = met.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stage(compare(pairs, sets_), "jaccard-compared")
-        known = fresh if known is None else known.unionByName(fresh)
-        linked = known.filter(F.col("both") * rule.den >= F.col("either") * rule.num)
-        labels = stage(components(linked), "jaccard-components")
+        pairs = stage(allowed(pairs, classes, rule), "jaccard-pairs")
+        if not pairs.isEmpty():
+            lacking = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+            if held is not None:
+                lacking = lacking.join(held.select("class"), "class", "left_anti")
+            new = stage(class_sets(docs, classes, lacking, rule), "jaccard-sets")
+            held = new if held is None else held.unionByName(new)
+            fresh = stage(compare(pairs, held), "jaccard-compared")
+            known = fresh if known is None else known.unionByName(fresh)
+            labels = stage(components(known.filter(F.col("both") * rule.den >= F.col("either") * rule.num)), "jaccard-components")
         # next round: without pivots; in regions that go on, rings around the first pivot
         first = p.filter("place = 1").select("region", "p")
-        distance = known.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
         rest = now.filter(~small).join(pivots.select("region", "class"), ["region", "class"], "left_anti")
-        ringed = (rest.join(first, "region", "left")
-                  .withColumn("a", F.least("class", "p")).withColumn("b", F.greatest("class", "p")).join(distance, ["a", "b"], "left"))
+        ringed = rest.join(first, "region", "left").withColumn("a", F.least("class", "p")).withColumn("b", F.greatest("class", "p"))
+        if known is None:
+            ringed = ringed.withColumn("d", F.lit(None).cast("double"))
+        else:
+            ringed = ringed.join(known.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d")), ["a", "b"], "left")
         members = stage(ringed.select("region", "class", "n", F.col("d").alias("ring")), "jaccard-members")
         turn, pivots_each = turn + 1, min(pivots_each * 4, 64)
     return known, labels
@@ -280,13 +321,13 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     rule = rule or Rule()
     scanned = stage(scan(docs, rule), "jaccard-scan")
     documents = scanned.filter("n IS NOT NULL").select("doc_id", "text_key", "class", "n")
+    classes = stage(scanned.filter("class IS NOT NULL").groupBy("class").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct(_id().alias("id"), "text_key")).alias("rep"), F.first("n").alias("n"),
+        *[F.first(w).alias(w) for w in WORDS]), "jaccard-classes")
     regions = stage(shared_regions(replicate(docs, rule, common_shingles(scanned))), "jaccard-shared")
-    wanted = (documents.groupBy("class").agg(F.min("text_key").alias("text_key"))
-              .join(regions.select("class").distinct(), "class", "left_semi"))
-    sets_ = stage(class_sets(docs, wanted, rule), "jaccard-sets")
-    _, labels = join_regions(regions, sets_, rule)
+    _, labels = join_regions(docs, classes, regions, rule)
 
-    classes = documents.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).withColumn("component", F.col("class"))
+    classes = classes.select("class", "least", F.col("class").alias("component"))
     if labels is not None:
         rooted = stage(classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "least", "root"), "jaccard-rooted")
         of_root = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("of_root"))

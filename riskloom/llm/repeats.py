@@ -50,7 +50,7 @@ class Hashes:
     """Hashes of all substrings of some bytes."""
 
     def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(1 << max(12, len(data).bit_length()))
+        self.up, self.down = powers(len(data))
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum(OF_BYTE[data] * self.up[:len(data)], out=self.sums[1:])
@@ -198,6 +198,8 @@ def interleave(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     for depth in range(STRIDE, LENGTH + 1, STRIDE):
         # a suffix goes on if what follows its symbol lies in an interval of the round before
         live = live[(live + depth <= string_end[live]) & inside[live + STRIDE]] if depth > STRIDE else live
+        if not len(live):
+            break
         key = mix(symbol[live] ^ mix(interval[live + STRIDE] + np.uint64(depth)))
         order = np.argsort(key, kind="stable")
         k = key[order]
