@@ -42,8 +42,8 @@ MERGED_HULLS = 2000
 MERGE_BYTES = 1_500_000
 #: Texts are scanned in blocks of this size that overlap by a window.
 BLOCK = 4_000_000
-#: Rows of at most about 100 bytes that may be broadcast.
-SMALL_ROWS = 200_000
+#: Rows of at most about 100 bytes that may be broadcast, and keys of 8 bytes.
+SMALL_ROWS, SMALL_KEYS = 200_000, 4_000_000
 
 
 class Hashes:
@@ -141,13 +141,20 @@ def settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return stage(whole, f"repeats-{name}-whole"), stage(several, f"repeats-{name}-several")
 
 
+def with_facts(docs: DataFrame, facts: DataFrame, n_facts: int) -> tuple[DataFrame, DataFrame]:
+    """Texts that have facts, joined by text_key, and the other texts. Beyond `SMALL_ROWS` facts only texts that have some are shuffled."""
+    if n_facts <= SMALL_ROWS:
+        return docs.join(F.broadcast(facts), "text_key"), docs.join(F.broadcast(facts.select("text_key")), "text_key", "left_anti")
+    keys = facts.select("text_key")
+    if facts.count() <= SMALL_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, "text_key", "left_semi").join(facts.hint("merge"), "text_key"), docs.join(keys, "text_key", "left_anti")
+
+
 def with_hulls(docs: DataFrame, several: DataFrame) -> DataFrame:
     """`several` with the bytes of its hulls, cut out of the texts."""
     spans = several.groupBy("text_key").agg(F.collect_list(F.struct("core", "hull", "copies", "hulls", "start", "stop", "anchor")).alias("spans"))
-    spans = stage(spans, "repeats-spans")
-    if several.count() <= SMALL_ROWS:
-        spans = F.broadcast(spans)
-    texts = docs.join(spans, "text_key")
+    texts, _ = with_facts(docs, stage(spans, "repeats-spans"), several.count())
     names = ["core", "hull", "copies", "hulls", "text_key", "start", "stop", "anchor", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +289,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     long_ = keyed.filter(F.octet_length("text") >= LENGTH).select("text_key", "text")
     runs = repeated_windows(long_)
     by_text = stage(runs.groupBy("text_key").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "repeats-runs")
-    if by_text.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= SMALL_ROWS:
-        by_text = F.broadcast(by_text)
+    n_runs = by_text.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    hit, clean = with_facts(keyed, by_text, n_runs)
+    clean = clean.withColumn("runs", F.lit(None).cast(by_text.schema["runs"].dataType))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,4 +316,4 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 arrays.append(pa.array(cols[4], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
 
-    return keyed.join(by_text, "text_key", "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return hit.select("doc_id", "text", "runs").unionByName(clean.select("doc_id", "text", "runs")).mapInArrow(run, schema)
