@@ -5,22 +5,25 @@ A chain trained on its own fitted probabilities would trust them too much; so th
 for each category, models of the other folds predict each fold. In use, each category's model of all sample rows feeds the next.
 The threshold of the last category is the one of best F1 on its out-of-fold predictions.
 
-Models are fitted on a sample of labelled documents of about `SAMPLE_DOCS` rows, drawn by a hash of the id; predictions cover all rows.
+Logistic models are fitted on a sample of labelled documents of about `SAMPLE_DOCS` rows, drawn by a hash of the id; the models of a category,
+one for each fold and one for all rows, are tasks of one job. Predictions cover all rows.
 
 Defined results: a null or empty text has no words and gets the models' intercepts; labels without id or value are left out, and a document
-labelled twice has a category if one label says so. A category that the sample lacks, or that all its rows have, is predicted by that constant.
-Repeated rows get equal predictions; an empty table gives an empty table; further columns pass through.
+labelled twice has a category if one label says so. A category that the sample lacks, or that all its rows have, is predicted by that constant;
+without a sample all probabilities are 0. Repeated rows get equal predictions; an empty table gives an empty table; further columns pass through.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructType
 
 from riskloom.session import stage
 
@@ -29,61 +32,171 @@ FOLDS = 3
 VOCABULARY = 1 << 16
 #: Least sample documents that hold a word of the vocabulary.
 LEAST_DOCS = 5
+#: Weight of the squared coefficients, for each row.
 PENALTY = 0.002
+STEPS = 60
+LETTERS = regex.compile(r"\p{L}+")
 
 
-def words(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+def words(text: str | None) -> set[str]:
+    return set(LETTERS.findall(text.lower())) if text else set()
+
+
+@dataclass
+class Rows:
+    """Word places of documents, one after another, and dense columns beside them."""
+
+    places: np.ndarray
+    sizes: np.ndarray
+    dense: np.ndarray
+    width: int
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        upto = np.r_[0.0, np.cumsum(w[self.places])]
+        ends = np.cumsum(self.sizes)
+        return upto[ends] - upto[ends - self.sizes] + self.dense @ w[self.width:-1] + w[-1]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(self.places, np.repeat(r, self.sizes), self.width), self.dense.T @ r, r.sum()]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def fit_logistic(x: Rows, y: np.ndarray) -> np.ndarray:
+    """Coefficients and, last, the intercept: penalised logistic loss, minimised by limited-memory quasi-Newton steps."""
+    n = len(y)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x.scores(w)
+        free = np.r_[w[:-1], 0.0]
+        return (np.logaddexp(0, z) - y * z).mean() + PENALTY / 2 * free @ free, x.back(sigmoid(z) - y) / n + PENALTY * free
+
+    w = np.zeros(x.width + x.dense.shape[1] + 1)
+    f, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        q, kept = g.copy(), []
+        for s, d in reversed(past):
+            a = (s @ q) / (s @ d)
+            q -= a * d
+            kept.append(a)
+        if past:
+            s, d = past[-1]
+            q *= (s @ d) / (d @ d)
+        for (s, d), a in zip(past, reversed(kept), strict=True):
+            q += s * (a - (d @ q) / (s @ d))
+        step, slope = 1.0, g @ q
+        while step > 1e-6:
+            f_new, g_new = loss(w - step * q)
+            if f_new <= f - 1e-4 * step * slope:
+                break
+            step /= 2
+        moved, turned = -step * q, g_new - g
+        if f - f_new < 1e-7 * max(1.0, abs(f)):
+            break
+        w, f, g = w + moved, f_new, g_new
+        if moved @ turned > 1e-12:
+            past = [*past[-7:], (moved, turned)]
+    return w
 
 
 @dataclass
 class Link:
-    """One category: its model, or the constant where there is nothing to learn."""
+    """One category: coefficients (words, earlier probabilities, intercept), or the constant where there is nothing to learn."""
 
     category: str
-    model: LogisticRegressionModel | None
+    weights: np.ndarray | None
     constant: float = 0.0
 
-    def apply(self, df: DataFrame, earlier: Sequence[str], out: str) -> DataFrame:
-        if self.model is None:
-            return df.withColumn(out, F.lit(self.constant))
-        joined = VectorAssembler(inputCols=["words_seen", *earlier], outputCol="chained").transform(df)
-        self.model.setFeaturesCol("chained").setRawPredictionCol("raw").setProbabilityCol("both").setPredictionCol("side")
-        return self.model.transform(joined).withColumn(out, vector_to_array("both")[1]).drop("chained", "raw", "both", "side")
+    def probability(self, x: Rows) -> np.ndarray:
+        return np.full(len(x.sizes), self.constant) if self.weights is None else sigmoid(x.scores(self.weights))
 
 
-def fit(df: DataFrame, category: str, earlier: Sequence[str]) -> Link:
-    facts = df.agg(F.avg(F.col(category)).alias("share")).first()
-    share = facts["share"] or 0.0
-    if share in (0.0, 1.0):
-        return Link(category, None, share)
-    joined = VectorAssembler(inputCols=["words_seen", *earlier], outputCol="chained").transform(df)
-    model = LogisticRegression(featuresCol="chained", labelCol=category, maxIter=30, regParam=PENALTY, standardization=False).fit(joined)
-    return Link(category, model)
+def rows_of(places: Sequence[Sequence[int]], dense: np.ndarray, width: int) -> Rows:
+    sizes = np.fromiter(map(len, places), np.int64, len(places))
+    flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(p, np.int64) for p in places if len(p)]])
+    return Rows(flat, sizes, dense, width)
 
 
 @dataclass
 class Chain:
-    vocabulary: CountVectorizerModel | None
+    vocabulary: list[str]
     links: list[Link] = field(default_factory=list)
     threshold: float = 0.5
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """`docs` (text, ...) with p_<category> for each category, and `toxic` by the last one."""
-        out = docs.withColumn("words_of_text", words(F.col("text")))
-        if self.vocabulary is not None:
-            out = self.vocabulary.transform(out)
-        earlier: list[str] = []
-        for link in self.links:
-            out = link.apply(out, earlier, f"p_{link.category}")
-            earlier.append(f"p_{link.category}")
-        flag = F.col(earlier[-1]) >= self.threshold if earlier else F.lit(False)
-        return out.withColumn("toxic", flag).drop("words_of_text", "words_seen")
+        shared = docs.sparkSession.sparkContext.broadcast(self)  # bounded by VOCABULARY and the number of categories
+        names = [f"p_{link.category}" for link in self.links]
+        fields = [c for c in docs.columns if c not in (*names, "toxic")]
+        schema = StructType([*docs.select(*fields).schema.fields])
+        for name in names:
+            schema = schema.add(name, DoubleType())
+        schema = schema.add("toxic", BooleanType())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chain = shared.value
+            place = {w: i for i, w in enumerate(chain.vocabulary)}
+            for batch in batches:
+                found = [sorted(place[w] for w in words(t) if w in place) for t in batch.column("text").to_pylist()]
+                x = rows_of(found, np.zeros((len(found), 0)), len(place))
+                ps: list[np.ndarray] = []
+                for link in chain.links:
+                    x.dense = np.stack(ps, axis=1) if ps else np.zeros((len(found), 0))
+                    ps.append(link.probability(x))
+                flag = ps[-1] >= chain.threshold if ps and chain.vocabulary else np.zeros(len(found), bool)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p) for p in ps], pa.array(flag)], schema.names)
+
+        return docs.select(*fields).mapInArrow(run, schema)
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """(row_id, words, fold, categories...) of about SAMPLE_DOCS labelled documents."""
+    known = (labels.filter(F.col("doc_id").isNotNull()).dropna(subset=list(categories))
+             .groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories]))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
+    chosen = known.filter(draw < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(known.count(), 1)))).withColumnRenamed("doc_id", "labelled_id")
+    picked = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))  # bounded by SAMPLE_DOCS
+              .select(F.xxhash64("doc_id", "text").alias("row_id"), "text", *categories))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sorted(words(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))
+            fold = pa.array([i % FOLDS for i in batch.column("row_id").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), found, fold, *[batch.column(c) for c in categories]],
+                                             ["row_id", "words", "fold", *categories])
+
+    return picked.mapInArrow(run, "row_id long, words array<string>, fold int, " + ", ".join(f"{c} double" for c in categories))
+
+
+def fit_category(rows: DataFrame, category: str, earlier: Sequence[str], width: int) -> tuple[Link, DataFrame]:
+    """The category's model, and (row_id, p_<category>) out of fold; each model is one task of a job over copies of the sample."""
+    share = rows.agg(F.avg(category)).first()[0] or 0.0
+    name = f"p_{category}"
+    if share in (0.0, 1.0):
+        return Link(category, None, share), rows.select("row_id", F.lit(share).alias(name)).distinct()
+    copies = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        held = group["fold"] == group["model"].iloc[0]  # none for the model of all rows
+        x = rows_of(group["places"].tolist(), group[list(earlier)].to_numpy(np.float64), width)
+        train = np.flatnonzero(~held)
+        part = rows_of(group["places"].iloc[train].tolist(), x.dense[train], width)
+        weights = fit_logistic(part, group[category].to_numpy()[train])
+        if not held.any():
+            return pd.DataFrame({"row_id": [0], "p": [0.0], "weights": [weights.tobytes()]})
+        return pd.DataFrame({"row_id": group["row_id"][held], "p": sigmoid(x.scores(weights))[held], "weights": None})
+
+    got = stage(copies.groupBy("model").applyInPandas(run, "row_id long, p double, weights binary"), "toxicity-models")
+    weights = np.frombuffer(bytes(got.filter("weights IS NOT NULL").first()["weights"]))
+    return Link(category, weights), got.filter("weights IS NULL").select("row_id", F.col("p").alias(name)).dropDuplicates(["row_id"])
 
 
 def best_threshold(df: DataFrame, score: str, category: str) -> float:
     """Score of best F1, among 1,000 steps."""
-    rows = (df.groupBy(F.floor(F.col(score) * 1000).alias("step")).agg(F.sum(category).alias("yes"), F.count("*").alias("n")).collect())
+    rows = df.groupBy(F.floor(F.col(score) * 1000).alias("step")).agg(F.sum(category).alias("yes"), F.count("*").alias("n")).collect()
     total, yes, n, best, at = sum(r["yes"] for r in rows), 0.0, 0, -1.0, 0.5
     for r in sorted(rows, key=lambda r: -r["step"]):
         yes, n = yes + r["yes"], n + r["n"]
@@ -95,31 +208,26 @@ def best_threshold(df: DataFrame, score: str, category: str) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> Chain:
     """Chain over 0/1 columns of `labels` (doc_id, ...), the last one being the wanted one."""
-    known = (labels.filter(F.col("doc_id").isNotNull()).dropna(subset=list(categories))
-             .groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories]))
-    n = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
-    chosen = known.filter(draw < int(1_000_000 * min(1.0, SAMPLE_DOCS / max(n, 1)))).withColumnRenamed("doc_id", "labelled_id")
-    sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))  # bounded by SAMPLE_DOCS
-              .select("doc_id", words(F.col("text")).alias("words_of_text"), *categories,
-                      F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).alias("fold")))
-    sample = stage(sample, "toxicity-sample")
-    enough = sample.filter(F.size("words_of_text") > 0).limit(LEAST_DOCS).count() == LEAST_DOCS
-    if not enough:
-        return Chain(None, [Link(c, None, 0.0) for c in categories])
-    vectors = CountVectorizer(inputCol="words_of_text", outputCol="words_seen", binary=True, minDF=float(LEAST_DOCS), vocabSize=VOCABULARY)
-    vocabulary = vectors.fit(sample)
-    rows = stage(vocabulary.transform(sample).select("doc_id", "words_seen", "fold", *categories), "toxicity-vectors").repartition(8).cache()
+    sample = stage(sample_rows(docs, labels, categories), "toxicity-sample")
+    vocabulary = [r["word"] for r in sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+                  .filter(F.col("n") >= LEAST_DOCS).orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()]
+    if not vocabulary:
+        return Chain([], [Link(c, None, 0.0) for c in categories])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    columns = ["row_id", "fold", *categories]
+
+    def place_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(shared.value)}
+        for batch in batches:
+            found = [[place[w] for w in ws if w in place] for ws in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, pa.list_(pa.int32()))], [*columns, "places"])
+
+    rows = stage(sample.mapInArrow(place_words, "row_id long, fold int, " + ", ".join(f"{c} double" for c in categories) + ", places array<int>"),
+                 "toxicity-places")
     links, earlier = [], []
     for c in categories:
-        links.append(fit(rows, c, earlier))
-        parts = [fit(rows.filter(F.col("fold") != i), c, earlier).apply(rows.filter(F.col("fold") == i), earlier, f"p_{c}") for i in range(FOLDS)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        old, rows = rows, stage(out, "toxicity-out-of-fold").repartition(8).cache()
-        old.unpersist()
+        link, out_of_fold = fit_category(rows, c, earlier, len(vocabulary))
+        links.append(link)
+        rows = stage(rows.join(out_of_fold, "row_id"), "toxicity-out-of-fold")
         earlier.append(f"p_{c}")
-    threshold = best_threshold(rows, earlier[-1], categories[-1])
-    rows.unpersist()
-    return Chain(vocabulary, links, threshold)
+    return Chain(vocabulary, links, best_threshold(rows, earlier[-1], categories[-1]))

@@ -160,7 +160,7 @@ def test_toxicity_chain_follows_planted_words(spark, documents, no_documents):
     assert len(got) == len(rows)
     for r in got:
         assert r.toxic == ("rascal" in (r.text or "")) and 0 <= r.p_low <= 1
-    assert len(chain.links[1].model.coefficients) == len(chain.links[0].model.coefficients) + 1  # the chain's extra input
+    assert len(chain.links[1].weights) == len(chain.links[0].weights) + 1  # the chain's extra input
     assert chain.predict(docs.limit(0)).count() == 0
     empty = toxicity.learn(no_documents, marks.limit(0), ["low", "rude"])
     assert {(r.p_rude, r.toxic) for r in empty.predict(documents).collect()} == {(0.0, False)}
