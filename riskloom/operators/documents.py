@@ -1,24 +1,84 @@
 """Document jobs: blocks, chunks, type and metadata, duplicates, case notes, claim grounding."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from riskloom.functions.numeric import rnd, top_k
-from riskloom.functions.text import markdown_blocks, pack_chunks, strip
+from riskloom.functions.text import packed, sentence_pieces, strip
 
-BLOCK = "array<struct<kind:string,text:string,level:int,section:string>>"
-CHUNK = "array<struct<chunk_id:string,ordinal:int,section:string,text:string>>"
+# ---- fixed values: line forms of markdown
+HEADING_LINE, LIST_LINE, FENCE = r"(?d)^(#{1,6})\s+(.*)$", r"^(?:[-*]|\d+\.)\s", r"^---\s*$"
+
+
+def markdown_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, raw, line, form, level) of the lines after the front matter, if a document has one."""
+    whole = W.partitionBy("doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "raw"))
+    fence = F.col("raw").rlike(FENCE)
+    opened = F.max(F.when(F.col("n") == 0, fence)).over(whole)
+    closed = F.min(F.when((F.col("n") > 0) & fence, F.col("n"))).over(whole)
+    line = strip(F.col("raw"))
+    form = (F.when(F.col("raw").rlike(HEADING_LINE), "heading").when(line == "", "blank").when(line.startswith("|"), "table")
+            .when(line.rlike(LIST_LINE), "list").when(line.startswith(">"), "quote").otherwise("plain"))
+    return (lines.withColumn("after", F.when(opened, closed)).filter(F.col("after").isNull() | (F.col("n") > F.col("after")))
+            .select("doc_id", "n", "raw", line.alias("line"), form.alias("form"), F.length(F.regexp_extract("raw", HEADING_LINE, 1)).alias("level")))
 
 
 def parse_markdown(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, text, level, section) of markdown text; one small call per document, Arrow-batched."""
-    @F.pandas_udf(BLOCK)
-    def blocks(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: markdown_blocks(t or ""))
+    """(doc_id, pos, kind, text, level, section) of markdown text: headings, paragraphs, lists, tables and quotes.
+
+    A plain line continues a list, and is a paragraph otherwise. A block begins at a heading, after a blank line and where the kind changes.
+    The section is the path of the last heading of each level that no higher heading has closed.
+    """
+    upto = W.partitionBy("doc_id").orderBy("n")
+    form = F.col("form")
+    lines = markdown_lines(docs)
+    # what a plain line belongs to: the last line of another form
+    lines = lines.withColumn("owner", F.last(F.when(form != "plain", form), ignorenulls=True).over(upto))
+    lines = lines.withColumn("kind", F.when(form != "plain", form).when(F.col("owner") == "list", "list").otherwise("paragraph"))
+    before = F.lag("kind").over(upto)
+    lines = lines.withColumn("begins", (F.col("kind") != "blank") & (before.isNull() | (F.col("kind") == "heading") | (before != F.col("kind"))))
+    title = strip(F.regexp_extract("raw", HEADING_LINE, 2))
+    for level in range(1, 7):
+        at = F.when((form == "heading") & (F.col("level") == level), F.struct(F.col("n").alias("n"), title.alias("title")))
+        lines = lines.withColumn(f"h{level}", F.last(at, ignorenulls=True).over(upto))
+    path = []
+    for level in range(1, 7):
+        own, higher = F.col(f"h{level}"), [F.col(f"h{k}.n") for k in range(1, level)]
+        open_ = own.isNotNull()
+        for h in higher:
+            open_ = open_ & (h.isNull() | (h < own["n"]))
+        path.append(F.when(open_, own["title"]))
+    section = F.when(F.coalesce(*path).isNotNull(), F.concat_ws(" > ", *path))
+    lines = (lines.withColumn("section", section).withColumn("block", F.sum(F.col("begins").cast("int")).over(upto)).filter("kind <> 'blank'"))
+    shown = (F.when(form == "heading", title).when(F.col("kind") == "quote", strip(F.regexp_replace("line", "^>+", ""))).otherwise(F.col("line")))
+    blocks = lines.groupBy("doc_id", "block").agg(
+        F.min("kind").alias("kind"), F.min("section").alias("section"), F.max(F.when(form == "heading", F.col("level")).otherwise(0)).alias("level"),
+        F.array_sort(F.collect_list(F.struct("n", shown.alias("t")))).alias("ls"))
+    text = strip(F.array_join(F.transform("ls", lambda x: x["t"]), "\n"))
+    return blocks.select("doc_id", (F.col("block") - 1).cast("int").alias("pos"), "kind", text.alias("text"), F.col("level").cast("int").alias("level"), "section")
+
 
-    return docs.select("doc_id", F.posexplode(blocks("text")).alias("pos", "b")).select("doc_id", "pos", "b.*")
+def chunk_documents(docs: DataFrame, limit: int = 900, overlap: int = 120) -> DataFrame:
+    """(doc_id, chunk_id, ordinal, section, text): blocks packed section by section; a table up to twice the limit stays whole."""
+    upto = W.partitionBy("doc_id").orderBy("pos")
+    heads = F.sum((F.col("kind") == "heading").cast("int")).over(upto)
+    blocks = parse_markdown(docs).withColumn("part", heads)
+    whole = (F.col("kind") == "table") & (F.length("text") <= 2 * limit)
+    pieces = blocks.filter("kind <> 'heading'").withColumn("pieces", F.when(whole, F.array("text")).otherwise(sentence_pieces(F.col("text"), limit)))
+    sections = pieces.groupBy("doc_id", "part").agg(F.min("section").alias("section"), F.array_sort(F.collect_list(F.struct("pos", "pieces"))).alias("ps"))
+    bodies = packed(F.flatten(F.transform("ps", lambda p: p["pieces"])), limit, overlap)
+    rows = sections.select("doc_id", "part", "section", F.posexplode(bodies).alias("k", "body"))
+    ordinal = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "k")) - 1
+    rows = rows.withColumn("ordinal", ordinal).withColumn("heading", F.element_at(F.split("section", " > "), -1))
+    digest = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"), F.col("body")), 256)
+    number = F.col("ordinal").cast("string")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number), F.lit("-"), F.substr(digest, F.lit(1), F.lit(6)))
+    bare = F.col("heading").isNull() | (F.col("heading") == "") | F.expr("startswith(body, heading)")
+    return rows.select("doc_id", name.alias("chunk_id"), F.col("ordinal").cast("int").alias("ordinal"), "section",
+                       F.when(bare, F.col("body")).otherwise(F.concat_ws("\n", "heading", "body")).alias("text"))
 
 
 def parse_text(docs: DataFrame) -> DataFrame:
@@ -31,15 +91,6 @@ def parse_text(docs: DataFrame) -> DataFrame:
                              F.when(heading, F.size(F.split(number, r"\."))).otherwise(0).alias("level"))
 
 
-def chunk_documents(docs: DataFrame, limit: int = 900, overlap: int = 120) -> DataFrame:
-    """(doc_id, chunk_id, ordinal, section, text): blocks packed per document in the task that reads it, no shuffle."""
-    @F.pandas_udf(CHUNK)
-    def chunks(doc_id: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([pack_chunks(d, markdown_blocks(t or ""), limit, overlap) for d, t in zip(doc_id, text)])
-
-    return docs.select("doc_id", F.explode(chunks(F.col("doc_id").cast("string"), "text")).alias("c")).select("doc_id", "c.*")
-
-
 # ---- fixed values: terms that speak for a document type
 TYPE_TERMS = {
     "aml_policy": ("money laundering", "terrorist financing", "mlro", "suspicious transaction", "tipping off", "aml", "cft", "red flag"),

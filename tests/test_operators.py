@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from riskloom.config import GateRules, RiskRules
 from riskloom.functions.geo import haversine_km
 from riskloom.functions.numeric import strength
-from riskloom.functions.text import markdown_blocks, pack_chunks
 from riskloom.operators import detectors as det
 from riskloom.operators import documents as doc
 from riskloom.operators import evaluation as ev
@@ -311,14 +310,18 @@ def test_vector_filter_and_latent_vectors(spark):
     assert len(vec) == 5 and not vec[4].any() and vec[0] @ vec[1] > vec[0] @ vec[2]
 
 
-def test_blocks_and_chunks():
+def test_blocks_and_chunks(spark):
     md = "---\ntitle: x\n---\n# A\npara one\npara two\n\n- item\n  more\n\n## B\n| a | b |\n| 1 | 2 |\n> said\n"
-    b = markdown_blocks(md)
-    assert [(x["kind"], x["section"]) for x in b] == [("heading", "A"), ("paragraph", "A"), ("list", "A"), ("heading", "A > B"), ("table", "A > B"), ("quote", "A > B")]
+    frame = lambda *texts: spark.createDataFrame([(f"D{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    b = sorted(doc.parse_markdown(frame(md)).collect(), key=lambda r: r.pos)
+    assert [(x.kind, x.section) for x in b] == [("heading", "A"), ("paragraph", "A"), ("list", "A"), ("heading", "A > B"), ("table", "A > B"), ("quote", "A > B")]
+    assert [x.text for x in b][1:3] == ["para one\npara two", "- item\nmore"] and [x.level for x in b] == [1, 0, 0, 2, 0, 0] and b[5].text == "said"
     text = "# T\n" + "\n\n".join(f"Sentence number {i} is here. And another one follows it." for i in range(60))
-    chunks = pack_chunks("D", markdown_blocks(text))
-    assert len(chunks) > 2 and all(len(c["text"]) <= 1000 for c in chunks) and [c["ordinal"] for c in chunks] == list(range(len(chunks)))
-    assert all(f"Sentence number {i} is" in " ".join(c["text"] for c in chunks) for i in range(60))
+    chunks = sorted(doc.chunk_documents(frame(text)).collect(), key=lambda r: r.ordinal)
+    assert len(chunks) > 2 and all(len(c.text) <= 1000 for c in chunks) and [c.ordinal for c in chunks] == list(range(len(chunks)))
+    assert all(f"Sentence number {i} is" in " ".join(c.text for c in chunks) for i in range(60))
+    deep = "### c\nx\n## b\ny\n# a\nz\n### d\nw"  # a higher heading closes the deeper ones
+    assert [r.section for r in sorted(doc.parse_markdown(frame(deep)).collect(), key=lambda r: r.pos)] == ["c", "c", "b", "b", "a", "a", "a > d", "a > d"]
 
 
 def test_claim_grounding(spark):
