@@ -121,7 +121,6 @@ class RiskRules:
     shift_min: int = 8
     exposure_min: float = 1
     history_full: float = 3
-    history_limit: int = 50
     anomaly_percentile: float = 0.99
     thin_baseline: int = 5
     score_cap: float = 100.0

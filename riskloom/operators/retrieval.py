@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from riskloom.functions.numeric import rnd, top_k
 from riskloom.functions.text import STOP_WORDS, stem, tokens, words
@@ -44,16 +45,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame |
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, max_queries: int = 1000) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 256, sent_mb: int = 64) -> DataFrame:
     """Nearest vectors per query by cosine. `vectors` is (id, embedding, payload...), already filtered on its payload.
 
-    Exact search scans every vector once; the queries travel to it as one row, whose size is checked first.
+    Exact search of a stated query set: queries travel in blocks of about `block`. Blocks are broadcast while all of them together stay below
+    `sent_mb`; a larger set is joined block by block without a broadcast.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search them in parts")
-    packed = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("qs"))
-    j = vectors.select("id", F.col("embedding").cast("array<double>").alias("v")).crossJoin(F.broadcast(packed)).select("id", "v", F.explode("qs").alias("x"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding") * 8 + 16), F.lit(0)).alias("bytes")).first()
+    at = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-size["n"] // block))))
+    packed = queries.groupBy(at.alias("block")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("qs")).select("qs")
+    if size["bytes"] <= sent_mb << 20:
+        packed = F.broadcast(packed)
+    j = vectors.select("id", F.col("embedding").cast("array<double>").alias("v")).crossJoin(packed).select("id", "v", F.explode("qs").alias("x"))
     q = F.col("x.q").cast("array<double>")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
     length = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(q, q))
@@ -61,15 +64,18 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, max_querie
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
-def fuse(semantic: DataFrame, keyword: DataFrame, k: int = 5) -> DataFrame:
+def fuse(semantic: DataFrame, keyword: DataFrame, k: int | None = 5) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists (query_id, id, rank, score), both ranks kept; on equal scores the
-    better semantic rank comes first."""
+    better semantic rank comes first. Without `k` all merged rows are ranked."""
     a = semantic.select("query_id", "id", F.col("rank").alias("semantic_rank"), F.col("score").alias("semantic_score"), F.lit(None).cast("int").alias("keyword_rank"), F.lit(None).cast("double").alias("keyword_score"))
     b = keyword.select("query_id", "id", F.lit(None).cast("int").alias("semantic_rank"), F.lit(None).cast("double").alias("semantic_score"), F.col("rank").alias("keyword_rank"), F.col("score").alias("keyword_score"))
     m = a.unionByName(b).groupBy("query_id", "id").agg(*[F.max(c).alias(c) for c in ("semantic_rank", "semantic_score", "keyword_rank", "keyword_score")])
     part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
     m = m.withColumn("fused", rnd(part("semantic_rank") + part("keyword_rank"), 9))
-    return top_k(m, ["query_id"], [F.col("fused").desc(), F.col("semantic_rank").asc_nulls_last(), F.col("keyword_rank")], k)
+    order = [F.col("fused").desc(), F.col("semantic_rank").asc_nulls_last(), F.col("keyword_rank")]
+    if k is None:
+        return m.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    return top_k(m, ["query_id"], order, k)
 
 
 def passages_for_signals(fused: DataFrame, query_signals: DataFrame, k: int = 12) -> DataFrame:

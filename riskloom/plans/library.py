@@ -149,7 +149,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC
 FUSE_CTE = BM25.replace("{where}", "true") + ",\n" + SEM.replace("{where}", "") + "," + FUSED
 
 
-def fused(b: Bank, k: int) -> DataFrame:
+def fused(b: Bank, k: int | None) -> DataFrame:
     """Both lists per label: its mean vector, and the benchmark item of the same number as text."""
     sem = ret.cosine_top_k(vectors(b), label_queries(b).withColumn("query_id", F.col("query_id").cast("long")), 20)
     kw = ret.bm25(corpus(b), questions(b).filter("query_id < 10"), 20).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").alias("id"), "rank", "score")
@@ -163,7 +163,7 @@ def _(b):
 
 @query("j10_list_merge", oracle("", "SELECT query_id, id, semantic_rank, keyword_rank FROM fused", FUSE_CTE))
 def _(b):
-    return fused(b, 1000).select("query_id", "id", "semantic_rank", "keyword_rank")
+    return fused(b, None).select("query_id", "id", "semantic_rank", "keyword_rank")
 
 
 @query("w03_list_rank", oracle("", "SELECT query_id, id, rank FROM sem WHERE rank <= 5", SEM.replace("{where}", "")))

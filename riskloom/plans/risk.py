@@ -101,7 +101,7 @@ SHIFT = f"SELECT entity_id, jsd AS obs, 0.1 AS thr, NULL AS base, jsd >= 0.1 AS
 EXPOSURE = """SELECT entity_id, count(*) FILTER (f.customer_id IS NOT NULL) AS obs, 1.0 AS thr, count(*) AS base, count(*) FILTER (f.customer_id IS NOT NULL) >= 1 AS fired FROM (
   SELECT DISTINCT entity_id, other_entity FROM legs WHERE direction <> 'internal' AND status = 'completed' AND period = 'win' AND other_entity IS NOT NULL AND other_entity <> entity_id) p
   LEFT JOIN (SELECT entity_id AS customer_id FROM alerts WHERE status = 'open' UNION SELECT subject_id FROM investigations WHERE conclusion = 'confirmed_suspicious') f ON f.customer_id = p.other_entity GROUP BY 1"""
-HISTORY = "SELECT entity_id, least(count(*), 50) AS obs, 1.0 AS thr, NULL AS base, true AS fired FROM alerts WHERE created_at < {ws} AND entity_id IN (SELECT customer_id FROM customers) GROUP BY 1"
+HISTORY = "SELECT entity_id, count(*) AS obs, 1.0 AS thr, NULL AS base, true AS fired FROM alerts WHERE created_at < {ws} AND entity_id IN (SELECT customer_id FROM customers) GROUP BY 1"
 DORMANT_PERIOD = Period(AS_OF, lookback_days=3, baseline_days=1)
 DORMANT_RULES = replace(TRIAL_RULES, dormant_days=1.5, dormant_usd=20)
 DORMANT = """SELECT entity_id, CASE WHEN h.entity IS NOT NULL THEN floor(hgap * 10 + 0.5) / 10 ELSE best END AS obs, 1.5 AS thr, NULL AS base, h.entity IS NOT NULL AS fired FROM (
