@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, jaccard, langid, mixing, pii
-from riskloom.llm.queries import table, tokenizer
+from riskloom.llm.queries import prepared, table, tokenizer
 from riskloom.session import stage
 
 #: A prediction below this posterior is no identified language.
@@ -19,12 +19,13 @@ SMALL_ROWS = 2_000_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; null texts, texts without letters and undecided ones go."""
-    found = langid.identify(docs, tokenizer(spark, "piece_bpe_32k.model"))
+    found = langid.identify(docs, tokenizer(prepared(spark), "piece_bpe_32k.model"))
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest id; texts without words are no group and stay."""
+    prepared(spark)
     rows = stage(jaccard.near_duplicates(docs).filter("component IS NOT NULL").select("doc_id", "text_key", "component"), "pipeline-near")
     id_ = F.coalesce("doc_id", F.lit(2 ** 63 - 1))  # rows without an id come last
     kept = rows.groupBy("component").agg(F.min(F.struct(id_.alias("i"), "text_key", "doc_id")).alias("k")).select("component", "k.*")
@@ -42,16 +43,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced; n_chars follows the new text."""
+    prepared(spark)
     return pii.replace(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    prepared(spark)
     return mixing.mix(docs).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, tokenizer(spark, "byte_bpe_50k.json"), keep_ids=True)
+    return bpe.encode_documents(docs, tokenizer(prepared(spark), "byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("PII surrogates", private), ("mixing to target weights", mixed),

@@ -28,13 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.memory import tidy
 from riskloom.llm.tries import Trie
 
-CACHE = 400_000
+CACHE = 150_000
 #: Words up to this many bytes are kept in the cache.
 SHORT = 32
 #: Texts are encoded in slices of about this many characters.
-SLICE = 2_000_000
+SLICE = 500_000
 #: How the vocabulary file splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points that the splitting library does not count as letters or as numbers, since its Unicode version is older.
@@ -166,7 +167,7 @@ def compile_merges(path: str) -> Automaton:
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
 
-    allowed = np.zeros((4096, 4096), np.uint8)
+    allowed = np.zeros((4096, 512), np.uint8)
     row, column = np.zeros(n, np.int64), np.ones(n, np.int64)  # class 1: tokens that are never read
     for c, b in to_byte.items():
         column[vocab[c]] = 0
@@ -180,8 +181,9 @@ def compile_merges(path: str) -> Automaton:
         if u != v:
             column[w] = column[u]
             column_users[column[u]] += 1
-        if len(row_users) == allowed.shape[0] or len(column_users) == allowed.shape[1]:
-            allowed = np.pad(allowed, ((0, 4096), (0, 4096)))
+        more = [step if len(users) == size else 0 for users, size, step in zip((row_users, column_users), allowed.shape, (4096, 512), strict=True)]
+        if any(more):
+            allowed = np.pad(allowed, [(0, m) for m in more])
         if row_users[row[u]] > 1:
             row_users[row[u]] -= 1
             row_users.append(1)
@@ -289,4 +291,4 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_te
                 out.append(pa.array(cols[4], pa.string()))
             yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)

@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import hashing
 from riskloom.llm.components import components
+from riskloom.llm.memory import tidy
 from riskloom.session import stage
 
 #: Separators are the white-space bytes of ASCII; A-Z stand for a-z.
 KINDS = np.array([0 if b in b" \t\n\v\f\r" else 1 for b in range(256)], np.uint8)
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Shingles counted together in a task, and the least count in such a part that is reported.
-PART, LEAST = 4_000_000, 3
+PART, LEAST = 1_500_000, 3
 #: A shingle is common from this count on; the count is raised while more than `COMMON_ROWS` (8 bytes each) would be broadcast.
 COMMON, COMMON_ROWS = 8, 2_000_000
 #: From this level (log2 of the count) on, a region is known to be large and is not counted.
@@ -146,7 +147,7 @@ def scan(docs: DataFrame, rule: Rule) -> DataFrame:
         yield repeated(part)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, SCAN)
+    return keyed.mapInArrow(tidy(run), SCAN)
 
 
 def common_shingles(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +172,7 @@ def replicate(docs: DataFrame, rule: Rule, common: tuple[np.ndarray, np.ndarray]
         h, levels = shared.value
         met: set[int] = set()
         for batch in batches:
-            if len(met) > 1_000_000:
+            if len(met) > 200_000:
                 met.clear()
             regions, classes, ns, out_levels = [], [], [], []
             for s in sets(batch.column("text"), rule.words):
@@ -197,7 +198,7 @@ def replicate(docs: DataFrame, rule: Rule, common: tuple[np.ndarray, np.ndarray]
                  pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(np.concatenate([np.zeros(0, np.int8), *out_levels]).astype(np.int32))],
                 ["region", "class", "n", "level"])
 
-    return docs.select("text").mapInArrow(run, "region long, class long, n int, level int")
+    return docs.select("text").mapInArrow(tidy(run), "region long, class long, n int, level int")
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Rul
     if keys.count() <= COMMON_ROWS:
         keys = F.broadcast(keys)
     texts = (docs.select(_id().alias("id"), F.xxhash64("text").alias("text_key"), "text").join(keys, ["id", "text_key"], "left_semi").select("text"))
-    return texts.mapInArrow(run, "class long, shingles binary")
+    return texts.mapInArrow(tidy(run), "class long, shingles binary")
 
 
 def _id() -> Column:
@@ -253,7 +254,7 @@ def compare(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
 
     joined = (pairs.join(sets_.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
               .join(sets_.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y"))
-    return joined.mapInArrow(run, "a long, b long, both long, either long").distinct()  # rows of one id and text may give a set twice
+    return joined.mapInArrow(tidy(run), "a long, b long, both long, either long").distinct()  # rows of one id and text may give a set twice
 
 
 def allowed(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:

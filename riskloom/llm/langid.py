@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from riskloom.llm.memory import tidy
 from riskloom.llm.tries import Trie
 from riskloom.session import stage
 
@@ -38,8 +39,8 @@ UNKNOWN = "und"
 START = "▁"
 #: Words beyond this many characters are scored in parts of this size.
 LONG = 24
-CACHE = 300_000
-SLICE = 2_000_000
+CACHE = 120_000
+SLICE = 500_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -147,7 +148,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
                                              ["lang", "part", "n"])
 
-    return (labelled.select("lang", "text").mapInArrow(run, "lang string, part string, n long")
+    return (labelled.select("lang", "text").mapInArrow(tidy(run), "lang string, part string, n long")
             .groupBy("lang", "part").agg(F.sum("n").alias("n")))
 
 
@@ -182,7 +183,7 @@ def learn(labelled: DataFrame, path: str) -> Model:
             p, g = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(g), pa.array(total[p, g])], ["piece", "at", "n"])
 
-        got = (counts.mapInArrow(run, "piece long, at long, n double").groupBy("piece", "at").agg(F.sum("n").alias("n"))).toPandas()
+        got = (counts.mapInArrow(tidy(run), "piece long, at long, n double").groupBy("piece", "at").agg(F.sum("n").alias("n"))).toPandas()
         out = np.full(current.shape, SMOOTH)
         out[got["piece"], got["at"]] += got["n"]
         return out / out.sum(axis=0)
@@ -204,16 +205,16 @@ class Scorer:
             self.place.clear()
             self.scores = self.scores[:0]
         new = sorted((w for w in words if w not in self.place), key=len)
-        for i in range(0, len(new), 8192):
+        for i in range(0, len(new), 4096):
             parts, owner = [], []
-            for k, word in enumerate(new[i:i + 8192]):
+            for k, word in enumerate(new[i:i + 4096]):
                 own = parts_of(word)
                 parts += own
                 owner += [k] * len(own)
             logs = forward(self.pieces.lattice(parts), self.model.probs)
-            sums = np.zeros((len(new[i:i + 8192]), logs.shape[1]))
+            sums = np.zeros((len(new[i:i + 4096]), logs.shape[1]))
             np.add.at(sums, np.array(owner), logs)
-            for k, word in enumerate(new[i:i + 8192]):
+            for k, word in enumerate(new[i:i + 4096]):
                 self.place[word] = len(self.scores) + k
             self.scores = np.vstack([self.scores, sums])
 
@@ -261,4 +262,4 @@ def identify(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
                                              [*batch.schema.names, "lang_pred", "score"])
 
-    return source.mapInArrow(run, wide)
+    return source.mapInArrow(tidy(run), wide)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from riskloom.llm.memory import tidy
 from riskloom.session import stage
 
 #: Entity rows up to which the joined surrogates may be broadcast (each is below 1 KB: patterns bound an entity's length).
@@ -189,7 +190,7 @@ def detect(docs: DataFrame) -> DataFrame:
                                              ["text_key", "kind", "canon"])
 
     keyed = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, "text_key long, kind string, canon string").distinct()
+    return keyed.mapInArrow(tidy(run), "text_key long, kind string, canon string").distinct()
 
 
 def assign(found: DataFrame, key: str) -> DataFrame:
@@ -250,4 +251,4 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
             cols = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields[:-1]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)

@@ -12,13 +12,18 @@ from riskloom.session import tune
 #: Vocabulary files of public tokenizers; another folder can be set on the session.
 TOKENIZERS = "/opt/tokenizers"
 #: Documents in an Arrow batch: bounds what a Python worker holds of long texts.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "400"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that queries and stages rely on."""
     tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def tokenizer(spark: SparkSession, name: str) -> str:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.hashing import OF_BYTE, mix, powers
+from riskloom.llm.memory import tidy
 from riskloom.session import stage
 
 LENGTH = 400
@@ -124,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
                         [pa.array(np.full(len(q), keys[i])), pa.array(a), pa.array(b), pa.array(q), pa.array(core.astype(np.int64)),
                          pa.array(hull.astype(np.int64)), pa.array(np.full(len(q), copies))], [f.split()[0] for f in BUNDLES.split(", ")])
 
-    return docs.mapInArrow(run, BUNDLES)
+    return docs.mapInArrow(tidy(run), BUNDLES)
 
 
 def settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +166,7 @@ def with_hulls(docs: DataFrame, several: DataFrame) -> DataFrame:
                 data = [raw[s["start"]:s["stop"] + LENGTH] for s in own]
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(data, pa.binary())], names)
 
-    cut = texts.select("text_key", "text", "spans").mapInArrow(run, ", ".join(f"{n} long" for n in names[:8]) + ", data binary")
+    cut = texts.select("text_key", "text", "spans").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names[:8]) + ", data binary")
     return cut.dropDuplicates(["core", "hull"])  # copies of a text cut the same
 
 
@@ -183,7 +184,7 @@ def narrower(rows: DataFrame, width: int) -> DataFrame:
                     [pa.array(np.full(len(q), key)), pa.array(a + start), pa.array(b + start), pa.array(q + start), pa.array(core.astype(np.int64)),
                      pa.array(hull.astype(np.int64)), pa.array(np.full(len(q), copies))], [f.split()[0] for f in BUNDLES.split(", ")])
 
-    return rows.mapInArrow(run, BUNDLES)
+    return rows.mapInArrow(tidy(run), BUNDLES)
 
 
 def interleave(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +260,7 @@ def merge(rows: DataFrame) -> DataFrame:
             yield solve(part)
 
     by_core = rows.select("core", "copies", "text_key", "start", "stop", "data").repartition("core").sortWithinPartitions("core")
-    return by_core.mapInArrow(run, "text_key long, start long, stop long")
+    return by_core.mapInArrow(tidy(run), "text_key long, start long, stop long")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -316,4 +317,4 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 arrays.append(pa.array(cols[4], pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
 
-    return hit.select("doc_id", "text", "runs").unionByName(clean.select("doc_id", "text", "runs")).mapInArrow(run, schema)
+    return hit.select("doc_id", "text", "runs").unionByName(clean.select("doc_id", "text", "runs")).mapInArrow(tidy(run), schema)
