@@ -66,6 +66,7 @@ SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 FLOW_DETECTORS = ("FAN_IN", "FAN_OUT", "RAPID_PASS_THROUGH", "CIRCULAR_FLOW", "DORMANT_REACTIVATION", "DEVICE_SHARING")
 
 
+# ---- fixed values: the defaults
 @dataclass(frozen=True)
 class RiskRules:
     """Thresholds of the risk rules."""
@@ -158,6 +159,7 @@ class Period:
         return self.window_start - timedelta(days=self.baseline_days)
 
 
+# ---- fixed values: the defaults
 @dataclass(frozen=True)
 class MuleRules:
     window_days: int = 30
@@ -174,6 +176,7 @@ class MuleRules:
 TRIAL_MULE = replace(MuleRules(), window_days=10, min_usd=50, rapid_share=0.3, retention_max=0.5)
 
 
+# ---- fixed values: the defaults
 @dataclass(frozen=True)
 class TriageRules:
     thresholds: tuple[tuple[str, float], ...] = (("CRITICAL", 65.0), ("HIGH", 50.0), ("MEDIUM", 30.0))

@@ -116,6 +116,7 @@ def history(alerts: DataFrame) -> DataFrame:
             .withColumn("prior_cleared", F.col("all_cleared") - F.when(own & cleared, 1).otherwise(0)).drop("all_confirmed", "all_cleared"))
 
 
+# ---- fixed values: what each factor adds at most
 FACTORS = {"detector_severity": 13.0, "customer_risk_score": 25.0, "detector_tier": 5.0, "corroborating_categories": 10.0,
            "amount_at_risk": 10.0, "evidence_volume": 5.0, "pattern_repetition": 5.0, "network_exposure": 7.0,
            "identity_device_signals": 5.0, "prior_confirmed_outcomes": 5.0, "no_prior_clearance": 5.0, "alert_age": 5.0}

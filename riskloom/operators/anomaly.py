@@ -11,6 +11,7 @@ from riskloom.functions.numeric import money_sum, rnd
 from riskloom.operators.detectors import Frames
 from riskloom.operators.profile import done, is_out
 
+# ---- fixed values: the model's features
 RATIOS = ("TRANSACTION_BURST", "VELOCITY_SPIKE", "AMOUNT_DEVIATION", "PEER_AMOUNT_DEVIATION", "RAPID_PASS_THROUGH", "FAN_IN", "GEO_NEW_COUNTRY", "IMPOSSIBLE_TRAVEL",
           "NEW_DEVICE", "DEVICE_SHARING", "SHARED_IDENTIFIER", "CIRCULAR_FLOW", "DORMANT_REACTIVATION", "HIGH_RISK_MERCHANT", "BEHAVIOURAL_SHIFT", "NETWORK_EXPOSURE")
 VOLUMES = ("log_window_outbound_n", "log_window_outbound_usd", "outbound_usd_per_day_vs_baseline")

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from riskloom.functions.numeric import rnd, top_k
 from riskloom.functions.text import packed, sentence_pieces, strip
 
-# ---- fixed values: line forms of markdown
+# ---- fixed values: line forms of markdown, and the numbered heading of plain text
+NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+[A-Z][^.!?\n]{2,80}$"
 HEADING_LINE, LIST_LINE, FENCE = r"(?d)^(#{1,6})\s+(.*)$", r"^(?:[-*]|\d+\.)\s", r"^---\s*$"
 
 
@@ -84,8 +85,7 @@ def chunk_documents(docs: DataFrame, limit: int = 900, overlap: int = 120) -> Da
 def parse_text(docs: DataFrame) -> DataFrame:
     """Paragraphs of plain text; a single line that starts with a number and holds no stop is a heading."""
     paragraphs = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "text")).withColumn("text", strip(F.col("text"))).filter("text <> ''")
-    pattern = r"^(\d+(?:\.\d+)*)\.?\s+[A-Z][^.!?\n]{2,80}$"
-    number = F.regexp_extract("text", pattern, 1)
+    number = F.regexp_extract("text", NUMBERED, 1)
     heading = number != ""
     return paragraphs.select("doc_id", "pos", F.when(heading, "heading").otherwise("paragraph").alias("kind"), "text",
                              F.when(heading, F.size(F.split(number, r"\."))).otherwise(0).alias("level"))

@@ -213,12 +213,20 @@ def _(b):
     return al.illegal_moves(b.alert_events).select("alert_id", "event_id", "from_status", "to_status", F.unix_micros("ts").alias("us"))
 
 
-@query("al15_incomplete_changes", oracle("monitoring", """
-SELECT alert_id, CASE WHEN status = 'RESOLVED' THEN 'reason too short' ELSE 'reason too short' END AS fault FROM monitoring
-WHERE (status = 'RESOLVED' OR status = 'ESCALATED') AND length(CASE WHEN alert_id % 3 = 0 THEN 'abc' ELSE description END) < 5"""))
+RESOLUTION_LIST = ", ".join(f"'{r}'" for r in al.RESOLUTIONS)
+
+
+@query("al15_incomplete_changes", oracle("monitoring", f"""
+SELECT * FROM (SELECT alert_id, CASE WHEN status = 'RESOLVED' THEN CASE WHEN resolution IS NULL OR resolution NOT IN ({RESOLUTION_LIST}) THEN 'resolution missing' WHEN short THEN 'reason too short' END
+    WHEN resolution IS NOT NULL THEN 'resolution not allowed' WHEN status = 'ESCALATED' AND short THEN 'reason too short' END AS fault
+  FROM (SELECT alert_id, status, CASE WHEN alert_id % 5 = 0 THEN NULL WHEN alert_id % 7 = 0 THEN 'SOMETHING' WHEN alert_id % 11 = 0 THEN 'CLEARED' ELSE resolution END AS resolution,
+    length(trim(coalesce(CASE WHEN alert_id % 3 = 0 THEN ' abc  ' ELSE description END, ''))) < 5 AS short FROM monitoring) x) y WHERE fault IS NOT NULL"""))
 def _(b):
-    log = b.monitoring.select("alert_id", F.col("status").alias("to_status"), "resolution",
-                              F.when(F.col("alert_id") % 3 == 0, "abc").otherwise(F.col("description")).alias("reason"))
+    """A log in which every kind of fault occurs."""
+    i = F.col("alert_id")
+    resolution = F.when(i % 5 == 0, F.lit(None).cast("string")).when(i % 7 == 0, "SOMETHING").when(i % 11 == 0, "CLEARED").otherwise(F.col("resolution"))
+    log = b.monitoring.select("alert_id", F.col("status").alias("to_status"), resolution.alias("resolution"),
+                              F.when(i % 3 == 0, " abc  ").otherwise(F.col("description")).alias("reason"))
     return al.incomplete_changes(log).select("alert_id", "fault")
 
 
