@@ -222,18 +222,15 @@ def _(b):
 
 
 # ------------------------------------------------------------------------------------------------------- anomaly model
-FAST = tuple(n for n in an.RATIOS if n not in ("CIRCULAR_FLOW", "DORMANT_REACTIVATION"))
-
-
 def feature_rows(b: Bank) -> DataFrame:
     f = risk.frames(b, legs=stage(legs_for(b.txn, b.accounts, b.period), "legs"))
-    return stage(an.features(f, det.all_results(f, FAST)), "features")
+    return stage(an.features(f, det.all_results(f, an.RATIOS)), "features")
 
 
 @query("d20_anomaly_model")
 def _(b):
     rows = feature_rows(b)
-    forest, sample = an.train(rows, trees=100)
+    forest, sample = an.train(rows)
     return an.anomaly_results(an.percentiles(an.score(rows, forest, sample)), TRIAL_RULES.anomaly_percentile)
 
 

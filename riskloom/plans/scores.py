@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.config import (CATEGORY_LABELS, DETECTORS, EVALUATION_ORDER, GROUP_CAPS, TRIAL_RULES, WEIGHTS)
 from riskloom.functions.numeric import lookup
+from riskloom.operators import anomaly as an
 from riskloom.operators import detectors as det
 from riskloom.operators import scoring as sc
 from riskloom.operators.orient import legs_for
@@ -204,6 +205,16 @@ def _(b):
     return full(b)[1].scores
 
 
+@query("sc00_scores_with_model")
+def _(b):
+    """All rules and the anomaly model, whose features are the rules' own results."""
+    f, a = full(b)
+    rows = stage(an.features(f, a.results), "features")
+    model = an.anomaly_results(an.percentiles(an.score(rows, *an.train(rows))), f.rules.anomaly_percentile)
+    results = a.results.unionByName(model.select(*a.results.columns))
+    return sc.scores(sc.contributions(results), sc.entities(f), f.rules)
+
+
 @query("sc00_account_scores")
 def _(b):
     f = risk.frames(b, grain="account", legs=stage(legs_for(b.txn, b.accounts, b.period, "account"), "legs"))
