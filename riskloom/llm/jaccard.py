@@ -40,7 +40,7 @@ from riskloom.session import stage
 KINDS = np.array([0 if b in b" \t\n\v\f\r" else 1 for b in range(256)], np.uint8)
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Shingles counted together in a task, and the least count in such a part that is reported.
-PART, LEAST = 1_500_000, 3
+PART, LEAST = 1_500_000, 2
 #: A shingle is common from this count on; the count is raised while more than `COMMON_ROWS` (8 bytes each) would be broadcast.
 COMMON, COMMON_ROWS = 8, 2_000_000
 #: From this level (log2 of the count) on, a region is known to be large and is not counted.
@@ -310,7 +310,7 @@ def join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, rule:
         else:
             ringed = ringed.join(known.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d")), ["a", "b"], "left")
         members = stage(ringed.select("region", "class", "n", F.col("d").alias("ring")), "jaccard-members")
-        turn, pivots_each = turn + 1, min(pivots_each * 4, 64)
+        turn, pivots_each = turn + 1, pivots_each * 4
     return known, labels
 
 
