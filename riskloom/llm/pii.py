@@ -1,8 +1,8 @@
 """Surrogates for personal data: each detected entity gets a keyed replacement of its own type, gender, script and format.
 
 1. Detect: patterns find e-mail and network addresses, phone, card, account and social-security numbers, secrets, and names after a title.
-   Each has a canonical form, so that its spellings in all documents corefer. A name's parts are entities of their own: "Ms Ann Lee" and a
-   later "Lee" agree.
+   Each has a canonical form, so that its spellings in all documents corefer. A name's parts, however many, are entities of their own:
+   "Ms Ann Lee" and a later "Lee" agree. Secrets, e-mail addresses and names are matched to their end at any length.
 2. Assign: distinct entities draw surrogates from a keyed digest of (kind, canonical form, attempt). A draw is accepted if it is no detected
    entity, no surrogate accepted earlier and, of equal draws, the first entity's; the others draw again. So surrogates are distinct.
 3. Rewrite: the surrogate is laid into each occurrence's format (separators, letter case, digits by position).
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,19 +30,24 @@ from pyspark.sql.types import LongType, StructType
 from riskloom.llm.memory import tidy
 from riskloom.session import stage
 
-#: Entity rows up to which the joined surrogates may be broadcast (each is below 1 KB: patterns bound an entity's length).
-BROADCAST_ROWS = 100_000
+#: Measured size up to which the joined surrogates may be broadcast; entities may have any length.
+BROADCAST_BYTES = 16 << 20
 #: Between the groups of a phone number, documents may hold table bars or runs of marks.
 GAP = r"[\s|*#$%&!]{0,6}"
 TITLES = {  # title -> gender
     "mr": "m", "herr": "m", "señor": "m", "sr": "m", "monsieur": "m", "господин": "m",
     "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "señora": "f", "sra": "f", "madame": "f", "mme": "f", "госпожа": "f", "dr": "n", "prof": "n",
 }
-NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+NAME = r"\p{Lu}[\p{Ll}\p{M}'’][\p{L}\p{M}'’]*(?:-\p{Lu}[\p{L}\p{M}'’]+)*"
+HEX = r"[0-9A-Fa-f]{1,4}"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+DOTTED = rf"(?:{OCTET}\.){{3}}{OCTET}"
+#: An e-mail address starts where its run of characters does, or after the entity before it: long runs are read once. A secret's keyword may have
+#: a prefix (access_token, dbPassword).
 PATTERN = regex.compile(rf"""
- (?P<email>[\w.+-]{{1,64}}@[\w-]{{1,63}}(?:\.[\w-]{{1,63}}){{1,6}})
-|(?P<secret>(?i:\b(?:token|api[_-]?key|secret|password|passwd)\b){GAP}[:=]{GAP}["']?(?P<value>[A-Za-z0-9+/_-]{{12,128}}))
-|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))
+ (?P<email>(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]++(?:\.[\w-]++)+)
+|(?P<secret>(?i:(?:token|api[_-]?key|secret(?:[_-](?:access[_-]?)?key)?|password|passwd)\b){GAP}[:=]{GAP}["']?(?P<value>[A-Za-z0-9+/_-]{{12,}}))
+|(?P<ipv6>(?<!\w)(?<![0-9A-Fa-f:]:)(?:(?:{HEX}:){{6}}(?:{DOTTED}|{HEX}:{HEX})|(?:{HEX}(?::{HEX})*+)?+::(?:(?:{HEX}:)*{DOTTED}|(?:{HEX}(?::{HEX})*)?))(?!\w|:[\w:]|\.\d))
 |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))
 |(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
 |(?P<phone>(?<![\w+])(?:\+\d{{1,3}}{GAP})?\(\d{{2,4}}\){GAP}\d{{3,4}}[ .-]?\d{{3,4}}\b
@@ -48,10 +55,10 @@ PATTERN = regex.compile(rf"""
    |(?<![\w+.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}\b)
 |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
 |(?P<card>(?<![\w-])\d(?:[ -]?\d){{12,18}}(?!\w))
-|(?P<name>\b(?P<title>(?i:{"|".join(TITLES)}))\b\.?[ ](?P<first>{NAME})(?:[ ](?P<last>{NAME}))?)
+|(?P<name>\b(?P<title>(?i:{"|".join(TITLES)}))\b\.?[ ](?P<first>{NAME})(?:[ ](?P<last>{NAME}))*)
 """, regex.VERBOSE)
 #: A text without any of these holds no entity but a name.
-HINT = regex.compile(r"[0-9@]|(?i:token|api.?key|secret|passw)")
+HINT = regex.compile(r"[\d@]|::|(?:[A-Fa-f]{1,4}:){7}|(?i:token|api.?key|secret|passw)")
 TITLE = regex.compile(rf"\b(?i:{'|'.join(TITLES)})\b\.? \p{{Lu}}")
 
 
@@ -81,17 +88,22 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         kind = kind or ("secret" if m["secret"] else "name")
         if kind == "name":
             gender = TITLES[m["title"].lower()]
-            parts = [("first", gender)] if m["last"] else [("last", gender)]
-            if m["last"]:
-                parts.append(("last", gender))
-            for (role, g), group in zip(parts, ("first", "last"), strict=False):
-                label = f"name:{g if role == 'first' else 'last'}:{script(m[group])}"
-                out.append((*m.span(group), label, m[group].casefold()))
-                names[m[group]] = (label, m[group].casefold())
+            for i, (start, end) in enumerate([m.span("first"), *m.spans("last")]):
+                part = text[start:end]
+                label = f"name:{gender if i == 0 and m['last'] else 'last'}:{script(part)}"
+                out.append((start, end, label, part.casefold()))
+                names[part] = (label, part.casefold())
         elif kind == "secret":
             out.append((*m.span("value"), kind, m["value"].lower()))
         elif kind in ("phone", "card", "ssn"):
-            out.append((*m.span(), kind, "".join(c for c in m[0] if c.isdigit())))
+            out.append((*m.span(), kind, "".join(str(unicodedata.decimal(c)) for c in m[0] if c.isdecimal())))
+        elif kind == "ipv6":
+            try:
+                address = ipaddress.IPv6Address(m[0])
+            except ValueError:  # too many groups
+                continue
+            if int(address):
+                out.append((*m.span(), kind, address.compressed))
         else:
             out.append((*m.span(), kind, m[0].replace(" ", "").lower()))
     if names:  # later mentions of a titled name
@@ -124,6 +136,11 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def groups_of(address: str) -> list[int]:
+    number = int(ipaddress.IPv6Address(address))
+    return [number >> shift & 0xFFFF for shift in range(112, -1, -16)]
+
+
 def same_shape(text: str, draw: Draw, hexadecimal: bool = False) -> str:
     """Digits for digits, letters for letters, all else as it is."""
     letters = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
@@ -139,8 +156,15 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         return f"{same_shape(local, draw)}@{same_shape(host, draw)}.example.com"
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
-    if kind in ("secret", "ipv6"):
-        return same_shape(canon, draw, all(c in "0123456789abcdef:" for c in canon))
+    if kind == "secret":
+        return same_shape(canon, draw, all(c in "0123456789abcdef" for c in canon))
+    if kind == "ipv6":  # zero groups stay and the others keep their digits; after some collisions, neither
+        new = []
+        for group in groups_of(canon):
+            size = min(4, len(f"{group:x}") + attempt // 4)
+            low = 16 ** (size - 1)
+            new.append(low + draw.below(16 ** size - low) if group or attempt >= 16 else 0)
+        return ipaddress.IPv6Address(":".join(f"{x:x}" for x in new)).compressed
     if kind == "iban":
         return canon[:2] + same_shape(canon[2:], draw)
     if kind == "card":
@@ -159,11 +183,32 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
     return "".join(syllables[draw.below(len(syllables))] for _ in range(n)) + endings[draw.below(len(endings))]
 
 
+def lay_ipv6(new: list[int], old: str) -> str:
+    """The groups written as in `old`: gap, zeros in front, dotted end and letter case; in full where the gap would hide one."""
+    front, gap, back = old.partition("::")
+    dotted = "." in old
+    before = [g for g in front.split(":") if g]
+    after = [g for g in back.split(":") if g]
+    last = after if gap else before
+    if dotted:
+        last[-1:] = ["", ""]  # two groups
+    if gap and any(new[len(before):8 - len(after)]):
+        before, gap, after = [""] * 8, "", []
+    texts = [f"{x:0{len(g) or 1}x}" for x, g in zip(new, before, strict=False)], [f"{x:0{len(g) or 1}x}" for x, g in zip(new[8 - len(after):], after, strict=True)]
+    if dotted:
+        end = texts[1] if gap else texts[0]
+        end[-2:] = [".".join(str(b) for x in new[-2:] for b in divmod(x, 256))]
+    out = ":".join(texts[0]) + gap + ":".join(texts[1])
+    return out.upper() if any(c.isupper() for c in old) else out
+
+
 def lay(kind: str, new: str, old: str) -> str:
     """The canonical replacement in the format of an occurrence."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in old)
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(digits))) if c.isdecimal() else c for c in old)
+    if kind == "ipv6":
+        return lay_ipv6(groups_of(new), old)
     if kind == "iban":
         chars = iter(new)
         new = "".join(c if c == " " else next(chars) for c in old)
@@ -228,7 +273,8 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     names = assign(found, key)
     entry = F.struct("kind", "canon", "surrogate")
     by_text = stage(found.join(names, ["kind", "canon"]).groupBy("text_key").agg(F.collect_list(entry).alias("new_names")), "pii-by-text")
-    small = found.count() <= BROADCAST_ROWS
+    size = "aggregate(new_names, 64L, (n, e) -> n + 64 + octet_length(e.kind) + octet_length(e.canon) + octet_length(e.surrogate))"
+    small = (by_text.agg(F.sum(F.expr(size))).first()[0] or 0) <= BROADCAST_BYTES
     fields = [c for c in docs.columns if c not in ("n_replaced", "new_names", "text_key")]
     source = docs.select(*fields).withColumn("text_key", F.xxhash64("text"))
     joined = source.join(F.broadcast(by_text) if small else by_text, "text_key", "left").drop("text_key")

@@ -136,6 +136,31 @@ def test_surrogates_are_distinct_consistent_and_formatted(spark, documents, no_d
     assert rows_of(pii.replace(documents), "doc_id").__len__() == documents.count() and pii.replace(no_documents).count() == 0
 
 
+def test_entities_are_found_whole_in_every_spelling(spark):
+    long = "aB3xQ7" * 40
+    cases = [
+        (f"token={long} end", {"aB3xQ7"}), ("Call +٩٦٦ ٥٠١ ٢٣٤ ٥٦٧ now", {"٥٠١ ٢٣٤"}), ("access_token=abcdef123456", {"abcdef123456"}),
+        ("client_secret: 'qwertyuiopas'", {"qwertyuiopas"}), ("DB_PASSWORD=zxcvbnmasdfgh", {"zxcvbnmasdfgh"}), ("appToken=abcdefabcdef", {"abcdefabcdef"}),
+        ("AWS_SECRET_ACCESS_KEY=abcdabcdabcd", {"abcdabcdabcd"}), ("host dead:beef::cafe up", {"dead", "beef", "cafe"}), ("addr:2001:DB8::ff/64: no", {"DB8"}),
+        ("see ::ffff:192.0.2.177", {"192", "177"}), ("Ms Ann Maria Lee Smith came; Smith and Maria left", {"Ann", "Maria", "Lee", "Smith"}),
+        ("Mr McDonald met Frau Anne-Marie-Luise O’Brien", {"Donald", "Anne", "Luise", "Brien"}), (f"{'verylong' * 20}@mail.com wrote", {"verylong"}),
+        ("mail k@aa.bb.cc.dd.ee.ff.gg.hh.ii", {"hh", "ii"}), ("token=abcdefghijkl.foo@bar.com", {"abcdefghijkl", "foo", "bar"}),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(docs).collect()}
+    for i, (text, private) in enumerate(cases):
+        assert got[i].n_replaced and not [w for w in private if w in got[i].text], (text, got[i].text)
+    assert got[0].text[6:-4].isalnum() and len(got[0].text) == len(cases[0][0]) and got[0].text.endswith(" end")
+    assert [k for *_, k, _ in pii.entities(got[1].text)] == ["phone"] and got[1].text[5:].strip("+ now").replace(" ", "").isdecimal() and not any(c in got[1].text for c in "0123456789")
+    plain = "std::vector at 12:30:45, x :: y, 1:2:3:4:5:6:7:8:9"
+    assert pii.entities(plain) == []
+    spellings = ["2001:db8::1", "2001:DB8:0:0:0:0:0:1", "2001:0db8:0000:0000:0000:0000:0000:0001"]
+    assert len({pii.entities(t)[0][2:] for t in spellings}) == 1
+    for attempt in (0, 5, 17):
+        new = pii.surrogate("ipv6", "2001:db8::1", attempt, b"k")
+        assert {pii.entities(pii.lay("ipv6", new, t))[0][3] for t in spellings} == {new}
+
+
 def test_colliding_draws_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda kind, canon, attempt, key: str(int(canon) // 2 + attempt))
     found = spark.createDataFrame([("ssn", str(i)) for i in range(10, 16)], "kind string, canon string")
