@@ -6,8 +6,9 @@ the sum of its words' log-probabilities and the language's log-prior; the predic
 
 Words are runs of letters in lower case, with the vocabulary's mark of a word's start. A character without a piece counts as one unknown
 piece. Probabilities are learned by expectation-maximisation (forward-backward) on word counts of a sample of labelled documents: about
-`SAMPLE_DOCS` for each language, drawn by a hash of the id, of at most `MAX_LANGS` languages, the most frequent ones. Spark counts words and
-adds expected piece counts; the driver holds the table of languages by pieces only.
+`SAMPLE_DOCS` for each language, drawn by a hash of the id. Every language is learned. Spark counts words and adds expected piece counts; the
+driver holds the pieces that each language uses, and tables of pieces by languages exist for `BLOCK` languages at a time only, in learning and
+in scoring, where the best language and the sum of the likelihoods are carried from block to block.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and all texts if nothing was learned; a null id counts as the
 empty text for the fold. Repeated rows get equal predictions; an empty table gives an empty table; further columns are ignored.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -31,7 +33,8 @@ from riskloom.llm.tries import Trie
 from riskloom.session import stage
 
 SAMPLE_DOCS = 1500
-MAX_LANGS = 256
+#: Languages whose table of pieces is held at once.
+BLOCK = 64
 ROUNDS = 4
 #: Added to each piece's expected count.
 SMOOTH = 0.05
@@ -40,6 +43,9 @@ START = "▁"
 #: Words beyond this many characters are scored in parts of this size.
 LONG = 24
 CACHE = 120_000
+#: Word scores (words by languages) that are kept, and strings by languages scored at once.
+CELLS = 4_000_000
+CHUNK = 65_536
 SLICE = 500_000
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -128,10 +134,20 @@ def expected_counts(lattice: Lattice, langs: np.ndarray, weights: np.ndarray, pr
 
 
 @dataclass
-class Model:
+class Block:
+    """Some languages: log-priors, the probability of a piece that a language does not use, and those of used pieces (piece, language, value)."""
+
     langs: list[str]
     prior: np.ndarray
-    probs: np.ndarray
+    floor: np.ndarray
+    piece: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def probs(self, n_pieces: int) -> np.ndarray:
+        out = np.tile(self.floor, (n_pieces, 1))
+        out[self.piece, self.at] = self.value
+        return out
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -152,71 +168,120 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             .groupBy("lang", "part").agg(F.sum("n").alias("n")))
 
 
-def learn(labelled: DataFrame, path: str) -> Model:
+def learn(labelled: DataFrame, path: str) -> list[Block]:
     """Model from rows (doc_id, lang, text), none of them null but perhaps the id."""
     spark = labelled.sparkSession
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros(0), np.zeros((1, 0)))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_DOCS / sizes[lang])))])
+        return []
+    share = spark.createDataFrame([(lang, i // BLOCK, min(1.0, SAMPLE_DOCS / sizes[lang])) for i, lang in enumerate(langs)], "lang string, block int, share double")
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) / 1e6
-    sample = labelled.filter(F.col("lang").isin(langs) & (draw < F.element_at(share, F.col("lang"))))
-    counts = stage(word_counts(sample), "langid-words")
+    sample = labelled.join(F.broadcast(share.select("lang", "share")), "lang").filter(draw < F.col("share"))
+    # rows of a block lie together, so that its rounds skip most others
+    counts = stage(word_counts(sample).join(F.broadcast(share.select("lang", "block")), "lang").sortWithinPartitions("block"), "langid-words")
     vocabulary = read_pieces(path)
-    n_pieces, n_langs = len(vocabulary.names), len(langs)
+    n_pieces = len(vocabulary.names)
     names = spark.sparkContext.broadcast(vocabulary.names)
-    place = {lang: i for i, lang in enumerate(langs)}
-    probs = np.full((n_pieces, n_langs), 1 / n_pieces)
-
-    def one_round(current: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(current)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces, total = Pieces(names.value), np.zeros_like(shared.value)
-            for batch in batches:
-                at = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-                parts = batch.column("part").to_pylist()
-                for i in range(0, len(parts), 8192):
-                    total += expected_counts(pieces.lattice(parts[i:i + 8192]), at[i:i + 8192],
-                                             batch.column("n").to_numpy()[i:i + 8192].astype(float), shared.value)
-            p, g = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(g), pa.array(total[p, g])], ["piece", "at", "n"])
-
-        got = (counts.mapInArrow(tidy(run), "piece long, at long, n double").groupBy("piece", "at").agg(F.sum("n").alias("n"))).toPandas()
-        out = np.full(current.shape, SMOOTH)
-        out[got["piece"], got["at"]] += got["n"]
-        return out / out.sum(axis=0)
-
-    for _ in range(ROUNDS):
-        probs = one_round(probs)
     total = sum(sizes.values())
-    return Model(langs, np.log([sizes[lang] / total for lang in langs]), probs)
-
 
-class Scorer:
-    def __init__(self, names: list[str], model: Model):
-        self.pieces, self.model = Pieces(names), model
+    def learn_block(number: int, own: list[str]) -> Block:
+        place = {lang: i for i, lang in enumerate(own)}
+        rows = counts.filter(F.col("block") == number).select("lang", "part", "n")
+
+        def one_round(current: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+            shared = spark.sparkContext.broadcast(current)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                pieces, used = None, None
+                for batch in batches:
+                    if pieces is None:
+                        pieces, used = Pieces(names.value), np.zeros_like(shared.value)
+                    at = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+                    parts = batch.column("part").to_pylist()
+                    for i in range(0, len(parts), 8192):
+                        used += expected_counts(pieces.lattice(parts[i:i + 8192]), at[i:i + 8192],
+                                                batch.column("n").to_numpy()[i:i + 8192].astype(float), shared.value)
+                p, g = np.nonzero(used) if used is not None else (np.zeros(0, np.int64),) * 2
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(g), pa.array(used[p, g] if len(p) else np.zeros(0))], ["piece", "at", "n"])
+
+            got = (rows.mapInArrow(tidy(run), "piece long, at long, n double").groupBy("piece", "at").agg(F.sum("n").alias("n"))).toPandas()
+            shared.destroy()
+            out = np.full(current.shape, SMOOTH)
+            out[got["piece"], got["at"]] += got["n"]
+            return out / out.sum(axis=0), got
+
+        probs = np.full((n_pieces, len(own)), 1 / n_pieces)
+        for _ in range(ROUNDS):
+            probs, got = one_round(probs)
+        piece, at = got["piece"].to_numpy(np.int32), got["at"].to_numpy(np.int32)
+        # a piece without an expected use has the least probability
+        return Block(own, np.log([sizes[lang] / total for lang in own]), probs.min(axis=0), piece, at, probs[piece, at])
+
+    return [learn_block(i // BLOCK, langs[i:i + BLOCK]) for i in range(0, len(langs), BLOCK)]
+
+
+class BlockScorer:
+    """Sums of word scores under a block's languages."""
+
+    def __init__(self, pieces: Pieces, block: Block):
+        self.pieces, self.block = pieces, block
+        self.probs: np.ndarray | None = None
+        self.forget()
+
+    def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.langs)))
+        self.scores = np.zeros((0, len(self.block.langs)))
+
+    def make_room(self) -> None:
+        if len(self.place) > min(CACHE, CELLS // len(self.block.langs)):
+            self.forget()
+
+    def release(self) -> None:
+        self.forget()
+        self.probs = None
 
     def learn(self, words: set[str]) -> None:
-        if len(self.place) > CACHE:
-            self.place.clear()
-            self.scores = self.scores[:0]
+        width = len(self.block.langs)
+        if self.probs is None:
+            self.probs = self.block.probs(len(self.pieces.names))
         new = sorted((w for w in words if w not in self.place), key=len)
-        for i in range(0, len(new), 4096):
+        step, got = max(16, min(4096, CHUNK // width)), [self.scores]
+        for i in range(0, len(new), step):
             parts, owner = [], []
-            for k, word in enumerate(new[i:i + 4096]):
+            for k, word in enumerate(new[i:i + step]):
                 own = parts_of(word)
                 parts += own
                 owner += [k] * len(own)
-            logs = forward(self.pieces.lattice(parts), self.model.probs)
-            sums = np.zeros((len(new[i:i + 4096]), logs.shape[1]))
+                self.place[word] = len(self.place)
+            logs = np.vstack([forward(self.pieces.lattice(parts[j:j + step]), self.probs) for j in range(0, len(parts), step)])
+            sums = np.zeros((len(new[i:i + step]), width))
             np.add.at(sums, np.array(owner), logs)
-            for k, word in enumerate(new[i:i + 4096]):
-                self.place[word] = len(self.scores) + k
-            self.scores = np.vstack([self.scores, sums])
+            got.append(sums)
+        if new:
+            self.scores = np.vstack(got)
+
+    def sums(self, split: list[list[str]]) -> Iterator[np.ndarray]:
+        """For each list of words: log-likelihoods and log-priors added up."""
+        most = max(1, CELLS // len(self.block.langs))
+        at_once = sum(map(len, split)) <= most
+        self.make_room()
+        if at_once:
+            self.learn({w for words in split for w in words})
+        for words in split:
+            logs = np.zeros(len(self.block.langs))
+            for i in range(0, len(words), most):
+                if not at_once:
+                    self.make_room()
+                    self.learn(set(words[i:i + most]))
+                logs += self.scores[[self.place[w] for w in words[i:i + most]]].sum(axis=0)
+            yield logs + self.block.prior
+
+
+class Scorer:
+    def __init__(self, names: list[str], model: list[Block]):
+        pieces = Pieces(names)
+        self.blocks = [BlockScorer(pieces, block) for block in model]
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         at = 0
@@ -226,15 +291,22 @@ class Scorer:
                 size += len(texts[end] or "")
                 end += 1
             split = [words_of(t) if t else [] for t in texts[at:end]]
-            if self.model.langs:
-                self.learn({w for ws in split for w in ws})
-            for words in split:
-                if not words or not self.model.langs:
-                    yield UNKNOWN, 0.0
-                    continue
-                logs = self.scores[[self.place[w] for w in words]].sum(axis=0) + self.model.prior
-                best = int(np.argmax(logs))
-                yield self.model.langs[best], float(1 / np.exp(logs - logs[best]).sum())
+            found = [(UNKNOWN, -np.inf, 0.0)] * len(split)  # language, its score, sum of all likelihoods as multiples of its own
+            for scorer in self.blocks:
+                for k, logs in enumerate(scorer.sums(split)):
+                    if not split[k]:
+                        continue
+                    best = int(np.argmax(logs))
+                    lang, top, total = found[k]
+                    own = np.exp(logs - logs[best]).sum()
+                    if logs[best] > top:
+                        found[k] = scorer.block.langs[best], logs[best], own + total * np.exp(top - logs[best])
+                    else:
+                        found[k] = lang, top, total + own * np.exp(logs[best] - top)
+                if len(self.blocks) > 1:
+                    scorer.release()
+            for lang, _, total in found:
+                yield lang, float(1 / total) if total else 0.0
             at = end
 
 

@@ -109,6 +109,24 @@ def test_language_is_learned_from_the_other_folds_only(spark, documents, no_docu
     assert langid.identify(documents, PIECES).count() == documents.count()
 
 
+def test_every_language_is_learned_in_any_blocks(spark, monkeypatch):
+    letters = "abcdefghijklmnopqr"
+    words = {f"l{i:03d}": f"{letters[i // 18] * 3}{letters[i % 18] * 4}" for i in range(300)}
+    rows = [(100 * i + k, lang, f"{word} {word} {word} {word}") for i, (lang, word) in enumerate(words.items()) for k in range(8 if i < 290 else 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    monkeypatch.setattr(langid, "ROUNDS", 1)
+    labelled = docs.filter(~langid.held_out(docs.doc_id))
+    got = {}
+    for block, cells in ((128, 300), (1000, langid.CELLS)):  # a text in parts of two words, and all at once
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "CELLS", cells)
+        model = langid.learn(labelled, PIECES)
+        assert [x for b in model for x in b.langs] == sorted(words)
+        got[block] = list(langid.Scorer(langid.read_pieces(PIECES).names, model).predict([f"{w} {w} {w} {w}" for w in words.values()] + [None, "12"]))
+    assert [x for x, _ in got[128]] == [*words, "und", "und"] == [x for x, _ in got[1000]]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got[128], got[1000], strict=True))
+
+
 def test_surrogates_are_distinct_consistent_and_formatted(spark, documents, no_documents):
     rows = [(i, f"Call +1 ({200 + i}) 555-01{i:02d} or u{i}@mail.example.com, card 4111 1111 1111 1111.") for i in range(40)]
     rows += [(100, "Ms Ann Lee wrote. Later Lee left; Herr Braun saw LEE@X.EXAMPLE.COM!! and lee@x.example.com."), (101, "Госпожа Иванова пришла"),
