@@ -3,12 +3,12 @@
 Vectors are first brought onto a sphere (a further component fills each up to the largest length, so that the largest inner product is the
 nearest direction). On a sample of `SAMPLE` rows, principal components and then several rotations are learned that keep the loss of taking
 signs small (iterative quantisation); the signs under all rotations are a vector's code. Codes are cut into substrings of 8 bits, and each
-substring has an index from its 256 values to the rows that hold them. A search within Hamming radius R = r * m + a over m substrings probes,
+value of a query's substring is compared with that substring of all rows of a shard (no posting lists are kept). A search within Hamming radius R = r * m + a over m substrings probes,
 by the pigeonhole principle, radius r in the first a + 1 substrings and r - 1 in the others, and so misses no code within R; codes found are
 checked against R and reranked by inner products in double precision. R is the radius that holds `COVER` of the sample's true neighbours.
 Queries that find fewer than k within R are searched again with the radius of all bits.
 
-Queries meet shards in tiles (`tiles.py`); each tile builds the indexes of its shard.
+Queries meet shards in tiles (`tiles.py`); each tile computes the codes of its shard.
 
 Defined results: ids or vectors that are null, zero vectors, empty vectors and vectors with null or non-finite components take no part.
 Vectors are compared with those of their own length; lengths that the sample lacks are searched exhaustively. A repeated id counts once,

@@ -1,15 +1,15 @@
 """Removal of repeated substrings: every byte covered by a string of `LENGTH` bytes that also starts anywhere else.
 
-The suffixes that can matter are found first, then the transforms of the shards they come from are merged by interleave refinement.
+The suffixes that can matter are found first, then they are refined by their next symbols. No transform of a shard is built, and none are
+merged; only the refinement of intervals is taken from merging such transforms.
 
 1. Anchors. Each window of LENGTH bytes has an anchor, the leftmost of its grams with the smallest hash; equal windows have equal anchors at
    equal places. The windows of an anchor fall into two bundles by the anchor's place in them. All windows of a bundle contain its core, equal
    windows have equal cores; the bundle's hull spans all of them. Equal hulls: all their windows repeat. A core seen once: none does.
    So only bundles whose core occurs with different hulls have to be refined, one text for each different hull.
-2. Merge. A task gets bundles by core, so that whatever can match meets. Each shard's part is a column of symbols in text order (a symbol is the
-   hash of the next `STRIDE` bytes; the symbol before a suffix is its entry in the shard's transform). Starting from one interval of all suffixes,
-   each round puts a suffix behind the symbol before it and so refines the interleave of all shards by one symbol: suffixes with equal symbol and
-   equal interval after it share the next interval, whose common prefix is STRIDE longer. Intervals of one suffix are dropped. After
+2. Merge. A task gets bundles by core, so that whatever can match meets, and holds their hulls as one array. A symbol is the hash of the next
+   `STRIDE` bytes. Starting from one interval of all suffixes, each round groups hashes: suffixes with equal symbol and equal interval after it
+   share the next interval, whose common prefix is STRIDE longer. Intervals of one suffix are dropped. After
    LENGTH / STRIDE rounds intervals of two suffixes or more are the repeats. No suffixes are sorted by their text.
 3. A core with more than `MERGED_HULLS` hulls (a passage in a great many contexts) is not merged in one task: its bundles are cut into narrower
    ones, whose cores are longer, and go through step 1 again; bundles of one window are settled there.
