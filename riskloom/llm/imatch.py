@@ -34,8 +34,8 @@ SUBSETS, FULL_BITS = 64, 6
 FEW_HASHES = 16
 #: Lexicons up to this many terms go to every executor (about 100 bytes a term).
 SMALL_TERMS = 1_000_000
-#: Text in a bucket of neighbouring ids, about.
-BUCKET_BYTES = 32_000_000
+#: Text in a bucket of neighbouring ids, about, and rows at least.
+BUCKET_BYTES, MIN_BUCKET_ROWS = 32_000_000, 50
 LOWEST = -(2 ** 63)
 
 
@@ -121,7 +121,7 @@ def _bucket(k: Column, edges: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(at + s <= len(edges), F.when(F.get(values, at + s - 1) < k, at + s).otherwise(at)).otherwise(at))
 
 
-def neighbours(docs: DataFrame, columns: list[str]) -> DataFrame:
+def neighbours(docs: DataFrame, columns: list[str], bucket_rows: int | None = None) -> DataFrame:
     """`docs` (doc_id, text without nulls, ...) with `bucket`, `place` (unique inside it) and `next_text`, that of the next smaller id.
 
     After the last document comes the first; nulls count as the smallest id. Few numbers of cut points come to the driver: one for each
@@ -129,7 +129,7 @@ def neighbours(docs: DataFrame, columns: list[str]) -> DataFrame:
     """
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     facts = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
-    wanted = int(max(1, min(max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), facts["bytes"] // BUCKET_BYTES), facts["n"] // 50)))
+    wanted = int(max(1, min(max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), facts["bytes"] // BUCKET_BYTES), facts["n"] // (bucket_rows or MIN_BUCKET_ROWS))))
     cuts = []
     if wanted > 1:
         shares = [i / wanted for i in range(1, wanted)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, exact_search, imatch, jaccard, langid, mixing, pii, repeats, resampling, toxicity
+from riskloom.llm import ann, bpe, exact_search, imatch, jaccard, langid, lexical, mixing, pii, repeats, resampling, toxicity, variants
 from riskloom.session import tune
 
 #: Vocabulary files of public tokenizers; another folder can be set on the session.
@@ -84,6 +84,15 @@ def op11_imatch(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text")
+    return lexical.top_documents(docs, items, 10)
+
+
 OP9_SQL = """
 WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN min(embedding)] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
@@ -93,5 +102,6 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
 
 QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_ann": op3_ann, "op4_pii": op4_pii, "op5_repeats": op5_repeats, "op6_resampling": op6_resampling, "op7_mixing": op7_mixing, "op8_langid": op8_langid,
-                             "op9_exact_search": op9_exact_search, "op10_jaccard": op10_jaccard, "op11_imatch": op11_imatch}
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL, "op11_imatch": imatch.fingerprint_sql()}
+                             "op9_exact_search": op9_exact_search, "op10_jaccard": op10_jaccard, "op11_imatch": op11_imatch, "op12_variants": op12_variants, "op13_lexical": op13_lexical}
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_exact_search": OP9_SQL, "op11_imatch": imatch.fingerprint_sql(),
+                           "op13_lexical": lexical.top_documents_sql()}
