@@ -154,19 +154,38 @@ def shared_devices(device_use: DataFrame, min_customers: int = 2) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
-    """Fewest directed transfers from source to target, with the smallest such path, for all pairs at once."""
-    out = edges.select(F.col("source").alias("at"), F.col("target").alias("next")).filter("at <> next")
-    seeds = pairs.filter("source <> target").select("source").distinct()
-    seen = seeds.select("source", F.col("source").alias("at"), F.array("source").alias("path"), F.lit(0).alias("hops"))
-    frontier = seen
-    for d in range(1, max_hops + 1):
-        step = (frontier.join(out, "at").select("source", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
-                .groupBy("source", "at").agg(F.min("path").alias("path")).withColumn("hops", F.lit(d)))
-        frontier = stage(step.join(seen.select("source", "at"), ["source", "at"], "left_anti").select("source", "at", "path", "hops"), f"path{d}")
-        if frontier.isEmpty():
+    """Fewest directed transfers from source to target, with the smallest such path, for all pairs at once.
+
+    Levels grow from both ends in turn and meet on (pair, account), so that `max_hops` hops take half as many levels of either side. A pair that has met
+    is closed, and only the ends of open pairs grow on. On a shortest path the i-th account is i hops from the source and the rest from the target, so
+    the newest levels alone decide, and the smallest path is the smallest meeting of smallest halves.
+    """
+    out = stage(edges.select(F.col("source").alias("at"), F.col("target").alias("next")).filter("at <> next").distinct(), "transfer-steps")
+    back = out.select(F.col("next").alias("at"), F.col("at").alias("next"))
+    open_ = stage(pairs.filter("source <> target").select("source", "target").distinct(), "open-pairs")
+    grown = {}
+    for end in ("source", "target"):
+        start = open_.select(F.col(end).alias("end"), F.col(end).alias("at"), F.array(end).alias("path")).distinct()
+        grown[end] = (start, start.select("end", "at"))
+    found = None
+    for hops in range(1, max_hops + 1):
+        end, steps = ("source", out) if hops % 2 else ("target", back)
+        front, seen = grown[end]
+        step = (front.join(open_.select(F.col(end).alias("end")).distinct(), "end", "left_semi").join(steps, "at")
+                .select("end", F.col("next").alias("at"), (F.array_append("path", F.col("next")) if end == "source" else F.array_prepend("path", F.col("next"))).alias("path"))
+                .groupBy("end", "at").agg(F.min("path").alias("path")))
+        front = stage(step.join(seen, ["end", "at"], "left_anti").select("end", "at", "path"), f"path{hops}")
+        grown[end] = (front, seen.unionByName(front.select("end", "at")))
+        ahead = grown["source"][0].select(F.col("end").alias("source"), "at", F.col("path").alias("head"))
+        behind = grown["target"][0].select(F.col("end").alias("target"), "at", F.col("path").alias("tail"))
+        met = (open_.join(ahead, "source").join(behind, ["target", "at"])
+               .groupBy("source", "target").agg(F.min(F.concat("head", F.slice("tail", 2, max_hops + 1))).alias("path")).withColumn("hops", F.lit(hops)))
+        met = stage(met.select("source", "target", "path", "hops"), f"met{hops}")
+        found = met if found is None else found.unionByName(met)
+        open_ = stage(open_.join(met, ["source", "target"], "left_anti"), "open-pairs")
+        if open_.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return pairs.join(seen.filter("hops > 0").withColumnRenamed("at", "target"), ["source", "target"])
+    return found
 
 
 def connected_accounts(edges: DataFrame, accounts: DataFrame, device_use: DataFrame, seeds: DataFrame, max_hops: int = 2,
@@ -204,26 +223,44 @@ def connected_accounts(edges: DataFrame, accounts: DataFrame, device_use: DataFr
     return kept.join(name, ["seed", "account_id"], "left").select("seed", "account_id", "hops", via.alias("via"), "rank")
 
 
+def peeled(edges: DataFrame) -> DataFrame:
+    """(source, target) without accounts that lack an edge in or out: they are dropped until none is left."""
+    e = stage(edges.filter("source <> target").select("source", "target").distinct(), "cycle-edges")
+    n = e.count()
+    while n:
+        both = e.select(F.col("source").alias("a")).distinct().join(e.select(F.col("target").alias("a")).distinct(), "a", "left_semi")
+        e = stage(e.join(both, e.source == both.a, "left_semi").join(both, e.target == both.a, "left_semi"), "cycle-edges")
+        before, n = n, e.count()
+        if n == before:
+            break
+    return e
+
+
 def candidate_cycles(edges: DataFrame, max_len: int, since: datetime | None) -> DataFrame:
     """Simple directed cycles of 2..max_len accounts, rotated to the smallest account, each once.
 
-    Paths start at the smallest account of their cycle, so each cycle is built once. Accounts that do not both send and
-    receive are pruned first.
+    Accounts that can be on no cycle are peeled off first. A cycle is two half paths from its smallest account, one along the transfers and one against
+    them, that meet on both end points; so paths of half the length are all that is built without a closing edge.
     """
-    e = live(edges, since).filter("source <> target").select("source", "target")
-    for _ in range(2):
-        both = e.select(F.col("source").alias("a")).distinct().join(e.select(F.col("target").alias("a")).distinct(), "a", "left_semi")
-        e = e.join(both, e.source == both.a, "left_semi").join(both, e.target == both.a, "left_semi")
-    e = stage(e, "cycle-edges")
-    paths = e.filter("source < target").select(F.array("source", "target").alias("path"), F.col("source").alias("start"), F.col("target").alias("last"))
+    e = peeled(live(edges, since))
+
+    def halves(step: DataFrame, hops: int, name: str) -> list[DataFrame]:
+        """Simple paths of 1..hops edges from accounts smaller than all others on the path: (start, last, path without start)."""
+        paths = [step.filter(F.col("next") > F.col("at")).select(F.col("at").alias("start"), F.col("next").alias("last"), F.array("next").alias("path"))]
+        for d in range(2, hops + 1):
+            further = paths[-1].join(step, F.col("last") == F.col("at")).filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
+            paths.append(stage(further.select("start", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path")), f"{name}{d}"))
+        return paths
+
+    ahead = halves(e.select(F.col("source").alias("at"), F.col("target").alias("next")), (max_len + 1) // 2, "ahead")
+    behind = halves(e.select(F.col("target").alias("at"), F.col("source").alias("next")), max_len // 2, "behind")
     found = None
     for length in range(2, max_len + 1):
-        back = e.select(F.col("source").alias("last"), F.col("target").alias("start"))
-        closed = paths.join(back, ["last", "start"], "left_semi").select(F.col("path").alias("cycle"), F.lit(length).alias("length"))
+        there, back = ahead[(length + 1) // 2 - 1], behind[length // 2 - 1].withColumnRenamed("path", "way_back")
+        rest = F.slice(F.reverse("way_back"), 2, max_len)
+        closed = (there.join(back, ["start", "last"]).filter(~F.arrays_overlap("path", rest))
+                  .select(F.concat(F.array("start"), "path", rest).alias("cycle"), F.lit(length).alias("length")))
         found = closed if found is None else found.unionByName(closed)
-        if length < max_len:
-            step = paths.join(e, paths.last == e.source).filter((F.col("target") > F.col("start")) & ~F.array_contains("path", F.col("target")))
-            paths = stage(step.select(F.array_append("path", F.col("target")).alias("path"), "start", F.col("target").alias("last")), f"paths{length}")
     return found
 
 
@@ -409,21 +446,29 @@ def flow_subgraph(edges: DataFrame, accounts: DataFrame, alerts: DataFrame, seed
 CLUSTER_KINDS = ("customer", "account", "device", "phone", "email", "address")
 
 
-def suspicious_clusters(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 2, max_members: int = 400
-                        ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Neighbourhood of 2 x hops over six node kinds: members, induced edges, and the summary per seed customer."""
+def suspicious_clusters(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neighbourhood of 2 x hops over six node kinds: all members, induced edges, and the summary per seed customer.
+
+    Sizes, flags and density are those of whole neighbourhoods; lists for display are cut by whoever shows them. Induced edges start at the end with
+    fewer edges, so that a busy member is not expanded.
+    """
     s = seeds.select(node("customer", F.col("customer_id")).alias("seed"))
-    members = stage(related(nodes, edges, s, 2 * max_hops, max_members, CLUSTER_KINDS, hub_kinds=(), spare_customers=False)
+    members = stage(related(nodes, edges, s, 2 * max_hops, None, CLUSTER_KINDS, hub_kinds=(), spare_customers=False).drop("truncated")
                     .join(nodes.select("id", "kind", "open_alert"), "id"), "members")
-    undirected = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).filter("a <> b").distinct()
+    deg = degrees(edges)
+    undirected = edges.select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).filter("x <> y").distinct()
+    weighed = (undirected.join(deg.select(F.col("id").alias("x"), F.col("degree").alias("dx")), "x").join(deg.select(F.col("id").alias("y"), F.col("degree").alias("dy")), "y"))
+    low = F.when(F.col("dx") <= F.col("dy"), F.struct(F.col("x").alias("low"), F.col("y").alias("high"))).otherwise(F.struct(F.col("y").alias("low"), F.col("x").alias("high")))
+    oriented = stage(weighed.select(low.alias("e")).select("e.low", "e.high"), "oriented-edges")
     ids = members.select("seed", "id")
-    inner = (undirected.join(ids.withColumnRenamed("id", "a"), "a").join(ids.withColumnRenamed("id", "b"), ["seed", "b"]).select("seed", "a", "b"))
+    inner = (ids.withColumnRenamed("id", "low").join(oriented, "low").join(ids.withColumnRenamed("id", "high"), ["seed", "high"], "left_semi")
+             .select("seed", F.least("low", "high").alias("a"), F.greatest("low", "high").alias("b")))
     inner = stage(inner, "cluster-edges")
     m = inner.groupBy("seed").agg(F.count(F.lit(1)).alias("m"))
     summary = members.groupBy("seed").agg(
         F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("kind") == "customer", 1)).alias("customers"),
         F.count(F.when(F.col("kind") == "account", 1)).alias("accounts"), F.count(F.when(F.col("kind") == "device", 1)).alias("devices"),
-        F.count(F.when(F.col("open_alert"), 1)).alias("flagged"), F.max("truncated").alias("truncated"))
+        F.count(F.when(F.col("open_alert"), 1)).alias("flagged"))
     n = F.col("size")
     summary = summary.join(m, "seed", "left").withColumn(
         "density", F.when(n > 1, F.round(2.0 * F.coalesce("m", F.lit(0)) / (n * (n - 1)), 4)).otherwise(0.0)).drop("m")
@@ -439,11 +484,17 @@ def degree_centrality(members: DataFrame, inner: DataFrame, k: int = 5) -> DataF
     return top_k(c, ["seed"], [F.col("centrality").desc(), F.col("id")], k)
 
 
-def betweenness(inner: DataFrame, k: int = 5) -> DataFrame:
-    """Normalised shortest-path betweenness inside each cluster (at most 400 members), five largest.
+#: Clusters with more members are ranked by degree: the measure that is shown for them.
+BETWEENNESS_MEMBERS = 400
+
 
-    Path counting is not a join; each cluster is bounded, so one Python call per cluster does it with Brandes' method.
+def betweenness(inner: DataFrame, summary: DataFrame, k: int = 5) -> DataFrame:
+    """Normalised shortest-path betweenness inside each cluster of at most `BETWEENNESS_MEMBERS` members, five largest.
+
+    Path counting is not a join; each of these clusters is bounded, so one Python call per cluster does it with Brandes' method.
     """
+    inner = inner.join(summary.filter(F.col("size") <= BETWEENNESS_MEMBERS).select("seed"), "seed", "left_semi")
+
     def central(group):
         import pandas as pd
         adj: dict[str, list[str]] = {}

@@ -1,9 +1,6 @@
 """Queries over the transfer graph."""
 from __future__ import annotations
 
-from dataclasses import replace
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +8,9 @@ from riskloom.config import TRIAL_RULES
 from riskloom.operators import graph as g
 from riskloom.plans import risk
 from riskloom.plans.registry import oracle, query
-from riskloom.sources.generated import Bank
+from riskloom.sources.generated import PERIOD, Bank
 
-SINCE = datetime(2024, 1, 29)      # two days: sparse enough to list paths and cycles
-LATE = datetime(2024, 1, 30)
+SINCE = PERIOD.window_start
 EDGES = """edges AS (SELECT sender_account_id AS source, receiver_account_id AS target, count(*) AS n, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS total_usd,
   min(ts) AS first_ts, max(ts) AS last_ts FROM txn WHERE status = 'completed' AND sender_account_id IS NOT NULL AND receiver_account_id IS NOT NULL GROUP BY 1, 2)"""
 FLAGS = "flags AS (SELECT DISTINCT entity_id AS customer_id FROM alerts WHERE status = 'open')"
@@ -89,9 +85,9 @@ def _(b):
     return g.shared_devices(g.usage_edges(b.txn, b.accounts)[0])
 
 
-HOPS = 4
-PATHS = EDGES + f""",
-le AS (SELECT source, target FROM edges WHERE last_ts >= TIMESTAMP '{SINCE}' AND source <> target),
+HOPS = 6
+PATHS = EDGES + """,
+le AS (SELECT source, target FROM edges WHERE source <> target),
 pairs AS (SELECT DISTINCT sender_account_id AS source, receiver_account_id AS target FROM txn WHERE status = 'failed' AND sender_account_id IS NOT NULL AND receiver_account_id IS NOT NULL AND sender_account_id <> receiver_account_id),
 q0 AS (SELECT DISTINCT source, source AS node, [source] AS path, 0 AS hops FROM pairs)""" + "".join(f""",
 q{d} AS (SELECT * FROM q{d - 1} UNION ALL SELECT source, node, path, {d} FROM (SELECT q.source, e.target AS node, min(list_append(q.path, e.target)) AS path FROM q{d - 1} q JOIN le e ON e.source = q.node
@@ -103,7 +99,7 @@ def _(b):
     """Routes of money for every refused transfer's two accounts."""
     pairs = (b.txn.filter("status = 'failed' AND sender_account_id <> receiver_account_id")
              .select(F.col("sender_account_id").alias("source"), F.col("receiver_account_id").alias("target")).distinct())
-    p = g.shortest_paths(g.live(g.transfer_edges(b.txn, 0), SINCE), pairs, HOPS)
+    p = g.shortest_paths(g.transfer_edges(b.txn, 0), pairs, HOPS)
     return p.select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("hops").cast("long").alias("hops"))
 
 
@@ -116,34 +112,39 @@ SELECT seed, account_id, hops, via, rank FROM (SELECT *, row_number() OVER (PART
     UNION ALL SELECT seed, nxt, min(h), 'transfers', 1 + min(h) FROM (
       SELECT s.account_id AS seed, w.nxt, 1 AS h FROM accounts s JOIN wy w ON w.id = s.account_id
       UNION ALL SELECT s.account_id, v.nxt, 2 FROM accounts s JOIN wy w ON w.id = s.account_id JOIN wy v ON v.id = w.nxt) t WHERE nxt <> seed GROUP BY 1, 2) u GROUP BY 1, 2) x) y WHERE rank <= 100""",
-  EDGES + f""",
-le AS (SELECT * FROM edges WHERE last_ts >= TIMESTAMP '{LATE}'), wy AS (SELECT DISTINCT id, nxt FROM (SELECT source AS id, target AS nxt FROM le UNION ALL SELECT target, source FROM le) x WHERE id <> nxt),
-du AS (SELECT DISTINCT a.customer_id, device_id FROM txn t JOIN accounts a ON a.account_id = t.sender_account_id WHERE t.status = 'completed' AND device_id IS NOT NULL AND ts >= TIMESTAMP '{LATE}')""").replace("'transfers', 1 + min(h)", "'transfers', 1.5 + min(h)"))
+  EDGES + """,
+wy AS (SELECT DISTINCT id, nxt FROM (SELECT source AS id, target AS nxt FROM edges UNION ALL SELECT target, source FROM edges) x WHERE id <> nxt),
+du AS (SELECT DISTINCT a.customer_id, device_id FROM txn t JOIN accounts a ON a.account_id = t.sender_account_id WHERE t.status = 'completed' AND device_id IS NOT NULL)""").replace("'transfers', 1 + min(h)", "'transfers', 1.5 + min(h)"))
 def _(b):
-    late = b.txn.filter(F.col("ts") >= F.lit(LATE))
-    c = g.connected_accounts(g.live(g.transfer_edges(b.txn, 0), LATE), b.accounts, g.usage_edges(late, b.accounts)[0], b.accounts, 2, 100)
+    c = g.connected_accounts(g.transfer_edges(b.txn, 0), b.accounts, g.usage_edges(b.txn, b.accounts)[0], b.accounts, 2, 100)
     return c.withColumn("hops", F.col("hops").cast("long"))
 
 
-CYCLE_RULES = replace(TRIAL_RULES, cycle_length=3)
-CANDIDATES = f"""
-le AS (SELECT source, target FROM edges WHERE last_ts >= TIMESTAMP '{{since}}' AND source <> target),
-cand AS (SELECT [a.source, a.target] AS cycle, 2 AS length FROM le a JOIN le b ON b.source = a.target AND b.target = a.source WHERE a.source < a.target
-  UNION ALL SELECT [a.source, a.target, b.target], 3 FROM le a JOIN le b ON b.source = a.target JOIN le c ON c.source = b.target AND c.target = a.source
-  WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target)"""
 
 
-@query("gr07_candidate_cycles", oracle("txn", "SELECT array_to_string(cycle, '>') AS cycle, length FROM cand", EDGES + "," + CANDIDATES.replace("{since}", str(SINCE))))
+def cycles_of(length: int) -> str:
+    """SQL of the simple cycles of `length` accounts over `le`, from their smallest account on."""
+    names = ["e1.source", *[f"e{i}.target" for i in range(1, length)]]
+    steps = "".join(f" JOIN le e{i} ON e{i}.source = e{i - 1}.target" + (f" AND e{i}.target > e1.source AND e{i}.target NOT IN ({', '.join(names[1:i])})" if i < length else " AND e1.source = e%d.target" % length)
+                    for i in range(2, length + 1))
+    return f"SELECT [{', '.join(names)}] AS cycle, {length} AS length FROM le e1{steps} WHERE e1.source < e1.target"
+
+
+CANDIDATES = "le AS (SELECT source, target FROM edges WHERE last_ts >= {ws} AND source <> target),\ncand AS (" + "\nUNION ALL ".join(
+    cycles_of(n) for n in range(2, TRIAL_RULES.cycle_length + 1)) + ")"
+
+
+@query("gr07_candidate_cycles", oracle("txn", "SELECT array_to_string(cycle, '>') AS cycle, length FROM cand", EDGES + "," + CANDIDATES))
 def _(b):
-    c = g.candidate_cycles(g.transfer_edges(b.txn, 0), 3, SINCE)
+    c = g.candidate_cycles(g.transfer_edges(b.txn, 0), TRIAL_RULES.cycle_length, SINCE)
     return c.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
 @query("gr17_cycle_listing", oracle("txn", """
 SELECT array_to_string(c.cycle, '>') AS cycle, length, b.cycle IS NOT NULL AS time_ordered, u0 AS start_usd FROM cand c LEFT JOIN best b ON b.cycle = c.cycle""",
-    EDGES + "," + CANDIDATES.replace("{since}", "2024-01-21 00:00:00") + "," + risk.CYCLES3))
+    EDGES + "," + CANDIDATES + "," + risk.CYCLES))
 def _(b):
-    c = g.listed_cycles(g.transfer_edges(b.txn, 0), b.txn, b.period.window_start, b.period.end, CYCLE_RULES)
+    c = g.listed_cycles(g.transfer_edges(b.txn, 0), b.txn, b.period.window_start, b.period.end, TRIAL_RULES)
     return c.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.col("length").cast("long").alias("length"), "time_ordered", "start_usd")
 
 
@@ -151,12 +152,12 @@ def _(b):
 SELECT seed, array_to_string(path, '>') AS path, hops, min_usd, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops DESC, min_usd DESC, path) AS rank FROM (
   SELECT path[1] AS seed, path, hops, min_usd FROM f1 UNION ALL SELECT path[1], path, hops, min_usd FROM f2 UNION ALL SELECT path[1], path, hops, min_usd FROM f3) x) y WHERE rank <= 50""",
   EDGES + f""",
-le AS (SELECT * FROM edges WHERE last_ts >= TIMESTAMP '{LATE}'),
+le AS (SELECT * FROM edges WHERE last_ts >= TIMESTAMP '{SINCE}'),
 f1 AS (SELECT [source, target] AS path, target AS node, 1 AS hops, total_usd AS min_usd, first_ts FROM le JOIN accounts ON account_id = source WHERE source <> target),
 f2 AS (SELECT list_append(path, target) AS path, target AS node, 2 AS hops, least(min_usd, total_usd) AS min_usd, e.first_ts FROM f1 JOIN le e ON e.source = node WHERE NOT list_contains(path, target) AND e.last_ts >= f1.first_ts),
 f3 AS (SELECT list_append(path, target) AS path, target AS node, 3 AS hops, least(min_usd, total_usd) AS min_usd, e.first_ts FROM f2 JOIN le e ON e.source = node WHERE NOT list_contains(path, target) AND e.last_ts >= f2.first_ts)"""))
 def _(b):
-    t = g.trace_funds(g.transfer_edges(b.txn, 0), b.accounts, "out", 3, LATE, 50)
+    t = g.trace_funds(g.transfer_edges(b.txn, 0), b.accounts, "out", 3, SINCE, 50)
     return t.select("seed", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.col("hops").cast("long").alias("hops"), "min_usd", "rank")
 
 
@@ -172,11 +173,11 @@ seeds AS (SELECT concat('customer:', customer_id) AS seed FROM flags),
 c0 AS (SELECT seed, seed AS id, 0 AS hops FROM seeds)""" + "".join(f""",
 c{d} AS (SELECT * FROM c{d - 1} UNION ALL SELECT DISTINCT c.seed, k.nxt, {d} FROM c{d - 1} c JOIN kept k ON k.id = c.id WHERE c.hops = {d - 1} {"AND c.id NOT IN (SELECT id FROM big)" if d > 1 else ""}
   AND NOT EXISTS (SELECT 1 FROM c{d - 1} s WHERE s.seed = c.seed AND s.id = k.nxt))""" for d in range(1, 5)) + """,
-members AS (SELECT seed, id, reached > 400 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, id) AS rn, count(*) OVER (PARTITION BY seed) AS reached FROM c4) x WHERE rn <= 400),
+members AS (SELECT seed, id FROM c4),
 und AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM pe WHERE source <> target),
 inn AS (SELECT m.seed, u.a, u.b FROM und u JOIN members m ON m.id = u.a JOIN members k ON k.seed = m.seed AND k.id = u.b),
 summary AS (SELECT m.seed, count(*) AS size, count(*) FILTER (id LIKE 'customer:%') AS customers, count(*) FILTER (id LIKE 'account:%') AS accounts, count(*) FILTER (id LIKE 'device:%') AS devices,
-  count(*) FILTER (id IN (SELECT concat('customer:', customer_id) FROM flags)) AS flagged, bool_or(truncated) AS truncated FROM members m GROUP BY 1)"""
+  count(*) FILTER (id IN (SELECT concat('customer:', customer_id) FROM flags)) AS flagged FROM members m GROUP BY 1)"""
 
 
 @query("gr09_suspicious_cluster", oracle(PVIEWS, """
@@ -196,7 +197,8 @@ def _(b):
 
 @query("gr09_betweenness")
 def _(b):
-    return g.betweenness(clusters(b)[1])
+    _, inner, summary = clusters(b)
+    return g.betweenness(inner, summary)
 
 
 COUNTER = "SELECT DISTINCT customer_id, other FROM (SELECT a.customer_id, e.target AS other FROM edges e JOIN accounts a ON a.account_id = e.source WHERE last_ts >= {ws} UNION ALL SELECT a.customer_id, e.source FROM edges e JOIN accounts a ON a.account_id = e.target WHERE last_ts >= {ws}) x WHERE NOT EXISTS (SELECT 1 FROM accounts o WHERE o.account_id = x.other AND o.customer_id = x.customer_id)"
@@ -208,7 +210,7 @@ def _(b):
 
 
 TWO = EDGES + """,
-le AS (SELECT source, target, n, total_usd FROM edges WHERE last_ts >= TIMESTAMP '2024-01-29 00:00:00'),
+le AS (SELECT source, target, n, total_usd FROM edges WHERE last_ts >= {ws}),
 touch AS (SELECT source AS account_id, target AS other, 'out' AS direction, n, total_usd FROM le UNION ALL SELECT target, source, 'in', n, total_usd FROM le),
 first AS (SELECT customer_id, other AS account_id, 1 AS degree, CASE WHEN count(DISTINCT direction) = 2 THEN 'both' ELSE min(direction) END AS direction, sum(n) AS n, round(sum(total_usd), 2) AS total_usd, NULL::BIGINT AS via_account
   FROM touch JOIN accounts a USING (account_id) WHERE NOT EXISTS (SELECT 1 FROM accounts o WHERE o.account_id = other AND o.customer_id = a.customer_id) GROUP BY 1, 2),
@@ -266,7 +268,7 @@ def _(b):
 
 
 FLOW = EDGES + "," + FLAGS + f""",
-le AS (SELECT source, target, n, total_usd FROM edges WHERE last_ts >= TIMESTAMP '{LATE}'),
+le AS (SELECT source, target, n, total_usd FROM edges WHERE last_ts >= TIMESTAMP '{SINCE}'),
 tw AS (SELECT source AS id, target AS nxt, 'downstream' AS role, source, target FROM le UNION ALL SELECT target, source, 'upstream', source, target FROM le),
 hubs AS (SELECT id FROM tw GROUP BY 1 HAVING count(*) > 60),
 s0 AS (SELECT customer_id AS seed, account_id AS id, 0 AS depth, 'subject' AS roles FROM accounts),
@@ -281,7 +283,7 @@ nodes AS (SELECT seed, id, depth, roles, truncated FROM al WHERE rn <= 60)"""
 SELECT n.seed, n.id AS account_id, n.depth, n.roles, n.truncated, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, a.customer_id AS owner_customer_id, a.customer_id IN (SELECT customer_id FROM flags) AS flagged, n.id IN (SELECT id FROM hubs) AS is_hub
 FROM nodes n LEFT JOIN accounts a ON a.account_id = n.id LEFT JOIN (SELECT target, count(*) AS c FROM le GROUP BY 1) i ON i.target = n.id LEFT JOIN (SELECT source, count(*) AS c FROM le GROUP BY 1) o ON o.source = n.id""", FLOW))
 def _(b):
-    return g.flow_subgraph(g.transfer_edges(b.txn, 0), b.accounts, b.alerts, b.customers, 2, LATE)[0].withColumn("depth", F.col("depth").cast("long"))
+    return g.flow_subgraph(g.transfer_edges(b.txn, 0), b.accounts, b.alerts, b.customers, 2, SINCE)[0].withColumn("depth", F.col("depth").cast("long"))
 
 
 @query("gr16_flow_edges", oracle("txn accounts alerts", """
@@ -290,7 +292,7 @@ SELECT seed, source, target, depth, n, total_usd, rank FROM (SELECT *, row_numbe
     SELECT seed, source, target, 1 AS depth FROM s0 JOIN tw USING (id) UNION ALL SELECT seed, source, target, 2 FROM s1 JOIN tw USING (id) WHERE s1.id NOT IN (SELECT id FROM hubs)) x
   JOIN le l ON l.source = x.source AND l.target = x.target JOIN nodes p ON p.seed = x.seed AND p.id = x.source JOIN nodes q ON q.seed = x.seed AND q.id = x.target GROUP BY 1, 2, 3) y) z WHERE rank <= 250""", FLOW))
 def _(b):
-    e = g.flow_subgraph(g.transfer_edges(b.txn, 0), b.accounts, b.alerts, b.customers, 2, LATE)[1]
+    e = g.flow_subgraph(g.transfer_edges(b.txn, 0), b.accounts, b.alerts, b.customers, 2, SINCE)[1]
     return e.select("seed", "source", "target", F.col("depth").cast("long").alias("depth"), "n", "total_usd", "rank")
 
 

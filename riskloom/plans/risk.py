@@ -115,18 +115,27 @@ GAPS = """gaps AS (SELECT a.customer_id, a.account_id, usd, (epoch_us(first_win)
   FROM (SELECT sender_account_id AS account_id, ts, amount_usd, status FROM txn WHERE sender_account_id IS NOT NULL
         UNION ALL SELECT receiver_account_id, ts, amount_usd, status FROM txn WHERE receiver_account_id IS NOT NULL AND receiver_account_id IS DISTINCT FROM sender_account_id) x
   WHERE ts <= {we} GROUP BY 1) y JOIN accounts a ON a.account_id = y.account_id WHERE first_win IS NOT NULL AND n_base = 0 AND a.opened_at <= TIMESTAMP '2024-01-27 00:00:00')"""
-# chains of up to three hops, each the earliest fitting transfer to its next account
-CYCLES3 = """
+
+
+def _chains(hops: int) -> str:
+    """SQL of chains of up to `hops` transfers, each the earliest fitting one to its next account, and the cycles they close."""
+    parts = ["""
 t AS (SELECT sender_account_id AS s, receiver_account_id AS r, ts, transaction_id AS id, amount_usd AS usd FROM txn WHERE ts >= {ws} AND ts <= {we} AND status = 'completed'
   AND sender_account_id IS NOT NULL AND receiver_account_id IS NOT NULL AND sender_account_id <> receiver_account_id AND amount_usd > 0),
-h2 AS (SELECT * FROM (SELECT a.s AS a0, a.r AS a1, b.r AS a2, a.id AS i1, b.id AS i2, a.ts AS t0, b.ts AS tl, a.usd AS u0, b.usd AS ul, row_number() OVER (PARTITION BY a.id, b.r ORDER BY b.ts, b.id) AS rn
-  FROM t a JOIN t b ON b.s = a.r AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 72 HOUR AND abs(b.usd / a.usd - 1) <= 0.3 AND b.r <> a.r) q WHERE rn = 1),
-h3 AS (SELECT * FROM (SELECT h.*, c.r AS a3, c.id AS i3, row_number() OVER (PARTITION BY h.i1, h.i2, c.r ORDER BY c.ts, c.id) AS rn3
-  FROM (SELECT * FROM h2 WHERE a2 <> a0) h JOIN t c ON c.s = h.a2 AND c.ts > h.tl AND c.ts <= h.tl + INTERVAL 72 HOUR AND abs(c.usd / h.ul - 1) <= 0.3 AND c.r NOT IN (h.a1, h.a2)) q WHERE rn3 = 1),
-closed AS (SELECT [a0, a1] AS path, t0, u0, i1 FROM h2 WHERE a2 = a0 UNION ALL SELECT [a0, a1, a2], t0, u0, i1 FROM h3 WHERE a3 = a0),
-canon AS (SELECT list_concat(path[list_position(path, list_min(path)):], path[:list_position(path, list_min(path)) - 1]) AS cycle, path, t0, u0, i1 FROM closed),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY list_position(cycle, path[1]), t0, i1) AS rn FROM canon) q WHERE rn = 1)"""
-CYCLE_RULES = replace(TRIAL_RULES, cycle_length=3)
+h1 AS (SELECT [s, r] AS path, [id] AS ids, r AS last, ts AS t0, ts AS tl, usd AS u0, usd AS ul FROM t)"""]
+    for n in range(2, hops + 1):
+        parts.append(f"""
+h{n} AS (SELECT * FROM (SELECT list_append(h.path, c.r) AS path, list_append(h.ids, c.id) AS ids, c.r AS last, h.t0, c.ts AS tl, h.u0, c.usd AS ul, row_number() OVER (PARTITION BY h.ids, c.r ORDER BY c.ts, c.id) AS rn
+  FROM h{n - 1} h JOIN t c ON c.s = h.last AND c.ts > h.tl AND c.ts <= h.tl + INTERVAL 72 HOUR AND abs(c.usd / h.ul - 1) <= 0.3
+  WHERE h.last <> h.path[1] AND (c.r = h.path[1] OR NOT list_contains(h.path, c.r))) q WHERE rn = 1)""")
+    ends = "\n  UNION ALL ".join(f"SELECT path[:{n}] AS path, ids, t0, u0, ul FROM h{n} WHERE last = path[1]" for n in range(2, hops + 1))
+    return ",".join(parts) + f""",
+closed AS ({ends}),
+canon AS (SELECT list_concat(path[list_position(path, list_min(path)):], path[:list_position(path, list_min(path)) - 1]) AS cycle, path, t0, u0, ul, ids FROM closed),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY list_position(cycle, path[1]), t0, ids[1]) AS rn FROM canon) q WHERE rn = 1)"""
+
+
+CYCLES = _chains(TRIAL_RULES.cycle_length)
 CIRCULAR = """SELECT a.customer_id AS entity_id, floor(max(u0) * 100 + 0.5) / 100 AS obs, 20.0 AS thr, NULL AS base, max(u0) >= 20 AS fired
   FROM (SELECT u0, unnest(cycle) AS account_id FROM best) m JOIN accounts a ON a.account_id = m.account_id GROUP BY 1"""
 
@@ -147,7 +156,7 @@ SQL = {
                                             .replace("round(obs, 6) AS observed", "floor(obs * 10000 + 0.5) / 10000 AS observed"))),
     "DEVICE_SHARING": ("d12_device_sharing", oracle("legs", verdict(SHARING))),
     "SHARED_IDENTIFIER": ("d13_shared_identifier", oracle("identifiers", verdict(IDENT, strength="floor((0.5 + 0.5 * greatest(0.0, least(1.0, greatest(obs, thr) / thr - 1.0))) * 10000 + 0.5) / 10000"))),
-    "CIRCULAR_FLOW": ("d14_circular_flow", oracle("txn accounts", verdict(CIRCULAR), CYCLES3)),
+    "CIRCULAR_FLOW": ("d14_circular_flow", oracle("txn accounts", verdict(CIRCULAR), CYCLES)),
     "DORMANT_REACTIVATION": ("d15_dormant_reactivation", oracle("txn accounts", verdict(DORMANT), GAPS)),
     "HIGH_RISK_MERCHANT": ("d16_high_risk_merchant", oracle("legs merchants", verdict(MERCHANT))),
     "BEHAVIOURAL_SHIFT": ("d17_behavioural_shift", oracle("legs", verdict(SHIFT).replace("round(obs, 6) AS observed", "floor(obs * 10000 + 0.5) / 10000 AS observed"))),
@@ -161,24 +170,22 @@ def _register(detector: str, name: str, sql: str | None) -> None:
     def run(b: Bank) -> DataFrame:
         if detector == "DORMANT_REACTIVATION":
             return shown(det.RULES[detector](frames(b, DORMANT_RULES, DORMANT_PERIOD)))
-        rules = CYCLE_RULES if detector == "CIRCULAR_FLOW" else TRIAL_RULES
-        return shown(det.RULES[detector](frames(b, rules)))
+        return shown(det.RULES[detector](frames(b, TRIAL_RULES)))
 
 
 for _detector, (_name, _sql) in SQL.items():
     _register(_detector, _name, _sql)
 
 
-@query("j05_temporal_chains", oracle("txn", "SELECT array_to_string(cycle, '>') AS cycle, u0 AS start_usd, epoch_us(t0) AS start_us FROM best", CYCLES3))
+@query("j05_temporal_chains", oracle("txn", "SELECT array_to_string(cycle, '>') AS cycle, u0 AS start_usd, epoch_us(t0) AS start_us FROM best", CYCLES))
 def _(b):
-    c = verified_cycles(b.txn, b.period.window_start, b.period.end, CYCLE_RULES)
+    c = verified_cycles(b.txn, b.period.window_start, b.period.end, TRIAL_RULES)
     return c.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "start_usd",
                     F.unix_micros("start_ts").alias("start_us"))
 
 
-@query("d14_circular_flow_five_hops")
+@query("d14_circular_flow_five_hops", oracle("txn", "SELECT array_to_string(cycle, '>') AS cycle, CAST(len(cycle) AS INTEGER) AS hops, u0 AS start_usd, ul AS end_usd FROM best", CYCLES))
 def _(b):
-    """The default search length; the SQL form is given for three hops."""
     c = verified_cycles(b.txn, b.period.window_start, b.period.end, TRIAL_RULES)
     return c.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.size("cycle").alias("hops"), "start_usd", "end_usd")
 

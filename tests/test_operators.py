@@ -200,7 +200,7 @@ def test_small_graph(spark):
 
 def test_betweenness_of_a_path(spark):
     inner = spark.createDataFrame([("s", "a", "b"), ("s", "b", "c"), ("s", "c", "d")], "seed string, a string, b string")
-    assert {r.id: r.centrality for r in g.betweenness(inner).collect()} == {"b": 0.6667, "c": 0.6667, "a": 0.0, "d": 0.0}
+    assert {r.id: r.centrality for r in g.betweenness(inner, spark.createDataFrame([("s", 4)], "seed string, size long")).collect()} == {"b": 0.6667, "c": 0.6667, "a": 0.0, "d": 0.0}
 
 
 def test_cycle_needs_time_order(spark):
