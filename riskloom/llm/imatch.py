@@ -63,36 +63,57 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _marks(side: int, text: Column) -> Column:
-    """The terms of a text inside its two levels: (side, level, subset, term, code); each level keeps half of the terms of the one before."""
-    def at(digests: Column, level: Column) -> Column:
-        limit = F.when(level > 0, F.lower(F.lpad(F.hex(F.call_function("shiftright", F.lit(2 ** 24), level)), 6, "0"))).otherwise("g")
-        return _bound(F.struct(level.alias("level"), limit.alias("limit")), lambda v: F.transform(
-            F.filter(digests, lambda x: F.substring(x["d"], 1, 6) < v["limit"]), lambda x: F.struct(
-                F.lit(side).alias("side"), v["level"].alias("level"), (F.conv(F.substring(x["d"], 7, 2), 16, 10).cast("int") % SUBSETS).alias("subset"),
-                x["term"].alias("term"), F.substring(x["d"], 9, 16).alias("code"))))
+MARK = "struct<side:int, level:int, subset:int, up:boolean, term:string, code:string, about:struct<{}>>"
+
+
+def _marks(side: int, text: Column, mark: str) -> Column:
+    """The terms of a text inside its level, each with whether it is in the next thinner one (up); a level keeps half of the one before."""
+    def limit(level: Column) -> Column:
+        return F.when(level > 0, F.lower(F.lpad(F.hex(F.call_function("shiftright", F.lit(2 ** 24), level)), 6, "0"))).otherwise("g")
+
+    def kept(digests: Column, v: Column) -> Column:
+        return F.transform(F.filter(digests, lambda x: F.substring(x["d"], 1, 6) < v["limit"]), lambda x: F.struct(
+            F.lit(side).alias("side"), v["level"].alias("level"), (F.conv(F.substring(x["d"], 7, 2), 16, 10).cast("int") % SUBSETS).alias("subset"),
+            (F.substring(x["d"], 1, 6) < v["thinner"]).alias("up"), x["term"].alias("term"), F.substring(x["d"], 9, 16).alias("code"), F.lit(None).alias("about")))
 
     digests = F.transform(terms(text), lambda t: F.struct(t.alias("term"), F.md5(t).alias("d")))
-    return _bound(digests, lambda ds: _bound(_level(F.size(ds).cast("long")).cast("int"), lambda level: F.concat(at(ds, level), at(ds, level + 1))))
+    return _bound(digests, lambda ds: _bound(_level(F.size(ds).cast("long")).cast("int"), lambda level: _bound(
+        F.struct(level.alias("level"), limit(level).alias("limit"), limit(level + 1).alias("thinner")), lambda v: kept(ds, v)))).cast(f"array<{mark}>")
+
 
+def fingerprints(texts: DataFrame, key: list[str], sides: list[str], about: list[str], lexicon_: DataFrame, small: bool) -> DataFrame:
+    """`key` (unique), the columns `about`, and `fp`, an array of one fingerprint for each of the text columns `sides` (null texts: empty).
 
-def fingerprints(texts: DataFrame, key: list[str], sides: list[str], lexicon_: DataFrame, small: bool) -> DataFrame:
-    """`key` and `fp`, an array of one fingerprint for each of the text columns `sides`; `key` must be unique."""
-    marks = F.concat(*[_marks(i, F.col(c)) for i, c in enumerate(sides)])
-    every = texts.select(*key, F.explode_outer(marks).alias("m")).select(*key, "m.*")
+    Every row is exploded to its terms and put together again. `about` travels on a row of its own, so that term rows stay narrow.
+    """
+    mark = MARK.format(", ".join(f"{c}:{texts.schema[c].dataType.simpleString()}" for c in about))
+    empty = [F.lit(None)] * 6
+    own = F.array(F.struct(*[x.alias(c) for x, c in zip([F.lit(-1), *empty[1:]], ("side", "level", "subset", "up", "term", "code"), strict=True)],
+                           F.struct(*about).alias("about"))).cast(f"array<{mark}>")
+    every = texts.select(*key, F.explode(F.concat(own, *[F.coalesce(_marks(i, F.col(c), mark), F.array().cast(f"array<{mark}>")) for i, c in enumerate(sides)])).alias("m"))
     known = lexicon_.select("term", F.lit(True).alias("known"))
-    hashed = (every.join(F.broadcast(known) if small else known, "term", "left")
+
+    def code(of: Column) -> Column:
+        codes = F.collect_list(of)
+        return F.when(F.size(codes) > 0, F.substring(F.md5(F.array_join(F.sort_array(codes), ",")), 1, 8))
+
+    def part(up: int, h: str) -> Column:
+        return F.concat_ws("", F.col("level") + up, F.lit("."), F.col("subset"), F.when(F.col("known"), "=").otherwise("u="), F.col(h))
+
+    hashed = (every.select(*key, "m.*").join(F.broadcast(known) if small else known, "term", "left")
               .groupBy(*key, "side", "level", "subset", F.coalesce("known", F.lit(False)).alias("known"))
-              .agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("code")), ",")), 1, 8).alias("h"))
-              .withColumn("part", F.concat_ws("", F.col("level"), F.lit("."), F.col("subset"), F.when(F.col("known"), "=").otherwise("u="), F.col("h"))))
-    parts = hashed.groupBy(*key).agg(F.collect_list(F.when(F.col("side").isNotNull(), F.struct("side", "known", "part"))).alias("parts"))
+              .agg(code(F.col("code")).alias("h"), code(F.when(F.col("up"), F.col("code"))).alias("thin"), F.first("about", True).alias("about")))
+    pair = F.array_compact(F.array(F.when(F.col("h").isNotNull(), part(0, "h")), F.when(F.col("thin").isNotNull(), part(1, "thin"))))
+    parts = (hashed.select(*key, "about", F.struct("side", "known", pair.alias("pair")).alias("p"))
+             .groupBy(*key).agg(F.first("about", True).alias("about"), F.collect_list("p").alias("parts")))
 
     def joined(i: int) -> Column:
         mine = F.filter("parts", lambda p: p["side"] == i)
-        return _bound(F.struct(mine.alias("all"), F.filter(mine, lambda p: p["known"]).alias("known")), lambda p: F.array_join(F.sort_array(
-            F.transform(F.when(F.size(p["known"]) < FEW_HASHES, p["all"]).otherwise(p["known"]), lambda x: x["part"])), " "))
+        return _bound(F.struct(F.flatten(F.transform(mine, lambda p: p["pair"])).alias("all"),
+                               F.flatten(F.transform(F.filter(mine, lambda p: p["known"]), lambda p: p["pair"])).alias("known")),
+                      lambda p: F.array_join(F.sort_array(F.when(F.size(p["known"]) < FEW_HASHES, p["all"]).otherwise(p["known"])), " "))
 
-    return parts.select(*key, F.array(*[joined(i) for i in range(len(sides))]).alias("fp"))
+    return parts.select(*key, "about.*", F.array(*[joined(i) for i in range(len(sides))]).alias("fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -124,7 +145,7 @@ def _bucket(k: Column, edges: list[int]) -> Column:
 def neighbours(docs: DataFrame, columns: list[str], bucket_rows: int | None = None) -> DataFrame:
     """`docs` (doc_id, text without nulls, ...) with `bucket`, `place` (unique inside it) and `next_text`, that of the next smaller id.
 
-    After the last document comes the first; nulls count as the smallest id. Few numbers of cut points come to the driver: one for each
+    Rows with `guest` > 0 are copies of the first rows of the bucket that follows. After the last document comes the first; nulls count as the smallest id. Few numbers of cut points come to the driver: one for each
     `BUCKET_BYTES` of text.
     """
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
@@ -145,7 +166,7 @@ def neighbours(docs: DataFrame, columns: list[str], bucket_rows: int | None = No
     dealt = own.select("*", F.inline(places)).drop("home")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("k").desc(), "text")
     return (dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
-            .filter("guest = 0").drop("guest", "k"))
+            .drop("k"))
 
 
 def edited(text: Column, n_chars: Column, next_text: Column) -> Column:
@@ -160,13 +181,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     words = stage(lexicon(whole), "imatch-lexicon")
     small = words.count() <= SMALL_TERMS
     placed = neighbours(whole, ["text"]).withColumn("n_chars", F.char_length("text"))
-    texts = placed.withColumn("edited", edited(F.col("text"), F.col("n_chars"), F.col("next_text")))
-    key = ["bucket", "place", "doc_id", "n_chars"]
-    digest = F.sha2(F.col("edited").cast("binary"), 256)
-    prints = fingerprints(texts.withColumn("edited_sha256", digest), [*key, "edited_sha256"], ["text", "edited", "next_text"], words, small)
-    own, new, other = (F.col("fp")[i] for i in range(3))
-    return prints.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", own.alias("fingerprint"), new.alias("edited_fingerprint"),
-                         likeness(own, new).alias("near_edited"), likeness(own, other).alias("near_next"))
+    mine = F.col("guest") == 0
+    texts = placed.withColumn("edited", F.when(mine, edited(F.col("text"), F.col("n_chars"), F.col("next_text"))))
+    texts = texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    prints = fingerprints(texts, ["bucket", "place"], ["text", "edited"], ["doc_id", "n_chars", "edited_sha256", "guest"], words, small)
+    own, new = F.col("fp")[0], F.col("fp")[1]
+    following = F.lead(own).over(Window.partitionBy("bucket").orderBy("place"))
+    return prints.withColumn("following", following).filter(mine).select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", own.alias("fingerprint"), new.alias("edited_fingerprint"),
+        likeness(own, new).alias("near_edited"), likeness(own, F.col("following")).alias("near_next"))
 
 
 def fingerprint_sql() -> str:
