@@ -1,140 +1,169 @@
-"""First-in-first-out matching of outgoing to earlier incoming money.
+"""First-in-first-out matching of outgoing to earlier incoming money, without a task that holds an entity.
 
-The rules are sequential, so each entity's rows are folded in time order by a small Python function. What reaches it is bounded first:
-rows are summed per (entity, side, second), which leaves at most two rows per second of the period for an entity however
-many transactions it has. Credits of one second are interchangeable for both rules, as are outflows.
+Money in is laid out on a line, credit after credit. An outflow takes the next stretch of that line that is neither taken, nor too old, nor still to
+come: with `h` the end of what was taken or lost before, E the end of the credits that are too old for the outflow and I the end of those that had come,
+the outflow of value o moves the end to min(max(h, E) + o, I). Such moves are of the form min(max(h + a, b), c), and so are sequences of them. Every
+stretch of an entity's time line is therefore summarised by three numbers, in any order and anywhere; the summaries, put one after the other, give
+the state in which each stretch begins, and only then are its outflows walked through, a few dozen at a time.
+
+Rows are summed per (entity, second) first, so that an entity has at most one row a second, and its time line is worked on by days. Amounts are whole
+cents. Credits of one second are interchangeable, as are outflows.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from riskloom.functions.numeric import MONEY, rnd
+from riskloom.functions.numeric import rnd, top_k
 from riskloom.operators.profile import done, is_in, is_out
+from riskloom.operators.quantiles import exact_quantiles, value_counts
+from riskloom.session import stage
 
-
-def flow_seconds(legs: DataFrame, keys: list[str], inbound) -> DataFrame:
-    """(keys, side, sec, usd, first_id, n): completed credits that satisfy `inbound`, and completed outflows."""
-    side = F.when(is_out(), "out").when(is_in() & inbound, "in")
-    rows = legs.filter(done()).withColumn("side", side).filter("side IS NOT NULL")
-    return rows.groupBy(*keys, "side", "sec").agg(
-        F.sum(F.col("amount_usd").cast(MONEY)).cast("double").alias("usd"),
-        F.min("transaction_id").cast("string").alias("first_id"), F.count(F.lit(1)).alias("n"))
+DAY = 86_400
+#: Outflows that are walked through in one go, and a number beyond any sum of cents.
+WALK, FAR = 64, 10 ** 17
 
 
-def match_within(credits: list[tuple[int, float]], outflows: list[tuple[int, float]], horizon: int):
-    """Every outflow draws on credits at most `horizon` old that still hold value, oldest first.
-
-    Yields (credit index, outflow index, amount). A credit too old for one outflow is too old for all later ones.
-    """
-    left = [c[1] for c in credits]
-    head = 0
-    for j, (t_out, need) in enumerate(outflows):
-        while head < len(credits) and (credits[head][0] < t_out - horizon or left[head] <= 0):
-            head += 1
-        i = head
-        while need > 0 and i < len(credits) and credits[i][0] <= t_out:
-            take = min(need, left[i])
-            if take > 0:
-                left[i] -= take
-                need -= take
-                yield i, j, take
-            i += 1
-
-
-def match_queue(credits: list[tuple[int, float]], outflows: list[tuple[int, float]], horizon: int, eps: float = 1e-9):
-    """Queue form: an expired head is lost, a head in the future stops the outflow."""
-    head = 0
-    left = credits[0][1] if credits else 0.0
-    for j, (t_out, need) in enumerate(outflows):
-        while need > eps and head < len(credits):
-            t_in = credits[head][0]
-            if t_in > t_out:
-                break
-            if t_out - t_in <= horizon:
-                take = min(need, left)
-                yield head, j, take
-                need -= take
-                left -= take
-                if left > eps:
-                    continue
-            head += 1
-            left = credits[head][1] if head < len(credits) else 0.0
-
-
-def fold_in_order(rows: DataFrame, keys: list[str], order: str, fold: Callable[[pd.DataFrame], tuple], schema: str, names: list[str]) -> DataFrame:
-    """`fold` over each key's rows in order, many keys per Arrow batch.
-
-    Spark partitions and sorts; a batch is cut at the key changes and its last, possibly unfinished key is held back.
+def flow_seconds(legs: DataFrame, keys: list[str], inbound) -> DataFrame:
+    """(keys, sec, money in and out in cents, first ids, number of credits): completed credits that satisfy `inbound`, and completed outflows."""
+    taken = is_in() & inbound
+    cents = F.round(F.col("amount_usd").cast("decimal(18,2)") * 100).cast("long")
+    side = F.when(is_out(), "out").when(taken, "in")
+    rows = legs.filter(done()).withColumn("side", side).filter("side IS NOT NULL").select(*keys, "side", "sec", cents.alias("cents"), "transaction_id")
+
+    def of(side: str, c: Column) -> Column:
+        return F.when(F.col("side") == side, c)
+
+    return rows.groupBy(*keys, "sec").agg(
+        F.coalesce(F.sum(of("in", F.col("cents"))), F.lit(0)).alias("in_cents"), F.coalesce(F.sum(of("out", F.col("cents"))), F.lit(0)).alias("out_cents"),
+        F.min(of("in", F.col("transaction_id"))).cast("string").alias("in_id"), F.min(of("out", F.col("transaction_id"))).cast("string").alias("out_id"),
+        F.count(of("in", F.lit(1))).alias("n_in"))
+
+
+def _move(h: Column, m: Column) -> Column:
+    return F.least(F.greatest(h + m["a"], m["b"]), m["c"])
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The move that makes `first` and then `second`."""
+    return F.struct((first["a"] + second["a"]).alias("a"), F.greatest(first["b"] + second["a"], second["b"]).alias("b"),
+                    F.least(F.greatest(first["c"] + second["a"], second["b"]), second["c"]).alias("c"))
+
+
+def _stay() -> Column:
+    return F.struct(F.lit(0).cast("long").alias("a"), F.lit(-FAR).cast("long").alias("b"), F.lit(FAR).cast("long").alias("c"))
+
+
+def _of_outflow(o: Column) -> Column:
+    return F.struct(o["out_cents"].alias("a"), (o["too_old"] + o["out_cents"]).alias("b"), o["come"].alias("c"))
+
+
+def _placed(flow: DataFrame, keys: list[str], horizon: int) -> tuple[DataFrame, DataFrame]:
+    """Credits with their stretch of the line (from, to), and outflows with the ends of what is too old and of what has come."""
+    marks = flow.filter("out_cents > 0").select(*keys, (F.col("sec") - horizon).alias("sec"), F.lit(0).cast("long").alias("in_cents"), F.lit(0).cast("long").alias("out_cents"),
+                                                F.lit(None).cast("string").alias("in_id"), F.lit(None).cast("string").alias("out_id"), F.col("sec").alias("for_sec"))
+    rows = flow.select(*keys, "sec", "in_cents", "out_cents", "in_id", "out_id", F.lit(None).cast("long").alias("for_sec")).unionByName(marks)
+    rows = rows.withColumn("day", F.floor(F.col("sec") / DAY))
+    days = rows.groupBy(*keys, "day").agg(F.sum("in_cents").alias("day_in"))
+    before_day = F.coalesce(F.sum("day_in").over(W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*keys, "day", before_day.alias("before_day"))
+    inside = W.partitionBy(*keys, "day").orderBy("sec")
+    rows = (rows.join(days, [*keys, "day"])
+            .withColumn("before", F.col("before_day") + F.coalesce(F.sum("in_cents").over(inside.rangeBetween(W.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("upto", F.col("before_day") + F.sum("in_cents").over(inside.rangeBetween(W.unboundedPreceding, 0))))
+    rows = stage(rows.drop("before_day"), "fifo-rows")
+    credits = rows.filter("in_cents > 0").select(*keys, "day", F.col("sec").alias("in_sec"), "in_id", F.col("before").alias("from"), F.col("upto").alias("to"))
+    out = (rows.filter("out_cents > 0 OR for_sec IS NOT NULL").withColumn("at", F.coalesce("for_sec", "sec"))
+           .groupBy(*keys, "at").agg(F.max("out_cents").alias("out_cents"), F.max("out_id").alias("out_id"),
+                                     F.max(F.when(F.col("for_sec").isNotNull(), F.col("before"))).alias("too_old"),
+                                     F.max(F.when(F.col("for_sec").isNull(), F.col("upto"))).alias("come")))
+    return credits, out.withColumnRenamed("at", "sec").withColumn("day", F.floor(F.col("sec") / DAY))
+
+
+def taken(outflows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, out_sec, out_id, from, to): the stretch that each outflow takes, if it takes any."""
+    order = W.partitionBy(*keys, "day").orderBy("sec")
+    walks = outflows.withColumn("walk", F.floor((F.row_number().over(order) - 1) / WALK))
+    outs = F.array_sort(F.collect_list(F.struct("sec", "out_cents", "too_old", "come", "out_id")))
+    walks = walks.groupBy(*keys, "day", "walk").agg(outs.alias("outs"))
+    walks = stage(walks.withColumn("move", F.aggregate("outs", _stay(), lambda m, o: _then(m, _of_outflow(o)))), "fifo-walks")
+    day = walks.groupBy(*keys, "day").agg(F.array_sort(F.collect_list(F.struct("walk", "move"))).alias("walks"))
+    # the moves of a day before each of its walks, and all of them together
+    start = F.struct(_stay().alias("so_far"), F.array().cast("array<struct<walk:bigint,move:struct<a:bigint,b:bigint,c:bigint>>>").alias("before"))
+    folded = F.aggregate("walks", start, lambda s, w: F.struct(
+        _then(s["so_far"], w["move"]).alias("so_far"), F.array_append(s["before"], F.struct(w["walk"].alias("walk"), s["so_far"].alias("move"))).alias("before")))
+    day = stage(day.withColumn("f", folded).select(*keys, "day", F.col("f.so_far").alias("move"), F.col("f.before").alias("before")), "fifo-days")
+    all_days = day.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "move"))).alias("days"))
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.array().cast("array<struct<day:bigint,h:bigint>>").alias("begins"))
+    begins = F.aggregate("days", start, lambda s, d: F.struct(
+        _move(s["h"], d["move"]).alias("h"), F.array_append(s["begins"], F.struct(d["day"].alias("day"), s["h"].alias("h"))).alias("begins")))
+    begins = all_days.select(*keys, F.explode(begins["begins"]).alias("x")).select(*keys, "x.day", F.col("x.h").alias("h"))
+    at_walk = day.select(*keys, "day", F.explode("before").alias("x")).join(begins, [*keys, "day"]).select(*keys, "day", "x.walk", _move(F.col("h"), F.col("x.move")).alias("h"))
+    stretches = F.array().cast("array<struct<out_sec:bigint,out_id:string,from:bigint,to:bigint>>")
+
+    def step(s: Column, o: Column) -> Column:
+        begin = F.greatest(s["h"], o["too_old"])
+        end = F.least(begin + o["out_cents"], o["come"])
+        return F.struct(end.alias("h"), F.array_append(s["all"], F.struct(o["sec"].alias("out_sec"), o["out_id"].alias("out_id"), begin.alias("from"), end.alias("to"))).alias("all"))
+
+    walked = walks.join(at_walk, [*keys, "day", "walk"]).withColumn("s", F.aggregate("outs", F.struct(F.col("h").alias("h"), stretches.alias("all")), step))
+    return walked.select(*keys, F.inline("s.all")).filter(F.col("to") > F.col("from"))
+
+
+def slices(flow: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    """(keys, in_sec, in_id, out_sec, out_id, cents, place): which credit paid which outflow, in order of `place`.
+
+    A slice ends where a credit ends or where an outflow ends; the other side is the next to end after that. Both are met in the days of the credits, so
+    the line of an entity is never in one task.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def finish(frame: pd.DataFrame) -> pd.DataFrame:
-            k = frame[keys].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)]))
-            out = [(*k[i], *fold(frame.iloc[i:j])) for i, j in zip(starts, [*starts[1:], len(frame)])]
-            return pd.DataFrame(out, columns=[*keys, *names])
-
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if batch.empty:
-                continue
-            same = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
-            if not same.all() or (held and tuple(held[0][keys].iloc[0]) != tuple(batch[keys].iloc[0])):
-                ready = pd.concat([*held, batch[~same]])
-                held = []
-                if len(ready):
-                    yield finish(ready)
-            held.append(batch[same])
-        if held:
-            yield finish(pd.concat(held))
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
-
-
-def pass_through(legs: DataFrame, keys: list[str], hours: int, types: tuple[str, ...], pairs: int = 8) -> DataFrame:
+    credits, outflows = _placed(flow, keys, horizon)
+    outs = stage(taken(outflows, keys), "fifo-taken")
+    ends = credits.groupBy(*keys, "day").agg(F.min("from").alias("begin"), F.max("to").alias("end"))
+    # a short list for each entity: the days that have credits, and their stretches of the line
+    table = ends.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end", "day")).alias("days"))
+    touched = F.filter("days", lambda d: (d["end"] > F.col("from")) & (d["begin"] < F.col("to")))
+    dealt = outs.join(table, keys).select(*keys, F.explode(touched).alias("d"), "out_sec", "out_id", "from", "to")
+    none = F.lit(None)
+    events = (dealt.select(*keys, F.col("d.day").alias("day"), F.col("to").alias("at"), F.lit(0).alias("kind"), "out_sec", "out_id", F.col("from").alias("out_from"),
+                           none.cast("long").alias("in_sec"), none.cast("string").alias("in_id"), none.cast("long").alias("in_from"))
+              .unionByName(credits.select(*keys, "day", F.col("to").alias("at"), F.lit(1).alias("kind"), none.cast("long").alias("out_sec"), none.cast("string").alias("out_id"),
+                                          none.cast("long").alias("out_from"), "in_sec", "in_id", F.col("from").alias("in_from"))))
+    ahead = W.partitionBy(*keys, "day").orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(W.unboundedPreceding, -1)
+    credit, outflow = F.struct("in_sec", "in_id", "in_from"), F.struct("out_sec", "out_id", "out_from")
+    met = (events.withColumn("next_in", F.last(F.when(F.col("kind") == 1, credit), True).over(ahead))
+           .withColumn("next_out", F.last(F.when(F.col("kind") == 0, outflow), True).over(ahead)))
+    c = F.when(F.col("kind") == 1, credit).otherwise(F.col("next_in"))
+    o = F.when(F.col("kind") == 0, outflow).otherwise(F.col("next_out"))
+    both = met.select(*keys, "at", "kind", c.alias("c"), o.alias("o")).filter(
+        F.col("c").isNotNull() & F.col("o").isNotNull() & ((F.col("kind") == 0) | (F.col("o.out_from") < F.col("at"))))
+    return both.select(*keys, "c.in_sec", "c.in_id", "o.out_sec", "o.out_id",
+                       (F.col("at") - F.greatest("c.in_from", "o.out_from")).alias("cents"), F.col("at").alias("place"))
+
+
+def pass_through(legs: DataFrame, keys: list[str], hours: float, types: tuple[str, ...], pairs: int = 8) -> DataFrame:
     """Share of inbound value that left within the horizon; `pairs` holds ids of the first matched seconds."""
-    flow = flow_seconds(legs, keys, F.col("transaction_type").isin(*types))
-    horizon = hours * 3600
-    fields = ", ".join(f"{k} {dict(flow.dtypes)[k]}" for k in keys)
-
-    def fold(group: pd.DataFrame) -> tuple:
-        side, sec, usd, ids = (group[c].to_numpy() for c in ("side", "sec", "usd", "first_id"))
-        i_in, i_out = np.flatnonzero(side == "in"), np.flatnonzero(side == "out")
-        matched, cited = 0.0, []
-        for i, j, take in match_within(list(zip(sec[i_in], usd[i_in])), list(zip(sec[i_out], usd[i_out])), horizon):
-            matched += take
-            if len(cited) < 2 * pairs:
-                cited += [ids[i_in[i]], ids[i_out[j]]]
-        return round(float(usd[i_in].sum()), 2), int(group.n.to_numpy()[i_in].sum()), matched, cited
-
-    folded = fold_in_order(flow, keys, "sec", fold, f"{fields}, inbound_usd double, n_inbound long, matched double, pairs array<string>",
-                           ["inbound_usd", "n_inbound", "matched", "pairs"])
-    m = F.col("matched")
-    return folded.filter("n_inbound > 0").select(
-        *keys, F.when(F.col("inbound_usd") > 0, rnd(m / F.col("inbound_usd"), 4)).otherwise(0.0).alias("ratio"), rnd(F.col("inbound_usd")).alias("inbound_usd"),
-        rnd(m).alias("matched_usd"), "n_inbound", "pairs")
+    flow = stage(flow_seconds(legs, keys, F.col("transaction_type").isin(*types)), "fifo-seconds")
+    came = flow.groupBy(*keys).agg(F.sum("in_cents").alias("inbound"), F.sum("n_in").alias("n_inbound")).filter("n_inbound > 0")
+    met = stage(slices(flow, keys, round(hours * 3600)), "fifo-slices")
+    moved = met.groupBy(*keys).agg(F.sum("cents").alias("matched"))
+    first = top_k(met, keys, [F.col("place")], pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.array("in_id", "out_id").alias("ids")))).alias("x"))
+    first = first.select(*keys, F.flatten(F.transform("x", lambda v: v["ids"])).alias("pairs"))
+    usd = {c: F.coalesce(F.col(c), F.lit(0)) / 100 for c in ("inbound", "matched")}
+    return came.join(moved, keys, "left").join(first, keys, "left").select(
+        *keys, F.when(F.col("inbound") > 0, rnd(usd["matched"] / usd["inbound"], 4)).otherwise(0.0).alias("ratio"), rnd(usd["inbound"]).alias("inbound_usd"),
+        rnd(usd["matched"]).alias("matched_usd"), "n_inbound", F.coalesce("pairs", F.array().cast("array<string>")).alias("pairs"))
 
 
 def fifo_dwell(legs: DataFrame, keys: list[str], hours: float, ids_kept: int = 10) -> DataFrame:
     """Queue matching of transfers in to completed outflows: matched value, median dwell hours, consuming ids."""
-    flow = flow_seconds(legs, keys, F.col("other_account").isNotNull())
-    horizon = int(hours * 3600)
-    fields = ", ".join(f"{k} {dict(flow.dtypes)[k]}" for k in keys)
-
-    def fold(group: pd.DataFrame) -> tuple:
-        side, sec, usd, ids = (group[c].to_numpy() for c in ("side", "sec", "usd", "first_id"))
-        i_in, i_out = np.flatnonzero(side == "in"), np.flatnonzero(side == "out")
-        credits, outflows = list(zip(sec[i_in], usd[i_in])), list(zip(sec[i_out], usd[i_out]))
-        matched, dwell, cited = 0.0, [], {}
-        for i, j, take in match_queue(credits, outflows, horizon):
-            matched += take
-            dwell.append((outflows[j][0] - credits[i][0]) / 3600.0)
-            cited.setdefault(ids[i_out[j]])
-        return matched, float(np.median(dwell)) if dwell else None, list(cited)[:ids_kept]
-
-    return fold_in_order(flow, keys, "sec", fold, f"{fields}, matched_usd double, median_dwell_hours double, moved_ids array<string>",
-                         ["matched_usd", "median_dwell_hours", "moved_ids"])
+    flow = stage(flow_seconds(legs, keys, F.col("other_account").isNotNull()), "fifo-seconds")
+    met = stage(slices(flow, keys, round(hours * 3600)), "fifo-slices")
+    moved = met.groupBy(*keys).agg(F.sum("cents").alias("matched"))
+    dwell = met.withColumn("dwell", (F.col("out_sec") - F.col("in_sec")).cast("double"))
+    median = exact_quantiles(value_counts(dwell, keys, "dwell"), keys, {"median": 0.5}).select(*keys, (F.col("median") / 3600.0).alias("median_dwell_hours"))
+    paid = met.groupBy(*keys, "out_sec").agg(F.first("out_id").alias("out_id"))
+    ids = top_k(paid, keys, [F.col("out_sec")], ids_kept).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("out_sec", "out_id"))).alias("x"))
+    ids = ids.select(*keys, F.transform("x", lambda v: v["out_id"]).alias("moved_ids"))
+    return flow.select(*keys).distinct().join(moved, keys, "left").join(median, keys, "left").join(ids, keys, "left").select(
+        *keys, (F.coalesce("matched", F.lit(0)) / 100).alias("matched_usd"), "median_dwell_hours", F.coalesce("moved_ids", F.array().cast("array<string>")).alias("moved_ids"))

@@ -11,7 +11,7 @@ from riskloom.functions.geo import haversine_km
 from riskloom.functions.numeric import rnd
 from riskloom.operators import detectors as det
 from riskloom.operators.cycles import verified_cycles
-from riskloom.operators.fifo import fifo_dwell
+from riskloom.operators.fifo import fifo_dwell, pass_through
 from riskloom.operators.orient import legs_for
 from riskloom.operators.windows import with_previous
 from riskloom.plans.behaviour import AMOUNT_SQL, DAILY_SQL, JSD_SQL, PEER_SQL, ROLL_SQL
@@ -139,12 +139,42 @@ CYCLES = _chains(TRIAL_RULES.cycle_length)
 CIRCULAR = """SELECT a.customer_id AS entity_id, floor(max(u0) * 100 + 0.5) / 100 AS obs, 20.0 AS thr, NULL AS base, max(u0) >= 20 AS fired
   FROM (SELECT u0, unnest(cycle) AS account_id FROM best) m JOIN accounts a ON a.account_id = m.account_id GROUP BY 1"""
 
+
+
+def fifo_sql(keys: str, inbound: str, seconds: int, rows: str = "true") -> str:
+    """SQL of first-in-first-out matching by walking through each key's outflows: slices (keys, in_sec, in_id, out_sec, out_id, cents, place)."""
+    k = [x.strip() for x in keys.split(",")]
+    same = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in k)
+    of = lambda t: ", ".join(f"{t}.{x}" for x in k)
+    return f"""
+fs AS (SELECT {keys}, sec, coalesce(sum(cents) FILTER (side = 'in'), 0)::BIGINT AS in_c, coalesce(sum(cents) FILTER (side = 'out'), 0)::BIGINT AS out_c, CAST(min(transaction_id) FILTER (side = 'in') AS VARCHAR) AS in_id,
+    CAST(min(transaction_id) FILTER (side = 'out') AS VARCHAR) AS out_id, count(*) FILTER (side = 'in') AS n_in
+  FROM (SELECT *, CAST(round(CAST(amount_usd AS DECIMAL(18,2)) * 100) AS BIGINT) AS cents, CASE WHEN direction = 'out' THEN 'out' WHEN direction = 'in' AND {inbound} THEN 'in' END AS side FROM legs
+    WHERE status = 'completed' AND {rows}) z WHERE side IS NOT NULL GROUP BY ALL),
+cr AS (SELECT {keys}, sec AS in_sec, in_id, sum(in_c) OVER w - in_c AS c_from, sum(in_c) OVER w AS c_to FROM fs WHERE in_c > 0 WINDOW w AS (PARTITION BY {keys} ORDER BY sec)),
+ou AS (SELECT {of('o')}, o.sec AS out_sec, o.out_id, any_value(o.out_c) AS out_c, coalesce(sum(i.in_c), 0)::BIGINT AS come, coalesce(sum(i.in_c) FILTER (i.sec < o.sec - {seconds}), 0)::BIGINT AS too_old,
+    row_number() OVER (PARTITION BY {of('o')} ORDER BY o.sec) AS rn FROM fs o LEFT JOIN fs i ON {same('i', 'o')} AND i.in_c > 0 AND i.sec <= o.sec WHERE o.out_c > 0 GROUP BY {of('o')}, o.sec, o.out_id),
+wk AS (SELECT {keys}, out_sec, out_id, rn, too_old AS o_from, least(too_old + out_c, come) AS o_to FROM ou WHERE rn = 1
+  UNION ALL SELECT {of('ou')}, ou.out_sec, ou.out_id, ou.rn, greatest(wk.o_to, ou.too_old), least(greatest(wk.o_to, ou.too_old) + ou.out_c, ou.come) FROM wk JOIN ou ON {same('wk', 'ou')} AND ou.rn = wk.rn + 1),
+sl AS (SELECT {of('wk')}, in_sec, in_id, out_sec, out_id, least(o_to, c_to) - greatest(o_from, c_from) AS cents, least(o_to, c_to) AS place
+  FROM wk JOIN cr ON {same('cr', 'wk')} AND c_from < o_to AND c_to > o_from WHERE o_to > o_from)"""
+
+
+PASS = fifo_sql("entity_id, period", "transaction_type = 'transfer'", 3600 * TRIAL_RULES.pass_hours) + """,
+pt AS (SELECT i.entity_id, i.period, CASE WHEN inbound > 0 THEN floor(coalesce(matched, 0) / 100 / (inbound / 100) * 10000 + 0.5) / 10000 ELSE 0.0 END AS ratio, floor(inbound / 100 * 100 + 0.5) / 100 AS inbound_usd,
+  floor(coalesce(matched, 0) / 100 * 100 + 0.5) / 100 AS matched_usd, n_inbound FROM (SELECT entity_id, period, sum(in_c) AS inbound, CAST(sum(n_in) AS BIGINT) AS n_inbound FROM fs GROUP BY 1, 2 HAVING sum(n_in) > 0) i
+  LEFT JOIN (SELECT entity_id, period, sum(cents) AS matched FROM sl GROUP BY 1, 2) m ON m.entity_id = i.entity_id AND m.period = i.period)"""
+PASS_RULE = f"""SELECT entity_id, max(ratio) FILTER (period = 'win') AS obs, {float(TRIAL_RULES.pass_min_ratio)} AS thr, max(ratio) FILTER (period = 'base') AS base,
+  max(inbound_usd) FILTER (period = 'win') >= {TRIAL_RULES.pass_min_usd} AND max(n_inbound) FILTER (period = 'win') >= {TRIAL_RULES.pass_min_count} AND max(ratio) FILTER (period = 'win') >= {TRIAL_RULES.pass_min_ratio} AS fired
+  FROM pt GROUP BY 1 HAVING count(*) FILTER (period = 'win') > 0"""
+DWELL = fifo_sql("entity_id", "other_account IS NOT NULL", 24 * 3600, "period = 'win'")
+
 SQL = {
     "TRANSACTION_BURST": ("d01_transaction_burst", oracle("legs", verdict(BURST))),
     "VELOCITY_SPIKE": ("d02_velocity_spike", oracle("legs", verdict(VELOCITY))),
     "AMOUNT_DEVIATION": ("d03_amount_deviation", oracle("legs", verdict(AMOUNT, skipped="thr = 0.0"))),
     "PEER_AMOUNT_DEVIATION": ("d04_peer_amount_deviation", oracle("legs customers", verdict(PEER))),
-    "RAPID_PASS_THROUGH": ("d05_rapid_pass_through", None),
+    "RAPID_PASS_THROUGH": ("d05_rapid_pass_through", oracle("recursive legs", verdict(PASS_RULE, TRIAL_RULES.pass_ramp), PASS)),
     "FAN_IN": ("d06_fan_in", oracle("legs", verdict(fan_sql(CP_IN)))),
     "FAN_OUT": ("d07_fan_out", oracle("legs", verdict(fan_sql(CP_OUT)))),
     "STRUCTURING": ("d08_structuring", oracle("legs", verdict(STRUCTURING))),
@@ -190,11 +220,12 @@ def _(b):
     return c.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), F.size("cycle").alias("hops"), "start_usd", "end_usd")
 
 
-@query("j06_outflow_to_inflow")
+@query("j06_outflow_to_inflow", oracle("recursive legs", """
+SELECT pt.*, coalesce(x.pairs, '') AS pairs FROM pt LEFT JOIN (SELECT entity_id, period, string_agg(in_id || ',' || out_id, ',' ORDER BY place) AS pairs
+  FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, period ORDER BY place) AS rn FROM sl) y WHERE rn <= 8 GROUP BY 1, 2) x ON x.entity_id = pt.entity_id AND x.period = pt.period""", PASS))
 def _(b):
-    from riskloom.operators.fifo import pass_through
     f = frames(b)
-    return pass_through(f.legs, det.KEYS, TRIAL_RULES.pass_hours, TRIAL_RULES.pass_types)
+    return pass_through(f.legs, det.KEYS, TRIAL_RULES.pass_hours, TRIAL_RULES.pass_types).withColumn("pairs", F.array_join("pairs", ","))
 
 
 @query("d22_amount_outliers", oracle("legs", """
@@ -239,6 +270,11 @@ def _(b):
     return p.filter("prev_transaction_id IS NOT NULL").select("transaction_id", F.col("prev_transaction_id").alias("prev_id"), F.round(km, 4).alias("km"))
 
 
-@query("u01_fifo_dwell")
+@query("u01_fifo_dwell", oracle("recursive legs", """
+SELECT k.entity_id, coalesce(matched, 0) / 100 AS matched_usd, round(median_dwell_hours, 9) AS median_dwell_hours, coalesce(moved_ids, '') AS moved_ids FROM (SELECT DISTINCT entity_id FROM fs) k
+LEFT JOIN (SELECT entity_id, sum(cents) AS matched, median(out_sec - in_sec) / 3600 AS median_dwell_hours FROM sl GROUP BY 1) m ON m.entity_id = k.entity_id
+LEFT JOIN (SELECT entity_id, string_agg(out_id, ',' ORDER BY out_sec) AS moved_ids FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY out_sec) AS rn FROM (SELECT DISTINCT entity_id, out_sec, out_id FROM sl) d) x
+  WHERE rn <= 10 GROUP BY 1) i ON i.entity_id = k.entity_id""", DWELL))
 def _(b):
-    return fifo_dwell(frames(b).legs.filter("period = 'win'"), ["entity_id"], 24)
+    d = fifo_dwell(frames(b).legs.filter("period = 'win'"), ["entity_id"], 24)
+    return d.withColumn("moved_ids", F.array_join("moved_ids", ",")).withColumn("median_dwell_hours", F.round("median_dwell_hours", 9))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -125,51 +126,50 @@ def test_dwell_known_cases(spark):
     assert fifo.fifo_dwell(legs_of(spark, [("O", 0, "out", 50), ("I", 60, "in", 50)]), ["entity_id"], 24).first().matched_usd == 0.0
 
 
-def brute_within(inc, out, horizon):
-    left, total = [a for _, a in inc], 0.0
-    for t, need in out:
+def brute_fifo(inc, out, horizon):
+    """(credit, outflow, amount) of queue matching, row by row."""
+    left, met = [a for _, a in inc], []
+    for j, (t, need) in enumerate(out):
         for i, (ti, _) in enumerate(inc):
-            if need > 0 and ti <= t and ti >= t - horizon and left[i] > 0:
+            if need > 0 and t - horizon <= ti <= t and left[i] > 0:
                 take = min(need, left[i])
                 left[i] -= take
                 need -= take
-                total += take
-    return total
-
-
-def brute_queue(inc, out, horizon):
-    q, total = [list(x) for x in inc], 0.0
-    for t, need in out:
-        while need > 1e-9 and q:
-            if q[0][0] > t:
-                break
-            if t - q[0][0] > horizon:
-                q.pop(0)
-                continue
-            take = min(need, q[0][1])
-            total, need, q[0][1] = total + take, need - take, q[0][1] - take
-            if q[0][1] <= 1e-9:
-                q.pop(0)
-    return total
-
-
-def test_both_fifo_rules_match_brute_force():
-    rnd = random.Random(4)
-    for _ in range(300):
-        inc = sorted((rnd.randrange(0, 200), float(rnd.randrange(1, 50))) for _ in range(rnd.randrange(0, 12)))
-        out = sorted((rnd.randrange(0, 200), float(rnd.randrange(1, 60))) for _ in range(rnd.randrange(0, 12)))
-        assert sum(x[2] for x in fifo.match_within(inc, out, 40)) == pytest.approx(brute_within(inc, out, 40))
-        assert sum(x[2] for x in fifo.match_queue(inc, out, 40)) == pytest.approx(brute_queue(inc, out, 40))
+                met.append((i, j, take))
+    return met
 
 
-def test_fold_in_order_over_many_small_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        rows = [(k, s, float(s)) for k in range(9) for s in range(k + 1)]
-        df = fifo.fold_in_order(spark.createDataFrame(rows, "k long, sec long, v double"), ["k"], "sec", lambda f: (float(f.v.sum()), len(f)), "k long, s double, n long", ["s", "n"])
-        assert {(r.k, r.s, r.n) for r in df.collect()} == {(k, float(sum(range(k + 1))), k + 1) for k in range(9)}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+def test_fifo_by_summaries_matches_brute_force(spark, monkeypatch):
+    """Many small entities, and one with a third of all rows; days, walks and horizons are crossed."""
+    monkeypatch.setattr(fifo, "WALK", 3)
+    monkeypatch.setattr(fifo, "DAY", 60)
+    rnd = random.Random(4)
+    sizes = {f"e{i}": rnd.randrange(0, 14) for i in range(60)} | {"hot": 220}
+    rows, want = [], {}
+    for key, size in sizes.items():
+        secs = rnd.sample(range(400), size)
+        flows = sorted((s, rnd.choice(("in", "out")), float(rnd.randrange(1, 60)) + rnd.choice((0.0, 0.5))) for s in secs)
+        flows += [(s, "out" if side == "in" else "in", usd / 2) for s, side, usd in flows[::5]]
+        flows.sort()
+        inc, out = [(s, u, f"{key}i{s}") for s, side, u in flows if side == "in"], [(s, u, f"{key}o{s}") for s, side, u in flows if side == "out"]
+        rows += [(key, "win", i, T0, s, "in", u, "transfer", "completed", "x") for s, u, i in inc] + [(key, "win", i, T0, s, "out", u, "transfer", "completed", "x") for s, u, i in out]
+        for hours in (40, 90):
+            met = brute_fifo([x[:2] for x in inc], [x[:2] for x in out], hours)
+            dwell = sorted(out[j][0] - inc[i][0] for i, j, _ in met)
+            if flows:
+                want[key, hours] = (round(sum(t for *_, t in met), 2), statistics.median(dwell) / 3600 if dwell else None, list(dict.fromkeys(out[j][2] for _, j, _ in met))[:10],
+                                    [x for i, j, _ in met[:8] for x in (inc[i][2], out[j][2])], round(sum(u for _, u, _ in inc), 2), len(inc))
+    legs = spark.createDataFrame(rows, "entity_id string, period string, transaction_id string, ts timestamp, sec long, direction string, amount_usd double, transaction_type string, status string, other_account string")
+    for hours in (40, 90):
+        dwell = {r.entity_id: r for r in fifo.fifo_dwell(legs, ["entity_id"], hours / 3600).collect()}
+        assert set(dwell) == {k for k, h in want if h == hours}
+        for k, r in dwell.items():
+            assert (r.matched_usd, r.moved_ids) == (want[k, hours][0], want[k, hours][2])
+            assert r.median_dwell_hours == pytest.approx(want[k, hours][1])
+        through = {r.entity_id: r for r in fifo.pass_through(legs, ["entity_id"], hours / 3600, ("transfer",)).collect()}
+        assert set(through) == {k for (k, h), w in want.items() if h == hours and w[5]}
+        for k, r in through.items():
+            assert (r.matched_usd, r.pairs, r.inbound_usd, r.n_inbound) == (want[k, hours][0], *want[k, hours][3:])
 
 
 def test_travel(spark):
