@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.config import DETECTORS, TRIAL_MULE, TRIAL_RULES, AlertPolicy, TriageRules
+from riskloom.config import DETECTORS, FLOW_DETECTORS, TRIAL_MULE, TRIAL_RULES, AlertPolicy, TriageRules
 from riskloom.functions.numeric import top_k
 from riskloom.operators import alerts as al
 from riskloom.operators import detectors as det
@@ -16,7 +16,7 @@ from riskloom.operators import scoring as sc
 from riskloom.operators.orient import legs_for
 from riskloom.plans import network, risk
 from riskloom.plans.registry import oracle, query
-from riskloom.plans.scores import BAND, EVIDENCE, EVIDENCE_RULES, SCORING, VIEWS_USED, case, results_sql
+from riskloom.plans.scores import BAND, EVIDENCE, SCORED, VIEWS_USED, body_of, case
 from riskloom.session import stage
 from riskloom.sources.generated import AS_OF, Bank, table, view
 
@@ -42,8 +42,8 @@ CANDS = f"""banded AS (SELECT *, {BAND} AS band FROM scores),
 cands AS (SELECT c.entity_id AS customer_id, c.detector AS detector_id, c.category, {case('c.detector', TIERS)} AS tier, b.score, b.band, c.points,
   CASE WHEN b.band = 'critical' THEN 'critical' WHEN c.strength >= 0.85 THEN 'high' WHEN c.strength >= 0.65 THEN 'medium' ELSE 'low' END AS severity
   FROM contrib c JOIN banded b ON b.entity_id = c.entity_id WHERE {case('c.detector', TIERS)} = 'standalone' OR ({case('c.detector', TIERS)} = 'supporting' AND b.score >= 20))"""
-FOUR = results_sql(EVIDENCE_RULES) + ",\n" + SCORING + "," + EVIDENCE + ",\n" + CANDS
-ACTIONS = FOUR + ",\n" + HELD + f""",
+ALL = SCORED + "," + EVIDENCE + ",\n" + CANDS
+ACTIONS = ALL + ",\n" + HELD + f""",
 cite AS (SELECT DISTINCT entity_id AS customer_id, detector AS detector_id, CAST(transaction_id AS VARCHAR) AS transaction_id FROM cited),
 acts AS (SELECT c.*, u.alert_id, coalesce(n, 0) AS n_cited, coalesce(fresh, 0) AS n_fresh,
   CASE WHEN u.alert_id IS NOT NULL THEN 'updated' WHEN n > 0 AND coalesce(fresh, 0) = 0 THEN 'suppressed' WHEN coalesce(n, 0) = 0 AND last > TIMESTAMP '2024-01-24 00:00:00' THEN 'suppressed' ELSE 'created' END AS action
@@ -54,26 +54,26 @@ AVIEWS = VIEWS_USED + " monitoring"
 
 
 class Run:
-    """A monitoring run over the four rules whose evidence has SQL text."""
+    """A monitoring run over all rules."""
 
     def __init__(self, b: Bank):
         self.legs = stage(legs_for(b.txn, b.accounts, b.period), "legs")
         f = risk.frames(b, legs=self.legs)
-        self.assessment = sc.assess(f, EVIDENCE_RULES)
+        self.assessment = sc.assess(f)
         self.cands = al.candidates(self.assessment.contributions, self.assessment.scores, POLICY)
-        self.evidence = stage(sc.evidence(f, self.assessment.results, EVIDENCE_RULES), "evidence")
+        self.evidence = stage(sc.evidence(f, self.assessment.results), "evidence")
         self.cited = self.evidence.filter("kind = 'transaction'").select(
             F.col("entity_id").alias("customer_id"), F.col("detector").alias("detector_id"), F.col("id").alias("transaction_id")).distinct()
         self.held = cites_of_alerts(b, self.legs)
         self.actions = al.upsert(self.cands, self.cited, b.monitoring, self.held, AS_OF, POLICY)
 
 
-@query("al01_candidates", oracle(VIEWS_USED, "SELECT customer_id, detector_id, tier, score, points FROM cands", FOUR))
+@query("al01_candidates", oracle(VIEWS_USED, "SELECT customer_id, detector_id, tier, score, points FROM cands", ALL))
 def _(b):
     return Run(b).cands.select("customer_id", "detector_id", "tier", "score", "points")
 
 
-@query("al02_severity", oracle(VIEWS_USED, "SELECT customer_id, detector_id, band, severity FROM cands", FOUR))
+@query("al02_severity", oracle(VIEWS_USED, "SELECT customer_id, detector_id, band, severity FROM cands", ALL))
 def _(b):
     return Run(b).cands.select("customer_id", "detector_id", "band", "severity")
 
@@ -100,7 +100,7 @@ def _(b):
 SELECT customer_id, detector_id, tid AS first_transaction_id, account_id, n AS txn_count, usd AS amount_usd FROM (
   SELECT c.entity_id AS customer_id, c.detector AS detector_id, CAST(l.transaction_id AS VARCHAR) AS tid, l.account_id, row_number() OVER (PARTITION BY c.entity_id, c.detector ORDER BY l.ts, CAST(l.transaction_id AS VARCHAR)) AS rn,
     count(*) OVER (PARTITION BY c.entity_id, c.detector) AS n, CAST(sum(CAST(l.amount_usd AS DECIMAL(18,2))) OVER (PARTITION BY c.entity_id, c.detector) AS DOUBLE) AS usd
-  FROM cited c JOIN legs l ON l.entity_id = c.entity_id AND l.transaction_id = c.transaction_id) x WHERE rn = 1""", FOUR))
+  FROM (SELECT DISTINCT entity_id, detector, transaction_id FROM cited) c JOIN legs l ON l.entity_id = c.entity_id AND l.transaction_id = c.transaction_id) x WHERE rn = 1""", ALL))
 def _(b):
     r = Run(b)
     return al.evidence_facts(r.evidence, r.legs).select("customer_id", "detector_id", "first_transaction_id", "account_id", "txn_count", "amount_usd")
@@ -108,10 +108,10 @@ def _(b):
 
 @query("al06_triage_context", oracle(VIEWS_USED, """
 SELECT entity_id AS customer_id, count(DISTINCT category) AS categories, coalesce(CAST(sum(CAST(points AS DECIMAL(18,2))) FILTER (detector = 'NETWORK_EXPOSURE') AS DOUBLE), 0) AS network_points, count(*) FILTER (category = 'device_identity') AS identity_signals
-FROM contrib WHERE points > 0 GROUP BY 1""", results_sql(("TRANSACTION_BURST", "FAN_IN", "NEW_DEVICE", "DEVICE_SHARING", "NETWORK_EXPOSURE")) + ",\n" + SCORING))
+FROM contrib WHERE points > 0 GROUP BY 1""", SCORED))
 def _(b):
     f = risk.frames(b, legs=stage(legs_for(b.txn, b.accounts, b.period), "legs"))
-    return al.triage_context(sc.assess(f, ("TRANSACTION_BURST", "FAN_IN", "NEW_DEVICE", "DEVICE_SHARING", "NETWORK_EXPOSURE")).contributions)
+    return al.triage_context(sc.assess(f).contributions)
 
 
 HISTORY = """hist AS (SELECT m.*, (SELECT count(*) FROM monitoring o WHERE o.customer_id = m.customer_id AND o.alert_id <> m.alert_id AND o.status = 'RESOLVED' AND o.resolution = 'CONFIRMED_SUSPICIOUS') AS prior_confirmed,
@@ -281,7 +281,7 @@ def _(b):
     edges = g.transfer_edges(b.txn, 0)
     hubs = g.degrees(g.live(edges, network.SINCE)).filter(F.col("degree") > g.HUB_DEGREE).select(F.col("id").alias("account_id"))
     near = g.customer_counterparties(edges, b.accounts, 2, network.SINCE, hubs)
-    scored = sc.assess(risk.frames(b, legs=legs), ("FAN_IN", "TRANSACTION_BURST")).scores
+    scored = sc.assess(risk.frames(b, legs=stage(legs, "legs"))).scores
     w = al.workbench(b.cases, b.monitoring, scored, legs, near, case_log(b))
     ids = lambda c, f: F.array_join(F.transform(c, lambda x: x[f].cast("string")), ",")
     return w.select("case_id", "n_alerts", ids("alerts", "alert_id").alias("alert_ids"), ids("recent_transactions", "transaction_id").alias("transaction_ids"),
@@ -356,11 +356,31 @@ def _(b):
     return mule_scores(b, False).select("entity_id", *[k for k in mule.INDICATORS if k != "rapid_movement"], "score")
 
 
-@query("u02_mule_indicators")
+RAPID = MULE.replace("CASE WHEN my.entity_id IS NOT NULL THEN 10", "CASE WHEN my.entity_id IS NOT NULL OR dorm.entity_id IS NOT NULL THEN 10").replace(
+    "CASE WHEN mc.entity_id IS NOT NULL THEN 5 ELSE 0 END AS layering_chain\n", f"""CASE WHEN mc.entity_id IS NOT NULL OR circ.entity_id IS NOT NULL THEN 5 ELSE 0 END AS layering_chain,
+  CASE WHEN in_usd >= {MULE_RULES.min_usd} AND coalesce(matched, 0) / 100 / in_usd >= {MULE_RULES.rapid_share}
+    THEN {R2.format(f"(greatest(0.0E0, least(1.0E0, (coalesce(matched, 0) / 100 / in_usd - {MULE_RULES.rapid_share}E0) / {1 - MULE_RULES.rapid_share!r}E0)) * 0.5 + 0.5) * 20.0")} ELSE 0 END AS rapid_movement,
+  coalesce(in_usd, 0) AS in_usd, coalesce(out_usd, 0) AS out_usd, dwell\n""").replace(
+    "LEFT JOIN mc USING (entity_id))", """LEFT JOIN mc USING (entity_id) LEFT JOIN rm USING (entity_id) LEFT JOIN dorm USING (entity_id) LEFT JOIN circ USING (entity_id)),
+scored AS (SELECT *, floor((fan_in + fan_out + rapid_movement + low_retention + new_or_dormant_account + shared_device_identity + flagged_network + layering_chain) * 10 + 0.5) / 10 AS score FROM pts)""").replace(
+    "\npts AS (", f"""
+{risk.fifo_sql("entity_id", "other_account IS NOT NULL", MULE_RULES.rapid_hours * 3600, "period = 'win'").strip()},
+rm AS (SELECT entity_id, sum(cents) AS matched, round(median(out_sec - in_sec) / 3600, 9) AS dwell FROM sl GROUP BY 1),
+{risk.CYCLES.strip() + ",\n" + risk.gaps_sql("{bs}", "{ws}")},
+dorm AS (SELECT entity_id FROM ({body_of("DORMANT_REACTIVATION")}) z WHERE state = 'fired'),
+circ AS (SELECT entity_id FROM ({body_of("CIRCULAR_FLOW")}) z WHERE state = 'fired'),
+pts AS (""")
+BANDS = "CASE " + " ".join(f"WHEN score >= {bound} THEN '{label}'" for label, bound in MULE_RULES.bands) + " ELSE 'NONE' END"
+MULE_VIEWS = "recursive legs identifiers monitoring"
+
+
+@query("u02_mule_indicators", oracle(MULE_VIEWS, f"SELECT entity_id, {', '.join(mule.INDICATORS)}, score, {BANDS} AS band, in_usd, out_usd, dwell AS median_dwell_hours FROM scored", RAPID))
 def _(b):
-    return mule_scores(b, True)
+    return mule_scores(b, True).select("entity_id", *mule.INDICATORS, "score", "band", "in_usd", "out_usd", F.round("median_dwell_hours", 9).alias("median_dwell_hours"))
 
 
-@query("u03_mule_suspects")
+@query("u03_mule_suspects", oracle(MULE_VIEWS, f"""
+SELECT entity_id, score, {BANDS} AS band FROM scored WHERE {BANDS} <> 'NONE' AND entity_id IN (SELECT customer_id FROM monitoring WHERE status IN {OPEN} AND detector_id IN {FLOW_DETECTORS!r})
+ORDER BY score DESC, entity_id LIMIT 25""", RAPID))
 def _(b):
-    return mule.suspects(mule_scores(b, True), b.monitoring)
+    return mule.suspects(mule_scores(b, True), b.monitoring).select("entity_id", "score", "band")

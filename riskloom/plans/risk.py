@@ -104,17 +104,29 @@ EXPOSURE = """SELECT entity_id, count(*) FILTER (f.customer_id IS NOT NULL) AS o
 HISTORY = "SELECT entity_id, count(*) AS obs, 1.0 AS thr, NULL AS base, true AS fired FROM alerts WHERE created_at < {ws} AND entity_id IN (SELECT customer_id FROM customers) GROUP BY 1"
 DORMANT_PERIOD = Period(AS_OF, lookback_days=3, baseline_days=1)
 DORMANT_RULES = replace(TRIAL_RULES, dormant_days=1.5, dormant_usd=20)
-DORMANT = """SELECT entity_id, CASE WHEN h.entity IS NOT NULL THEN floor(hgap * 10 + 0.5) / 10 ELSE best END AS obs, 1.5 AS thr, NULL AS base, h.entity IS NOT NULL AS fired FROM (
+
+
+def dormant_sql(days: float, usd: float) -> str:
+    return f"""SELECT entity_id, CASE WHEN h.entity IS NOT NULL THEN floor(hgap * 10 + 0.5) / 10 ELSE best END AS obs, {float(days)} AS thr, NULL AS base, h.entity IS NOT NULL AS fired FROM (
   SELECT customer_id AS entity_id, max(gap) AS best FROM gaps GROUP BY 1) g LEFT JOIN (
-  SELECT customer_id AS entity, gap AS hgap, row_number() OVER (PARTITION BY customer_id ORDER BY usd DESC, gap DESC, account_id DESC) AS rn FROM gaps WHERE gap >= 1.5 AND usd >= 20) h
+  SELECT customer_id AS entity, gap AS hgap, row_number() OVER (PARTITION BY customer_id ORDER BY usd DESC, gap DESC, account_id DESC) AS rn FROM gaps WHERE gap >= {days} AND usd >= {usd}) h
   ON h.entity = g.entity_id AND h.rn = 1"""
-GAPS = """gaps AS (SELECT a.customer_id, a.account_id, usd, (epoch_us(first_win) - epoch_us(coalesce(last_old, a.opened_at))) / 86400e6 AS gap FROM (
-  SELECT account_id, min(ts) FILTER (ts >= TIMESTAMP '2024-01-28 00:00:00') AS first_win, count(*) FILTER (ts >= TIMESTAMP '2024-01-27 00:00:00' AND ts < TIMESTAMP '2024-01-28 00:00:00') AS n_base,
-    max(ts) FILTER (ts <= TIMESTAMP '2024-01-27 00:00:00') AS last_old,
-    coalesce(CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) FILTER (ts >= TIMESTAMP '2024-01-28 00:00:00' AND status = 'completed') AS DOUBLE), 0) AS usd
+
+
+def gaps_sql(base: str, window: str) -> str:
+    """SQL of accounts that come back in the window after none in the baseline."""
+    return f"""gaps AS (SELECT a.customer_id, a.account_id, usd, (epoch_us(first_win) - epoch_us(coalesce(last_old, a.opened_at))) / 86400e6 AS gap FROM (
+  SELECT account_id, min(ts) FILTER (ts >= {window}) AS first_win, count(*) FILTER (ts >= {base} AND ts < {window}) AS n_base,
+    max(ts) FILTER (ts <= {base}) AS last_old,
+    coalesce(CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) FILTER (ts >= {window} AND status = 'completed') AS DOUBLE), 0) AS usd
   FROM (SELECT sender_account_id AS account_id, ts, amount_usd, status FROM txn WHERE sender_account_id IS NOT NULL
         UNION ALL SELECT receiver_account_id, ts, amount_usd, status FROM txn WHERE receiver_account_id IS NOT NULL AND receiver_account_id IS DISTINCT FROM sender_account_id) x
-  WHERE ts <= {we} GROUP BY 1) y JOIN accounts a ON a.account_id = y.account_id WHERE first_win IS NOT NULL AND n_base = 0 AND a.opened_at <= TIMESTAMP '2024-01-27 00:00:00')"""
+  WHERE ts <= {{we}} GROUP BY 1) y JOIN accounts a ON a.account_id = y.account_id WHERE first_win IS NOT NULL AND n_base = 0 AND a.opened_at <= {base})"""
+
+
+# one day of baseline and three of window, so that some accounts are dormant in the generated tables
+DORMANT = dormant_sql(DORMANT_RULES.dormant_days, DORMANT_RULES.dormant_usd)
+GAPS = gaps_sql("TIMESTAMP '2024-01-27 00:00:00'", "TIMESTAMP '2024-01-28 00:00:00'")
 
 
 def _chains(hops: int) -> str:

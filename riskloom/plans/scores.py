@@ -15,14 +15,16 @@ from riskloom.plans.registry import oracle, query
 from riskloom.session import stage
 from riskloom.sources.generated import Bank
 
-# rules whose SQL text uses the common period and thresholds; the scoring queries with SQL run over these
-COMMON = tuple(n for n in EVALUATION_ORDER if risk.SQL.get(n, (None, None))[1] and n not in ("CIRCULAR_FLOW", "DORMANT_REACTIVATION"))
-VIEWS_USED = "legs customers merchants identifiers alerts investigations"
+# every rule has SQL text; all scoring queries run over all of them
+COMMON = tuple(n for n in EVALUATION_ORDER if n in risk.SQL)
+VIEWS_USED = "recursive legs customers merchants identifiers alerts investigations"
+DORMANT_COMMON = oracle("txn", risk.verdict(risk.dormant_sql(TRIAL_RULES.dormant_days, TRIAL_RULES.dormant_usd)))
+SHARED_PARTS = risk.PASS.strip() + ",\n" + risk.CYCLES.strip() + ",\n" + risk.gaps_sql("{bs}", "{ws}")
 
 
-def _body(name: str) -> str:
+def body_of(name: str) -> str:
     """The rule's SELECT alone: the text after the CTEs of its oracle."""
-    text = risk.SQL[name][1]
+    text = DORMANT_COMMON if name == "DORMANT_REACTIVATION" else risk.SQL[name][1]
     return text[text.index("\nSELECT entity_id, CASE WHEN") + 1:]
 
 
@@ -35,24 +37,24 @@ PLACE = {n: i for i, n in enumerate(EVALUATION_ORDER)}
 
 
 def results_sql(names) -> str:
-    return "results AS (" + "\nUNION ALL ".join(f"SELECT '{n}' AS detector, r.* FROM ({_body(n)}) r" for n in names) + ")"
+    return "results AS MATERIALIZED (" + "\nUNION ALL ".join(f"SELECT '{n}' AS detector, r.* FROM ({body_of(n)}) r" for n in names) + ")"
 
 
 SCORING = f"""fired AS (SELECT *, {case('detector', {k: float(v[0]) for k, v in WEIGHTS.items()})}::DOUBLE AS weight, {case('detector', {k: v[1] for k, v in WEIGHTS.items()})} AS grp,
   {case('detector', PLACE)} AS place, {case('detector', {d[0]: d[2] for d in DETECTORS})} AS category FROM results WHERE state = 'fired'),
 raw AS (SELECT *, floor(weight * strength * 100 + 0.5) / 100 AS raw_points, {case('grp', GROUP_CAPS)}::DOUBLE AS cap FROM fired),
-contrib AS (SELECT *, CASE WHEN cap IS NULL THEN raw_points ELSE floor((least(cap, spent) - least(cap, round(spent - raw_points, 2))) * 100 + 0.5) / 100 END AS points FROM (
+contrib AS MATERIALIZED (SELECT *, CASE WHEN cap IS NULL THEN raw_points ELSE floor((least(cap, spent) - least(cap, round(spent - raw_points, 2))) * 100 + 0.5) / 100 END AS points FROM (
   SELECT *, CAST(sum(CAST(raw_points AS DECIMAL(18,2))) OVER (PARTITION BY entity_id, grp ORDER BY raw_points DESC, place ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS spent FROM raw) x),
-scores AS (SELECT e.entity_id, floor(least(100.0, coalesce(s, 0)) * 10 + 0.5) / 10 AS score, coalesce(n, 0) AS n_fired FROM (SELECT DISTINCT customer_id AS entity_id FROM accounts) e
+scores AS MATERIALIZED (SELECT e.entity_id, floor(least(100.0, coalesce(s, 0)) * 10 + 0.5) / 10 AS score, coalesce(n, 0) AS n_fired FROM (SELECT DISTINCT customer_id AS entity_id FROM accounts) e
   LEFT JOIN (SELECT entity_id, CAST(sum(CAST(points AS DECIMAL(18,2))) AS DOUBLE) AS s, count(*) AS n FROM contrib GROUP BY 1) p ON p.entity_id = e.entity_id),
 cats AS (SELECT entity_id, category, CAST(sum(CAST(points AS DECIMAL(18,2))) AS DOUBLE) AS points FROM contrib GROUP BY 1, 2)"""
-SCORED = results_sql(COMMON) + ",\n" + SCORING
+SCORED = SHARED_PARTS + ",\n" + results_sql(COMMON) + ",\n" + SCORING
 BAND = "CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END"
 
 
 def common(b: Bank) -> sc.Assessment:
     legs = stage(legs_for(b.txn, b.accounts, b.period), "legs")
-    return sc.assess(risk.frames(b, legs=legs), COMMON)
+    return sc.assess(risk.frames(b, legs=legs))
 
 
 @query("sc01_group_caps", oracle(VIEWS_USED, "SELECT entity_id, detector, raw_points, points, points < raw_points AS capped FROM contrib", SCORED))
@@ -112,33 +114,58 @@ def _(b):
     return t.select("entity_id", "detector", "triggered", "points", "reason", "severity")
 
 
-# evidence of four rules, stated again in SQL
-EVIDENCE_RULES = ("TRANSACTION_BURST", "AMOUNT_DEVIATION", "FAN_IN", "STRUCTURING")
-EVIDENCE = f"""
-ev AS (
-SELECT r.entity_id, r.detector, l.transaction_id, row_number() OVER (PARTITION BY r.entity_id ORDER BY ts, transaction_id) AS pos, 10 AS k FROM results r
-  JOIN (SELECT entity_id, max_count, min(start_sec) AS t_at FROM ({risk.ROLL_SQL}) q WHERE period = 'win' GROUP BY 1, 2) b ON b.entity_id = r.entity_id
-  JOIN legs l ON l.entity_id = r.entity_id AND period = 'win' AND direction = 'out' AND sec BETWEEN t_at AND t_at + 3600 WHERE r.detector = 'TRANSACTION_BURST' AND r.state = 'fired'
-UNION ALL SELECT r.entity_id, r.detector, l.transaction_id, row_number() OVER (PARTITION BY r.entity_id ORDER BY amount_usd DESC, transaction_id), 10 FROM results r
-  JOIN legs l ON l.entity_id = r.entity_id AND period = 'win' AND direction = 'out' AND status = 'completed' AND amount_usd >= r.threshold - 1e-9 WHERE r.detector = 'AMOUNT_DEVIATION' AND r.state = 'fired'
-UNION ALL SELECT r.entity_id, r.detector, l.transaction_id, row_number() OVER (PARTITION BY r.entity_id ORDER BY ts, transaction_id), 12 FROM results r
-  JOIN legs l ON l.entity_id = r.entity_id AND period = 'win' AND direction = 'in' WHERE r.detector = 'FAN_IN' AND r.state = 'fired'
-UNION ALL SELECT r.entity_id, r.detector, l.transaction_id, row_number() OVER (PARTITION BY r.entity_id ORDER BY ts, transaction_id), 10 FROM results r
-  JOIN (SELECT * FROM (SELECT entity_id, sec AS t_at, row_number() OVER (PARTITION BY entity_id ORDER BY c DESC, s DESC, sec DESC) AS rn FROM (
-    SELECT entity_id, sec, count(*) OVER w AS c, sum(CAST(amount_usd AS DECIMAL(18,2))) OVER w AS s FROM legs
-    WHERE period = 'win' AND (direction = 'out' OR (direction = 'in' AND other_account IS NULL)) AND status = 'completed'
-      AND transaction_type IN ('cash_withdrawal', 'transfer', 'deposit') AND amount_usd >= 30 AND amount_usd < 100
-    WINDOW w AS (PARTITION BY entity_id ORDER BY sec RANGE BETWEEN CURRENT ROW AND 172800 FOLLOWING)) a) z WHERE rn = 1) b ON b.entity_id = r.entity_id
-  JOIN legs l ON l.entity_id = r.entity_id AND period = 'win' AND (direction = 'out' OR (direction = 'in' AND other_account IS NULL)) AND status = 'completed'
-    AND transaction_type IN ('cash_withdrawal', 'transfer', 'deposit') AND amount_usd >= 30 AND amount_usd < 100 AND sec BETWEEN t_at AND t_at + 172800
-  WHERE r.detector = 'STRUCTURING' AND r.state = 'fired'),
-cited AS (SELECT * FROM ev WHERE pos <= k)"""
+
+
+def cited_rows(rule: str, rows: str, order: str, k: int, start: int = 0) -> str:
+    """SQL of the first `k` of `rows` (l) that support each customer flagged by `rule` (r)."""
+    return f"""SELECT entity_id, detector, transaction_id, {start} + rn AS pos FROM (SELECT r.entity_id, r.detector, l.transaction_id, row_number() OVER (PARTITION BY r.entity_id ORDER BY {order}) AS rn
+  FROM results r JOIN {rows} WHERE r.detector = '{rule}' AND r.state = 'fired') x WHERE rn <= {k}"""
+
+
+_OWN = "legs l ON l.entity_id = r.entity_id AND period = 'win'"
+_TIME = "ts, transaction_id"
+_BAND = """(direction = 'out' OR (direction = 'in' AND other_account IS NULL)) AND status = 'completed'
+      AND transaction_type IN ('cash_withdrawal', 'transfer', 'deposit') AND amount_usd >= 30 AND amount_usd < 100"""
+_LARGE = f"{_OWN} AND direction = 'out' AND status = 'completed' AND amount_usd >= r.threshold - 1e-6"
+EVIDENCE = ("""
+bursts AS (SELECT entity_id, min(start_sec) AS t_at FROM (SELECT *, max(max_count) OVER (PARTITION BY entity_id) AS top FROM (""" + risk.ROLL_SQL + """) q WHERE period = 'win') z WHERE max_count = top GROUP BY 1),
+peaks AS (SELECT entity_id, arg_max(day, struct_pack(c := c, d := -date_diff('day', DATE '2000-01-01', day))) AS day FROM (
+  SELECT entity_id, CAST(ts AS DATE) AS day, count(*) AS c FROM legs WHERE period = 'win' AND direction = 'out' GROUP BY 1, 2) z GROUP BY 1),
+banded_at AS (SELECT * FROM (SELECT entity_id, sec AS t_at, row_number() OVER (PARTITION BY entity_id ORDER BY c DESC, s DESC, sec DESC) AS rn FROM (
+    SELECT entity_id, sec, count(*) OVER w AS c, sum(CAST(amount_usd AS DECIMAL(18,2))) OVER w AS s FROM legs WHERE period = 'win' AND """ + _BAND + """
+    WINDOW w AS (PARTITION BY entity_id ORDER BY sec RANGE BETWEEN CURRENT ROW AND 172800 FOLLOWING)) a) z WHERE rn = 1),
+fresh AS (SELECT entity_id, device_id FROM legs WHERE direction = 'out' AND device_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) FILTER (period = 'base') = 0 AND count(*) FILTER (period = 'win') > 0),
+woken AS (SELECT customer_id AS entity_id, arg_max(account_id, struct_pack(u := usd, g := gap, a := account_id)) AS account_id FROM gaps WHERE gap >= """ + f"{TRIAL_RULES.dormant_days} AND usd >= {TRIAL_RULES.dormant_usd}" + """ GROUP BY 1),
+rounds AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY cycle) AS rank FROM (
+  SELECT DISTINCT a.customer_id AS entity_id, c.cycle, c.ids FROM (SELECT cycle, ids, unnest(cycle) AS account_id FROM best) c JOIN accounts a ON a.account_id = c.account_id) z),
+cited AS MATERIALIZED (
+""" + "\nUNION ALL ".join([
+    cited_rows("TRANSACTION_BURST", f"bursts b ON b.entity_id = r.entity_id JOIN {_OWN} AND direction = 'out' AND sec BETWEEN t_at AND t_at + 3600", _TIME, 10),
+    cited_rows("VELOCITY_SPIKE", f"peaks b ON b.entity_id = r.entity_id JOIN {_OWN} AND direction = 'out' AND CAST(ts AS DATE) = b.day", _TIME, 10),
+    cited_rows("AMOUNT_DEVIATION", _LARGE, "amount_usd DESC, transaction_id", 10),
+    cited_rows("PEER_AMOUNT_DEVIATION", _LARGE, "amount_usd DESC, transaction_id", 10),
+    cited_rows("FAN_IN", f"{_OWN} AND direction = 'in'", _TIME, 12),
+    cited_rows("FAN_OUT", f"{_OWN} AND direction = 'out' AND status = 'completed' AND transaction_type = 'transfer'", _TIME, 12),
+    cited_rows("STRUCTURING", f"banded_at b ON b.entity_id = r.entity_id JOIN {_OWN} AND {_BAND} AND sec BETWEEN t_at AND t_at + 172800", _TIME, 10),
+    cited_rows("GEO_NEW_COUNTRY", f"""customers c ON c.customer_id = r.entity_id JOIN {_OWN} AND l.country IS NOT NULL AND l.country <> c.country AND NOT EXISTS (SELECT 1 FROM legs b WHERE b.entity_id = l.entity_id
+    AND b.country = l.country AND b.period = 'base' AND b.direction <> 'internal')""", _TIME, 10),
+    cited_rows("NEW_DEVICE", f"fresh b ON b.entity_id = r.entity_id JOIN {_OWN} AND direction = 'out' AND l.device_id = b.device_id", _TIME, 8, 5),
+    cited_rows("HIGH_RISK_MERCHANT", f"{_OWN} AND direction = 'out' AND status = 'completed' AND merchant_id IN (SELECT merchant_id FROM merchants WHERE risk_profile = 'high')", _TIME, 10, 5),
+    cited_rows("DORMANT_REACTIVATION", "woken b ON b.entity_id = r.entity_id JOIN txn l ON (l.sender_account_id = b.account_id OR l.receiver_account_id = b.account_id) AND l.ts >= {ws} AND l.ts <= {we}", _TIME, 10),
+    """SELECT entity_id, detector, unnest([pid, transaction_id]) AS transaction_id, unnest([2 * rn - 1, 2 * rn]) AS pos FROM (SELECT r.entity_id, r.detector, p.pid, p.transaction_id,
+    row_number() OVER (PARTITION BY r.entity_id ORDER BY l.ts, l.transaction_id) AS rn FROM results r JOIN (""" + risk.PAIRS + """) p ON p.entity_id = r.entity_id
+  JOIN legs l ON l.entity_id = p.entity_id AND l.transaction_id = p.transaction_id AND l.direction = 'out' WHERE r.detector = 'IMPOSSIBLE_TRAVEL' AND r.state = 'fired') x WHERE rn <= 5""",
+    """SELECT entity_id, detector, CAST(unnest([in_id, out_id]) AS BIGINT) AS transaction_id, unnest([2 * rn - 1, 2 * rn]) AS pos FROM (SELECT r.entity_id, r.detector, in_id, out_id,
+    row_number() OVER (PARTITION BY r.entity_id ORDER BY place) AS rn FROM results r JOIN sl ON sl.entity_id = r.entity_id AND period = 'win' WHERE r.detector = 'RAPID_PASS_THROUGH' AND r.state = 'fired') x WHERE rn <= 8""",
+    """SELECT entity_id, detector, transaction_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS n FROM (
+    SELECT r.entity_id, r.detector, rank * 8 + unnest(range(0, len(ids) + 1)) AS pos, unnest(list_prepend(NULL, ids)) AS transaction_id FROM results r
+    JOIN rounds b ON b.entity_id = r.entity_id AND rank <= 5 WHERE r.detector = 'CIRCULAR_FLOW' AND r.state = 'fired') x) y WHERE n <= 25 AND transaction_id IS NOT NULL""",
+]) + ")")
 
 
 def cited(b: Bank) -> DataFrame:
-    f = risk.frames(b, legs=stage(legs_for(b.txn, b.accounts, b.period), "legs"))
-    results = stage(det.all_results(f, EVIDENCE_RULES), "results")
-    return sc.evidence(f, results, EVIDENCE_RULES)
+    f, a = full(b)
+    return sc.evidence(f, a.results)
 
 
 @query("sc06_supporting_transactions", oracle(VIEWS_USED, f"""
@@ -199,7 +226,7 @@ def _(b):
     return sc.evidence(f, det.device_sharing(f).withColumn("detector", F.lit("DEVICE_SHARING")), ("DEVICE_SHARING",)).drop("detector")
 
 
-@query("sc01_scores")
+@query("sc01_scores", oracle(VIEWS_USED, f"SELECT entity_id, score, {BAND} AS band, score >= 40 AS flagged, n_fired FROM scores", SCORED))
 def _(b):
     """All rules, all customers."""
     return full(b)[1].scores
