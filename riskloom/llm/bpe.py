@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.memory import tidy
+from riskloom.llm.memory import release, tidy
 from riskloom.llm.tries import Trie
 
 CACHE = 150_000
@@ -201,6 +202,14 @@ def compile_merges(path: str) -> Automaton:
     return Automaton(labels, special, row, column, np.packbits(allowed[:len(row_users), :len(column_users)], axis=1))
 
 
+@lru_cache(maxsize=2)
+def compiled(path: str, version: int) -> Automaton:
+    """The automaton of a file as of `version`: compiled once a process, whose leftovers go back to the system."""
+    automaton = compile_merges(path)
+    release()
+    return automaton
+
+
 class Encoder:
     """Whole texts: special tokens, splitting into words, and the cache of words."""
 
@@ -270,7 +279,7 @@ class Encoder:
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_tokens, ids_sha256, decoded_sha256; on demand the token ids and the decoded text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(compile_merges(path))  # fixed by the vocabulary: a few MB
+    shared = spark.sparkContext.broadcast(compiled(path, os.stat(path).st_mtime_ns))  # fixed by the vocabulary: a few MB
     schema = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
               + ", token_ids array<int>" * keep_ids + ", decoded string" * keep_text)
 

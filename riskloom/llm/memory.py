@@ -9,17 +9,22 @@ from functools import wraps
 import pyarrow as pa
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A function over a task's batches that gives freed memory back when it is done."""
 
     @wraps(run)
     def tidied(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        release()
 
     return tidied

@@ -110,24 +110,52 @@ def mix(docs: DataFrame, seed: str = "mix", max_copies: int = MAX_COPIES) -> Dat
     inside = _with_small(rows, first, few).filter(F.col("b1") == F.col("cut_b1"))
     second = stage(cut(inside, "b2", F.col("rest") - F.col("before_b1")), "mix-fine")
     bounds = _with_small(first, second, few)
-    # only the fine bin at the cut is sorted; rows that agree in rank, size and id are taken together
-    upto = F.col("before_b1") + F.col("before_b2") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "size", "doc_id"))
-    last = (_with_small(rows, bounds, few).filter((F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))).withColumn("upto", upto)
-            .filter(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(place()).alias("last")))
-    cuts = stage(_with_small(bounds, last, few), "mix-cuts")
+    # only the fine bin at the cut is sorted; rows that agree in rank, size and id are one group, of which a whole number is taken
+    alike = (_with_small(rows, bounds, few).filter((F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2")))
+             .groupBy("source", "q", "size", "doc_id").agg(F.count("*").alias("n"), F.first("rest").alias("rest"), F.first(F.col("before_b1") + F.col("before_b2")).alias("start")))
+    upto = F.col("start") + F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("source").orderBy("q", "size", "doc_id"))
+    fits = F.floor((F.col("rest") - F.col("upto") + F.col("size") * F.col("n")) / F.col("size"))
+    at_cut = (alike.withColumn("upto", upto).groupBy("source").agg(
+        F.max(F.when(F.col("upto") <= F.col("rest"), place())).alias("last"),
+        F.min(F.when(F.col("upto") > F.col("rest"), F.struct("q", "size", "doc_id", fits.cast("long").alias("n")))).alias("part")))
+    cuts = stage(_with_small(bounds, at_cut, few), "mix-cuts")
 
     taken = _with_small(rows, cuts, few).withColumn("taken", drawn())
-    gaps = stage(taken.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap")), "mix-gaps")
+    part_words = F.coalesce(F.col("part.n") * F.col("part.size"), F.lit(0))
+    gaps = stage(taken.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)) - F.first(part_words)).alias("gap")), "mix-gaps")
     off = F.abs(F.col("size") - F.col("gap"))
     nearest = (_with_small(taken, gaps, few).filter(~F.col("taken") & (off < F.col("gap"))).groupBy("source")
                .agg(F.min(F.struct(off.alias("off"), "q", "size", "doc_id")).alias("n"))
                .select("source", F.struct(F.col("n.q").alias("q"), F.col("n.size").alias("size"), F.col("n.doc_id").alias("doc_id")).alias("closing")))
     facts = stage(_with_small(_with_small(aims, cuts, few), nearest, few), "mix-facts")
-    extra = (drawn() | F.coalesce(place().eqNullSafe(F.col("closing")), F.lit(False))).cast("long")
-    return (ranked(sized, facts, few, seed).withColumn("copies", F.col("whole").cast("long") + extra)
+    at_part = F.coalesce(place().eqNullSafe(F.struct(F.col("part.q").alias("q"), F.col("part.size").alias("size"), F.col("part.doc_id").alias("doc_id"))), F.lit(False))
+    at_closing = F.coalesce(place().eqNullSafe(F.col("closing")), F.lit(False))
+    # how many of the rows that agree with it a row at one of these places shares with; null at all other places
+    quota = F.when(F.col("q").isNotNull() & ~drawn() & (at_part | at_closing),
+                   F.when(at_part, F.coalesce(F.col("part.n"), F.lit(0))).otherwise(0) + at_closing.cast("long"))
+    decided = ranked(sized, facts, few, seed).withColumn("extra", drawn().cast("long")).withColumn("quota", quota)
+    split = _with_small(rows, facts, few).filter(quota.isNotNull()).groupBy("source", "q", "size", "doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if split.isEmpty():
+        chosen = decided.withColumn("extra", F.coalesce("quota", "extra"))
+    else:
+        chosen = decided.filter("quota IS NULL").unionByName(_numbered(decided.filter("quota IS NOT NULL")))
+    return (chosen.withColumn("copies", F.col("whole").cast("long") + F.col("extra"))
             .withColumn("taken", F.col("copies") * F.col("size")).select(*fields, "size", "source_size", "target", "copies", "taken"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`extra` of rows that share a `quota`: the first ones by text take it. Numbers go through parts of a group, so that a large one is spread."""
+    group = ["source", "doc_id", "size"]
+    rows = rows.withColumn("part_of", F.pmod(F.xxhash64("text"), F.lit(64)))
+    sizes = rows.groupBy(*group, "part_of").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("part_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(f"g_{c}").eqNullSafe(F.col(c)) for c in (*group, "part_of")]
+    starts = sizes.withColumn("before", before).select(*[F.col(c).alias(f"g_{c}") for c in (*group, "part_of")], "before")
+    number = F.col("before") + F.row_number().over(Window.partitionBy(*group, "part_of").orderBy("text"))
+    return (rows.join(starts, same[0] & same[1] & same[2] & same[3]).withColumn("extra", (number <= F.col("quota")).cast("long"))
+            .drop("part_of", "before", *[f"g_{c}" for c in (*group, "part_of")]))
+
+
 def mix_sql(docs: str = "documents", seed: str = "mix") -> str:
     """The same mix in DuckDB SQL, with windows over whole sources."""
     return rf"""
@@ -143,10 +171,10 @@ due AS (SELECT b.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.
   FROM base b JOIN aims a ON a.source IS NOT DISTINCT FROM b.source),
 ranked AS (SELECT *, floor(due) AS whole, target - floor(due) * source_size AS rest,
     CASE WHEN due - floor(due) > 0 AND size > 0 THEN (u / (1 - u)) / ((due - floor(due)) / (1 - (due - floor(due)))) END AS q FROM due),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, size, doc_id RANGE UNBOUNDED PRECEDING) AS upto FROM ranked),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM ranked),
 drawn AS (SELECT *, CASE WHEN q IS NOT NULL AND upto <= rest THEN 1 ELSE 0 END AS extra FROM summed),
 gaps AS (SELECT *, rest - sum(size * extra) OVER (PARTITION BY source) AS gap FROM drawn),
 near AS (SELECT *, q IS NOT NULL AND extra = 0 AND abs(size - gap) < gap AS spare FROM gaps),
-closed AS (SELECT *, CASE WHEN spare AND rank() OVER (PARTITION BY source, spare ORDER BY abs(size - gap), q, size, doc_id) = 1
+closed AS (SELECT *, CASE WHEN spare AND row_number() OVER (PARTITION BY source, spare ORDER BY abs(size - gap), q, size, doc_id) = 1
     THEN 1 ELSE extra END AS more FROM near),
 mixed AS (SELECT doc_id, size, source_size, target, ((whole + more) * size)::BIGINT AS taken FROM closed)"""

@@ -150,14 +150,16 @@ def same_shape(text: str, draw: Draw, hexadecimal: bool = False) -> str:
 def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
     """The canonical form of the replacement that an entity draws at an attempt."""
     draw = Draw(key, kind, canon, str(attempt))
+    longer = max(0, attempt - 8) // 4  # a shape that keeps colliding grows, so that there is always room
     if kind == "email":
         local, _, domain = canon.partition("@")
+        local += "a" * longer
         host = domain.split(".")[0]
         return f"{same_shape(local, draw)}@{same_shape(host, draw)}.example.com"
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "secret":
-        return same_shape(canon, draw, all(c in "0123456789abcdef" for c in canon))
+        return same_shape(canon + "a" * longer, draw, all(c in "0123456789abcdef" for c in canon))
     if kind == "ipv6":  # zero groups stay and the others keep their digits; after some collisions, neither
         new = []
         for group in groups_of(canon):
@@ -174,7 +176,7 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         return body + next(c for c in "0123456789" if luhn(body + c) == 0)
     if kind == "phone":
         country = len(canon) - 10 if len(canon) > 10 else 0
-        return canon[:country] + same_shape(canon[country:], draw)
+        return canon[:country] + same_shape(canon[country:] + "0" * longer, draw)
     if kind == "ssn":
         return same_shape(canon, draw)
     _, role, writing = kind.split(":")
@@ -206,7 +208,7 @@ def lay(kind: str, new: str, old: str) -> str:
     """The canonical replacement in the format of an occurrence."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(new)
-        return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(digits))) if c.isdecimal() else c for c in old)
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(digits))) if c.isdecimal() else c for c in old) + "".join(digits)
     if kind == "ipv6":
         return lay_ipv6(groups_of(new), old)
     if kind == "iban":
@@ -219,7 +221,7 @@ def lay(kind: str, new: str, old: str) -> str:
     if kind.startswith("name"):
         return new.title() if old[:1].isupper() else new
     if kind == "secret" and not old.islower():
-        return "".join(n.upper() if o.isupper() else n for n, o in zip(new, old, strict=True))
+        return "".join(n.upper() if o.isupper() else n for n, o in zip(new, old, strict=False)) + new[len(old):]
     return new
 
 
@@ -238,6 +240,10 @@ def detect(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(tidy(run), "text_key long, kind string, canon string").distinct()
 
 
+#: Draws of an entity before the job fails; shapes grow long before.
+MOST_ATTEMPTS = 400
+
+
 def assign(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, ...) -> kind, canon, surrogate: distinct surrogates for distinct entities, none of them an entity itself."""
     secret = key.encode()
@@ -265,6 +271,8 @@ def assign(found: DataFrame, key: str) -> DataFrame:
         attempt += 1
         if pending.isEmpty():
             return accepted
+        if attempt > MOST_ATTEMPTS:
+            raise RuntimeError(f"no distinct surrogates after {attempt} draws for {pending.count()} entities")
 
 
 def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:

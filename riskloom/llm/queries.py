@@ -30,6 +30,11 @@ def tokenizer(spark: SparkSession, name: str) -> str:
     return f"{spark.conf.get('spark.riskloom.tokenizers', TOKENIZERS)}/{name}"
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret that surrogates derive from; without the setting, a fixed one, whose surrogates anyone can recompute."""
+    return spark.conf.get("spark.riskloom.surrogate.key", "surrogates")
+
+
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), tokenizer(spark, "byte_bpe_50k.json"))
 
@@ -46,7 +51,7 @@ def op3_ann(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.replace(table(spark, folder, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, folder, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op6_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = f"WITH {mixing.mix_sql().strip()}\nSELECT doc_id, size, source_size, target, taken FROM mixed"

@@ -227,14 +227,17 @@ def test_pipeline_stages_take_effect(spark, documents, no_documents):
     import corpus_pipeline as pipe
     from riskloom.llm import bpe, langid, mixing, pii
     from riskloom.session import stage
-    docs, columns = documents.drop("score", "class"), documents.drop("score", "class").columns
+    clashing = {c: F.lit(i).cast("int") for i, c in enumerate(("n", "i", "t", "stays", "copy", "size", "copies", "held_out", "lang_pred", "text_key", "part", "last", "a.b"))}
+    docs, none = documents.withColumns(clashing), no_documents.withColumns(clashing)
+    columns, schema = docs.columns, docs.schema
     for name, step in pipe.STAGES:
         before = docs.collect()
         docs = stage(step(spark, docs, ""), "test")
         after = docs.collect()
-        assert step(spark, no_documents.drop("score", "class"), "").count() == 0
+        assert step(spark, none, "").count() == 0
         if name != "BPE encoding":
             assert docs.columns == columns
+            assert {tuple(r[c] for c in clashing) for r in after} == {tuple(range(len(clashing)))} and {r["class"] for r in after} == {"x"}
         if name == "language ID":
             assert Counter(r.text for r in after) == Counter(r.text for r in before if langid.words_of(r.text or ""))
         elif name == "n-gram Jaccard join":
@@ -248,7 +251,7 @@ def test_pipeline_stages_take_effect(spark, documents, no_documents):
             assert old and not old & {c for r in after for _, _, _, c in pii.entities(r.text)}
             assert all(r.n_chars == len(r.text) for r in after)
         elif name == "mixing to target weights":
-            want = {(r.doc_id, r.text): r.copies for r in mixing.mix(spark.createDataFrame(before, documents.drop("score", "class").schema)).collect()}
+            want = {(r.doc_id, r.text): r.copies for r in mixing.mix(spark.createDataFrame(before, schema).select("doc_id", "source", "text")).collect()}
             assert Counter((r.doc_id, r.text) for r in after) == Counter({k: v for k, v in want.items() if v})
         else:
             automaton = bpe.compile_merges(f"{TOKENIZERS}/byte_bpe_50k.json")

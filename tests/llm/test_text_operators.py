@@ -252,6 +252,32 @@ def test_mix_meets_its_targets_and_the_sql(spark, documents, no_documents, tmp_p
     assert Counter(rows_of(got, "doc_id", "taken")) == Counter(rows_of(mixing.mix(many.repartition(7)), "doc_id", "taken"))
 
 
+def test_repeated_rows_are_mixed_by_number(spark, tmp_path):
+    """Rows that agree in id, size and source fill a target one by one; texts may differ or not."""
+    import duckdb
+    rows = [(None, f"{'same' if i % 3 else i} b c", "s1") for i in range(1000)] + [(7, "x y z", "s2")] * 500 + [(i, "w " * (i % 9 + 1), "s3") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(got) == 1800 and all(abs(taken[r.source] - r.target) <= 3 for r in got if r.source != "s3")
+    path = str(tmp_path / "d.parquet")
+    docs.write.parquet(path)
+    want = duckdb.sql(f"WITH {mixing.mix_sql(chr(34) + 'd' + chr(34)).strip()} SELECT doc_id, size, source_size, round(target, 6), taken FROM mixed".replace('"d"', f"'{path}/*.parquet'")).fetchall()
+    assert Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got) == Counter(want)
+
+
+def test_surrogates_of_a_small_space_stay_distinct(spark):
+    """676 addresses of one letter each side, at two hosts each: more entities than such addresses."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = spark.createDataFrame([("email", f"{x}@{y}.{end}") for x in letters for y in letters for end in ("com", "net")] + [("phone", f"{i:05d}") for i in range(300)], "kind string, canon string")
+    got = pii.assign(found, "key").collect()
+    assert len(got) == 1652 and len({(r.kind, r.surrogate) for r in got}) == 1652
+    assert not {r.surrogate for r in got} & {r.canon for r in got}
+    assert pii.lay("phone", "123456", "12-345") == "12-3456" and pii.lay("secret", "abcdX", "ABcd") == "ABcdX"
+
+
 def test_targets_share_by_weight_up_to_three_sizes(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 40), (None, 500), ("z", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
