@@ -97,6 +97,50 @@ def merge(actions: DataFrame, current: DataFrame, cited: DataFrame, current_cite
         (F.col("old_txn_count") + F.col("new_txns")).alias("txn_count"), "new_txns")
 
 
+STATE = {"alert_id": "string", "customer_id": "bigint", "detector_id": "string", "status": "string", "severity": "string", "risk_score": "double",
+         "risk_contribution": "double", "occurrence_count": "bigint", "amount_usd": "double", "txn_count": "bigint", "categories": "bigint", "network_points": "double",
+         "identity_signals": "bigint", "account_id": "bigint", "first_transaction_id": "string", "triggered_at": "timestamp", "last_seen_at": "timestamp",
+         "resolved_at": "timestamp", "resolution": "string", "triage_score": "double", "triage_priority": "string"}
+CITES = {"alert_id": "string", "customer_id": "bigint", "detector_id": "string", "transaction_id": "string"}
+
+
+def shaped(rows: DataFrame, shape: dict[str, str]) -> DataFrame:
+    """The columns of a stored table; those that `rows` lacks are null."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()])
+
+
+def applied(actions: DataFrame, current: DataFrame, cites: DataFrame, cited: DataFrame, facts: DataFrame, context: DataFrame, amounts: DataFrame,
+            as_of: datetime, rules: TriageRules) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The alert table, its cited transactions and the events after a run: what `actions` create is added, what they update is merged, both are triaged.
+
+    `current` and `cites` have the columns of `STATE` and `CITES`, `facts` those of `evidence_facts`, `context` those of `triage_context`. A merged
+    alert keeps its account and first transaction, takes the customer facts of this run, and adds the evidence that it did not hold.
+    """
+    keys = ["customer_id", "detector_id"]
+    customer = ["categories", "network_points", "identity_signals"]
+    known = context.select("customer_id", *customer)
+    mine = facts.select(*keys, "txn_count", "amount_usd", "first_transaction_id", "account_id")
+    new = (actions.filter("action = 'created'").join(mine, keys, "left").join(known, "customer_id", "left").fillna(0, ["txn_count", *customer])
+           .withColumns({"alert_id": F.col("alert_key"), "status": F.lit("NEW"), "risk_score": F.col("score"), "risk_contribution": F.col("points"),
+                         "occurrence_count": F.lit(1), "triggered_at": F.lit(as_of), "last_seen_at": F.lit(as_of)}))
+    changes = merge(actions, current, cited, cites, amounts).select(
+        "alert_id", *[F.col(c).alias(f"new_{c}") for c in ("occurrence_count", "risk_score", "risk_contribution", "severity", "amount_usd", "txn_count")])
+    merged = current.join(changes, "alert_id").drop(*customer).join(known, "customer_id", "left").fillna(0, customer)
+    merged = merged.withColumns({c: F.col(f"new_{c}") for c in ("occurrence_count", "risk_score", "risk_contribution", "severity", "amount_usd", "txn_count")})
+    merged = merged.withColumn("last_seen_at", F.lit(as_of))
+    touched = shaped(new, STATE).withColumn("was", F.lit("created")).unionByName(shaped(merged, STATE).withColumn("was", F.lit("updated")))
+    rest = current.join(changes.select("alert_id"), "alert_id", "left_anti").withColumn("was", F.lit(None).cast("string"))
+    judged = triage(history(touched.unionByName(shaped(rest, STATE).withColumn("was", F.lit(None).cast("string")))), as_of, rules)
+    fresh = F.col("was").isNotNull()
+    alerts = judged.withColumns({"before": F.col("triage_priority"), "triage_score": F.when(fresh, F.col("new_score")).otherwise(F.col("triage_score")),
+                                 "triage_priority": F.when(fresh, F.col("new_priority")).otherwise(F.col("triage_priority"))})
+    happened = F.array_compact(F.array(F.col("was"), F.when((F.col("was") == "updated") & ~F.col("before").eqNullSafe(F.col("triage_priority")), "priority_changed")))
+    events = alerts.filter(fresh).select("alert_id", *keys, "before", "triage_priority", F.explode(happened).alias("event"))
+    held = actions.filter("action IN ('created', 'updated')").select(*keys, F.col("alert_key").alias("alert_id")).join(cited.select(*keys, "transaction_id").distinct(), keys)
+    more = held.join(cites.select("alert_id", "transaction_id"), ["alert_id", "transaction_id"], "left_anti")
+    return shaped(alerts, STATE), shaped(cites, CITES).unionByName(shaped(more, CITES)), events
+
+
 def run_summary(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("customer_id").alias("customers"))
 

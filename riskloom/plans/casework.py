@@ -96,6 +96,67 @@ def _(b):
         "alert_id", "occurrence_count", "risk_score", "risk_contribution", "severity", "amount_usd", "txn_count")
 
 
+R2 = "floor(({}) * 100 + 0.5) / 100"
+AGE = "CASE WHEN status <> 'RESOLVED' THEN greatest((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(triggered_at)) / 3600e6, 0.0) END"
+SCORE = f"""tri AS (SELECT *, floor(CAST(
+    CAST(CASE severity WHEN 'critical' THEN 13 WHEN 'high' THEN 11 WHEN 'medium' THEN 7 ELSE 3 END AS DECIMAL(18,2)) + CAST({R2.format('least(25.0E0, risk_score / 100.0 * 25.0)')} AS DECIMAL(18,2))
+  + CAST(CASE {case('detector_id', TIERS)} WHEN 'standalone' THEN 5 WHEN 'supporting' THEN 4 ELSE 0 END AS DECIMAL(18,2))
+  + CAST(CASE categories WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 3 THEN 8 ELSE 10 END AS DECIMAL(18,2))
+  + CAST(CASE WHEN amount_usd IS NULL THEN 0 WHEN amount_usd < 1000 THEN 2 WHEN amount_usd < 5000 THEN 4 WHEN amount_usd < 10000 THEN 6 WHEN amount_usd < 50000 THEN 8 ELSE 10 END AS DECIMAL(18,2))
+  + CAST(CASE WHEN txn_count = 0 THEN 0 WHEN txn_count = 1 THEN 1 WHEN txn_count < 5 THEN 3 ELSE 5 END AS DECIMAL(18,2)) + CAST(CASE WHEN occurrence_count <= 1 THEN 1 WHEN occurrence_count <= 3 THEN 3 ELSE 5 END AS DECIMAL(18,2))
+  + CAST({R2.format('least(network_points / 10.0, 1.0E0) * 7.0')} AS DECIMAL(18,2)) + CAST(CASE identity_signals WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 5 END AS DECIMAL(18,2))
+  + CAST(CASE WHEN prior_confirmed > 0 THEN 5 ELSE 0 END AS DECIMAL(18,2)) + CAST(CASE WHEN prior_cleared > 0 THEN 0 ELSE 5 END AS DECIMAL(18,2))
+  + CAST(CASE WHEN {AGE} IS NULL THEN 0 WHEN {AGE} >= 96 THEN 5 WHEN {AGE} >= 48 THEN 3 WHEN {AGE} >= 24 THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS DOUBLE) * 10 + 0.5) / 10 AS new_score FROM hist),
+pri AS (SELECT *, CASE WHEN new_score >= 65 THEN 'CRITICAL' WHEN new_score >= 50 THEN 'HIGH' WHEN new_score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS new_priority FROM tri)"""
+
+
+ROW_CONTEXT = """
+tctx AS (SELECT entity_id AS customer_id, count(DISTINCT category) AS categories, coalesce(CAST(sum(CAST(points AS DECIMAL(18,2))) FILTER (detector = 'NETWORK_EXPOSURE') AS DOUBLE), 0) AS network_points,
+  count(*) FILTER (category = 'device_identity') AS identity_signals FROM contrib WHERE points > 0 GROUP BY 1),
+efacts AS (SELECT * FROM (SELECT c.entity_id AS customer_id, c.detector AS detector_id, CAST(l.transaction_id AS VARCHAR) AS first_transaction_id, l.account_id,
+    row_number() OVER (PARTITION BY c.entity_id, c.detector ORDER BY l.ts, CAST(l.transaction_id AS VARCHAR)) AS rn, count(*) OVER (PARTITION BY c.entity_id, c.detector) AS txn_count,
+    CAST(sum(CAST(l.amount_usd AS DECIMAL(18,2))) OVER (PARTITION BY c.entity_id, c.detector) AS DOUBLE) AS amount_usd
+  FROM (SELECT DISTINCT entity_id, detector, transaction_id FROM cited) c JOIN legs l ON l.entity_id = c.entity_id AND l.transaction_id = c.transaction_id) x WHERE rn = 1),
+grown AS (SELECT a.alert_id, count(*) AS n, CAST(sum(CAST(t.amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS usd FROM acts a JOIN cite c ON c.customer_id = a.customer_id AND c.detector_id = a.detector_id
+  JOIN txn t ON CAST(t.transaction_id AS VARCHAR) = c.transaction_id WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.alert_id = a.alert_id AND h.transaction_id = c.transaction_id) GROUP BY 1),
+touched AS (
+  SELECT NULL::BIGINT AS alert_id, a.customer_id, a.detector_id, 'NEW' AS status, a.severity, a.score AS risk_score, a.points AS risk_contribution, 1 AS occurrence_count, f.amount_usd, coalesce(f.txn_count, 0) AS txn_count, f.account_id,
+    f.first_transaction_id, TIMESTAMP '2024-01-31 00:00:00' AS triggered_at, NULL::VARCHAR AS triage_priority FROM acts a LEFT JOIN efacts f USING (customer_id, detector_id) WHERE action = 'created'
+  UNION ALL SELECT a.alert_id, m.customer_id, m.detector_id, m.status, CASE WHEN """ + RANKS.format("a.severity") + " > " + RANKS.format("m.severity") + """ THEN a.severity ELSE m.severity END, greatest(m.risk_score, a.score),
+    greatest(m.risk_contribution, a.points), m.occurrence_count + 1, CASE WHEN coalesce(usd, 0) <> 0 OR m.amount_usd IS NOT NULL THEN floor((coalesce(m.amount_usd, 0) + coalesce(usd, 0)) * 100 + 0.5) / 100 END,
+    m.txn_count + coalesce(n, 0), NULL, NULL, m.triggered_at, m.triage_priority FROM acts a JOIN monitoring m ON m.alert_id = a.alert_id LEFT JOIN grown g ON g.alert_id = a.alert_id),
+hist AS (SELECT t.*, coalesce(c.categories, 0) AS categories, coalesce(c.network_points, 0) AS network_points, coalesce(c.identity_signals, 0) AS identity_signals,
+  (SELECT count(*) FROM monitoring o WHERE o.customer_id = t.customer_id AND o.status = 'RESOLVED' AND o.resolution = 'CONFIRMED_SUSPICIOUS') AS prior_confirmed,
+  (SELECT count(*) FROM monitoring o WHERE o.customer_id = t.customer_id AND o.detector_id = t.detector_id AND o.status = 'RESOLVED' AND o.resolution IN ('CLEARED', 'FALSE_POSITIVE')) AS prior_cleared
+  FROM touched t LEFT JOIN tctx c ON c.customer_id = t.customer_id)"""
+
+
+def outcome(b: Bank) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = Run(b)
+    facts = al.evidence_facts(r.evidence, r.legs)
+    amounts = b.txn.select(F.col("transaction_id").cast("string").alias("transaction_id"), "amount_usd")
+    current, cites = al.shaped(b.monitoring, al.STATE), al.shaped(r.held, al.CITES)
+    actions = stage(al.upsert(r.cands, r.cited, current, cites, AS_OF, POLICY), "actions")
+    return al.applied(actions, current, cites, r.cited, facts, al.triage_context(r.assessment.contributions), amounts, AS_OF, TRIAGE)
+
+
+@query("al03_new_alert_rows", oracle(AVIEWS, """SELECT customer_id, detector_id, status, severity, risk_score, risk_contribution, occurrence_count, amount_usd, txn_count, categories, network_points, identity_signals, account_id,
+  first_transaction_id, new_score AS triage_score, new_priority AS triage_priority FROM pri WHERE alert_id IS NULL""", ACTIONS + "," + ROW_CONTEXT + ",\n" + SCORE))
+def _(b):
+    """The rows that the run adds to the alert table."""
+    rows = outcome(b)[0].filter("alert_id LIKE 'MAL-%'")
+    return rows.select("customer_id", "detector_id", "status", "severity", "risk_score", "risk_contribution", "occurrence_count", "amount_usd", "txn_count", "categories", "network_points", "identity_signals",
+                       "account_id", "first_transaction_id", "triage_score", "triage_priority")
+
+
+@query("al04_run_events", oracle(AVIEWS, """SELECT customer_id, detector_id, 'created' AS event, NULL AS before, new_priority AS triage_priority FROM pri WHERE alert_id IS NULL
+UNION ALL SELECT customer_id, detector_id, 'updated', triage_priority, new_priority FROM pri WHERE alert_id IS NOT NULL
+UNION ALL SELECT customer_id, detector_id, 'priority_changed', triage_priority, new_priority FROM pri WHERE alert_id IS NOT NULL AND triage_priority IS DISTINCT FROM new_priority""", ACTIONS + "," + ROW_CONTEXT + ",\n" + SCORE))
+def _(b):
+    """What happened to the alerts of a run: created, merged, and merged with another priority than before."""
+    return outcome(b)[2].drop("alert_id").select("customer_id", "detector_id", "event", "before", "triage_priority")
+
+
 @query("al05_primary_transaction", oracle(VIEWS_USED, """
 SELECT customer_id, detector_id, tid AS first_transaction_id, account_id, n AS txn_count, usd AS amount_usd FROM (
   SELECT c.entity_id AS customer_id, c.detector AS detector_id, CAST(l.transaction_id AS VARCHAR) AS tid, l.account_id, row_number() OVER (PARTITION BY c.entity_id, c.detector ORDER BY l.ts, CAST(l.transaction_id AS VARCHAR)) AS rn,
@@ -123,20 +184,6 @@ def _(b):
     return al.history(b.monitoring).select("alert_id", "prior_confirmed", "prior_cleared")
 
 
-R2 = "floor(({}) * 100 + 0.5) / 100"
-AGE = "CASE WHEN status <> 'RESOLVED' THEN greatest((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(triggered_at)) / 3600e6, 0.0) END"
-SCORE = f"""tri AS (SELECT *, floor(CAST(
-    CAST(CASE severity WHEN 'critical' THEN 13 WHEN 'high' THEN 11 WHEN 'medium' THEN 7 ELSE 3 END AS DECIMAL(18,2)) + CAST({R2.format('least(25.0E0, risk_score / 100.0 * 25.0)')} AS DECIMAL(18,2))
-  + CAST(CASE {case('detector_id', TIERS)} WHEN 'standalone' THEN 5 WHEN 'supporting' THEN 4 ELSE 0 END AS DECIMAL(18,2))
-  + CAST(CASE categories WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 3 THEN 8 ELSE 10 END AS DECIMAL(18,2))
-  + CAST(CASE WHEN amount_usd IS NULL THEN 0 WHEN amount_usd < 1000 THEN 2 WHEN amount_usd < 5000 THEN 4 WHEN amount_usd < 10000 THEN 6 WHEN amount_usd < 50000 THEN 8 ELSE 10 END AS DECIMAL(18,2))
-  + CAST(CASE WHEN txn_count = 0 THEN 0 WHEN txn_count = 1 THEN 1 WHEN txn_count < 5 THEN 3 ELSE 5 END AS DECIMAL(18,2)) + CAST(CASE WHEN occurrence_count <= 1 THEN 1 WHEN occurrence_count <= 3 THEN 3 ELSE 5 END AS DECIMAL(18,2))
-  + CAST({R2.format('least(network_points / 10.0, 1.0E0) * 7.0')} AS DECIMAL(18,2)) + CAST(CASE identity_signals WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 5 END AS DECIMAL(18,2))
-  + CAST(CASE WHEN prior_confirmed > 0 THEN 5 ELSE 0 END AS DECIMAL(18,2)) + CAST(CASE WHEN prior_cleared > 0 THEN 0 ELSE 5 END AS DECIMAL(18,2))
-  + CAST(CASE WHEN {AGE} IS NULL THEN 0 WHEN {AGE} >= 96 THEN 5 WHEN {AGE} >= 48 THEN 3 WHEN {AGE} >= 24 THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS DOUBLE) * 10 + 0.5) / 10 AS new_score FROM hist),
-pri AS (SELECT *, CASE WHEN new_score >= 65 THEN 'CRITICAL' WHEN new_score >= 50 THEN 'HIGH' WHEN new_score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS new_priority FROM tri)"""
-
-
 @query("al08_triage_score", oracle("monitoring", "SELECT alert_id, new_score, new_priority FROM pri", HISTORY + ",\n" + SCORE))
 def _(b):
     return al.triage(al.history(b.monitoring), AS_OF, TRIAGE).select("alert_id", "new_score", "new_priority")

@@ -6,10 +6,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.config import TRIAL_RULES, AlertPolicy, GateRules
+from riskloom.config import TRIAL_RULES, GateRules
+from riskloom.operators import alerts as al
 from riskloom.operators import scoring as sc
 from riskloom.operators.orient import legs_for, orient
-from riskloom.plans import dataquality, risk
+from riskloom.plans import casework, dataquality, risk
 from riskloom.plans.registry import oracle, query
 from riskloom.session import shared_dir, stage
 from riskloom.sources.generated import AS_OF, BATCH, SPARK_WORDS, TXN, Bank, table
@@ -120,21 +121,22 @@ def _(b):
     return b.spark.read.parquet(f"{at}/ledger").agg(*[F.sum(c).alias(c) for c in counts])
 
 
-@query("st08_alert_batches")
+@query("st08_alert_batches", oracle(casework.AVIEWS, """SELECT customer_id, detector_id, action, points FROM acts WHERE customer_id IN (
+  SELECT customer_id FROM accounts WHERE account_id IN (SELECT sender_account_id FROM txn UNION SELECT receiver_account_id FROM txn))""", casework.ACTIONS))
 def _(b):
-    from riskloom.plans import casework
+    """The whole table arrives as one batch, so all customers with rows are assessed, by all rules."""
     at = folder(b, "alerts")
-    rules = ("TRANSACTION_BURST", "FAN_IN")
-
-    def assess(affected: DataFrame):
-        mine = b.accounts.join(affected, "customer_id", "left_semi")
-        f = risk.frames(b, legs=stage(legs_for(b.txn, mine, b.period), "legs"))
-        a = sc.assess(f, rules)
-        cited = sc.evidence(f, a.results, rules).filter("kind = 'transaction'").select(
-            F.col("entity_id").alias("customer_id"), F.col("detector").alias("detector_id"), F.col("id").alias("transaction_id"))
-        return a.contributions, a.scores, cited
-
-    legs = legs_for(b.txn, b.accounts, b.period)
-    run = jobs.alert_batches(b.accounts, assess, lambda: b.monitoring, lambda: casework.cites_of_alerts(b, legs), at, AS_OF, AlertPolicy())
-    drain_batches(stream(b), b, at, run)
+
+    def assess(affected: DataFrame) -> dict[str, DataFrame]:
+        legs = stage(legs_for(b.txn, b.accounts, b.period), "legs")
+        f = risk.frames(b, legs=legs)
+        a = sc.assess(f)
+        mine = lambda df: df.join(affected.withColumnRenamed("customer_id", "entity_id"), "entity_id", "left_semi")
+        evidence = stage(mine(sc.evidence(f, a.results)), "evidence")
+        cited = evidence.filter("kind = 'transaction'").select(F.col("entity_id").alias("customer_id"), F.col("detector").alias("detector_id"), F.col("id").alias("transaction_id"))
+        return {"contributions": mine(a.contributions), "scores": mine(a.scores), "cited": cited, "facts": al.evidence_facts(evidence, legs),
+                "amounts": b.txn.select(F.col("transaction_id").cast("string").alias("transaction_id"), "amount_usd")}
+
+    jobs.start_alerts(at, b.monitoring, casework.cites_of_alerts(b, legs_for(b.txn, b.accounts, b.period)))
+    drain_batches(stream(b), b, at, jobs.alert_batches(b.accounts, assess, at, lambda _: AS_OF, casework.POLICY, casework.TRIAGE))
     return b.spark.read.parquet(f"{at}/actions").select("customer_id", "detector_id", "action", "points")

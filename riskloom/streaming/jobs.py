@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from riskloom.config import AlertPolicy, GateRules
+from riskloom.config import AlertPolicy, GateRules, TriageRules
 from riskloom.functions.numeric import seconds
 from riskloom.operators import alerts as al
 from riskloom.operators import quality as dq
@@ -202,19 +202,41 @@ def gate_batches(accounts: DataFrame, devices: DataFrame, merchants: DataFrame,
     return run
 
 
-def alert_batches(accounts: DataFrame, assess: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], read_state: Callable[[], DataFrame],
-                  read_cites: Callable[[], DataFrame], folder: str, as_of: datetime, policy: AlertPolicy) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: customers the batch touches are assessed and their candidates upserted against the alert state.
+def start_alerts(folder: str, alerts: DataFrame, cites: DataFrame) -> None:
+    """Version -1 of the alert state: what is known before the first batch."""
+    al.shaped(alerts, al.STATE).write.mode("overwrite").parquet(f"{folder}/alerts/version=-1")
+    al.shaped(cites, al.CITES).write.mode("overwrite").parquet(f"{folder}/cites/version=-1")
 
-    `assess` takes the affected customers and returns (contributions, scores, cited rows).
+
+def alert_state(spark, folder: str, version: int) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.schema(", ".join(f"{c} {t}" for c, t in al.STATE.items())).parquet(f"{folder}/alerts/version={version}"),
+            spark.read.schema(", ".join(f"{c} {t}" for c, t in al.CITES.items())).parquet(f"{folder}/cites/version={version}"))
+
+
+def alert_batches(accounts: DataFrame, assess: Callable[[DataFrame], dict[str, DataFrame]], folder: str, clock: Callable[[int], datetime],
+                  policy: AlertPolicy, rules: TriageRules) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: customers the batch touches are assessed, and their candidates upserted into the alert state.
+
+    `assess` takes the affected customers and returns their `contributions`, `scores`, `cited` rows, evidence `facts` and transaction `amounts`. The
+    state is a table per batch: a batch reads the version of the batch before and writes its own, so a repeated batch starts from the same alerts
+    and replaces what it wrote. `clock` gives the time of a batch id, so that a repeated batch also names new alerts alike.
     """
+    from riskloom.session import stage
+
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark, as_of = batch.sparkSession, clock(batch_id)
         touched = batch.select(F.explode(F.array("sender_account_id", "receiver_account_id")).alias("account_id")).filter("account_id IS NOT NULL").distinct()
         affected = touched.join(accounts.select("account_id", "customer_id"), "account_id").select("customer_id").distinct()
-        contributions, scored, cited = assess(affected)
-        cands = al.candidates(contributions, scored, policy)
-        actions = al.upsert(cands, cited, read_state(), read_cites(), as_of, policy)
-        actions.write.mode("overwrite").parquet(f"{folder}/actions/batch={batch_id}")
+        found = assess(affected)
+        current, cites = alert_state(spark, folder, batch_id - 1)
+        cands = al.candidates(found["contributions"], found["scores"], policy)
+        cited = stage(found["cited"], "cited")
+        actions = stage(al.upsert(cands, cited, current, cites, as_of, policy), "actions")
+        alerts, held, events = al.applied(actions, current, cites, cited, found["facts"], al.triage_context(found["contributions"]), found["amounts"], as_of, rules)
+        for name, rows in (("actions", actions), ("events", events)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        held.write.mode("overwrite").parquet(f"{folder}/cites/version={batch_id}")
+        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/version={batch_id}")
 
     return run
 

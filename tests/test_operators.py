@@ -423,3 +423,46 @@ def test_append_new_is_read_back(spark, tmp_path):
     dataset.write_tables({"transactions": rows(1, 2, 3)}, str(tmp_path))
     dataset.append_new(rows(3, 4, 5), str(tmp_path / "transactions"))
     assert sorted(r.transaction_id for r in spark.read.parquet(str(tmp_path / "transactions")).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_alert_state_is_versioned_by_batch(spark, tmp_path):
+    """Two batches: the first creates, the second merges with new evidence; a repeated second batch changes nothing."""
+    from riskloom.config import AlertPolicy, TriageRules
+    from riskloom.operators import alerts as al
+    from riskloom.streaming import jobs
+    at = str(tmp_path)
+    accounts = spark.createDataFrame([(10, 1), (20, 2)], "account_id long, customer_id long")
+    none = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in al.STATE.items()))
+    jobs.start_alerts(at, none, spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in al.CITES.items())))
+    points = {0: 12.0, 1: 15.0}
+    now = {"batch": 0}
+
+    def assess(affected):
+        n = now["batch"]
+        ids = [r.customer_id for r in affected.collect()]
+        cited = [(c, "FAN_IN", f"t{c}{k}") for c in ids for k in range(n + 1)]
+        return {"contributions": spark.createDataFrame([(c, "FAN_IN", "fund_flow", 0.9, points[n]) for c in ids], "entity_id long, detector string, category string, strength double, points double"),
+                "scores": spark.createDataFrame([(c, 60.0 + n, "high") for c in ids], "entity_id long, score double, band string"),
+                "cited": spark.createDataFrame(cited, "customer_id long, detector_id string, transaction_id string"),
+                "facts": spark.createDataFrame([(c, "FAN_IN", n + 1, 100.0, [f"t{c}0"], f"t{c}0", 10 * c) for c in ids],
+                                               "customer_id long, detector_id string, txn_count long, amount_usd double, transaction_ids array<string>, first_transaction_id string, account_id long"),
+                "amounts": spark.createDataFrame([(t, 100.0) for _, _, t in cited], "transaction_id string, amount_usd double")}
+
+    run = jobs.alert_batches(accounts, assess, at, lambda n: T0 + timedelta(days=n), AlertPolicy(), TriageRules())
+    rows = lambda *a: spark.createDataFrame([(x, None) for x in a], "sender_account_id long, receiver_account_id long")
+    state = lambda n: sorted((r.customer_id, r.status, r.occurrence_count, r.risk_score, r.risk_contribution, r.txn_count, r.amount_usd, r.account_id, r.triage_priority, r.alert_id)
+                             for r in jobs.alert_state(spark, at, n)[0].collect())
+    run(rows(10, 20), 0)
+    first = state(0)
+    assert [r[:8] for r in first] == [(1, "NEW", 1, 60.0, 12.0, 1, 100.0, 10), (2, "NEW", 1, 60.0, 12.0, 1, 100.0, 20)]
+    now["batch"] = 1
+    run(rows(10), 1)
+    second = state(1)
+    assert [r[:8] for r in second] == [(1, "NEW", 2, 61.0, 15.0, 2, 200.0, 10), (2, "NEW", 1, 60.0, 12.0, 1, 100.0, 20)]
+    assert [r[9] for r in second] == [r[9] for r in first]
+    cites = lambda n: sorted((r.customer_id, r.transaction_id) for r in jobs.alert_state(spark, at, n)[1].collect())
+    assert cites(1) == [(1, "t10"), (1, "t11"), (2, "t20")]
+    run(rows(10), 1)
+    assert state(1) == second and cites(1) == [(1, "t10"), (1, "t11"), (2, "t20")] and state(0) == first
+    events = {(r.batch, r.customer_id, r.event) for r in spark.read.parquet(f"{at}/events").collect()}
+    assert events >= {(0, 1, "created"), (0, 2, "created"), (1, 1, "updated")} and not any(b == 1 and e == "created" for b, _, e in events)
