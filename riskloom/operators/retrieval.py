@@ -25,20 +25,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def postings_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, len, term, tf) of the given terms only: words are stemmed and filtered where they are read, and what is left is counted."""
+    w = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("len", F.size("ws"))
+    rows = w.select("doc_id", "len", F.explode("ws").alias("w")).select("doc_id", "len", stem(F.col("w")).alias("term"))
+    return rows.join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+#: Distinct terms of all queries up to this many are sent to every executor (about 60 bytes each).
+SENT_TERMS = 500_000
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """Top-k documents per query. `allowed` (doc_id) restricts results, not the corpus statistics.
 
-    Only postings of query terms go on to the join; scores are summed per (query, document) on the map side first.
+    Only words that a query names leave the scan; the corpus totals need no words at all. Scores are summed per (query, document) on the map side first.
     """
-    index = postings(docs)  # its shuffle is shared by the corpus totals and the hits
-    size = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(index.agg(F.sum("tf").alias("n_terms")))).select(  # one row
-        "n_docs", (F.col("n_terms") / F.col("n_docs")).alias("avg_len"))
-    q = query_terms(queries)
-    hits = index.join(q.select("term").distinct(), "term", "left_semi")
+    size = docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("n") / F.count(F.lit(1))).alias("avg_len"))
+    q = stage(query_terms(queries), "query-terms")
+    terms = q.select("term").distinct()
+    few = terms.count() <= SENT_TERMS
+    hits = stage(postings_of(docs, F.broadcast(terms) if few else terms), "postings")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if allowed is not None:
         hits = hits.join(allowed, "doc_id", "left_semi")
-    s = hits.join(q, "term").join(df, "term").crossJoin(F.broadcast(size))  # corpus totals: one row
+    s = hits.join(df, "term").crossJoin(F.broadcast(size)).join(q, "term")  # corpus totals: one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = s.groupBy("query_id", "doc_id").agg(rnd(F.sum(part), 6).alias("score")).filter("score > 0")

@@ -1,8 +1,6 @@
 """Queries over the ingestion gate, batch accounting and the stored-data audit."""
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,6 @@ from riskloom.plans.scores import case
 from riskloom.sources.generated import AS_OF, Bank
 
 RULES = GateRules()
-PLAIN = replace(RULES, reject_likely_duplicates=False)
 FX = "(" + ", ".join(f"'{c}'" for c in FX_PER_USD) + ")"
 TS = "TRY_CAST(timestamp AS TIMESTAMP)"
 AMT = "TRY_CAST(amount AS DOUBLE)"
@@ -32,16 +29,23 @@ c2 AS (SELECT c1.*, coalesce(c0, CASE WHEN sender_account_id IS NOT NULL AND s.a
     WHEN r.status = 'closed' THEN 'ACCOUNT_CLOSED' WHEN c1.device_id IS NOT NULL AND d.device_id IS NULL THEN 'UNKNOWN_DEVICE' WHEN c1.merchant_id IS NOT NULL AND m.merchant_id IS NULL THEN 'UNKNOWN_MERCHANT' END) AS cr
   FROM c1 LEFT JOIN accounts s ON CAST(s.account_id AS VARCHAR) = sender_account_id LEFT JOIN accounts r ON CAST(r.account_id AS VARCHAR) = receiver_account_id
   LEFT JOIN devices d ON CAST(d.device_id AS VARCHAR) = c1.device_id LEFT JOIN merchants m ON CAST(m.merchant_id AS VARCHAR) = c1.merchant_id),
-coded AS (SELECT c2.*, CASE WHEN cr IS NULL AND transaction_id IS NOT NULL AND (transaction_id IN (SELECT concat('TXN-', transaction_id) FROM stored) OR row > min(row) FILTER (cr IS NULL) OVER (PARTITION BY transaction_id)) THEN 'DUPLICATE_ID' ELSE cr END AS code FROM c2),
+unlike AS (SELECT c2.*, CASE WHEN cr IS NULL AND transaction_id IS NOT NULL AND (transaction_id IN (SELECT concat('TXN-', transaction_id) FROM stored) OR row > min(row) FILTER (cr IS NULL) OVER (PARTITION BY transaction_id)) THEN 'DUPLICATE_ID' ELSE cr END AS code FROM c2),
+lively AS (SELECT row, epoch_us({TS}) AS us, concat_ws('|', coalesce(sender_account_id, '-'), coalesce(receiver_account_id, '-'), round({AMT}, 2), upper(currency)) AS k FROM unlike WHERE code IS NULL),
+line AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row, us) AS rn FROM (SELECT * FROM lively UNION ALL SELECT -1, epoch_us(ts), concat_ws('|', coalesce(CAST(sender_account_id AS VARCHAR), '-'),
+    coalesce(CAST(receiver_account_id AS VARCHAR), '-'), round(amount, 2), currency) AS k FROM stored) z WHERE k IN (SELECT k FROM lively)),
+walk AS (SELECT k, rn, row, false AS bad, [us] AS times FROM line WHERE rn = 1
+  UNION ALL SELECT k, rn, row, bad, CASE WHEN bad THEN times ELSE list_append(times, us) END FROM (
+    SELECT l.k, l.rn, l.row, l.us, w.times, l.row >= 0 AND len([x FOR x IN w.times IF abs(x - l.us) <= {RULES.likely_duplicate_seconds} * 1000000]) > 0 AS bad FROM walk w JOIN line l ON l.k = w.k AND l.rn = w.rn + 1) n),
+coded AS (SELECT * REPLACE (CASE WHEN code IS NULL AND row IN (SELECT row FROM walk WHERE bad) THEN 'LIKELY_DUPLICATE' ELSE code END AS code) FROM unlike),
 grouped AS (SELECT *, CASE WHEN code IS NULL THEN NULL {' '.join(f"WHEN code IN {c} THEN '{g}'" for g, c in dq.CODE_GROUPS.items())} ELSE 'invalid' END AS grp FROM coded)""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}")
-BV = "batch txn accounts devices merchants"
+BV = "recursive batch txn accounts devices merchants"
 
 
 def stored(b: Bank) -> DataFrame:
     return b.txn.filter(F.col("ts") < F.lit(b.period.window_start)).withColumn("transaction_id", F.concat(F.lit("TXN-"), F.col("transaction_id").cast("string")))
 
 
-def gated(b: Bank, rules: GateRules = PLAIN) -> DataFrame:
+def gated(b: Bank, rules: GateRules = RULES) -> DataFrame:
     return dq.gate(b.batch, b.accounts, b.devices, b.merchants, stored(b), AS_OF, rules)
 
 
@@ -50,14 +54,14 @@ def _(b):
     return gated(b).select("row", "code")
 
 
-@query("dq01_gate_with_likely_duplicates")
+@query("dq01_gate_with_likely_duplicates", oracle(BV, "SELECT row, code FROM coded", CODED))
 def _(b):
-    return gated(b, RULES).select("row", "code")
+    return gated(b).select("row", "code")
 
 
-@query("j07_likely_duplicates")
+@query("j07_likely_duplicates", oracle(BV, f"SELECT row, sender_account_id, receiver_account_id, {AMT} AS amount, upper(currency) AS currency FROM coded WHERE code = 'LIKELY_DUPLICATE'", CODED))
 def _(b):
-    return gated(b, RULES).filter("code = 'LIKELY_DUPLICATE'").select("row", "sender_account_id", "receiver_account_id", "amount", "currency")
+    return gated(b).filter("code = 'LIKELY_DUPLICATE'").select("row", "sender_account_id", "receiver_account_id", "amount", "currency")
 
 
 FXV = case("upper(currency)", FX_PER_USD)

@@ -141,18 +141,38 @@ def _(b):
     return replace_keyed(current, d.filter("doc_id % 5 = 0").select("doc_id", F.upper("lang").alias("part")), "doc_id")
 
 
-FUSED = """
-ks AS (SELECT query_id % 10 AS query_id, id, row_number() OVER (PARTITION BY query_id % 10 ORDER BY score DESC, id, query_id) AS rank, score FROM kw WHERE query_id < 10 AND rank <= 20),
+# every question is asked with its text and with the mean vector of one label
+ASKED = """
+lab AS (SELECT query_id AS label, row_number() OVER (ORDER BY query_id) - 1 AS place, count(*) OVER () AS n FROM qv),
+ask AS (SELECT item_id AS query_id, label FROM benchmark JOIN lab ON item_id % n = place)"""
+FUSED = ASKED + """,
+ss AS (SELECT ask.query_id, id, rank, score FROM ask JOIN sem ON sem.query_id = ask.label WHERE rank <= 20),
+ks AS (SELECT query_id, id, rank, score FROM kw WHERE rank <= 20),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, semantic_rank ASC NULLS LAST, keyword_rank) AS place FROM (
   SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.id, k.id) AS id, s.rank AS semantic_rank, k.rank AS keyword_rank, floor((coalesce(1.0 / (60 + s.rank), 0) + coalesce(1.0 / (60 + k.rank), 0)) * 1e9 + 0.5) / 1e9 AS fused
-  FROM (SELECT * FROM sem WHERE rank <= 20) s FULL JOIN ks k ON k.query_id = s.query_id AND k.id = s.id) x)"""
+  FROM ss s FULL JOIN ks k ON k.query_id = s.query_id AND k.id = s.id) x)"""
 FUSE_CTE = BM25.replace("{where}", "true") + ",\n" + SEM.replace("{where}", "") + "," + FUSED
 
 
+def asked(b: Bank, queries: DataFrame) -> DataFrame:
+    """(query_id, label): the label whose vector goes with each question, by its number among the labels of `queries`."""
+    labels = queries.select(F.col("query_id").alias("label")).groupBy().agg(F.array_sort(F.collect_list("label")).alias("labels"))  # one row for all labels
+    at = F.pmod(F.col("query_id"), F.size("labels")).cast("int")
+    return questions(b).crossJoin(F.broadcast(labels)).select("query_id", F.col("labels")[at].alias("label"))
+
+
+def both_lists(b: Bank) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For every question: the nearest vectors, the best keyword matches, and its label."""
+    queries = label_queries(b)
+    of = asked(b, queries)
+    near = ret.cosine_top_k(vectors(b), queries.withColumn("query_id", F.col("query_id").cast("long")), 20).withColumnRenamed("query_id", "label")
+    sem = of.join(near, "label").select("query_id", "id", "rank", "score")
+    kw = ret.bm25(corpus(b), questions(b), 20).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").alias("id"), "rank", "score")
+    return sem, kw, of
+
+
 def fused(b: Bank, k: int | None) -> DataFrame:
-    """Both lists per label: its mean vector, and the benchmark item of the same number as text."""
-    sem = ret.cosine_top_k(vectors(b), label_queries(b).withColumn("query_id", F.col("query_id").cast("long")), 20)
-    kw = ret.bm25(corpus(b), questions(b).filter("query_id < 10"), 20).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").alias("id"), "rank", "score")
+    sem, kw, _ = both_lists(b)
     return ret.fuse(sem, kw, k)
 
 

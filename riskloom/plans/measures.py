@@ -80,15 +80,14 @@ def _(b):
 
 
 @query("e13_retrieval_benchmark", oracle("", " UNION ALL ".join(f"SELECT '{m}' AS mode, count(*) AS n_queries, " + ", ".join(f"{R4.format(f'avg({c})')} AS {a}" for c, a in [(f"{x}_at_{k}", f"{x}_at_{k}") for k in (1, 3, 5) for x in "pr"] + [("reciprocal_rank", "mrr")]) + f" FROM ({quality_sql(s)}) q_{m}"
-    for m, s in (("semantic", "(SELECT query_id, id, rank FROM sem WHERE rank <= 5)"), ("keyword", "(SELECT query_id, id, rank FROM ks WHERE rank <= 5)"), ("hybrid", "(SELECT query_id, id, place AS rank FROM fused WHERE place <= 5)"))), library.FUSE_CTE + ",\n" + REL))
+    for m, s in (("semantic", "(SELECT query_id, id, rank FROM ss WHERE rank <= 5)"), ("keyword", "(SELECT query_id, id, rank FROM ks WHERE rank <= 5)"), ("hybrid", "(SELECT query_id, id, place AS rank FROM fused WHERE place <= 5)"))), library.FUSE_CTE + ",\nrel AS (SELECT query_id, vec_id AS id FROM ask JOIN embeddings e ON e.label = ask.label)"))
 def _(b):
-    q = library.label_queries(b).withColumn("query_id", F.col("query_id").cast("long"))
-    sem = ret.cosine_top_k(library.vectors(b), q, 20)
-    kw = ret.bm25(library.corpus(b), library.questions(b).filter("query_id < 10"), 20).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").alias("id"), "rank", "score")
+    sem, kw, of = library.both_lists(b)
+    sought = of.join(library.vectors(b), "label").select("query_id", "id")
     modes = {"semantic": sem.filter("rank <= 5"), "keyword": kw.filter("rank <= 5"), "hybrid": ret.fuse(sem, kw, 5)}
     out = None
     for name, ranked in modes.items():
-        part = ev.ranking_quality(ranked.select("query_id", "id", "rank"), relevant(b)).withColumn("mode", F.lit(name))
+        part = ev.ranking_quality(ranked.select("query_id", "id", "rank"), sought).withColumn("mode", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return ev.mean_quality(out, ("mode",))
 

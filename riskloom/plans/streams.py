@@ -115,7 +115,7 @@ SELECT count(*) AS received, count(*) FILTER (code IS NULL) AS processed, count(
   count(*) FILTER (grp = 'referential') AS referential, count(*) FILTER (grp = 'invalid') AS invalid FROM grouped""", dataquality.CODED))
 def _(b):
     at = folder(b, "gate")
-    run = jobs.gate_batches(b.accounts, b.devices, b.merchants, lambda: dataquality.stored(b), at, AS_OF, dataquality.PLAIN)
+    run = jobs.gate_batches(b.accounts, b.devices, b.merchants, lambda: dataquality.stored(b), at, AS_OF, dataquality.RULES)
     drain_batches(stream(b, BATCH), b, at, run)
     counts = ("received", "processed", "rejected", "failed", "duplicates", "malformed", "referential", "invalid")
     return b.spark.read.parquet(f"{at}/ledger").agg(*[F.sum(c).alias(c) for c in counts])
