@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from riskloom.functions.numeric import rnd, top_k
-from riskloom.functions.text import packed, sentence_pieces, strip
+from riskloom.functions.text import joined_packs, last_words, strip
 
 # ---- fixed values: line forms of markdown, and the numbered heading of plain text
 NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+[A-Z][^.!?\n]{2,80}$"
@@ -63,23 +63,26 @@ def parse_markdown(docs: DataFrame) -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, limit: int = 900, overlap: int = 120) -> DataFrame:
-    """(doc_id, chunk_id, ordinal, section, text): blocks packed section by section; a table up to twice the limit stays whole."""
-    upto = W.partitionBy("doc_id").orderBy("pos")
-    heads = F.sum((F.col("kind") == "heading").cast("int")).over(upto)
-    blocks = parse_markdown(docs).withColumn("part", heads)
-    whole = (F.col("kind") == "table") & (F.length("text") <= 2 * limit)
-    pieces = blocks.filter("kind <> 'heading'").withColumn("pieces", F.when(whole, F.array("text")).otherwise(sentence_pieces(F.col("text"), limit)))
-    sections = pieces.groupBy("doc_id", "part").agg(F.min("section").alias("section"), F.array_sort(F.collect_list(F.struct("pos", "pieces"))).alias("ps"))
-    bodies = packed(F.flatten(F.transform("ps", lambda p: p["pieces"])), limit, overlap)
-    rows = sections.select("doc_id", "part", "section", F.posexplode(bodies).alias("k", "body"))
+    """(doc_id, chunk_id, ordinal, section, text) of markdown text.
+
+    A section's blocks are packed in order into chunks of at most `limit` characters. A block that is longer goes in as packs of its sentences, but a
+    table up to twice the limit stays whole. A chunk that follows another one of its section begins with the last words of that one, at most
+    `overlap` characters. The section's own heading stands on the first line.
+    """
+    section_no = F.sum((F.col("kind") == "heading").cast("int")).over(W.partitionBy("doc_id").orderBy("pos"))
+    blocks = parse_markdown(docs).withColumn("part", section_no).filter("kind <> 'heading'")
+    stays = F.length("text") <= F.when(F.col("kind") == "table", 2 * limit).otherwise(limit)
+    sentences = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x != "")
+    units = blocks.withColumn("units", F.when(stays, F.array("text")).otherwise(joined_packs(sentences, limit, " ")))
+    sections = units.groupBy("doc_id", "part").agg(F.min("section").alias("section"), F.array_sort(F.collect_list(F.struct("pos", "units"))).alias("blocks"))
+    own = joined_packs(F.flatten(F.transform("blocks", lambda x: x["units"])), limit, "\n\n", overlap + 2)
+    rows = sections.withColumn("own", own).select("doc_id", "part", "section", "own", F.posexplode("own").alias("k", "body"))
+    before = last_words(F.get("own", F.col("k") - 1), overlap)
+    heading = F.element_at(F.split("section", " > "), -1)
+    body = F.concat_ws("\n\n", F.when(before != "", before), "body")
     ordinal = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "k")) - 1
-    rows = rows.withColumn("ordinal", ordinal).withColumn("heading", F.element_at(F.split("section", " > "), -1))
-    digest = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"), F.col("body")), 256)
-    number = F.col("ordinal").cast("string")
-    name = F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number), F.lit("-"), F.substr(digest, F.lit(1), F.lit(6)))
-    bare = F.col("heading").isNull() | (F.col("heading") == "") | F.expr("startswith(body, heading)")
-    return rows.select("doc_id", name.alias("chunk_id"), F.col("ordinal").cast("int").alias("ordinal"), "section",
-                       F.when(bare, F.col("body")).otherwise(F.concat_ws("\n", "heading", "body")).alias("text"))
+    return rows.select("doc_id", "section", F.concat_ws("\n", F.when(heading != "", heading), body).alias("text"), ordinal.alias("ordinal")).select(
+        "doc_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("ordinal").cast("string")).alias("chunk_id"), "ordinal", "section", "text")
 
 
 def parse_text(docs: DataFrame) -> DataFrame:

@@ -324,6 +324,49 @@ def test_blocks_and_chunks(spark):
     assert [r.section for r in sorted(doc.parse_markdown(frame(deep)).collect(), key=lambda r: r.pos)] == ["c", "c", "b", "b", "a", "a", "a > d", "a > d"]
 
 
+def test_chunks_follow_their_rule(spark):
+    """Packing again, text by text: sections, long blocks, tables, overlaps."""
+    def packs(items, limit, gap, carried=0):
+        out = [[]]
+        for x in items:
+            room = limit - (carried if len(out) > 1 else 0)
+            if out[-1] and len(gap.join([*out[-1], x])) > room:
+                out.append([])
+            out[-1].append(x)
+        return [gap.join(p) for p in out if p]
+
+    def tail(text, most):
+        if len(text) <= most:
+            return text
+        parts = text[-most - 1:].split(None, 1)
+        cut = text[-most - 1:]
+        return "" if not any(c.isspace() for c in cut) else (parts[1] if not cut[0].isspace() and len(parts) > 1 else cut.lstrip() if cut[0].isspace() else "")
+
+    rnd = random.Random(8)
+    texts, want = [], {}
+    for d in range(25):
+        text, sections = "", []
+        for h in range(rnd.randrange(1, 4)):
+            text += f"# Head {h}\n\n"
+            blocks = []
+            for _ in range(rnd.randrange(0, 7)):
+                block = " ".join(" ".join("w" * rnd.randrange(1, 12) for _ in range(rnd.randrange(1, 9))) + rnd.choice(".!?") for _ in range(rnd.randrange(1, 14)))
+                blocks.append(block)
+                text += block + "\n\n"
+            sections.append((f"Head {h}", blocks))
+        texts.append((d, text))
+        n = 0
+        for head, blocks in sections:
+            units = [u for b in blocks for u in ([b] if len(b) <= 200 else packs([x for x in __import__("re").split(r"(?<=[.!?])\s+", b) if x], 200, " "))]
+            own = packs(units, 200, "\n\n", 42)
+            for k, body in enumerate(own):
+                before = tail(own[k - 1], 40) if k else ""
+                want[d, n] = head + "\n" + (before + "\n\n" if before else "") + body
+                n += 1
+    got = doc.chunk_documents(spark.createDataFrame(texts, "doc_id long, text string"), 200, 40).collect()
+    assert {(r.doc_id, r.ordinal): r.text for r in got} == want and len(got) == len(want)
+
+
 def test_claim_grounding(spark):
     claims = spark.createDataFrame([(1, 1, "Sent USD 100.00 on 2026-01-02 from ACC-1 [E1].", []), (1, 2, "Sent USD 500 [E1].", []), (1, 3, "He is a fraudster [E1].", []), (1, 4, "Insufficient evidence.", []),
                                     (1, 5, "See [E9].", []), (1, 6, "Freeze the account [E1].", []), (1, 7, "An analyst may freeze the account [E1].", [])], "case_id long, claim_id long, text string, citations array<string>")
