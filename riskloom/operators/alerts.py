@@ -306,6 +306,23 @@ def kpis(alerts: DataFrame, cases: DataFrame) -> DataFrame:
         rnd(F.col("h"), 3).alias("avg_investigation_hours"))
 
 
+def kpi_counts(alerts: DataFrame, cases: DataFrame) -> DataFrame:
+    """(measure, name, n): alerts by status and by rule, open alerts by severity, cases by status. Each table is read once, for all its groupings."""
+    open_severity = F.when(F.col("status").isin(*UNRESOLVED), F.col("severity"))
+    a = (alerts.select("status", "detector_id", open_severity.alias("severity"))
+         .groupingSets([["status"], ["detector_id"], ["severity"]], "status", "detector_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")))
+    measure = F.when(F.col("g") == 0b011, "alerts_by_status").when(F.col("g") == 0b101, "alerts_by_detector").otherwise("open_alerts_by_severity")
+    a = a.select(measure.alias("measure"), F.coalesce("status", "detector_id", "severity").alias("name"), "n").filter("name IS NOT NULL")
+    return a.unionByName(cases.groupBy(F.col("status").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("cases_by_status").alias("measure"), "name", "n"))
+
+
+def run_measures(runs: DataFrame) -> DataFrame:
+    """Monitoring runs (started_at, transactions_in_scope, customers_evaluated, duration_ms, alerts_created) in one row; nulls without runs."""
+    r = runs.agg(F.count(F.lit(1)).alias("monitoring_runs"), F.max_by("transactions_in_scope", "started_at").alias("transactions_monitored_last_run"),
+                 F.coalesce(F.sum("customers_evaluated"), F.lit(0)).alias("customers_evaluated_total"), F.sum("duration_ms").alias("ms"), F.coalesce(F.sum("alerts_created"), F.lit(0)).alias("alerts_created_total"))
+    return r.withColumn("avg_detection_ms_per_customer", F.when(F.col("customers_evaluated_total") > 0, rnd(F.col("ms") / F.col("customers_evaluated_total")))).drop("ms")
+
+
 def alert_quality(alerts: DataFrame, since: datetime | None = None, low_sample: int = 30) -> DataFrame:
     """Rates over decided alerts, overall and by priority, rule and severity, in one pass."""
     pool = alerts if since is None else alerts.filter(F.col("triggered_at") >= F.lit(since))

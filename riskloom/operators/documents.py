@@ -125,12 +125,15 @@ def classify(docs: DataFrame) -> DataFrame:
                          F.when(none, 0.0).otherwise(rnd(best["score"] / (best["score"] + second["score"]), 3)).alias("confidence"))
 
 
+# ---- fixed values: patterns of a document's version and dates
+VERSION, EFFECTIVE, ANY_DATE = r"(?i)\bversion[:\s]+v?(\d+(?:\.\d+)*)", r"(?i)effective(?:\s+date)?[:\s]+(20\d{2}-\d{2}-\d{2})", r"\b(20\d{2}-\d{2}-\d{2})\b"
+
+
 def extract_metadata(docs: DataFrame) -> DataFrame:
     """Version, effective date (else the first date) and jurisdiction default."""
     found = lambda p, i=1: F.nullif(F.regexp_extract("text", p, i), F.lit(""))
-    effective = found(r"(?i)effective(?:\s+date)?[:\s]+(20\d{2}-\d{2}-\d{2})")
-    return docs.select("doc_id", found(r"(?i)\bversion[:\s]+v?(\d+(?:\.\d+)*)").alias("version"),
-                       F.coalesce(effective, found(r"\b(20\d{2}-\d{2}-\d{2})\b")).alias("effective_date"), F.lit("unspecified").alias("jurisdiction"))
+    return docs.select("doc_id", found(VERSION).alias("version"), F.coalesce(found(EFFECTIVE), found(ANY_DATE)).alias("effective_date"),
+                       F.lit("unspecified").alias("jurisdiction"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """Keyword, vector and fused retrieval over whole corpora, for many queries at once."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskloom.functions.numeric import rnd, top_k
 from riskloom.functions.text import STOP_WORDS, stem, tokens, words
@@ -56,23 +62,62 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame |
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 256, sent_mb: int = 64) -> DataFrame:
-    """Nearest vectors per query by cosine. `vectors` is (id, embedding, payload...), already filtered on its payload.
+def query_blocks(queries: DataFrame, block_mb: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, unit vectors) of queries of one length, in blocks of about `block_mb`; the driver holds one block at a time."""
+    held: dict[int, list] = {}
+    for row in queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).toLocalIterator():
+        if row.q is None or any(x is None for x in row.q):
+            continue
+        rows = held.setdefault(len(row.q), [])
+        rows.append(row)
+        if len(rows) * len(row.q) * 8 >= block_mb << 20:
+            yield [r.query_id for r in rows], _unit(np.array([r.q for r in rows]))
+            held[len(row.q)] = []
+    for rows in held.values():
+        if rows:
+            yield [r.query_id for r in rows], _unit(np.array([r.q for r in rows], dtype=np.float64).reshape(len(rows), -1))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_mb: int = 16) -> DataFrame:
+    """Nearest vectors per query by cosine, rounded to 5 digits. `vectors` is (id, embedding, payload...), already filtered on its payload.
 
-    Exact search of a stated query set: queries travel in blocks of about `block`. Blocks are broadcast while all of them together stay below
-    `sent_mb`; a larger set is joined block by block without a broadcast.
+    Exact: each block of queries is multiplied, as a matrix, with each batch of vectors; a batch passes on its k best of a query, ties to the smaller
+    id, and these lists are merged. Vectors of another length than a query's, or with null components, are no candidates; zero vectors score 0.
     """
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("embedding") * 8 + 16), F.lit(0)).alias("bytes")).first()
-    at = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-size["n"] // block))))
-    packed = queries.groupBy(at.alias("block")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("qs")).select("qs")
-    if size["bytes"] <= sent_mb << 20:
-        packed = F.broadcast(packed)
-    j = vectors.select("id", F.col("embedding").cast("array<double>").alias("v")).crossJoin(packed).select("id", "v", F.explode("qs").alias("x"))
-    q = F.col("x.q").cast("array<double>")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    length = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(q, q))
-    scored = j.select(F.col("x.query_id").alias("query_id"), "id", rnd(F.when(length > 0, dot(F.col("v"), q) / length).otherwise(0.0), 5).alias("score"))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    kind, id_kind = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+    schema = StructType([StructField("query_id", kind), StructField("id", id_kind), StructField("score", DoubleType())])
+    rows = vectors.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    context, found = vectors.sparkSession.sparkContext, None
+    for ids, matrix in query_blocks(queries, block_mb):
+        sent = context.broadcast((ids, matrix))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            for batch in batches:
+                lists = batch.column(1)
+                offsets = lists.offsets.to_numpy()
+                at = np.flatnonzero(np.diff(offsets) == q.shape[1])
+                if not len(at) or not q.shape[1]:
+                    continue
+                flat = lists.values.to_numpy(zero_copy_only=False)
+                own = batch.column(0).take(pa.array(at))
+                score = np.floor(q @ _unit(flat[offsets[at][:, None] + np.arange(q.shape[1])]).T * 1e5 + 0.5) / 1e5
+                by_id = np.array(pa.compute.sort_indices(own))
+                order = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, :k]]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(order.shape[1])], to_arrow_type(kind)), own.take(pa.array(order.ravel())),
+                                                  pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "id", "score"])
+
+        part = stage(top_k(rows.mapInArrow(best, schema), ["query_id"], [F.col("score").desc(), F.col("id")], k), "nearest")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    return found
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, k: int | None = 5) -> DataFrame:

@@ -214,6 +214,26 @@ GROUP_RATES = """count(*) AS alerts, count(*) FILTER (d) AS decided, count(*) FI
   floor(count(*) FILTER (d) / count(*) * 10000 + 0.5) / 10000 AS closure_rate, count(*) FILTER (d) < 30 AS low_sample"""
 
 
+@query("al11_kpi_counts", oracle("monitoring cases", f"""
+SELECT 'alerts_by_status' AS measure, status AS name, count(*) AS n FROM monitoring GROUP BY 2 UNION ALL SELECT 'alerts_by_detector', detector_id, count(*) FROM monitoring GROUP BY 2
+UNION ALL SELECT 'open_alerts_by_severity', severity, count(*) FROM monitoring WHERE status IN {OPEN} GROUP BY 2 UNION ALL SELECT 'cases_by_status', status, count(*) FROM cases GROUP BY 2"""))
+def _(b):
+    return al.kpi_counts(b.monitoring, b.cases)
+
+
+@query("al11_run_measures", oracle("txn accounts monitoring", """
+SELECT count(*) AS monitoring_runs, arg_max(n, day) AS transactions_monitored_last_run, sum(c) AS customers_evaluated_total, sum(made) AS alerts_created_total, floor(sum(7 * c + n % 13) / sum(c) * 100 + 0.5) / 100 AS avg_detection_ms_per_customer FROM (
+  SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT a.customer_id) AS c FROM txn t LEFT JOIN accounts a ON a.account_id = t.sender_account_id GROUP BY 1) d
+LEFT JOIN (SELECT CAST(triggered_at AS DATE) AS day, count(*) AS made FROM monitoring GROUP BY 1) m USING (day)"""))
+def _(b):
+    """A run a day: it screens the senders of the day."""
+    days = (b.txn.join(b.accounts.select(F.col("account_id").alias("sender_account_id"), "customer_id"), "sender_account_id", "left")
+            .groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("transactions_in_scope"), F.count_distinct("customer_id").alias("customers_evaluated")))
+    made = b.monitoring.groupBy(F.to_date("triggered_at").alias("day")).agg(F.count(F.lit(1)).alias("alerts_created"))
+    runs = days.join(made, "day", "left").withColumn("started_at", F.to_timestamp("day")).withColumn("duration_ms", 7 * F.col("customers_evaluated") + F.col("transactions_in_scope") % 13)
+    return al.run_measures(runs)
+
+
 @query("al12_alert_quality", oracle("monitoring", f"""
 SELECT 'overall' AS by, 'all' AS value, {GROUP_RATES} FROM q UNION ALL SELECT 'priority', coalesce(triage_priority, 'UNSCORED'), {GROUP_RATES} FROM q GROUP BY 2
 UNION ALL SELECT 'detector', detector_id, {GROUP_RATES} FROM q GROUP BY 2 UNION ALL SELECT 'severity', severity, {GROUP_RATES} FROM q GROUP BY 2""",
