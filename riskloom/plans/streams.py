@@ -66,7 +66,11 @@ def _(b):
     return b.spark.read.parquet(f"{at}/store").filter("batch >= 0").select("transaction_id", "amount_usd")
 
 
-@query("st03_near_duplicates")
+@query("st03_near_duplicates", oracle("recursive txn", "SELECT transaction_id, true AS duplicate FROM walk WHERE dup", """
+sent AS (SELECT transaction_id, epoch_us(ts) AS us, concat_ws('|', coalesce(sender_account_id, -1), coalesce(receiver_account_id, -1), round(amount, 2), currency) AS k FROM txn),
+line AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY us, transaction_id) AS rn FROM (SELECT * FROM sent UNION ALL SELECT transaction_id + 1000000000, us + 10000000, k FROM sent WHERE transaction_id % 20 = 0) z),
+walk AS (SELECT k, rn, transaction_id, us AS held, false AS dup FROM line WHERE rn = 1
+  UNION ALL SELECT l.k, l.rn, l.transaction_id, CASE WHEN l.us - w.held <= 60000000 THEN w.held ELSE l.us END, l.us - w.held <= 60000000 FROM walk w JOIN line l ON l.k = w.k AND l.rn = w.rn + 1)"""))
 def _(b):
     """Every row, and every twentieth again ten seconds later with another id."""
     again = F.explode(F.when(F.col("transaction_id") % 20 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
@@ -94,19 +98,33 @@ def _(b):
 SELECT sender_account_id AS entity_id, sec, in_window FROM (SELECT sender_account_id, sec, max(c) AS in_window FROM (SELECT sender_account_id, sec, count(*) OVER (PARTITION BY sender_account_id ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS c
   FROM (SELECT *, epoch_us(ts) // 1000000 AS sec FROM txn WHERE sender_account_id IS NOT NULL) a) x GROUP BY 1, 2) y WHERE in_window >= 2"""))
 def _(b):
-    return drain(jobs.bursts(stream(b), 60, 2), b, "bursts")
+    return drain(jobs.bursts(stream(b).withColumn("entity_id", F.col("sender_account_id")), 60, 2), b, "bursts").drop("usd")
 
 
-@query("st06_pass_through")
+@query("st05_structuring", oracle("legs", """
+SELECT entity_id, sec, max(c) AS in_window, CAST(max(s) AS DOUBLE) AS usd FROM (
+  SELECT entity_id, sec, count(*) OVER w AS c, sum(CAST(amount_usd AS DECIMAL(18,2))) OVER w AS s FROM legs
+  WHERE (direction = 'out' OR (direction = 'in' AND other_account IS NULL)) AND status = 'completed' AND transaction_type IN ('cash_withdrawal', 'transfer', 'deposit') AND amount_usd >= 30 AND amount_usd < 100
+  WINDOW w AS (PARTITION BY entity_id ORDER BY sec RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW)) x WHERE c >= 3 AND s >= 100 GROUP BY 1, 2"""))
+def _(b):
+    legs = orient(stream(b), b.accounts)
+    return drain(jobs.structuring(legs, 30, 100, 48, 3, 100, ("cash_withdrawal", "transfer", "deposit")), b, "structuring")
+
+
+@query("st06_pass_through", oracle("recursive legs", f"""
+SELECT entity_id, inbound / 100 AS inbound_usd, matched / 100 AS matched_usd, n_inbound, inbound / 100 >= {TRIAL_RULES.pass_min_usd} AND n_inbound >= {TRIAL_RULES.pass_min_count} AND matched / 100 >= {TRIAL_RULES.pass_min_ratio} * (inbound / 100) AS flagged
+FROM (SELECT n.entity_id, coalesce(sum(in_c), 0) AS inbound, CAST(coalesce(sum(n_in), 0) AS BIGINT) AS n_inbound, coalesce(sum(m.cents), 0) AS matched FROM newest n
+  LEFT JOIN fs ON fs.entity_id = n.entity_id AND fs.sec >= n.sec - 864000 AND n_in > 0 LEFT JOIN (SELECT entity_id, in_sec, sum(cents) AS cents FROM sl GROUP BY 1, 2) m ON m.entity_id = fs.entity_id AND m.in_sec = fs.sec GROUP BY 1) x""",
+    risk.fifo_sql("entity_id", "transaction_type = 'transfer'", 86400) + ", newest AS (SELECT entity_id, max(sec) AS sec FROM fs GROUP BY 1)"))
 def _(b):
     at = folder(b, "flow")
     legs = orient(stream(b), b.accounts)
-    out = jobs.pass_through(legs, 24, TRIAL_RULES.pass_types)
+    out = jobs.pass_through(legs, 24, TRIAL_RULES.pass_types, 240, TRIAL_RULES.pass_min_ratio, TRIAL_RULES.pass_min_usd, TRIAL_RULES.pass_min_count)
     q = out.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{at}/rows/batch={i}")).option(
         "checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = b.spark.read.parquet(f"{at}/rows")
-    last = rows.groupBy("entity_id").agg(F.max_by(F.struct("inbound_usd", "matched_usd"), "batch").alias("x"))
+    last = rows.groupBy("entity_id").agg(F.max_by(F.struct("inbound_usd", "matched_usd", "n_inbound", "flagged"), "batch").alias("x"))
     return last.select("entity_id", "x.*")
 
 

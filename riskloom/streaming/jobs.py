@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.config import AlertPolicy, GateRules, TriageRules
 from riskloom.functions.numeric import seconds
@@ -62,19 +62,49 @@ def late_rows(store: str, sink: str, rules: GateRules) -> Callable[[DataFrame, i
 
 
 # ------------------------------------------------------------------------------------------------------ keyed state
-class NearDuplicates(StatefulProcessor):
+class Forgetting(StatefulProcessor):
+    """State that goes when a key has been silent for `keep` seconds of event time."""
+
+    keep = 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def remember(self, sec: int) -> None:
+        """One timer a key: `keep` after its newest row, `sec`."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer((sec + self.keep) * 1000)
+
+    def forget(self) -> None:
+        """Clear all state of the key."""
+
+    def nothing(self) -> pd.DataFrame:
+        """No rows, of the output's columns."""
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        yield self.nothing()
+
+    def close(self) -> None:
+        pass
+
+
+class NearDuplicates(Forgetting):
     """Per (sender, receiver, amount, currency): instants of accepted rows; a row near one of them is a duplicate.
 
     Instants lie more than a window apart, so only the two neighbours of a row can be near it. Of a key's instants the last `KEPT`
-    windows are held.
+    windows are held, and none once it has been silent for as long.
     """
 
     KEPT = 1440
 
     def __init__(self, window_seconds: int):
         self.width = window_seconds * 1_000_000
+        self.keep = self.KEPT * window_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.seen = handle.getListState("seen", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -89,101 +119,138 @@ class NearDuplicates(StatefulProcessor):
                 times.insert(at, us)
         times = times[bisect.bisect_left(times, times[-1] - self.KEPT * self.width):]
         self.seen.put([(t,) for t in times])
+        self.remember(times[-1] // 1_000_000)
         yield pd.DataFrame({"transaction_id": frame.transaction_id, "duplicate": flags})
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.seen.clear()
+
+    def nothing(self) -> pd.DataFrame:
+        return pd.DataFrame({"transaction_id": pd.Series(dtype="int64"), "duplicate": pd.Series(dtype="bool")})
 
 
-class Burst(StatefulProcessor):
-    """Per sender: seconds with their counts; emits a row whenever the count of the window that ends at an arrival reaches the threshold.
+class Burst(Forgetting):
+    """Per entity: seconds with their counts and cents; emits a row whenever the window that ends at an arrival reaches the thresholds.
 
     Seconds stay while a row at most `lateness` late could still count them; a late row never counts rows of its future.
     """
 
-    def __init__(self, minutes: int, threshold: float, lateness_hours: int = 24):
-        self.width, self.threshold, self.late = minutes * 60, threshold, lateness_hours * 3600
+    def __init__(self, minutes: int, threshold: float, lateness_hours: int = 24, min_usd: float = 0.0):
+        self.width, self.threshold, self.late, self.least = minutes * 60, threshold, lateness_hours * 3600, round(min_usd * 100)
+        self.keep = self.width + self.late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", StructType([StructField("sec", LongType()), StructField("n", LongType())]))
+        super().init(handle)
+        self.recent = handle.getListState("recent", StructType([StructField(c, LongType()) for c in ("sec", "n", "cents")]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {r[0]: r[1] for r in self.recent.get()} if self.recent.exists() else {}
-        out = []
-        arrived = pd.concat([frame["sec"] for frame in rows]).value_counts().sort_index()
-        for sec, n in arrived.items():
-            held[int(sec)] = held.get(int(sec), 0) + int(n)
+        held = {r[0]: [r[1], r[2]] for r in self.recent.get()} if self.recent.exists() else {}
+        arrived = pd.concat(list(rows)).groupby("sec")["cents"].agg(["size", "sum"])
+        for sec, n, cents in zip(arrived.index.tolist(), arrived["size"].tolist(), arrived["sum"].tolist(), strict=True):
+            of = held.setdefault(sec, [0, 0])
+            of[0], of[1] = of[0] + n, of[1] + cents
         times = sorted(held)
-        upto = [0, *itertools.accumulate(held[t] for t in times)]
+        n_upto, cents_upto = ([0, *itertools.accumulate(held[t][i] for t in times)] for i in (0, 1))
+        out = []
         for sec in arrived.index.tolist():
-            total = upto[bisect.bisect_right(times, sec)] - upto[bisect.bisect_left(times, sec - self.width)]
-            if total >= self.threshold:
-                out.append((key[0], int(sec), total))
-        self.recent.put([(t, held[t]) for t in times if t >= times[-1] - self.width - self.late])
-        yield pd.DataFrame(out, columns=["entity_id", "sec", "in_window"]).astype({"entity_id": "int64", "sec": "int64", "in_window": "int64"})
+            hi, lo = bisect.bisect_right(times, sec), bisect.bisect_left(times, sec - self.width)
+            n, cents = n_upto[hi] - n_upto[lo], cents_upto[hi] - cents_upto[lo]
+            if n >= self.threshold and cents >= self.least:
+                out.append((key[0], sec, n, cents / 100))
+        self.recent.put([(t, *held[t]) for t in times if t >= times[-1] - self.width - self.late])
+        self.remember(times[-1])
+        yield pd.concat([self.nothing(), pd.DataFrame(out, columns=["entity_id", "sec", "in_window", "usd"]).astype(self.KINDS)])
 
-    def close(self) -> None:
-        pass
+    KINDS = {"entity_id": "int64", "sec": "int64", "in_window": "int64", "usd": "float64"}
 
+    def forget(self) -> None:
+        self.recent.clear()
 
-class PassThrough(StatefulProcessor):
-    """Per entity: open credits of the horizon in time order; outflows draw on them oldest first. Late credits take their place by time."""
+    def nothing(self) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in self.KINDS.items()})
 
-    def __init__(self, hours: int):
-        self.horizon = hours * 3600
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.credits = handle.getListState("credits", StructType([StructField("sec", LongType()), StructField("left", DoubleType())]))
-        self.totals = handle.getValueState("totals", StructType([StructField("inbound", DoubleType()), StructField("matched", DoubleType())]))
+class PassThrough(Forgetting):
+    """Per entity: the credits of the last `window`, with what is left of each. Outflows draw on those of the horizon, oldest first; late credits
+    take their place by time. Totals are those of the credits held, so a credit leaves them with the window.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        queue = [[r[0], r[1]] for r in self.credits.get()] if self.credits.exists() else []
-        inbound, matched = tuple(self.totals.get()) if self.totals.exists() else (0.0, 0.0)
-        for frame in rows:
-            for r in frame.sort_values(["sec", "side"]).itertuples():  # 'in' before 'out' within a second
-                if r.side == "in":
-                    bisect.insort(queue, [int(r.sec), float(r.amount_usd)], key=lambda c: c[0])
-                    inbound += float(r.amount_usd)
-                    continue
-                queue = [c for c in queue if c[0] >= r.sec - self.horizon]
-                need = float(r.amount_usd)
-                while need > 0 and queue and queue[0][0] <= r.sec:
-                    take = min(need, queue[0][1])
-                    queue[0][1] -= take
-                    need -= take
-                    matched += take
-                    if queue[0][1] <= 0:
-                        queue.pop(0)
-        if queue:
-            self.credits.put([tuple(c) for c in queue])
-        else:
-            self.credits.clear()
-        self.totals.update((inbound, matched))
-        yield pd.DataFrame({"entity_id": [int(key[0])], "inbound_usd": [round(inbound, 2)], "matched_usd": [round(matched, 2)]})
+    KINDS = {"entity_id": "int64", "inbound_usd": "float64", "matched_usd": "float64", "n_inbound": "int64", "flagged": "bool"}
 
-    def close(self) -> None:
-        pass
+    def __init__(self, hours: int, window_hours: int = 240, min_ratio: float = 0.7, min_usd: float = 500.0, min_count: int = 3):
+        self.horizon, self.keep = hours * 3600, window_hours * 3600
+        self.min_ratio, self.min_usd, self.min_count = min_ratio, min_usd, min_count
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.credits = handle.getListState("credits", StructType([StructField(c, LongType()) for c in ("sec", "cents", "left", "newest")]))
 
-def near_duplicates(txn: DataFrame, window_seconds: int = 60) -> DataFrame:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [list(r) for r in self.credits.get()] if self.credits.exists() else []
+        newest = max((c[3] for c in held), default=0)
+        frame = pd.concat(list(rows)).sort_values(["sec", "side"], kind="stable")  # 'in' before 'out' within a second
+        for sec, side, cents in zip(frame.sec.tolist(), frame.side.tolist(), frame.cents.tolist(), strict=True):
+            if side == "in":
+                bisect.insort(held, [sec, cents, cents, 0], key=lambda c: c[0])
+                continue
+            at = bisect.bisect_left(held, sec - self.horizon, key=lambda c: c[0])
+            while cents > 0 and at < len(held) and held[at][0] <= sec:
+                take = min(cents, held[at][2])
+                held[at][2] -= take
+                cents -= take
+                at += 1
+        newest = max(newest, int(frame.sec.max()))
+        held = held[bisect.bisect_left(held, newest - self.keep, key=lambda c: c[0]):]
+        self.credits.put([(c[0], c[1], c[2], newest) for c in held])
+        self.remember(newest)
+        inbound, matched = sum(c[1] for c in held) / 100, sum(c[1] - c[2] for c in held) / 100
+        flagged = inbound >= self.min_usd and len(held) >= self.min_count and matched >= self.min_ratio * inbound
+        yield pd.DataFrame({"entity_id": [int(key[0])], "inbound_usd": [inbound], "matched_usd": [matched], "n_inbound": [len(held)], "flagged": [flagged]})
+
+    def forget(self) -> None:
+        self.credits.clear()
+
+    def nothing(self) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in self.KINDS.items()})
+
+
+#: Rows later than this behind the newest row of the stream are no longer taken by the stateful jobs.
+LATENESS = "30 days"
+
+
+def cents() -> Column:
+    return F.round(F.col("amount_usd").cast("decimal(18,2)") * 100).cast("long").alias("cents")
+
+
+def near_duplicates(txn: DataFrame, window_seconds: int = 60, lateness: str = LATENESS) -> DataFrame:
     use_rocksdb(txn.sparkSession)
-    rows = txn.select("transaction_id", F.coalesce("sender_account_id", F.lit(-1)).alias("s"), F.coalesce("receiver_account_id", F.lit(-1)).alias("r"),
-                      F.round("amount", 2).alias("cents"), "currency", F.unix_micros("ts").alias("us"))
+    rows = txn.withWatermark("ts", lateness).select("ts", "transaction_id", F.coalesce("sender_account_id", F.lit(-1)).alias("s"), F.coalesce("receiver_account_id", F.lit(-1)).alias("r"),
+                                                    F.round("amount", 2).alias("cents"), "currency", F.unix_micros("ts").alias("us"))
     return rows.groupBy("s", "r", "cents", "currency").transformWithStateInPandas(
-        NearDuplicates(window_seconds), "transaction_id long, duplicate boolean", "append", "None")
+        NearDuplicates(window_seconds), "transaction_id long, duplicate boolean", "append", "EventTime")
 
 
-def bursts(txn: DataFrame, minutes: int, threshold: float) -> DataFrame:
-    use_rocksdb(txn.sparkSession)
-    rows = txn.filter("sender_account_id IS NOT NULL").select(F.col("sender_account_id").alias("entity_id"), seconds(F.col("ts")).alias("sec"))
-    return rows.groupBy("entity_id").transformWithStateInPandas(Burst(minutes, threshold), "entity_id long, sec long, in_window long", "append", "None")
+def bursts(rows: DataFrame, minutes: int, threshold: float, min_usd: float = 0.0, lateness: str = LATENESS) -> DataFrame:
+    """(entity_id, sec, in_window, usd) whenever rows (entity_id, ts, amount_usd) of the last `minutes` reach both thresholds."""
+    use_rocksdb(rows.sparkSession)
+    rows = rows.withWatermark("ts", lateness).filter("entity_id IS NOT NULL").select("ts", "entity_id", seconds(F.col("ts")).alias("sec"), F.coalesce(cents(), F.lit(0)).alias("cents"))
+    return rows.groupBy("entity_id").transformWithStateInPandas(Burst(minutes, threshold, min_usd=min_usd), "entity_id long, sec long, in_window long, usd double", "append", "EventTime")
+
+
+def structuring(legs: DataFrame, low: float, high: float, hours: int, threshold: float, min_usd: float, types: tuple[str, ...]) -> DataFrame:
+    """Several completed amounts just below a limit within `hours`: cash and transfers out, and cash in."""
+    side = (F.col("direction") == "out") | ((F.col("direction") == "in") & F.col("other_account").isNull())
+    return bursts(legs.filter(side & (F.col("status") == "completed") & F.col("transaction_type").isin(*types) & (F.col("amount_usd") >= low) & (F.col("amount_usd") < high)),
+                  hours * 60, threshold, min_usd)
 
 
-def pass_through(legs: DataFrame, hours: int, types: tuple[str, ...]) -> DataFrame:
+def pass_through(legs: DataFrame, hours: int, types: tuple[str, ...], window_hours: int = 240, min_ratio: float = 0.7, min_usd: float = 500.0,
+                 min_count: int = 3, lateness: str = LATENESS) -> DataFrame:
     use_rocksdb(legs.sparkSession)
     side = F.when(F.col("direction") == "out", "out").when((F.col("direction") == "in") & F.col("transaction_type").isin(*types), "in")
-    rows = legs.filter("status = 'completed'").select("entity_id", "sec", "amount_usd", side.alias("side")).filter("side IS NOT NULL")
-    return rows.groupBy("entity_id").transformWithStateInPandas(PassThrough(hours), "entity_id long, inbound_usd double, matched_usd double", "update", "None")
+    rows = legs.withWatermark("ts", lateness).filter("status = 'completed'").select("ts", "entity_id", "sec", cents(), side.alias("side")).filter("side IS NOT NULL")
+    return rows.groupBy("entity_id").transformWithStateInPandas(
+        PassThrough(hours, window_hours, min_ratio, min_usd, min_count), "entity_id long, inbound_usd double, matched_usd double, n_inbound long, flagged boolean", "update", "EventTime")
 
 
 # ---------------------------------------------------------------------------------------------------------- micro-batches

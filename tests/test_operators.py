@@ -417,16 +417,57 @@ class _ListState:
         self.rows = []
 
 
+class _Timers:
+    def __init__(self):
+        self.at = []
+
+    def listTimers(self):
+        return iter(list(self.at))
+
+    def deleteTimer(self, at):
+        self.at.remove(at)
+
+    def registerTimer(self, at):
+        self.at.append(at)
+
+
 def test_burst_counts_the_window_before_an_arrival_only():
     import pandas as pd
 
     from riskloom.streaming.jobs import Burst
     p = Burst(60, 2)
-    p.recent = _ListState()
-    feed = lambda *secs: pd.concat(list(p.handleInputRows((1,), iter([pd.DataFrame({"sec": [s]}) for s in secs]), None)))
+    p.recent, p.handle = _ListState(), _Timers()
+    feed = lambda *secs: pd.concat(list(p.handleInputRows((1,), iter([pd.DataFrame({"sec": [s], "cents": [100]}) for s in secs]), None)))
     assert len(feed(100_000)) == 0
     assert len(feed(100_000 - 14 * 3600)) == 0  # late, and alone in its own window
     assert feed(100_600, 99_000).in_window.tolist() == [3]
+    assert p.handle.at == [(100_600 + 25 * 3600) * 1000]
+    assert len(pd.concat(list(p.handleExpiredTimer((1,), None, None)))) == 0 and not p.recent.rows
+    rich = Burst(60, 2, min_usd=2.5)
+    rich.recent, rich.handle = _ListState(), _Timers()
+    rows = lambda *x: pd.concat(list(rich.handleInputRows((1,), iter([pd.DataFrame(x, columns=["sec", "cents"])]), None)))
+    assert len(rows((10, 100), (20, 100))) == 0 and rows((30, 100)).usd.tolist() == [3.0]
+
+
+def test_streamed_pass_through_lets_credits_go_with_the_window():
+    import pandas as pd
+
+    from riskloom.streaming.jobs import PassThrough
+    p = PassThrough(1, 3, 0.5, 1.0, 1)
+    p.credits, p.handle = _ListState(), _Timers()
+
+    def feed(*rows):
+        r = pd.concat(list(p.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["sec", "side", "cents"])]), None))).iloc[0]
+        return r.inbound_usd, r.matched_usd, r.n_inbound, bool(r.flagged)
+
+    assert feed((0, "in", 1000), (1800, "out", 600)) == (10.0, 6.0, 1, True)
+    assert feed((3700, "out", 600)) == (10.0, 6.0, 1, True)  # the rest is too old to be drawn on
+    assert feed((4000, "in", 3000), (3900, "in", 100)) == (41.0, 6.0, 3, False)  # a late credit takes its place
+    assert feed((4100, "out", 50)) == (41.0, 6.5, 3, False)
+    assert feed((11000, "in", 100)) == (32.0, 0.5, 3, False)  # the first credit has left the window
+    assert p.handle.at == [(11000 + 3 * 3600) * 1000]
+    list(p.handleExpiredTimer((7,), None, None))
+    assert not p.credits.rows
 
 
 def test_near_duplicate_state_keeps_order_of_late_rows():
@@ -434,7 +475,7 @@ def test_near_duplicate_state_keeps_order_of_late_rows():
 
     from riskloom.streaming.jobs import NearDuplicates
     p = NearDuplicates(60)
-    p.seen = _ListState()
+    p.seen, p.handle = _ListState(), _Timers()
 
     def feed(*secs):
         rows = pd.DataFrame({"us": [s * 1_000_000 for s in secs], "transaction_id": range(len(secs))})
