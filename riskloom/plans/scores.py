@@ -248,10 +248,13 @@ def _(b):
     return sc.assess(f).scores
 
 
-@query("sc00_contributions_with_confidence")
+@query("sc00_contributions_with_confidence", oracle(VIEWS_USED, f"""
+SELECT c.entity_id, detector, points, CASE WHEN detector = 'CIRCULAR_FLOW' THEN 0.9 WHEN detector = 'HISTORICAL_ALERTS' THEN 0.7 WHEN detector = 'NEW_DEVICE' AND baseline = 0 THEN 0.5
+  WHEN coalesce(n, 0) < {TRIAL_RULES.thin_baseline} THEN 0.6 WHEN detector = 'NEW_DEVICE' THEN 0.85 ELSE 0.9 END AS confidence
+FROM contrib c LEFT JOIN (SELECT entity_id, count(*) FILTER (direction = 'out' AND period = 'base') AS n FROM legs GROUP BY 1) a ON a.entity_id = c.entity_id""", SCORED))
 def _(b):
     a = full(b)[1]
-    return sc.with_confidence(a.contributions, a.activity, TRIAL_RULES)
+    return sc.with_confidence(a.contributions, a.activity, TRIAL_RULES).select("entity_id", "detector", "points", "confidence")
 
 
 @query("sc00_all_evidence")
