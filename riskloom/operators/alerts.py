@@ -4,7 +4,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -427,10 +427,11 @@ def attach_to_cases(alerts: DataFrame, cases: DataFrame) -> DataFrame:
     return free.join(per, "customer_id").select("alert_id", "customer_id", "case_key", "new_case", "priority", "n_alerts", moved.alias("new_status"))
 
 
-def timeline(case_events: DataFrame, alert_events: DataFrame, notes: DataFrame) -> DataFrame:
-    """One log per case from three, in time order; each input has case_id, ts and its own columns."""
+def timeline(case_events: DataFrame, alert_events: DataFrame, notes: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One log per case from three; `place` counts its rows in time order. Each input has case_id, ts and its own columns, `ties` order equal times."""
     parts = [case_events.withColumn("origin", F.lit("case")), alert_events.withColumn("origin", F.lit("alert")), notes.withColumn("origin", F.lit("note"))]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    log = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    return log.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("ts", "origin", *ties)))
 
 
 def workbench(cases: DataFrame, alerts: DataFrame, scored: DataFrame, legs: DataFrame, counterparties: DataFrame, log: DataFrame,

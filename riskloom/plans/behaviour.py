@@ -289,25 +289,41 @@ def _(b):
                     "distinct_inbound_per_30d")
 
 
-@query("ag12_activity_windows", oracle("legs", """
+def activity_sql(hours: dict[str, int], base: str, until: str) -> str:
+    """SQL of activity in windows that end with the period, against the outbound rows of twenty days before the longest."""
+    scale = ", ".join(f"('{w}', {h}.0E0/24.0E0/20.0E0, INTERVAL {h} HOUR)" for w, h in hours.items())
+    return f"""
 SELECT w.span, x.entity_id, x.out_count, x.out_failed, x.out_usd, x.in_count, x.distinct_beneficiaries, x.distinct_senders,
   floor(coalesce(bc, 0) * w.scale * 100 + 0.5) / 100 AS expected_count,
   CASE WHEN floor(coalesce(bc, 0) * w.scale * 100 + 0.5) / 100 > 0 THEN floor(x.out_count / (floor(coalesce(bc, 0) * w.scale * 100 + 0.5) / 100) * 100 + 0.5) / 100 END AS vs_baseline
-FROM (VALUES ('1h', 1.0E0/24.0E0/20.0E0), ('24h', 24.0E0/24.0E0/20.0E0), ('7d', 168.0E0/24.0E0/20.0E0)) w(span, scale)
+FROM (VALUES {scale}) w(span, scale, width)
 JOIN LATERAL (SELECT entity_id, count(*) FILTER (direction = 'out') AS out_count, count(*) FILTER (direction = 'out' AND status <> 'completed') AS out_failed,
     coalesce(CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) FILTER (direction = 'out' AND status = 'completed') AS DOUBLE), 0) AS out_usd,
     count(*) FILTER (direction = 'in') AS in_count,
     count(DISTINCT coalesce(CAST(other_account AS VARCHAR), external_counterparty)) FILTER (direction = 'out' AND status = 'completed' AND transaction_type = 'transfer') AS distinct_beneficiaries,
     count(DISTINCT coalesce(CAST(other_account AS VARCHAR), external_counterparty, 'UNKNOWN')) FILTER (direction = 'in') AS distinct_senders
-  FROM legs WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - CASE w.span WHEN '1h' THEN INTERVAL 1 HOUR WHEN '24h' THEN INTERVAL 24 HOUR ELSE INTERVAL 168 HOUR END GROUP BY entity_id) x ON true
+  FROM legs WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - w.width GROUP BY entity_id) x ON true
 LEFT JOIN (SELECT entity_id, count(*) FILTER (direction = 'out') AS bc FROM legs
-  WHERE ts > TIMESTAMP '2024-01-04 00:00:00' AND ts <= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1) y ON y.entity_id = x.entity_id"""))
-def _(b):
-    a = prof.activity_windows(legs(b), b.period.end, 20, {"1h": 1, "24h": 24, "7d": 168})
+  WHERE ts > TIMESTAMP '{base}' AND ts <= TIMESTAMP '{until}' GROUP BY 1) y ON y.entity_id = x.entity_id"""
+
+
+def activity(b: Bank, hours: dict[str, int] | None = None) -> DataFrame:
+    a = prof.activity_windows(legs(b), b.period.end, 20, hours)
     return a.select(F.col("window").alias("span"), "entity_id", "out_count", "out_failed", "out_usd", "in_count", "distinct_beneficiaries",
                     "distinct_senders", "expected_count", "vs_baseline")
 
 
+@query("ag12_activity_windows", oracle("legs", activity_sql({"1h": 1, "24h": 24, "7d": 168}, "2024-01-04 00:00:00", "2024-01-24 00:00:00")))
+def _(b):
+    """Three windows, so that twenty days of the generated month are left as baseline."""
+    return activity(b, {"1h": 1, "24h": 24, "7d": 168})
+
+
+@query("ag12_all_activity_windows", oracle("legs", activity_sql(prof.ACTIVITY_WINDOWS, "2023-12-12 00:00:00", "2024-01-01 00:00:00")))
+def _(b):
+    return activity(b)
+
+
 HIST = """CASE WHEN risk_score < 20 THEN '0-20' WHEN risk_score < 40 THEN '20-40' WHEN risk_score < 60 THEN '40-60' WHEN risk_score < 80 THEN '60-80' WHEN risk_score < 101 THEN '80-100' END"""
 
 

@@ -324,7 +324,7 @@ def case_log(b: Bank) -> DataFrame:
     alert_events = b.alert_events.join(linked, "alert_id").select("case_id", "ts", F.concat_ws("/", F.col("alert_id").cast("string"), "event_id").alias("event_id"))
     notes = table(b.spark, b.folder, "conversations").select(F.col("conv_id").alias("case_id"), F.timestamp_seconds(F.lit(1705000000) + F.col("turn") * 60).alias("ts"),
                                                              F.concat_ws("-", F.lit("note"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"))
-    return al.timeline(case_events, alert_events, notes)
+    return al.timeline(case_events, alert_events, notes, ("event_id",))
 
 
 LOG = """log AS (SELECT case_id, opened_at AS ts, concat('opened-', case_number) AS event_id, 'case' AS origin FROM cases
@@ -332,9 +332,9 @@ UNION ALL SELECT m.case_id, e.ts, concat(e.alert_id, '/', e.event_id), 'alert' F
 UNION ALL SELECT conv_id, make_timestamp((1705000000 + turn * 60) * 1000000), concat('note-', conv_id, '-', turn), 'note' FROM conversations)"""
 
 
-@query("x02_case_timeline", oracle("cases monitoring alert_events", "SELECT CAST(case_id AS VARCHAR) AS case_id, epoch_us(ts) AS us, event_id, origin FROM log", LOG))
+@query("x02_case_timeline", oracle("cases monitoring alert_events", "SELECT CAST(case_id AS VARCHAR) AS case_id, epoch_us(ts) AS us, event_id, origin, row_number() OVER (PARTITION BY case_id ORDER BY ts, origin, event_id) AS place FROM log", LOG))
 def _(b):
-    return case_log(b).select(F.col("case_id").cast("string").alias("case_id"), F.unix_micros("ts").alias("us"), "event_id", "origin")
+    return case_log(b).select(F.col("case_id").cast("string").alias("case_id"), F.unix_micros("ts").alias("us"), "event_id", "origin", "place")
 
 
 @query("al18_case_workbench", oracle("legs cases monitoring alert_events", f"""

@@ -178,22 +178,27 @@ def _(b):
     return ev.top_precision(rows, b.labels, {"triage_score": F.col("triage_score").desc(), "risk_score": F.col("risk_score").desc(), "random": F.md5(F.concat(F.lit("1:"), F.col("alert_id").cast("string")))})
 
 
-STATIC = [k for k in mule.INDICATORS if k != "rapid_movement"]
-BANDED = casework.MULE + """,
-mb AS (SELECT p.*, l.scenario, l.scenario = 'mule' AS truth, CASE WHEN s >= 60 THEN 'HIGH' WHEN s >= 35 THEN 'MEDIUM' WHEN s >= 15 THEN 'LOW' ELSE 'NONE' END AS band FROM (
-  SELECT *, floor((fan_in + fan_out + low_retention + new_or_dormant_account + shared_device_identity + flagged_network + layering_chain) * 10 + 0.5) / 10 AS s FROM pts) p JOIN labels_ l ON l.entity_id = p.entity_id)"""
-MV = "txn accounts identifiers monitoring labels_"
+BANDED = casework.RAPID + f""",
+mb AS (SELECT p.*, l.scenario, l.scenario = 'mule' AS truth, {casework.BANDS} AS band FROM scored p JOIN labels_ l ON l.entity_id = p.entity_id)"""
+MV = casework.MULE_VIEWS + " labels_"
 
 
-@query("e12_mule_report", oracle(MV, "SELECT scenario, count(*) AS n, " + ", ".join(f"count(*) FILTER (band = '{x}') AS {x.lower()}" for x in ("HIGH", "MEDIUM", "LOW", "NONE")) + ", " + ", ".join(f"count(*) FILTER ({i} > 0) AS {i}" for i in STATIC) + ", scenario = 'mule' AS mule_typology FROM mb GROUP BY ALL", BANDED))
+@query("e12_mule_report", oracle(MV, "SELECT scenario, count(*) AS n, " + ", ".join(f"count(*) FILTER (band = '{x}') AS {x.lower()}" for x in ("HIGH", "MEDIUM", "LOW", "NONE")) + ", " + ", ".join(f"count(*) FILTER ({i} > 0) AS {i}" for i in mule.INDICATORS) + ", scenario = 'mule' AS mule_typology FROM mb GROUP BY ALL", BANDED))
 def _(b):
-    return ev.mule_report(casework.mule_scores(b, False), b.labels, ("mule",), STATIC)
+    return ev.mule_report(casework.mule_scores(b, True), b.labels, ("mule",), list(mule.INDICATORS))
 
 
 @query("e12_mule_rates", oracle(MV, " UNION ALL ".join(rates_sql(f"SELECT '{n}' AS rule, count(*) FILTER (truth AND {p}) AS tp, count(*) FILTER (NOT truth AND {p}) AS fp, count(*) FILTER (truth AND NOT {p}) AS fn, count(*) FILTER (NOT truth AND NOT {p}) AS tn FROM mb", "rule,", "NULL")
     for n, p in (("medium_or_high", "(band IN ('MEDIUM', 'HIGH'))"), ("high_only", "(band = 'HIGH')"), ("fan_in_or_rapid_alert", "(entity_id IN (SELECT customer_id FROM monitoring WHERE detector_id IN ('FAN_IN', 'RAPID_PASS_THROUGH')))"))), BANDED))
 def _(b):
-    return ev.mule_rates(casework.mule_scores(b, False), b.labels, b.monitoring, ("mule",))
+    return ev.mule_rates(casework.mule_scores(b, True), b.labels, b.monitoring, ("mule",))
+
+
+@query("e12_mule_auc", oracle(MV, f"SELECT {R4.format('sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*)')} AS auc FROM (SELECT score FROM mb WHERE truth) p, (SELECT score FROM mb WHERE NOT truth) n", BANDED))
+def _(b):
+    """How well the indicator score tells customers of the mule scenario from all others with a label."""
+    scored = casework.mule_scores(b, True).select("entity_id", "score")
+    return ev.roc_auc(b.labels.select("entity_id", (F.col("scenario") == "mule").alias("truth")).join(scored, "entity_id"))
 
 
 def decisions(b: Bank) -> DataFrame:

@@ -11,7 +11,8 @@ sys.path.insert(0, str(ROOT))
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["p01_orient", "p06_latest_transactions", "ag02_amount_stats", "ag04_rolling_max", "ag08_mix_divergence", "ag10_transfer_edges", "d01_transaction_burst", "d08_structuring", "d10_impossible_travel",
          "d14_circular_flow", "gr01_projection_edges", "gr05_shortest_path", "gr11_customer_counterparties", "gr15_fan_patterns", "dq01_ingestion_gate", "dq07_audit_flags", "al08_triage_score", "al12_alert_quality",
-         "r08_bm25", "r12_rank_fusion", "e03_roc_auc", "st02_unique_ids"]
+         "r08_bm25", "r12_rank_fusion", "e03_roc_auc", "st02_unique_ids", "sc01_scores", "sc08_most_cited_transactions", "u01_fifo_dwell", "u02_mule_indicators", "gr07_candidate_cycles",
+         "gr09_suspicious_cluster", "gr14_flagged_recipients", "al03_new_alert_rows", "al04_run_events", "al11_kpi_counts", "st05_structuring", "st06_pass_through", "e13_retrieval_benchmark", "r10_cosine_top_k"]
 
 
 @pytest.mark.parametrize("name", NAMES)
