@@ -42,7 +42,7 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: Shingles counted together in a task, and the least count in such a part that is reported.
 PART, LEAST = 1_500_000, 2
 #: A shingle is common from this count on; the count is raised while more than `COMMON_ROWS` (8 bytes each) would be broadcast.
-COMMON, COMMON_ROWS = 8, 2_000_000
+COMMON, COMMON_ROWS = 2, 2_000_000
 #: From this level (log2 of the count) on, a region is known to be large and is not counted.
 HUGE_LEVEL = 15
 #: Bins of a sketch; it is kept in columns of 64.
