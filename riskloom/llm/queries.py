@@ -55,7 +55,7 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op6_resampling(spark: SparkSession, folder: str) -> DataFrame:
