@@ -124,7 +124,7 @@ def peer_amount(f: Frames) -> DataFrame:
 
 def rapid_pass_through(f: Frames) -> DataFrame:
     r = f.rules
-    m = pass_through(f.legs, KEYS, r.pass_hours, r.pass_types)
+    m = pass_through(f.legs, KEYS, r.pass_hours, r.pass_types, pairs=0)
     p = pivot(m, {"ratio": "ratio", "inbound_usd": "usd", "n_inbound": "n"}).filter("win_n > 0")
     fired = (F.col("win_usd") >= r.pass_min_usd) & (F.col("win_n") >= r.pass_min_count) & (F.col("win_ratio") >= r.pass_min_ratio)
     return result(p, "RAPID_PASS_THROUGH", F.col("win_ratio"), F.lit(float(r.pass_min_ratio)), F.col("base_ratio"), fired,

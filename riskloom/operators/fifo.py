@@ -142,19 +142,30 @@ def slices(flow: DataFrame, keys: list[str], horizon: int) -> DataFrame:
 
 
 def pass_through(legs: DataFrame, keys: list[str], hours: float, types: tuple[str, ...], pairs: int = 8) -> DataFrame:
-    """Share of inbound value that left within the horizon; `pairs` holds ids of the first matched seconds."""
+    """Share of inbound value that left within the horizon; `pairs` holds ids of the first matched seconds, as many as asked for.
+
+    Without pairs it is enough to know how long a stretch each outflow takes.
+    """
     flow = stage(flow_seconds(legs, keys, F.col("transaction_type").isin(*types)), "fifo-seconds")
     came = flow.groupBy(*keys).agg(F.sum("in_cents").alias("inbound"), F.sum("n_in").alias("n_inbound")).filter("n_inbound > 0")
-    met = stage(slices(flow, keys, round(hours * 3600)), "fifo-slices")
-    moved = met.groupBy(*keys).agg(F.sum("cents").alias("matched"))
-    first = top_k(met, keys, [F.col("place")], pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.array("in_id", "out_id").alias("ids")))).alias("x"))
-    first = first.select(*keys, F.flatten(F.transform("x", lambda v: v["ids"])).alias("pairs"))
+    if not pairs:
+        outs = taken(_placed(flow, keys, round(hours * 3600))[1], keys)
+        moved = outs.groupBy(*keys).agg(F.sum(F.col("to") - F.col("from")).alias("matched")).withColumn("pairs", F.array().cast("array<string>"))
+    else:
+        moved = _moved_with_pairs(flow, keys, hours, pairs)
     usd = {c: F.coalesce(F.col(c), F.lit(0)) / 100 for c in ("inbound", "matched")}
-    return came.join(moved, keys, "left").join(first, keys, "left").select(
+    return came.join(moved, keys, "left").select(
         *keys, F.when(F.col("inbound") > 0, rnd(usd["matched"] / usd["inbound"], 4)).otherwise(0.0).alias("ratio"), rnd(usd["inbound"]).alias("inbound_usd"),
         rnd(usd["matched"]).alias("matched_usd"), "n_inbound", F.coalesce("pairs", F.array().cast("array<string>")).alias("pairs"))
 
 
+def _moved_with_pairs(flow: DataFrame, keys: list[str], hours: float, pairs: int) -> DataFrame:
+    met = stage(slices(flow, keys, round(hours * 3600)), "fifo-slices")
+    moved = met.groupBy(*keys).agg(F.sum("cents").alias("matched"))
+    first = top_k(met, keys, [F.col("place")], pairs).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.array("in_id", "out_id").alias("ids")))).alias("x"))
+    return moved.join(first.select(*keys, F.flatten(F.transform("x", lambda v: v["ids"])).alias("pairs")), keys, "left")
+
+
 def fifo_dwell(legs: DataFrame, keys: list[str], hours: float, ids_kept: int = 10) -> DataFrame:
     """Queue matching of transfers in to completed outflows: matched value, median dwell hours, consuming ids."""
     flow = stage(flow_seconds(legs, keys, F.col("other_account").isNotNull()), "fifo-seconds")
