@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from riskloom.config import AlertPolicy, GateRules, TriageRules
 from riskloom.functions.numeric import seconds
@@ -107,17 +107,21 @@ class NearDuplicates(Forgetting):
         super().init(handle)
         self.seen = handle.getListState("seen", StructType([StructField("us", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(r[0] for r in self.seen.get()) if self.seen.exists() else []
-        frame = pd.concat(list(rows)).sort_values(["us", "transaction_id"])
+    def walk(self, times: list[int], arrived: list[int]) -> tuple[list[bool], list[int]]:
+        """Whether each instant, in order, is near an accepted one of its key, and the accepted ones to hold."""
         flags = []
-        for us in frame.us.tolist():
+        for us in arrived:
             at = bisect.bisect_left(times, us)
             near = any(abs(us - t) <= self.width for t in times[max(0, at - 1):at + 1])
             flags.append(near)
             if not near:
                 times.insert(at, us)
-        times = times[bisect.bisect_left(times, times[-1] - self.KEPT * self.width):]
+        return flags, times[bisect.bisect_left(times, times[-1] - self.KEPT * self.width):]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = sorted(r[0] for r in self.seen.get()) if self.seen.exists() else []
+        frame = pd.concat(list(rows)).sort_values(["us", "transaction_id"])
+        flags, times = self.walk(times, frame.us.tolist())
         self.seen.put([(t,) for t in times])
         self.remember(times[-1] // 1_000_000)
         yield pd.DataFrame({"transaction_id": frame.transaction_id, "duplicate": flags})
@@ -129,6 +133,35 @@ class NearDuplicates(Forgetting):
         return pd.DataFrame({"transaction_id": pd.Series(dtype="int64"), "duplicate": pd.Series(dtype="bool")})
 
 
+class NearDuplicateGroups(NearDuplicates):
+    """The same for all keys of a bucket at once: nearly every row has a key of its own, and a state call a key costs more than the rule.
+
+    Rows come as (k, us, transaction_id). Whenever a bucket is touched, keys that have been silent for `keep` go; the timer clears a silent bucket.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        Forgetting.init(self, handle)
+        self.seen = handle.getValueState("seen", StructType([StructField("k", ArrayType(StringType())), StructField("us", ArrayType(LongType()))]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
+        if self.seen.exists():
+            for k, us in zip(*self.seen.get(), strict=True):
+                held.setdefault(k, []).append(us)
+        frame = pd.concat(list(rows)).sort_values(["k", "us", "transaction_id"])
+        flags = []
+        for k, group in itertools.groupby(zip(frame.k.tolist(), frame.us.tolist(), strict=True), key=lambda r: r[0]):
+            near, held[k] = self.walk(held.get(k, []), [us for _, us in group])
+            flags += near
+        newest = max(times[-1] for times in held.values())
+        silent = timerValues.getCurrentWatermarkInMs() * 1000 - self.keep * 1_000_000
+        # the newest stays in any case, so that the state is never empty
+        kept = [(k, us) for k, times in held.items() if times[-1] >= min(silent, newest) for us in times]
+        self.seen.update(([k for k, _ in kept], [us for _, us in kept]))
+        self.remember(newest // 1_000_000)
+        yield pd.DataFrame({"transaction_id": frame.transaction_id, "duplicate": flags})
+
+
 class Burst(Forgetting):
     """Per entity: seconds with their counts and cents; emits a row whenever the window that ends at an arrival reaches the thresholds.
 
@@ -186,8 +219,9 @@ class PassThrough(Forgetting):
         self.credits = handle.getListState("credits", StructType([StructField(c, LongType()) for c in ("sec", "cents", "left", "newest")]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [list(r) for r in self.credits.get()] if self.credits.exists() else []
-        newest = max((c[3] for c in held), default=0)
+        stored = [list(r) for r in self.credits.get()] if self.credits.exists() else []
+        newest = max((c[3] for c in stored), default=0)
+        held = [c for c in stored if c[2] >= 0]
         frame = pd.concat(list(rows)).sort_values(["sec", "side"], kind="stable")  # 'in' before 'out' within a second
         for sec, side, cents in zip(frame.sec.tolist(), frame.side.tolist(), frame.cents.tolist(), strict=True):
             if side == "in":
@@ -201,7 +235,8 @@ class PassThrough(Forgetting):
                 at += 1
         newest = max(newest, int(frame.sec.max()))
         held = held[bisect.bisect_left(held, newest - self.keep, key=lambda c: c[0]):]
-        self.credits.put([(c[0], c[1], c[2], newest) for c in held])
+        # a state list must not be empty: without credits one row, with nothing less than 0 left, keeps the newest second
+        self.credits.put([(c[0], c[1], c[2], newest) for c in held] or [(newest, 0, -1, newest)])
         self.remember(newest)
         inbound, matched = sum(c[1] for c in held) / 100, sum(c[1] - c[2] for c in held) / 100
         flagged = inbound >= self.min_usd and len(held) >= self.min_count and matched >= self.min_ratio * inbound
@@ -216,6 +251,8 @@ class PassThrough(Forgetting):
 
 #: Rows later than this behind the newest row of the stream are no longer taken by the stateful jobs.
 LATENESS = "30 days"
+#: Keys of near duplicates share state in so many buckets; fixed as long as a checkpoint lives.
+BUCKETS = 4096
 
 
 def cents() -> Column:
@@ -224,10 +261,13 @@ def cents() -> Column:
 
 def near_duplicates(txn: DataFrame, window_seconds: int = 60, lateness: str = LATENESS) -> DataFrame:
     use_rocksdb(txn.sparkSession)
-    rows = txn.withWatermark("ts", lateness).select("ts", "transaction_id", F.coalesce("sender_account_id", F.lit(-1)).alias("s"), F.coalesce("receiver_account_id", F.lit(-1)).alias("r"),
-                                                    F.round("amount", 2).alias("cents"), "currency", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("s", "r", "cents", "currency").transformWithStateInPandas(
-        NearDuplicates(window_seconds), "transaction_id long, duplicate boolean", "append", "EventTime")
+    # null and absent parties are told from others; the currency comes last, so that no other text can make the same key
+    amount = F.round("amount", 2) + F.lit(0.0)
+    k = F.concat_ws("|", F.coalesce("sender_account_id", F.lit(-1)), F.coalesce("receiver_account_id", F.lit(-1)), F.coalesce(amount.cast("string"), F.lit("")),
+                    F.coalesce(F.concat(F.lit("="), "currency"), F.lit("")))
+    rows = txn.withWatermark("ts", lateness).select("ts", "transaction_id", k.alias("k"), F.unix_micros("ts").alias("us")).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        NearDuplicateGroups(window_seconds), "transaction_id long, duplicate boolean", "append", "EventTime")
 
 
 def bursts(rows: DataFrame, minutes: int, threshold: float, min_usd: float = 0.0, lateness: str = LATENESS) -> DataFrame:
