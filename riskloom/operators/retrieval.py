@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from riskloom.functions.numeric import rnd, top_k
 from riskloom.functions.text import STOP_WORDS, stem, tokens, words
@@ -148,15 +148,49 @@ def term_weights(docs: DataFrame, features: int) -> DataFrame:
     pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))),
                        lambda a, b: F.concat_ws(" ", a, b))
     slot = F.pmod(F.xxhash64("term"), F.lit(features)).cast("int")
-    tf = (kept.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("doc_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("tf")))
+    tf = stage(kept.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("doc_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     df = tf.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     w = (F.log("tf") + 1) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
     rows = tf.join(df, "slot").crossJoin(F.broadcast(n)).select("doc_id", "slot", w.alias("w"))  # one row
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("x"))  # the terms of one document
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    return packed.withColumn("norm", norm).select("doc_id", F.transform("x", lambda e: e["slot"]).alias("idx"),
-                                                  F.expr("transform(x, e -> e.w / norm)").alias("w"))
+    packed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("x"))  # the terms of one document
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, w = batch.column(2), batch.column(2).flatten().to_numpy()
+            starts, sizes = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), np.diff(lists.offsets.to_numpy())
+            length = np.sqrt(np.add.reduceat(w * w, starts)) if len(w) else np.zeros(0)  # a document here has one term at least
+            ends = pa.array(np.append(starts, len(w)).astype(np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(w / np.repeat(length, sizes)))], ["doc_id", "idx", "w"])
+
+    schema = StructType([docs.schema["doc_id"], StructField("idx", ArrayType(IntegerType())), StructField("w", ArrayType(DoubleType()))])
+    return packed.select("doc_id", F.col("x.slot").alias("idx"), F.col("x.w").alias("w")).mapInArrow(unit, schema)
+
+
+#: Numbers a task multiplies at a time, 8 bytes each; documents are taken in runs of so many terms times dimensions.
+RUN = 1 << 22
+
+
+def _runs(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of documents of every (idx, w, ...) batch: the batch, first and next row, which document each term is of, its slot and weight, and w basis by document."""
+    width = basis.shape[1]
+    for batch in batches:
+        lists, weighed = batch.column(0), batch.column(1)
+        ends, slots, w = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), weighed.flatten().to_numpy()
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN // width, "right")) - 1)
+            sizes = np.diff(ends[at:to + 1])
+            i, v, full = slots[ends[at]:ends[to]], w[ends[at]:ends[to]], sizes > 0
+            z = np.zeros((to - at, width))
+            if len(i):
+                z[full] = np.add.reduceat(basis[i] * v[:, None], (ends[at:to] - ends[at])[full], axis=0)
+            yield batch, at, to, np.repeat(np.arange(to - at), sizes), i, v, z
+            at = to
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def _accumulate(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -165,14 +199,15 @@ def _accumulate(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
     held = weights.sparkSession.sparkContext.broadcast(basis)
     features, width = basis.shape
 
-    def part(batches):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((features, width))
-        for batch in batches:
-            for idx, w in zip(batch.idx, batch.w):
-                i, v = np.asarray(idx, dtype=int), np.asarray(w)
-                acc[i] += np.outer(v, v @ held.value[i])
+        for _, _, _, of, i, v, z in _runs(batches, held.value):
+            if len(i):
+                order = np.argsort(i, kind="stable")
+                slots, first = np.unique(i[order], return_index=True)
+                acc[slots] += np.add.reduceat((v[:, None] * z[of])[order], first, axis=0)
         touched = np.flatnonzero(np.any(acc != 0, axis=1))
-        yield pd.DataFrame({"slot": touched, "v": list(acc[touched])})
+        yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int64()), _lists(acc[touched])], ["slot", "v"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         slots, place = np.unique(group.slot.to_numpy(), return_inverse=True)
@@ -180,7 +215,7 @@ def _accumulate(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
         np.add.at(total, place, np.stack(group.v.to_list()))
         return pd.DataFrame({"slot": slots, "v": list(total)})
 
-    rows = weights.select("idx", "w").mapInPandas(part, "slot long, v array<double>")
+    rows = weights.select("idx", "w").mapInArrow(part, "slot long, v array<double>")
     summed = rows.groupBy(F.pmod("slot", F.lit(64)).alias("range")).applyInPandas(add, "slot long, v array<double>").toPandas()
     out = np.zeros((features, width))
     if len(summed):
@@ -205,13 +240,9 @@ def lsa(docs: DataFrame, dim: int = 128, features: int = 1 << 16, rounds: int =
     turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :dim]
     right = docs.sparkSession.sparkContext.broadcast(before @ turn)
 
-    @F.pandas_udf("array<double>")
-    def project(idx: pd.Series, w: pd.Series) -> pd.Series:
-        out = []
-        for i, v in zip(idx, w):
-            z = np.asarray(v, dtype=float) @ right.value[np.asarray(i, dtype=int)]
-            n = float(np.linalg.norm(z))
-            out.append(z / n if n > 0 else z)
-        return pd.Series(out)
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, to, _, _, _, z in _runs(batches, right.value):
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, to - at), _lists(_unit(z))], ["doc_id", "embedding"])
 
-    return weights.select("doc_id", project("idx", "w").alias("embedding"))
+    schema = StructType([weights.schema["doc_id"], StructField("embedding", ArrayType(DoubleType()))])
+    return weights.select("idx", "w", "doc_id").mapInArrow(project, schema)
