@@ -31,11 +31,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def postings_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, len, term, tf) of the given terms only: words are stemmed and filtered where they are read, and what is left is counted."""
+def postings_of(docs: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
+    """(doc_id, len, term, tf) of the given terms only: words are stemmed and filtered where they are read, and what is left is counted.
+
+    Rows without a term count the documents themselves, so that the corpus totals need no second reading of the texts.
+    """
     w = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("len", F.size("ws"))
     rows = w.select("doc_id", "len", F.explode("ws").alias("w")).select("doc_id", "len", stem(F.col("w")).alias("term"))
-    return rows.join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if few:
+        marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("ws", F.array().cast("array<string>")))
+        rows = w.select("doc_id", "len", F.explode(marked).alias("w")).select("doc_id", "len", stem(F.col("w")).alias("term"))
+        asked = rows.join(F.broadcast(terms.withColumn("asked", F.lit(True))), "term", "left").filter("asked OR term IS NULL")
+        return asked.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # a join that sends rows by term would bring the rows without one to one task
+    whole = w.groupBy("doc_id", "len").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "len", F.lit(None).cast("string").alias("term"), "tf")
+    return rows.join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).unionByName(whole)
 
 
 #: Distinct terms of all queries up to this many are sent to every executor (about 60 bytes each).
@@ -45,13 +55,14 @@ SENT_TERMS = 500_000
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """Top-k documents per query. `allowed` (doc_id) restricts results, not the corpus statistics.
 
-    Only words that a query names leave the scan; the corpus totals need no words at all. Scores are summed per (query, document) on the map side first.
+    Only words that a query names leave the scan, with one row a document for the corpus totals. Scores are summed per (query, document) on the map side first.
     """
-    size = docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("n") / F.count(F.lit(1))).alias("avg_len"))
     q = stage(query_terms(queries), "query-terms")
     terms = q.select("term").distinct()
     few = terms.count() <= SENT_TERMS
-    hits = stage(postings_of(docs, F.broadcast(terms) if few else terms), "postings")
+    read = stage(postings_of(docs, terms, few), "postings")
+    size = read.filter("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    hits = read.filter("term IS NOT NULL")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if allowed is not None:
         hits = hits.join(allowed, "doc_id", "left_semi")
