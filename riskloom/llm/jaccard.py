@@ -6,8 +6,10 @@ Sets that are equal form a class, and the join runs over classes. Two linked set
    an order of all shingles, rare ones first, breaks the tie, and so each set has a home among Voronoi regions. How far a linked set's home can
    be down the order is bounded: two sets within r share one of the first n - ceil(threshold * n) + 1 shingles of each. Documents are
    replicated to the regions in that window, and each linked pair meets in one of them.
-   The order counts shingles that repeat inside the tasks' parts of the corpus; it only moves passages that many documents share to the end,
-   and any order gives the same links.
+   The order knows how many classes hold a shingle of small hash, which is where windows lie, and which others repeat inside the tasks' parts
+   of the corpus; it only moves passages that many documents share to the end, and any order gives the same links. In the region of the first
+   shingle that a linked pair shares, both sets end after at most as many shingles as they share, and so a place in a region bounds the size of
+   a partner. Members without a possible partner leave the region.
 2. Recursion. Inside a region, some of its members become pivots. All members are compared with them exactly. Whoever lies within r is linked;
    of two others, x and y, a link needs |d(x, p) - d(y, p)| <= r, so the next round's pivots only meet the members of a window of that width
    around the region's first pivot. Members already in one component are not compared any more, regions with one component left are done,
@@ -43,6 +45,10 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 PART, LEAST = 1_500_000, 2
 #: A shingle is common from this count on; the count is raised while more than `COMMON_ROWS` (8 bytes each) would be broadcast.
 COMMON, COMMON_ROWS = 2, 2_000_000
+#: Shingles with hashes below this are counted over the whole corpus, by 2 ** `BUCKET_BITS` ranges and their next 32 bits; reported from a count on.
+COUNTED = 1 << 63
+BUCKET_BITS, LEAST_COUNTED = 12, 4
+LOW_BITS = np.uint64(64 - BUCKET_BITS - 32)
 #: From this level (log2 of the count) on, a region is known to be large and is not counted.
 HUGE_LEVEL = 15
 #: Bins of a sketch; it is kept in columns of 64.
@@ -64,8 +70,12 @@ class Rule:
         """How many of a set's first shingles can be the first that a linked set shares."""
         return n - -(-n * self.num // self.den) + 1
 
-    def sizes_fit(self, a: Column, b: Column) -> Column:
-        return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
+    def reach(self, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The largest set that a set can link with, if the first shingle they share has this place in it.
+
+        They share at most n - place, and (den + num) * shared >= num * (|x| + |y|).
+        """
+        return (self.den + self.num) * (n - place) // self.num - n
 
     def sketches_fit(self, a: Column, b: Column, bits: Column) -> Column:
         """At the threshold, (den + num) * |difference| = (den - num) * (|x| + |y|)."""
@@ -109,22 +119,33 @@ def _column(values: list | np.ndarray, kind: pa.DataType, n: int) -> pa.Array:
     return pa.nulls(n, kind) if values is None else pa.array(values, kind)
 
 
-SCAN = "doc_id long, text_key long, class long, n int, shingle long, seen long, " + ", ".join(f"{w} long" for w in WORDS)
+SCAN = ("doc_id long, text_key long, class long, n int, shingle long, seen long, " + ", ".join(f"{w} long" for w in WORDS)
+        + ", bucket int, counted binary")
 
 
 def scan(docs: DataFrame, rule: Rule) -> DataFrame:
-    """One pass: a row for each document (doc_id, text_key, class, n, sketch), and rows (shingle, seen) for shingles that repeat in a part."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int64()] * len(WORDS)]
+    """One pass: a row for each document (doc_id, text_key, class, n, sketch), rows (shingle, seen) for shingles that repeat in a part.
+
+    Rows (bucket, counted) hold a part's shingles below `COUNTED`, shortened, each as often as classes of the part have it.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int64()] * len(WORDS), pa.int32(), pa.binary()]
     names = [f.split()[0] for f in SCAN.split(", ")]
 
     def batch_of(*cols) -> pa.RecordBatch:
         n = next(len(c) for c in cols if c is not None)
         return pa.RecordBatch.from_arrays([_column(c, k, n) for c, k in zip(cols, kinds, strict=True)], names)
 
-    def repeated(part: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate([own_none, *part]), return_counts=True)
+    def repeated(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingles = np.sort(np.concatenate([own_none, *part]))
+        low = int(np.searchsorted(shingles, np.uint64(COUNTED)))
+        values, counts = np.unique(shingles[low:], return_counts=True)
         common = counts >= LEAST
-        return batch_of(None, None, None, None, values[common].astype(np.int64), counts[common], *[None] * len(WORDS))
+        yield batch_of(None, None, None, None, values[common].astype(np.int64), counts[common], *[None] * (len(WORDS) + 2))
+        bucket = (shingles[:low] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        short = (shingles[:low] >> LOW_BITS).astype(np.uint32)
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if low else np.zeros(1, np.int64)
+        data = [short[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield batch_of(*[None] * (6 + len(WORDS)), bucket[edge[:-1]], data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, size, met = [], 0, set()
@@ -140,41 +161,76 @@ def scan(docs: DataFrame, rule: Rule) -> DataFrame:
                     part.append(s)
                     size += len(s)
             words = np.array(sketches, np.int64).reshape(len(sketches), len(WORDS))
-            yield batch_of(batch.column("doc_id"), batch.column("text_key"), classes, ns, None, None, *words.T)
+            yield batch_of(batch.column("doc_id"), batch.column("text_key"), classes, ns, None, None, *words.T, None, None)
             if size >= PART:
-                yield repeated(part)
+                yield from repeated(part)
                 part, size, met = [], 0, set()
-        yield repeated(part)
+        yield from repeated(part)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     return keyed.mapInArrow(tidy(run), SCAN)
 
 
 def common_shingles(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and levels (log2 of the count) of common shingles, at most `COMMON_ROWS`."""
-    counts = stage(scanned.filter("seen IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= COMMON)
+    """Sorted hashes and levels (log2 of the count) of common shingles, at most `COMMON_ROWS`; those below `COUNTED` are `shortened`."""
+    in_parts = scanned.filter("seen IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= COMMON)
+    counts = stage(in_parts.unionByName(counted_shingles(scanned))
                    .withColumn("level", F.floor(F.log2("seen")).cast("int")), "jaccard-common")
     at_level = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()}
     least = min(at_level, default=0)
     while sum(n for level, n in at_level.items() if level >= least) > COMMON_ROWS:
         least += 1
-    got = counts.filter(F.col("level") >= least).select("shingle", "level").toPandas()
-    h = got["shingle"].to_numpy(np.int64).view(np.uint64)
+    got = counts.filter(F.col("level") >= least).select("shingle", F.col("level").cast("byte").alias("level")).toArrow()
+    h = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], got["level"].to_numpy(np.int8)[order]
+    return h[order], got.column("level").to_numpy().astype(np.int8)[order]
+
+
+def counted_shingles(scanned: DataFrame) -> DataFrame:
+    """(shingle, seen) of shortened shingles below `COUNTED` that are seen `LEAST_COUNTED` times or more."""
+
+    def counts_of(bucket: int, part: list[bytes]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate([np.frombuffer(d, np.uint32) for d in part]), return_counts=True)
+        common = counts >= LEAST_COUNTED
+        shingle = (np.uint64(bucket) << np.uint64(64 - BUCKET_BITS)) | (values[common].astype(np.uint64) << LOW_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), pa.array(counts[common].astype(np.int64))], ["shingle", "seen"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, bucket = [], None
+        for batch in batches:
+            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("counted").to_pylist(), strict=True):
+                if b != bucket and part:
+                    yield counts_of(bucket, part)
+                    part = []
+                bucket = b
+                part.append(data)
+        if part:
+            yield counts_of(bucket, part)
+
+    by_bucket = scanned.filter("bucket IS NOT NULL").select("bucket", "counted").repartition("bucket").sortWithinPartitions("bucket")
+    return by_bucket.mapInArrow(tidy(run), "shingle long, seen long")
+
+
+def levels_of(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Levels of sorted shingles, 0 for those not common."""
+    h, levels = common
+    if not len(h):
+        return np.zeros(len(s), np.int8)
+    key = np.where(s < np.uint64(COUNTED), (s >> LOW_BITS) << LOW_BITS, s)
+    at = np.minimum(np.searchsorted(h, key), len(h) - 1)
+    return np.where(h[at] == key, levels[at], np.int8(0))
 
 
 def replicate(docs: DataFrame, rule: Rule, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Each class in the regions of its window: (region, class, n, level)."""
+    """Each class in the regions of its window: (region, class, n, level, reach); `reach` bounds the size of a partner met there first."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, levels = shared.value
         met: set[int] = set()
         for batch in batches:
             if len(met) > 200_000:
                 met.clear()
-            regions, classes, ns, out_levels = [], [], [], []
+            regions, classes, ns, out_levels, reaches = [], [], [], [], []
             for s in sets(batch.column("text"), rule.words):
                 if not len(s):
                     continue
@@ -183,33 +239,40 @@ def replicate(docs: DataFrame, rule: Rule, common: tuple[np.ndarray, np.ndarray]
                     continue
                 met.add(c)
                 width = rule.window(len(s))
-                level = np.zeros(len(s), np.int8)
-                if len(h):
-                    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                    level = np.where(h[at] == s, levels[at], 0)
+                level = levels_of(s, shared.value)
                 first = np.argsort(level, kind="stable")[:width] if level.any() else np.arange(width)
                 regions.append(s[first])
                 out_levels.append(level[first])
+                reaches.append(rule.reach(len(s), np.arange(width)))
                 classes.append(c)
                 ns.append(len(s))
             sizes = [len(r) for r in regions]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([own_none, *regions]).astype(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), sizes)),
-                 pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(np.concatenate([np.zeros(0, np.int8), *out_levels]).astype(np.int32))],
-                ["region", "class", "n", "level"])
+                 pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(np.concatenate([np.zeros(0, np.int8), *out_levels]).astype(np.int32)),
+                 pa.array(np.concatenate([np.zeros(0, np.int64), *reaches]).astype(np.int32))],
+                ["region", "class", "n", "level", "reach"])
 
-    return docs.select("text").mapInArrow(tidy(run), "region long, class long, n int, level int")
+    return docs.select("text").mapInArrow(tidy(run), "region long, class long, n int, level int, reach int")
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, class, n) of regions that at least two classes share; of regions with equal members one stays."""
+    """(region, class, n, reach) of classes that may have a partner in a region; of regions with equal members the first of the order stays."""
     region = Window.partitionBy("region")
+    by_size = region.orderBy("n", "class")
+    smaller = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    # the next larger one within reach, or a smaller one within reach that reaches as far
+    partner = ((F.lead("n").over(by_size) <= F.col("reach"))
+               | ((F.first("n").over(smaller) <= F.col("reach")) & (F.max("reach").over(smaller) >= F.col("n"))))
     counted = (rows.filter(F.col("level") < HUGE_LEVEL).repartition("region").dropDuplicates(["region", "class"])
-               .withColumn("m", F.count("*").over(region)).filter("m > 1").withColumn("members", F.bit_xor(F.xxhash64("class")).over(region)))
-    counted = stage(counted.select("region", "class", "n", "m", "members"), "jaccard-regions")
-    one = counted.groupBy("members", "m").agg(F.min("region").alias("region")).select("region")
-    huge = rows.filter(F.col("level") >= HUGE_LEVEL).select("region", "class", "n").distinct()
-    return counted.join(one, "region", "left_semi").select("region", "class", "n").unionByName(huge)
+               .withColumn("partner", partner).filter("partner").withColumn("m", F.count("*").over(region)).filter("m > 1")
+               .withColumn("members", F.bit_xor(F.xxhash64("class")).over(region)))
+    counted = stage(counted.select("region", "class", "n", "reach", "m", "members"), "jaccard-regions")
+    # every member's reach is the larger, the earlier the region comes in the order
+    facts = counted.groupBy("region").agg(F.first("members").alias("members"), F.first("m").alias("m"), F.sum("reach").alias("reaches"))
+    one = facts.groupBy("members", "m").agg(F.max(F.struct("reaches", "region")).alias("one")).select("one.region")
+    huge = rows.filter(F.col("level") >= HUGE_LEVEL).select("region", "class", "n", "reach").distinct()
+    return counted.join(one, "region", "left_semi").select("region", "class", "n", "reach").unionByName(huge)
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -266,7 +329,7 @@ def allowed(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
 def join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, both, either) that connect whatever the regions' pairs connect, and the component (node, root) of each linked class."""
-    members = stage(regions.select("region", "class", "n", F.lit(None).cast("double").alias("ring")), "jaccard-members")
+    members = stage(regions.select("region", "class", "n", "reach", F.lit(None).cast("double").alias("ring")), "jaccard-members")
     known = labels = held = None
     pivots_each, turn = 1, 0
     while True:
@@ -274,7 +337,7 @@ def join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, rule:
             now = members.withColumn("root", F.col("class"))
         else:
             now = (members.join(labels, F.col("class") == F.col("node"), "left")
-                   .select("region", "class", "n", "ring", F.coalesce("root", "class").alias("root")))
+                   .select("region", "class", "n", "reach", "ring", F.coalesce("root", "class").alias("root")))
         # regions with one component left are done
         open_ = now.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
         now = stage(now.join(open_.select("region", "m"), "region"), "jaccard-open")
@@ -284,9 +347,9 @@ def join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, rule:
         small = F.col("m") <= SMALL_REGION if turn else F.lit(False)
         ranked = now.filter(~small).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pivots_each)
         pivots = stage(ranked.unionByName(now.filter(small).withColumn("place", F.lit(0))), "jaccard-pivots")
-        p = pivots.select("region", F.col("class").alias("p"), F.col("n").alias("p_n"), F.col("ring").alias("p_ring"), F.col("root").alias("p_root"), "place")
+        p = pivots.select("region", F.col("class").alias("p"), F.col("n").alias("p_n"), F.col("reach").alias("p_reach"), F.col("ring").alias("p_ring"), F.col("root").alias("p_root"), "place")
         near = F.col("ring").isNull() | F.col("p_ring").isNull() | (F.abs(F.col("ring") - F.col("p_ring")) <= rule.radius + 1e-9)
-        linkable = (F.col("root") != F.col("p_root")) & rule.sizes_fit(F.col("n"), F.col("p_n")) & near
+        linkable = (F.col("root") != F.col("p_root")) & (F.col("n") <= F.col("p_reach")) & (F.col("p_n") <= F.col("reach")) & near
         met = now.join(p, "region").filter(linkable)
         pairs = met.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
         if known is not None:
@@ -309,7 +372,7 @@ def join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, rule:
             ringed = ringed.withColumn("d", F.lit(None).cast("double"))
         else:
             ringed = ringed.join(known.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d")), ["a", "b"], "left")
-        members = stage(ringed.select("region", "class", "n", F.col("d").alias("ring")), "jaccard-members")
+        members = stage(ringed.select("region", "class", "n", "reach", F.col("d").alias("ring")), "jaccard-members")
         turn, pivots_each = turn + 1, pivots_each * 4
     return known, labels
 
