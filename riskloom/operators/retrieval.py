@@ -4,14 +4,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from riskloom.functions.numeric import rnd, top_k
 from riskloom.functions.text import STOP_WORDS, stem, tokens, words
@@ -152,85 +151,152 @@ def passages_for_signals(fused: DataFrame, query_signals: DataFrame, k: int = 12
     return top_k(m, ["case_id"], [F.col("best").desc(), F.col("id")], k)
 
 
-def term_weights(docs: DataFrame, features: int) -> DataFrame:
-    """(doc_id, idx, w): unit-length sublinear TF-IDF over words and word pairs, terms hashed to `features` slots."""
+def _rows(parts: list[np.ndarray], ends: np.ndarray) -> list[pa.ListArray]:
+    """Flat arrays as lists of one length each, row by row; `ends` are the starts of the rows and the last end."""
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p)) for p in parts]
+
+
+def counted_terms(docs: DataFrame, features: int) -> DataFrame:
+    """(doc_id, idx, tf) of every row: words and word pairs hashed to `features` slots, and how often each slot occurs. Counted where the text is read."""
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][a-z0-9\-]+)\b"), F.lit(1))
     kept = docs.select("doc_id", F.filter(found, lambda t: ~t.isin(*STOP_WORDS)).alias("t"))
     pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))),
                        lambda a, b: F.concat_ws(" ", a, b))
-    slot = F.pmod(F.xxhash64("term"), F.lit(features)).cast("int")
-    tf = stage(kept.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("doc_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("tf")), "term-counts")
-    df = tf.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    w = (F.log("tf") + 1) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    rows = tf.join(df, "slot").crossJoin(F.broadcast(n)).select("doc_id", "slot", w.alias("w"))  # one row
-    packed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("x"))  # the terms of one document
-
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    slots = F.transform(F.concat("t", pairs), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends, found = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+            for at, to in _cuts(ends, RUN // 8):
+                n = to - at
+                keys, tf = np.unique(np.repeat(np.arange(n), np.diff(ends[at:to + 1])) * features + found[ends[at]:ends[to]], return_counts=True)
+                of, idx = np.divmod(keys, features)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *_rows([idx.astype(np.int32), tf.astype(np.int64)], np.searchsorted(of, np.arange(n + 1)))], ["doc_id", "idx", "tf"])
+
+    schema = StructType([docs.schema["doc_id"], StructField("idx", ArrayType(IntegerType())), StructField("tf", ArrayType(LongType()))])
+    return kept.select("doc_id", F.coalesce(slots, F.array().cast("array<int>")).alias("slots")).mapInArrow(count, schema)
+
+
+def term_counts(docs: DataFrame, features: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, idx, tf), staged: a row for every row of `docs`, and a row for every doc_id.
+
+    Rows with the same doc_id are one document: each has the counts of all of them. Rows without a doc_id are one document too, but carry no counts.
+    Only these are brought together by doc_id; all other rows are written where they are read, in order of slots, at two or three bytes a term.
+    """
+    repeated = stage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        rows = stage(counted_terms(docs, features), "term-counts")
+        return rows, rows
+    among = lambda how: docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), how)
+    single = stage(counted_terms(among("left_anti"), features), "term-counts")
+    slots = counted_terms(among("left_semi"), features).select("doc_id", F.explode(F.arrays_zip("idx", "tf")).alias("x")).groupBy("doc_id", F.col("x.idx").alias("slot")).agg(F.sum("x.tf").alias("tf"))
+    packed = slots.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("slot", "tf"))).alias("x"))  # the slots of one document
+    merged = stage(packed.select("doc_id", F.col("x.slot").alias("idx"), F.col("x.tf").alias("tf")), "term-counts")
+    again = stage(among("left_semi").select("doc_id").join(merged, "doc_id", "left").select(
+        "doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("tf", F.array().cast("array<long>")).alias("tf")), "term-counts")
+    return single.unionByName(again), single.unionByName(merged)
+
+
+def slot_frequencies(counts: DataFrame, features: int) -> np.ndarray:
+    """Documents of every slot. What comes back is one number a slot, whatever the corpus."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(features, dtype=np.int64)
         for batch in batches:
-            lists, w = batch.column(2), batch.column(2).flatten().to_numpy()
-            starts, sizes = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), np.diff(lists.offsets.to_numpy())
-            length = np.sqrt(np.add.reduceat(w * w, starts)) if len(w) else np.zeros(0)  # a document here has one term at least
-            ends = pa.array(np.append(starts, len(w)).astype(np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(w / np.repeat(length, sizes)))], ["doc_id", "idx", "w"])
+            n += np.bincount(batch.column(0).flatten().to_numpy(), minlength=features)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["slot", "n"])
+
+    found = counts.select("idx").mapInArrow(part, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(features, dtype=np.int64)
+    n[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return n
+
+
+def _unit_weights(slots: np.ndarray, tf: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Sublinear TF-IDF of documents, each of unit length."""
+    w, sizes = (np.log(tf) + 1) * idf[slots], np.diff(ends)
+    if len(w):
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, ends[:-1][sizes > 0])), sizes[sizes > 0])
+    return w
+
+
+def term_weights(docs: DataFrame, features: int) -> DataFrame:
+    """(doc_id, idx, w): unit-length sublinear TF-IDF over words and word pairs, terms hashed to `features` slots, of documents with terms."""
+    counts, documents = term_counts(docs, features)
+    idf = np.log((counts.count() + 1) / (slot_frequencies(documents, features) + 1)) + 1
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, tf = batch.column(1), batch.column(2)
+            ends = idx.offsets.to_numpy() - idx.offsets[0].as_py()
+            lists = _rows([idx.flatten(), _unit_weights(idx.flatten().to_numpy(), tf.flatten().to_numpy(), ends, idf)], ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "idx", "w"])
 
     schema = StructType([docs.schema["doc_id"], StructField("idx", ArrayType(IntegerType())), StructField("w", ArrayType(DoubleType()))])
-    return packed.select("doc_id", F.col("x.slot").alias("idx"), F.col("x.w").alias("w")).mapInArrow(unit, schema)
+    return documents.filter("doc_id IS NOT NULL AND size(idx) > 0").mapInArrow(weigh, schema)
 
 
 #: Numbers a task multiplies at a time, 8 bytes each; documents are taken in runs of so many terms times dimensions.
 RUN = 1 << 22
+#: Slots of a product that are sent and added as one block, and terms a slot that a task should have before it sends a product of its own.
+BLOCK, TERMS_A_SLOT = 128, 128
+
+
+def _cuts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First and next row of runs of rows with at most `most` elements, or of one row."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, to
+        at = to
 
 
-def _runs(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of documents of every (idx, w, ...) batch: the batch, first and next row, which document each term is of, its slot and weight, and w basis by document."""
+def _runs(batches: Iterator[pa.RecordBatch], basis: np.ndarray, idf: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of documents of every (idx, w, ...) batch, or (idx, tf, ...) with `idf`: the batch, first and next row, where each document's terms begin, their
+    slots and weights, and w basis by document."""
     width = basis.shape[1]
     for batch in batches:
         lists, weighed = batch.column(0), batch.column(1)
         ends, slots, w = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), weighed.flatten().to_numpy()
-        at = 0
-        while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN // width, "right")) - 1)
-            sizes = np.diff(ends[at:to + 1])
-            i, v, full = slots[ends[at]:ends[to]], w[ends[at]:ends[to]], sizes > 0
-            z = np.zeros((to - at, width))
-            if len(i):
-                z[full] = np.add.reduceat(basis[i] * v[:, None], (ends[at:to] - ends[at])[full], axis=0)
-            yield batch, at, to, np.repeat(np.arange(to - at), sizes), i, v, z
-            at = to
+        for at, to in _cuts(ends, RUN // width):
+            own, i, v, z = ends[at:to + 1] - ends[at], slots[ends[at]:ends[to]], w[ends[at]:ends[to]], np.zeros((to - at, width))
+            if idf is not None:
+                v = _unit_weights(i, v, own, idf)
+            for d in np.flatnonzero(np.diff(own)):
+                np.dot(v[own[d]:own[d + 1]], basis.take(i[own[d]:own[d + 1]], axis=0), out=z[d])
+            yield batch, at, to, own, i, v, z
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
-def _accumulate(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """X^T X basis. Each task sums its documents into one features x l array and emits the slots it touched; these are
-    summed by slot range. What comes back is features x l, whatever the corpus."""
+def _accumulate(weights: DataFrame, basis: np.ndarray, idf: np.ndarray | None = None) -> np.ndarray:
+    """X^T X basis. Each task sums its documents into one features x l array and emits it in blocks of slots; these are
+    summed by block. What comes back is features x l, whatever the corpus, and what was sent for it is deleted at once."""
     held = weights.sparkSession.sparkContext.broadcast(basis)
     features, width = basis.shape
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((features, width))
-        for _, _, _, of, i, v, z in _runs(batches, held.value):
-            if len(i):
-                order = np.argsort(i, kind="stable")
-                slots, first = np.unique(i[order], return_index=True)
-                acc[slots] += np.add.reduceat((v[:, None] * z[of])[order], first, axis=0)
-        touched = np.flatnonzero(np.any(acc != 0, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int64()), _lists(acc[touched])], ["slot", "v"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        slots, place = np.unique(group.slot.to_numpy(), return_inverse=True)
-        total = np.zeros((len(slots), width))
-        np.add.at(total, place, np.stack(group.v.to_list()))
-        return pd.DataFrame({"slot": slots, "v": list(total)})
-
-    rows = weights.select("idx", "w").mapInArrow(part, "slot long, v array<double>")
-    summed = rows.groupBy(F.pmod("slot", F.lit(64)).alias("range")).applyInPandas(add, "slot long, v array<double>").toPandas()
-    out = np.zeros((features, width))
-    if len(summed):
-        out[summed.slot.to_numpy()] = np.stack(summed.v.to_list())
+        for _, _, _, own, i, v, z in _runs(batches, held.value, idf):
+            for d in np.flatnonzero(np.diff(own)):  # a document has a slot once
+                acc[i[own[d]:own[d + 1]]] += np.multiply.outer(v[own[d]:own[d + 1]], z[d])
+        for at in range(0, features, BLOCK):
+            if acc[at:at + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([acc[at:at + BLOCK].tobytes()])], ["at", "v"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v.as_buffer()) for v in group["v"])
+        return pa.table({"at": group["at"][:1], "v": [total.tobytes()]})
+
+    rows = weights.select("idx", "w" if idf is None else "tf").mapInArrow(part, "at int, v binary")
+    summed = rows.groupBy("at").applyInArrow(add, "at int, v binary")
+    out, found = np.zeros((features, width)), summed.toArrow()
+    for at, v in zip(found["at"].to_pylist(), found["v"]):
+        out[at:at + BLOCK] = np.frombuffer(v.as_buffer()).reshape(-1, width)
+    summed._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)  # a round sends features x l numbers a task
+    held.destroy()
     return out
 
 
@@ -239,21 +305,23 @@ def lsa(docs: DataFrame, dim: int = 128, features: int = 1 << 16, rounds: int =
     Martinsson and Tropp 2011), unit length. A document without terms gets a zero vector.
 
     Terms are hashed, so neither a vocabulary nor anything else that grows with the corpus reaches the driver. The
-    corpus is read once per round and once more for the projection.
+    texts are read once; their counts are read once per round and once more for the projection, and weighed there.
     """
-    weights = stage(docs.select("doc_id").join(term_weights(docs, features), "doc_id", "left").select(
-        "doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("w", F.array().cast("array<double>")).alias("w")), "term-weights")
+    counts, documents = term_counts(docs, features)
+    of_slot = slot_frequencies(documents, features)
+    idf = np.log((counts.count() + 1) / (of_slot + 1)) + 1
+    few = counts.coalesce(max(1, int(of_slot.sum()) // (TERMS_A_SLOT * features)))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, dim + 8)))[0]
     for _ in range(rounds):
-        product = _accumulate(weights, basis)
-        before, basis = basis, np.linalg.qr(product)[0]
+        product = _accumulate(few, basis, idf)
+        before, basis = basis, np.ascontiguousarray(np.linalg.qr(product)[0])
     small = before.T @ product  # (X before)^T (X before): rotates the last basis to singular directions
     turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :dim]
     right = docs.sparkSession.sparkContext.broadcast(before @ turn)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, to, _, _, _, z in _runs(batches, right.value):
+        for batch, at, to, _, _, _, z in _runs(batches, right.value, idf):
             yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, to - at), _lists(_unit(z))], ["doc_id", "embedding"])
 
-    schema = StructType([weights.schema["doc_id"], StructField("embedding", ArrayType(DoubleType()))])
-    return weights.select("idx", "w", "doc_id").mapInArrow(project, schema)
+    schema = StructType([counts.schema["doc_id"], StructField("embedding", ArrayType(DoubleType()))])
+    return counts.select("idx", "tf", "doc_id").mapInArrow(project, schema)

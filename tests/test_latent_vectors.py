@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 
 from riskloom.operators import retrieval as ret
+from riskloom.session import stage
 
 
 def test_products_in_runs_equal_dense_ones(spark, monkeypatch):
@@ -27,3 +28,39 @@ def test_weights_have_unit_length_and_are_not_computed_in_a_lambda(spark):
     assert set(rows) == {1, 2} and all(abs(sum(x * x for x in r.w) - 1) < 1e-12 and list(r.idx) == sorted(set(r.idx)) for r in rows.values())
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan  # the length of a document, within a lambda over its terms, is computed for each term
+
+
+def test_terms_are_counted_where_they_are_read(spark, monkeypatch):
+    """Terms brought together by document and slot, and weights kept beside them, took several times the texts on disk."""
+    plans = []
+
+    def spy(df, name):
+        plans.append((name, df._jdf.queryExecution().toString()))
+        return stage(df, name)
+
+    monkeypatch.setattr(ret, "stage", spy)
+    texts = ["money moves money fast", "money rests", None, "the of", "fast money moves"]
+    assert len(ret.lsa(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2, 64).collect()) == 5
+    assert [name for name, _ in plans] == ["repeated-ids", "term-counts"] and "Exchange" not in plans[1][1] and ": double" not in plans[1][1]
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "money moves money"), (2, "money rests"), (1, "money rests"), (None, "money sleeps"), (None, "money sleeps"), (3, None)], "doc_id long, text string")
+    plain = {r.doc_id: dict(zip(r.idx, r.tf)) for r in ret.term_counts(spark.createDataFrame([(1, "money moves money"), (2, "money rests"), (4, "money sleeps")], "doc_id long, text string"), 4096)[0].collect()}
+    both = {i: plain[1].get(i, 0) + plain[2].get(i, 0) for i in plain[1] | plain[2]}
+    rows, documents = (sorted(((r.doc_id or 0, list(zip(r.idx, r.tf))) for r in x.collect())) for x in ret.term_counts(docs, 4096))
+    assert rows == [(0, []), (0, []), (1, sorted(both.items())), (1, sorted(both.items())), (2, sorted(plain[2].items())), (3, [])]
+    assert [(k, dict(x)) for k, x in documents] == [(0, {i: 2 * n for i, n in plain[4].items()}), (1, both), (2, plain[2]), (3, {})]
+    found = [(r.doc_id, r.embedding) for r in ret.lsa(docs, 2, 64).collect()]
+    assert [any(v) for k, v in found if k in (None, 3)] == [False] * 3 and len({tuple(v) for k, v in found if k == 1}) == 1 and len(found) == 6
+
+
+def test_a_product_leaves_no_shuffled_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    weights = spark.createDataFrame([(k, [k % 7, 9], [0.6, 0.8]) for k in range(40)], "doc_id long, idx array<int>, w array<double>").repartition(3)
+    before = files()
+    ret._accumulate(weights, np.eye(300, 4))
+    assert not files() - before
