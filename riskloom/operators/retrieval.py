@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from riskloom.functions.numeric import rnd, top_k
 from riskloom.functions.text import STOP_WORDS, stem, tokens, words
@@ -172,9 +172,9 @@ def counted_terms(docs: DataFrame, features: int) -> DataFrame:
                 n = to - at
                 keys, tf = np.unique(np.repeat(np.arange(n), np.diff(ends[at:to + 1])) * features + found[ends[at]:ends[to]], return_counts=True)
                 of, idx = np.divmod(keys, features)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *_rows([idx.astype(np.int32), tf.astype(np.int64)], np.searchsorted(of, np.arange(n + 1)))], ["doc_id", "idx", "tf"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *_rows([idx.astype(np.int32), tf.astype(np.int32)], np.searchsorted(of, np.arange(n + 1)))], ["doc_id", "idx", "tf"])
 
-    schema = StructType([docs.schema["doc_id"], StructField("idx", ArrayType(IntegerType())), StructField("tf", ArrayType(LongType()))])
+    schema = StructType([docs.schema["doc_id"], StructField("idx", ArrayType(IntegerType())), StructField("tf", ArrayType(IntegerType()))])
     return kept.select("doc_id", F.coalesce(slots, F.array().cast("array<int>")).alias("slots")).mapInArrow(count, schema)
 
 
@@ -190,11 +190,11 @@ def term_counts(docs: DataFrame, features: int) -> tuple[DataFrame, DataFrame]:
         return rows, rows
     among = lambda how: docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), how)
     single = stage(counted_terms(among("left_anti"), features), "term-counts")
-    slots = counted_terms(among("left_semi"), features).select("doc_id", F.explode(F.arrays_zip("idx", "tf")).alias("x")).groupBy("doc_id", F.col("x.idx").alias("slot")).agg(F.sum("x.tf").alias("tf"))
+    slots = counted_terms(among("left_semi"), features).select("doc_id", F.explode(F.arrays_zip("idx", "tf")).alias("x")).groupBy("doc_id", F.col("x.idx").alias("slot")).agg(F.sum("x.tf").cast("int").alias("tf"))
     packed = slots.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("slot", "tf"))).alias("x"))  # the slots of one document
     merged = stage(packed.select("doc_id", F.col("x.slot").alias("idx"), F.col("x.tf").alias("tf")), "term-counts")
     again = stage(among("left_semi").select("doc_id").join(merged, "doc_id", "left").select(
-        "doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("tf", F.array().cast("array<long>")).alias("tf")), "term-counts")
+        "doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("tf", F.array().cast("array<int>")).alias("tf")), "term-counts")
     return single.unionByName(again), single.unionByName(merged)
 
 
@@ -238,8 +238,9 @@ def term_weights(docs: DataFrame, features: int) -> DataFrame:
 
 #: Numbers a task multiplies at a time, 8 bytes each; documents are taken in runs of so many terms times dimensions.
 RUN = 1 << 22
-#: Slots of a product that are sent and added as one block, and terms a slot that a task should have before it sends a product of its own.
-BLOCK, TERMS_A_SLOT = 128, 128
+#: Slots of a product that are sent and added as one block, columns that are worked out in one reading of the counts (a task holds the basis and its own sum
+#: of so many), and terms a slot that a task should have before it sends a product of its own.
+BLOCK, COLUMNS, TERMS_A_SLOT = 128, 68, 512
 
 
 def _cuts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -272,34 +273,59 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 
 def _accumulate(weights: DataFrame, basis: np.ndarray, idf: np.ndarray | None = None) -> np.ndarray:
-    """X^T X basis. Each task sums its documents into one features x l array and emits it in blocks of slots; these are
-    summed by block. What comes back is features x l, whatever the corpus, and what was sent for it is deleted at once."""
-    held = weights.sparkSession.sparkContext.broadcast(basis)
+    """X^T X basis, some columns at a time. Each task sums its documents into one features x columns array and emits it in blocks of slots; these are
+    summed by block. What comes back is features x columns, whatever the corpus, and what was sent for it is deleted at once."""
     features, width = basis.shape
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((features, width))
-        for _, _, _, own, i, v, z in _runs(batches, held.value, idf):
-            for d in np.flatnonzero(np.diff(own)):  # a document has a slot once
-                acc[i[own[d]:own[d + 1]]] += np.multiply.outer(v[own[d]:own[d + 1]], z[d])
-        for at in range(0, features, BLOCK):
-            if acc[at:at + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([acc[at:at + BLOCK].tobytes()])], ["at", "v"])
+    out = np.zeros((features, width))
+    rows = weights.select("idx", "w" if idf is None else "tf")
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v.as_buffer()) for v in group["v"])
         return pa.table({"at": group["at"][:1], "v": [total.tobytes()]})
 
-    rows = weights.select("idx", "w" if idf is None else "tf").mapInArrow(part, "at int, v binary")
-    summed = rows.groupBy("at").applyInArrow(add, "at int, v binary")
-    out, found = np.zeros((features, width)), summed.toArrow()
-    for at, v in zip(found["at"].to_pylist(), found["v"]):
-        out[at:at + BLOCK] = np.frombuffer(v.as_buffer()).reshape(-1, width)
-    summed._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)  # a round sends features x l numbers a task
-    held.destroy()
+    for first in range(0, width, COLUMNS):
+        here = slice(first, min(first + COLUMNS, width))
+        held = weights.sparkSession.sparkContext.broadcast(np.ascontiguousarray(basis[:, here]))
+
+        def part(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            acc, sums, terms = np.zeros(held.value.shape), np.zeros((0, 0)), np.zeros((0, 0))
+            for _, _, _, own, i, v, z in _runs(batches, held.value, idf):
+                longest = int(np.diff(own).max())
+                if longest > len(sums):
+                    sums, terms = np.empty((longest, acc.shape[1])), np.empty((longest, acc.shape[1]))
+                for d in np.flatnonzero(np.diff(own)):  # a document has a slot once
+                    slots, n = i[own[d]:own[d + 1]], own[d + 1] - own[d]
+                    np.take(acc, slots, axis=0, out=sums[:n], mode="clip")
+                    sums[:n] += np.multiply(v[own[d]:own[d + 1], None], z[d], out=terms[:n])
+                    acc[slots] = sums[:n]
+            for at in range(0, features, BLOCK):
+                if acc[at:at + BLOCK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([acc[at:at + BLOCK].tobytes()])], ["at", "v"])
+
+        summed = rows.mapInArrow(part, "at int, v binary").groupBy("at").applyInArrow(add, "at int, v binary")
+        found = summed.toArrow()
+        for at, v in zip(found["at"].to_pylist(), found["v"]):
+            out[at:at + BLOCK, here] = np.frombuffer(v.as_buffer()).reshape(-1, here.stop - first)
+        summed._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)  # a task sends features x columns numbers
+        held.destroy()
     return out
 
 
+def _orthonormal(m: np.ndarray, rows: int = 1 << 12) -> np.ndarray:
+    """An orthonormal basis of the columns of `m`, which is overwritten: blocks of rows are factored in place, then their triangles, so no copy is made."""
+    triangles, kept = [], []
+    for at in range(0, len(m), rows):
+        q, r = np.linalg.qr(m[at:at + rows])
+        m[at:at + rows, :q.shape[1]] = q
+        triangles.append(r)
+        kept.append(r.shape[0])
+    turn, first = np.linalg.qr(np.concatenate(triangles))[0], 0
+    for at, k in zip(range(0, len(m), rows), kept):
+        m[at:at + rows, :turn.shape[1]] = m[at:at + rows, :k] @ turn[first:first + k]
+        first += k
+    return np.ascontiguousarray(m[:, :turn.shape[1]])
+
+
 def lsa(docs: DataFrame, dim: int = 128, features: int = 1 << 16, rounds: int = 3, seed: int = 13) -> DataFrame:
     """Latent semantic vectors (doc_id, embedding): TF-IDF, truncated SVD by randomised subspace iteration (Halko,
     Martinsson and Tropp 2011), unit length. A document without terms gets a zero vector.
@@ -311,13 +337,14 @@ def lsa(docs: DataFrame, dim: int = 128, features: int = 1 << 16, rounds: int =
     of_slot = slot_frequencies(documents, features)
     idf = np.log((counts.count() + 1) / (of_slot + 1)) + 1
     few = counts.coalesce(max(1, int(of_slot.sum()) // (TERMS_A_SLOT * features)))
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, dim + 8)))[0]
+    product = np.random.default_rng(seed).standard_normal((features, dim + 8))
     for _ in range(rounds):
+        basis = _orthonormal(product)
+        del product  # overwritten; the driver holds the basis and what comes back
         product = _accumulate(few, basis, idf)
-        before, basis = basis, np.ascontiguousarray(np.linalg.qr(product)[0])
-    small = before.T @ product  # (X before)^T (X before): rotates the last basis to singular directions
+    small = basis.T @ product  # (X basis)^T (X basis): rotates the last basis to singular directions
     turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :dim]
-    right = docs.sparkSession.sparkContext.broadcast(before @ turn)
+    right = docs.sparkSession.sparkContext.broadcast(basis @ turn)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, to, _, _, _, z in _runs(batches, right.value, idf):

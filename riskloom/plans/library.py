@@ -115,7 +115,7 @@ def _(b):
 
 @query("r09_latent_vectors")
 def _(b):
-    return ret.lsa(corpus(b), 8, 1 << 12).select("doc_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.round(F.abs(x), 4)).alias("magnitudes"))
+    return ret.lsa(corpus(b)).select("doc_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.round(F.abs(x), 4)).alias("magnitudes"))
 
 
 @query("r10_cosine_top_k", oracle("", "SELECT query_id, id, score, rank FROM sem WHERE rank <= 20", SEM.replace("{where}", "")))

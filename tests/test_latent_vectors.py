@@ -1,9 +1,13 @@
 """Products with sparse rows, in runs, against dense ones."""
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 
 from riskloom.operators import retrieval as ret
+from riskloom.plans import library
+from riskloom.plans.registry import QUERIES, load_all
 from riskloom.session import stage
 
 
@@ -64,3 +68,32 @@ def test_a_product_leaves_no_shuffled_files(spark):
     before = files()
     ret._accumulate(weights, np.eye(300, 4))
     assert not files() - before
+
+
+def test_the_query_asks_for_the_whole_decomposition(spark, monkeypatch):
+    asked = {}
+
+    def seen(*args, **named):
+        asked.update(bound := inspect.signature(whole).bind(*args, **named).arguments)
+        return whole(bound["docs"], 2, 64)
+
+    whole = ret.lsa
+    monkeypatch.setattr(ret, "lsa", seen)
+    monkeypatch.setattr(library, "table", lambda *_: spark.createDataFrame([(1, "money moves", "en", "a"), (2, "money rests", "en", "a")], "doc_id long, text string, lang string, source string"))
+    load_all()
+    assert {len(r.magnitudes) for r in QUERIES["r09_latent_vectors"](spark, "").collect()} == {2}
+    assert set(asked) == {"docs"}  # 128 dimensions over 65,536 slots, as the operator has them by default
+    assert [inspect.signature(whole).parameters[p].default for p in ("dim", "features", "rounds")] == [128, 1 << 16, 3]
+
+
+def test_products_of_some_columns_at_a_time_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    dense = rng.random((20, 30)) * (rng.random((20, 30)) < 0.3)
+    weights = spark.createDataFrame([(k, [int(i) for i in np.flatnonzero(r)], [float(x) for x in r[r != 0]]) for k, r in enumerate(dense)], "doc_id long, idx array<int>, w array<double>")
+    basis = rng.standard_normal((30, 5))
+    monkeypatch.setattr(ret, "COLUMNS", 2)
+    monkeypatch.setattr(ret, "BLOCK", 7)
+    assert np.allclose(ret._accumulate(weights.repartition(2), basis), dense.T @ dense @ basis)
+    for rows in (4, 7, 30, 64):
+        q = ret._orthonormal(basis.copy(), rows)
+        assert np.allclose(q.T @ q, np.eye(5)) and np.allclose(q @ (q.T @ basis), basis)
