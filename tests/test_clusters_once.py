@@ -5,9 +5,12 @@ import random
 from datetime import datetime
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from riskloom.operators import graph as g
+from riskloom.plans import network
+from riskloom.plans.registry import QUERIES, load_all
 
 
 def test_projection_is_read_from_one_staged_table(spark):
@@ -67,3 +70,38 @@ def test_betweenness_of_many_clusters_needs_no_call_each(spark):
         assert [r.centrality for r in mine] == pytest.approx(sorted(score.values(), reverse=True)[:5], abs=1e-4)
         assert all(r.centrality == pytest.approx(score[r.id], abs=1e-4) for r in mine)
     assert g.betweenness(inner.limit(0), summary).count() == 0
+
+
+def test_betweenness_of_clusters_of_any_size(spark, monkeypatch):
+    """A cluster beyond `BETWEENNESS_MEMBERS` beside a small one: all sources are counted, whatever the groups they are dealt in."""
+    rnd, n = random.Random(8), g.BETWEENNESS_MEMBERS + 20
+    links = {(rnd.randrange(i), i) for i in range(1, n)} | {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(60)}
+    ways, far, level, steps = np.eye(n), np.where(np.eye(n) > 0, 0, -1), np.eye(n), 0
+    near = np.zeros((n, n))
+    for a, b in links:
+        near[a, b] = near[b, a] = 1
+    while (level := (level @ near) * (far < 0)).any():
+        steps += 1
+        far[level > 0], ways = steps, ways + level
+    score = []
+    for v in range(n):  # pairs of others, each way, and the share of their shortest paths that pass the node
+        passed = (far[:, [v]] + far[[v], :] == far) * (ways[:, [v]] * ways[[v], :] / ways)
+        passed[v, :] = passed[:, v] = 0
+        score.append(passed.sum() / ((n - 1) * (n - 2)))
+    inner = spark.createDataFrame([("big", f"m{a:04}", f"m{b:04}") for a, b in links] + [("small", "a", "b"), ("small", "b", "c")], "seed string, a string, b string").repartition(3)
+    summary = spark.createDataFrame([("big", n), ("small", 3)], "seed string, size long")
+    monkeypatch.setattr(g, "GROUP_STEPS", 100_000)
+    found = g.betweenness(inner, summary, limit=None).orderBy("seed", "rank").collect()
+    assert [(r.id, r.centrality) for r in found if r.seed == "small"] == [("b", 1.0), ("a", 0.0), ("c", 0.0)]
+    big = [r for r in found if r.seed == "big"]
+    assert [r["rank"] for r in big] == [1, 2, 3, 4, 5] and [r.centrality for r in big] == pytest.approx(sorted(score, reverse=True)[:5], abs=1e-4)
+    assert all(r.centrality == pytest.approx(score[int(r.id[1:])], abs=1e-4) for r in big)
+    assert {r.seed for r in g.betweenness(inner, summary).collect()} == {"small"}
+
+
+def test_the_query_ranks_large_clusters_too(spark, monkeypatch):
+    inner = spark.createDataFrame([("customer:1", "customer:1", f"account:{i}") for i in range(450)], "seed string, a string, b string")
+    monkeypatch.setattr(network, "clusters", lambda b: (None, inner, spark.createDataFrame([("customer:1", 451)], "seed string, size long")))
+    load_all()
+    found = QUERIES["gr09_betweenness"](spark, "").orderBy("rank").collect()
+    assert [(r.id, r.centrality) for r in found] == [("customer:1", 1.0), ("account:0", 0.0), ("account:1", 0.0), ("account:10", 0.0), ("account:100", 0.0)]
